@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .bitslice import OP1_SQL, op1_top_k
 from .mixing import OP2_SQL, op2_mix_sources
+from .tiles import OP8_SQL, op8_embedding_dedup
 from .urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op2_mix_sources": op2_mix_sources,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
+    "op1_top_k": OP1_SQL,
     "op2_mix_sources": OP2_SQL,
+    "op8_embedding_dedup": OP8_SQL,
     "op10_url_filter": OP10_SQL,
 }
