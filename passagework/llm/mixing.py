@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import WORD, staged
 
 #: Documents of one source that a window group is meant to hold.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 
 
 def text_quality(text: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bitslice import OP1_SQL, op1_top_k
+from .bpe import op3_token_counts, op4_byte_bpe
+from .minhash import OP7_SQL, op7_minhash_dedup
 from .mixing import OP2_SQL, op2_mix_sources
 from .tiles import OP8_SQL, op8_embedding_dedup
 from .urls import OP10_SQL, op10_url_filter
@@ -10,6 +12,9 @@ from .urls import OP10_SQL, op10_url_filter
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_mix_sources": op2_mix_sources,
+    "op3_token_counts": op3_token_counts,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op10_url_filter": op10_url_filter,
 }
@@ -17,6 +22,7 @@ QUERIES = {
 ORACLES = {
     "op1_top_k": OP1_SQL,
     "op2_mix_sources": OP2_SQL,
+    "op7_minhash_dedup": OP7_SQL,
     "op8_embedding_dedup": OP8_SQL,
     "op10_url_filter": OP10_SQL,
 }
