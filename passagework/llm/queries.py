@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bitslice import OP1_SQL, op1_top_k
 from .bpe import op3_token_counts, op4_byte_bpe
+from .langid import op5_language_id
+from .lattice import op6_lattice_score
 from .minhash import OP7_SQL, op7_minhash_dedup
 from .mixing import OP2_SQL, op2_mix_sources
 from .tiles import OP8_SQL, op8_embedding_dedup
@@ -14,6 +16,8 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_language_id": op5_language_id,
+    "op6_lattice_score": op6_lattice_score,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op10_url_filter": op10_url_filter,
