@@ -8,6 +8,7 @@ from .langid import op5_language_id
 from .lattice import op6_lattice_score
 from .minhash import OP7_SQL, op7_minhash_dedup
 from .mixing import OP2_SQL, op2_mix_sources
+from .pii import op9_personal_data
 from .tiles import OP8_SQL, op8_embedding_dedup
 from .urls import OP10_SQL, op10_url_filter
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_lattice_score": op6_lattice_score,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_personal_data": op9_personal_data,
     "op10_url_filter": op10_url_filter,
 }
 
