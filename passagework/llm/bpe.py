@@ -24,10 +24,11 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import beside
+
 MOST_STATES, MOST_PIECES = 400_000, 400_000
 CHUNK_CHARS, BLOCK_IDS = 65_536, 8_192
 NEVER = 1 << 60
@@ -325,21 +326,14 @@ def shipped(spark, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def each_text(docs: DataFrame, keep: list[str], of: Callable[[str | None], tuple], schema: str, start: Callable[[], object]) -> DataFrame:
-    """of(started, text) for every row, beside the kept columns."""
-    names = [f.split()[0] for f in schema.split(",")]
-    kept = docs.select(*keep, "text")
+def each(of: Callable[[object, object], tuple], kind: str, content, pattern: str) -> Callable[[], Callable[[list], list[tuple]]]:
+    """of(machine, value) for each value, with the worker's machine."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started = start()
-        for part in parts:
-            made = [of(started, t) for t in part.column("text").to_pylist()]
-            columns = [pa.array([m[n] for m in made]) if made else None for n in range(len(names))]
-            if made:
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *columns], names=[*keep, *names])
+    def start() -> Callable[[list], list[tuple]]:
+        machine = once(kind, content.value, pattern)
+        return lambda values: [of(machine, v) for v in values]
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
-    return kept.mapInArrow(run, f"{types}, {schema}")
+    return start
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), limit: int = 1_024) -> DataFrame:
@@ -354,20 +348,19 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]
         n = counter.count(text)
         return len((text or "").encode()), n, n > limit
 
-    return each_text(docs, list(keep), of, "n_bytes long, n_tokens long, over_limit boolean", lambda: once("count", content.value, pattern))
+    return beside(docs, keep, docs["text"], "n_bytes long, n_tokens long, over_limit boolean", each(of, "count", content, pattern))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and ids (array of int) of every text of docs, by a file of ranks; null and empty texts have none."""
     content = shipped(docs.sparkSession, path)
-    return each_text(docs, list(keep), lambda coder, text: (coder.encode(text),), "ids array<int>", lambda: once("code", content.value, pattern))
+    return beside(docs, keep, docs["text"], "ids array<int>", each(lambda coder, text: (coder.encode(text),), "code", content, pattern))
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and the text of every row's ids; bytes that are no UTF-8 become U+FFFD, null ids the empty text."""
     content = shipped(encoded.sparkSession, path)
-    rows = encoded.select(*keep, encoded["ids"].alias("text"))
-    return each_text(rows, list(keep), lambda coder, ids: (coder.decode(ids or []),), "decoded string", lambda: once("code", content.value, pattern))
+    return beside(encoded, keep, encoded["ids"], "text string", each(lambda coder, ids: (coder.decode(ids or []),), "code", content, pattern))
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -389,7 +382,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ..
         stream.feed(b"", last=True)
         return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest(), stream.valid
 
-    return each_text(docs, list(keep), of, "n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean", lambda: once("code", content.value, pattern))
+    return beside(docs, keep, docs["text"], "n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean", each(of, "code", content, pattern))
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:

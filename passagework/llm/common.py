@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,25 @@ def ascii_lower(text: Column) -> Column:
 def doc_key(doc_id: Column) -> Column:
     """crc32 of the id as text, by which the contracts hold documents out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def beside(docs: DataFrame, keep: Sequence[str], texts: Column, made: str, start: Callable[[], Callable[[list], list[tuple]]], rows: int = 1_000, extra: Sequence[Column] = ()) -> DataFrame:
+    """The kept columns of docs, the extra ones, and what a function makes of the texts.
+
+    start() gives that function in each task; it takes some values of `texts`
+    and returns a tuple for each, with the fields of the schema `made`. Columns go
+    through Arrow under names of their own, so no name of docs can clash."""
+    fields = [f.strip().split(" ", 1) for f in made.split(", ")]
+    inner = docs.select(*[docs[c].alias(f"k{n}") for n, c in enumerate(keep)], *[c.alias(f"x{n}") for n, c in enumerate(extra)], texts.alias("t"))
+    passed = [f for f in inner.schema if f.name != "t"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = start()
+        for part in parts:
+            for at in range(0, part.num_rows, rows):
+                some = part.slice(at, rows)
+                out = of(some.column("t").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in passed), *(pa.array([o[n] for o in out]) for n in range(len(fields)))], names=[*(f.name for f in passed), *(f"m{n}" for n in range(len(fields)))])
+
+    types = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in passed), *(f"m{n} {kind}" for n, (_, kind) in enumerate(fields))])
+    return inner.mapInArrow(run, types).toDF(*keep, *(f"extra{n}" for n in range(len(extra))), *(name for name, _ in fields))

@@ -11,7 +11,7 @@ are scored in batches by two matrix products, with the landmarks and with the we
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import doc_key
+from .common import beside, doc_key
 
 DIMS_BITS, LONGEST_GRAM, BATCH = 15, 4, 128
 DIMS = 1 << DIMS_BITS
@@ -127,8 +127,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[s
     return bits, [r["lang"] for r in found]
 
 
-def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, held_out, lang_pred and score of every row of docs (doc_id, text, lang).
+def identify(docs: DataFrame, keep: Sequence[str] = ("doc_id",), names: Sequence[str] = ("held_out", "lang_pred", "score")) -> DataFrame:
+    """The kept columns, held_out, lang_pred and score (or other names for them) of every row of docs (doc_id, text, lang).
 
     The model learns from text and lang of rows whose crc32 of the id is not 1
     modulo 3 and whose lang is not null: SAMPLE_ROWS of each language. A
@@ -140,21 +140,20 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     bits, languages = sample(docs)
     shipped = docs.sparkSession.sparkContext.broadcast(fit(bits, languages) if languages else None)  # SAMPLE bounds its size
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         model: Model | None = shipped.value
-        for part in parts:
-            names, best = [], []
-            for at in range(0, part.num_rows, BATCH):
-                rows, has = presence(part.column("text").slice(at, BATCH).to_pylist())
-                scores = model.scores(rows) if model else np.zeros((len(rows), 1))
-                won = scores.argmax(axis=1)
-                names += [model.languages[w] if h and model else UNDETERMINED for w, h in zip(won, has)]
-                best += [float(min(1.0, max(0.0, (scores[n, w] + 1) / 2))) if h and model else 0.0 for n, (w, h) in enumerate(zip(won, has))]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in [*keep, "held_out"]), pa.array(names, pa.string()), pa.array(best, pa.float64())], names=[*keep, "held_out", "lang_pred", "score"])
-
-    held = docs.select(*keep, (doc_key(docs["doc_id"]) % 3 == 1).alias("held_out"), "text")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name in keep)
-    return held.mapInArrow(run, f"{types}, held_out boolean, lang_pred string, score double")
+
+        def of(texts: list[str | None]) -> list[tuple]:
+            rows, has = presence(texts)
+            scores = model.scores(rows) if model else np.zeros((len(rows), 1))
+            won = scores.argmax(axis=1)
+            return [(model.languages[w], float(min(1.0, max(0.0, (scores[n, w] + 1) / 2)))) if h and model else (UNDETERMINED, 0.0) for n, (w, h) in enumerate(zip(won, has))]
+
+        return of
+
+    held = doc_key(docs["doc_id"]) % 3 == 1
+    said = beside(docs, keep, docs["text"], "lang string, score double", start, BATCH, [held])
+    return said.toDF(*keep, *names)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     )
     leveled = named.withColumn("level", level)
     is_open = F.col("cap") > F.col("weight") * F.col("level")
-    final = F.min(F.when(is_open, F.col("level"))).over(everything)
+    final = F.max(F.when(is_open, F.col("level"))).over(everything)  # the first open one has the level; those after it lie below
     return leveled.select("no_source", "name", "source_size", F.when(is_open, F.col("weight") * final).otherwise(F.col("cap")).alias("target"))
 
 
@@ -116,8 +116,8 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: Sequence[float]
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of docs, each as often as mix() takes it, with the columns of docs.
 
-    Rows that share id, source and size are alike to mix(), so their copies are
-    averaged up to whole numbers over the rows of that key."""
+    Rows that share id, source and size are one to mix() but for their turn;
+    each is repeated as often as the one that comes first."""
     taken = (
         mix(docs, **options)
         .groupBy("doc_id", "source", "size")
@@ -153,7 +153,7 @@ leveled AS (
   FROM weighed WINDOW b AS (ORDER BY cap / weight, no_source, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT no_source, name, CAST(source_size AS BIGINT) AS source_size,
-    CASE WHEN cap > weight * level THEN weight * min(CASE WHEN cap > weight * level THEN level END) OVER () ELSE cap END AS target
+    CASE WHEN cap > weight * level THEN weight * max(CASE WHEN cap > weight * level THEN level END) OVER () ELSE cap END AS target
   FROM leveled),
 placed AS (
   SELECT k.*, t.source_size, t.target, sum(size) OVER (PARTITION BY k.no_source, k.name ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto,

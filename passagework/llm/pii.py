@@ -15,13 +15,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import beside
+
 KINDS = ("email", "ip", "card", "phone")
 REACH, WINDOW, STRIDE = 24, 64, 32
 #: Documented bounds of the training sample, and the network's size.
@@ -343,22 +345,10 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def _each(docs: DataFrame, keep: list[str], of, schema: str) -> DataFrame:
+def _each(docs: DataFrame, keep: Sequence[str], of: Callable[[str | None, list[Span], list[Span]], tuple], made: str) -> DataFrame:
     """of(text, base, all) for every row, with a network trained on docs."""
     shipped = docs.sparkSession.sparkContext.broadcast(trained(docs))
-    names = [f.split()[0] for f in schema.split(", ")]
-    kept = docs.select(*keep, docs["text"].alias("__text"))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for at in range(0, part.num_rows, 1_000):
-                some = part.slice(at, 1_000)
-                texts = some.column("__text").to_pylist()
-                made = [of(t, b, e) for t, (b, e) in zip(texts, find(texts, shipped.value))]
-                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keep), *(pa.array([m[n] for m in made], some.schema.field("__text").type if names[n] == "text" else None) for n in range(len(names)))], names=[*keep, *names])
-
-    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != "__text")
-    return kept.mapInArrow(run, types + schema)
+    return beside(docs, keep, docs["text"], made, lambda: lambda texts: [of(t, b, e) for t, (b, e) in zip(texts, find(texts, shipped.value))])
 
 
 def find_personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -372,7 +362,7 @@ def find_personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
     def of(text: str | None, base: list[Span], all_: list[Span]) -> tuple:
         return (*(sum(k == n for k, _, _ in base) for n in range(4)), hashlib.sha256(written(base).encode()).hexdigest(), written(all_), len(all_) - len(base))
 
-    return _each(docs, list(keep), of, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return _each(docs, keep, of, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
