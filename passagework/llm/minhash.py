@@ -11,8 +11,8 @@ others, so there are never more than classes times bands. Candidates that the
 signatures do not rule out are confirmed on the full sets, and components follow
 from the confirmed links. A star leaves pairs untested of which neither is the hub; these
 matter only where a bucket still holds several components. There, and only
-there, signatures are compared block by block, and the pairs of different
-components that these don't rule out are confirmed too.
+there, signatures are compared block by block, pairs of different components that
+these don't rule out are confirmed too, and links that join components are returned.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ SLOTS = BANDS * DEPTH
 #: Share of equal slots below which a pair of similarity 0.85 is ruled out: 5 standard errors and more below it.
 LEAST_EQUAL = 0.65
 #: Words hashed at a time, classes compared at a time, and bits of the bitmap of needed texts.
-RUN_WORDS, BLOCK_CLASSES, FILTER_BITS = 500_000, 2_000, 1 << 23
+RUN_WORDS, BLOCK_CLASSES, FILTER_BITS = 500_000, 500, 1 << 23
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -137,14 +137,13 @@ def _alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(yes)) for c in ("a", "b")], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the full sets confirm: 100 * intersection >= percent * union.
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and hashes (sorted, 8 bytes each) of the full sets of the texts named by ids (id), and maybe of some more.
 
-    Which texts are needed goes to the scan as a bitmap of FILTER_BITS hashed ids: 1 MB,
-    whatever their number; it may let more texts through, which the joins drop."""
+    Which texts are needed goes to the scan as a bitmap of FILTER_BITS hashed ids: 1 MB, whatever their
+    number; it may let more texts through, which the joins drop."""
     hashed = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(hashed.alias("h"))
-    words = ids.groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits")).collect()
+    words = ids.select(hashed.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits")).collect()
     filter_ = np.zeros(FILTER_BITS // 64, np.int64)
     for row in words:
         filter_[row["word"]] = row["bits"]
@@ -156,55 +155,102 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             need = np.flatnonzero((shared.value[h >> 6] >> (h & 63)) & 1)
             for at in range(0, len(need), 256):
                 some = part.take(pa.array(need[at : at + 256]))
-                hashes = [shingles(t) for t in some.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([len(x) for x in hashes], pa.int64()), pa.array([x.tobytes() for x in hashes], pa.binary())], names=["id", "n", "hashes"])
+                hashes = [shingles(t).tobytes() for t in some.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(hashes, pa.binary())], names=["id", "hashes"])
 
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", hashed.alias("h"), "text")
-    full = staged(known.mapInArrow(sets, "id long, n long, hashes binary").dropDuplicates(["id"]))
-    both = pairs.join(full.toDF("a", "n_a", "set_a"), "a").join(full.toDF("b", "n_b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    return staged(known.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"]))
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the full sets confirm: 100 * intersection >= percent * union."""
+    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
+    both = pairs.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
 
     def hold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yes = []
-            for x, y in zip(part.column("set_a"), part.column("set_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                yes.append(100 * common >= percent * (len(x) + len(y) - common))
+            sets = zip(part.column("set_a"), part.column("set_b"))
+            yes = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sets]
             yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(yes, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     return both.mapInArrow(hold, "a long, b long")
 
 
-def across_components(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in one bucket that are in different components, neither the hub, and not ruled out.
-
-    members: band, rep, hub, component. A bucket larger than BLOCK_CLASSES is
-    dealt into blocks, and each pair of blocks is compared on its own."""
+class Group:
+    """Members of one bucket, or of two blocks of a large one, and the pairs of them that may be links across components."""
+
+    def __init__(self, table: pa.Table, percent: int) -> None:
+        self.rep, self.component, self.size, self.own = (table[c].to_numpy() for c in ("rep", "component", "n_shingles", "own"))
+        self.slots = np.frombuffer(b"".join(table["slots"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+        self.bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.band, self.percent = table["band"][0].as_py(), percent
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        self.left, self.right = np.flatnonzero(self.own == i), None if i == j else np.flatnonzero(self.own == j)
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with the others that it may be linked to; a pair that shares several bands belongs to the first of these."""
+        for n, x in enumerate(self.left):
+            y = self.left[n + 1 :] if self.right is None else self.right
+            y = y[(self.component[y] != self.component[x]) & (100 * np.minimum(self.size[y], self.size[x]) >= self.percent * np.maximum(self.size[y], self.size[x]))]
+            y = y[(self.slots[y] == self.slots[x]).sum(axis=1) >= LEAST_EQUAL * SLOTS]
+            first = (self.bands[y] == self.bands[x]).argmax(axis=1)
+            y = y[self.bands[x][first] == self.band]
+            if len(y):
+                yield x, y
+
+
+def across_components(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a bucket, but are in different components; enough to join these.
+
+    members: band, rep, hub, component. Of each bucket with several components, all but the hub, whose pairs
+    are known, are compared, by signature first. A bucket larger than BLOCK_CLASSES is dealt into
+    blocks, and each pair of blocks is one group. Members that a signature may link to another
+    component meet again with their full sets; a pair is confirmed there unless
+    the links found before it in the group have joined its components already, so a group
+    returns fewer links than it has members."""
     sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
     split = members.where("rep <> hub").join(sizes.where("n > 2 AND x <> y").select("band", "n"), "band")
     blocks = F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.join(classes.select("rep", "n_shingles", "slots"), "rep").select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n_shingles", "slots"
-    )
-
-    def compare(table: pa.Table) -> pa.Table:
-        rep, component, size, own = (table[c].to_numpy() for c in ("rep", "component", "n_shingles", "own"))
-        slots = np.frombuffer(b"".join(table["slots"].to_pylist()), np.uint8).reshape(-1, SLOTS)
-        same = table["i"][0].as_py() == table["j"][0].as_py()
-        left = np.flatnonzero(own == table["i"][0].as_py())
-        a, b = [], []
-        for n, x in enumerate(left):
-            y = left[n + 1 :] if same else np.flatnonzero(own == table["j"][0].as_py())
-            y = y[(component[y] != component[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-            y = y[(slots[y] == slots[x]).sum(axis=1) >= LEAST_EQUAL * SLOTS]
-            a.append(np.full(len(y), rep[x]))
-            b.append(rep[y])
-        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
-
-    found = dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    key = ["band", "i", "j"]
+    fields = [*key, "own", "rep", "component", "n_shingles", "slots", "bands"]
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(classes.select("rep", "n_shingles", "slots", "bands"), "rep").select(*fields)
+
+    def hopeful(table: pa.Table) -> pa.Table:
+        some = set()
+        for x, y in Group(table, percent).candidates():
+            some.update([x, *y])
+        return table.take(pa.array(sorted(some), pa.int64()))
+
+    def join(table: pa.Table) -> pa.Table:
+        group = Group(table, percent)
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["hashes"]]
+        root = {c: c for c in group.component.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        for x, others in group.candidates():
+            for y in others[np.argsort(-(group.slots[others] == group.slots[x]).sum(axis=1), kind="stable")]:
+                a, b = top(int(group.component[x])), top(int(group.component[y]))
+                if a != b and similar(sets[x], sets[y], percent):
+                    root[a] = b
+                    links.append((int(group.rep[x]), int(group.rep[y])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    types = dict(dealt.dtypes)
+    left = staged(dealt.groupBy(*key).applyInArrow(hopeful, ", ".join(f"{c} {types[c]}" for c in fields)))
+    full = full_sets(left.select(F.col("rep").alias("id")), docs)
+    return left.join(full.withColumnRenamed("id", "rep"), "rep").groupBy(*key).applyInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -233,10 +279,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = staged(confirmed(staged(not_ruled_out(stars, classes, percent)), docs, percent))
     roots = staged(components(links))
     members = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = staged(across_components(members, classes, percent))
+    more = staged(across_components(members, classes, docs, percent))
     if not more.isEmpty():
-        links = staged(links.unionByName(confirmed(more, docs, percent)))
-        roots = components(links)
+        roots = components(links.unionByName(more))
     by_class = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     # a row's class is asked by its representative, so that classes of many copies meet their one row in a join that can be split
     joined = signed.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
