@@ -1,0 +1 @@
+"""Search, segmentation, summaries, answers, review and evaluation over DataFrames."""
