@@ -92,3 +92,24 @@ QUESTION_HEADER = r"^\s*(questions?|prompts?|quer(y|ies)|text|items?|q)\s*$"
 QUESTION_COLUMNS = "question questions prompt prompts query queries text item q".split()
 
 NOT_FOUND = "The provided documents do not contain enough information to answer this question."
+
+# Parts of words that keep their hyphen at a line break.
+COMPOUND_SUFFIXES = """
+based level like specific driven free aware oriented scale related dependent independent friendly ready sized shaped
+wide rich intensive efficient aided enabled assisted centric agnostic defined made built known term time range
+resolution frequency dimensional order art
+""".split()
+COMPOUND_PREFIXES = """
+well self non multi real high low long short state two three four five single cross end user time close open half full
+top bottom front back side world data sensor general large small hand pre post anti semi sub co
+""".split()
+
+# Patterns of positioned text.
+LIST_MARKER = r"(?i)^(\(?([ivx]{1,5}|[a-h]|\d{1,2})\)|\[\d{1,3}\]\s|[•▪◦●‣∙]|[-–]\s)"
+SECTION_NAMES = (
+    r"(?i)^(abstract|introduction|background|related work|method(s|ology)?|results|discussion|conclusions?"
+    r"|acknowledge?ments?|references|bibliography|appendix( [A-Z])?)$"
+)
+CAPTION = r"(?i)^(fig\.?|figure|table|tab\.)\s*[\dIVX]+[a-z]?\s*[:.|]"
+NUMBERED_HEADING = r"^((\d{1,2}(\.\d{1,2}){0,3})|[IVXLC]{1,6}|[A-Z])[.)]?\s+[A-Z]"
+PAGE_NUMBER = r"(?i)^(page\s*)?#?\d{1,4}(\s*(of|/)\s*\d{1,4})?$"

@@ -148,4 +148,5 @@ ORACLES: dict[str, str] = {
     "csv_export_lines": f"SELECT c_custkey, {cell('c_custkey')} || ',' || {cell('c_name')} || ',' || {cell('c_mktsegment')} || ',' || {cell('CAST(floor(c_acctbal) AS BIGINT)')} AS line FROM customer",
     "format_relative": f"""WITH s AS (SELECT event_id, {NOW} - CAST(epoch(ts) AS BIGINT) AS s, ts FROM events), m AS (SELECT *, CAST(round(s / 60.0) AS BIGINT) AS m FROM s), h AS (SELECT *, CAST(round(m / 60.0) AS BIGINT) AS h FROM m), d AS (SELECT *, CAST(round(h / 24.0) AS BIGINT) AS d FROM h)
       SELECT event_id, CASE WHEN s < 45 THEN 'just now' WHEN m < 60 THEN m || ' minute' || CASE WHEN m = 1 THEN '' ELSE 's' END || ' ago' WHEN h < 24 THEN h || ' hour' || CASE WHEN h = 1 THEN '' ELSE 's' END || ' ago' WHEN d = 1 THEN 'yesterday' WHEN d < 7 THEN d || ' days ago' ELSE strftime(ts, '%-d %b %Y') END AS said FROM d""",
+    "activity_windows": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -12,7 +12,11 @@ from ..functions import text as T
 from ..functions.vectors import cosine, hashed_embedding
 from ..operators import relational as R
 from ..operators import search as S
+from ..operators.ask import ask
+from ..operators.chunk import chunks_of_texts, sentences_of_texts
+from ..operators.ingest import read_files
 from ..sources import native as N
+from ..streaming.files import windowed_activity
 from .oracle import NOW
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,3 +270,48 @@ def csv_export_lines(spark, d):
 @query
 def format_relative(spark, d):
     return table(spark, d, "events").select("event_id", T.format_relative(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(NOW)).alias("said"))
+
+
+def parted(spark, d):
+    """Documents with their line breaks doubled, so that each line is a paragraph."""
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+
+
+@query
+def sentences(spark, d):
+    return sentences_of_texts(table(spark, d, "documents"), "doc_id")
+
+
+@query
+def chunks(spark, d):
+    return chunks_of_texts(parted(spark, d), "doc_id")
+
+
+@query
+def chunk_pages(spark, d):
+    """Passages and characters of every document."""
+    return chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("passages"), F.sum(F.length("content")).alias("chars"))
+
+
+@query
+def doc_summary(spark, d):
+    """Key points of every document, read as a plain text file: the ingest path from bytes to summary."""
+    files = parted(spark, d).select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("doc_id").cast("string").alias("filename"), F.current_timestamp().alias("modified"), F.lit("text").alias("kind"), F.col("text").cast("binary").alias("content"), F.lit(None).cast("string").alias("refused"))
+    read = read_files(files)
+    points = F.transform("summary.key_points", lambda p: p["text"])
+    return read.select(F.col("filename").cast("long").alias("doc_id"), "error", "char_count", F.size("chunks").alias("passages"), F.array_join(points, " | ").alias("key_points"), "summary.abstract")
+
+
+@query
+def offline_answers(spark, d):
+    """Each benchmark text asked of the passages of all documents: search, gate, extract, verify."""
+    passages = chunks(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), "chunk_index", "content", "heading", "page_start", "page_end")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    found = ask(asked, passages)
+    return found.select("question_id", "mode", "confidence", "insufficient", "answer", F.size("citations").alias("n_citations"), F.size(F.filter("citations", lambda c: c["verified"])).alias("n_verified"))
+
+
+@query
+def activity_windows(spark, d):
+    """Events by hour and type, as the stream would count them."""
+    return windowed_activity(table(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")

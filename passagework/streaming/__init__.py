@@ -1,0 +1 @@
+"""Files that arrive over time."""
