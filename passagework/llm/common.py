@@ -55,6 +55,9 @@ def doc_key(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
 def beside(docs: DataFrame, keep: Sequence[str], texts: Column, made: str, start: Callable[[], Callable[[list], list[tuple]]], rows: int = 1_000, extra: Sequence[Column] = ()) -> DataFrame:
     """The kept columns of docs, the extra ones, and what a function makes of the texts.
 
@@ -71,7 +74,7 @@ def beside(docs: DataFrame, keep: Sequence[str], texts: Column, made: str, start
             for at in range(0, part.num_rows, rows):
                 some = part.slice(at, rows)
                 out = of(some.column("t").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in passed), *(pa.array([o[n] for o in out]) for n in range(len(fields)))], names=[*(f.name for f in passed), *(f"m{n}" for n in range(len(fields)))])
+                yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in passed), *(pa.array([o[n] for o in out], ARROW[kind]) for n, (_, kind) in enumerate(fields))], names=[*(f.name for f in passed), *(f"m{n}" for n in range(len(fields)))])
 
     types = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in passed), *(f"m{n} {kind}" for n, (_, kind) in enumerate(fields))])
     return inner.mapInArrow(run, types).toDF(*keep, *(f"extra{n}" for n in range(len(extra))), *(name for name, _ in fields))
