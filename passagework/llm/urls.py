@@ -51,7 +51,9 @@ def trigrams(url: Column) -> Column:
     """Array of the folded url's trigrams, with two start marks and an end mark; empty for null and empty urls."""
     folded = F.regexp_replace(F.translate(url, UPPER + "123456789", UPPER.lower() + "0" * 9), f"[^{KEPT}]", "*")
     marked = F.split(F.concat(F.lit("^^"), folded, F.lit("$")), "")
-    grams = F.transform(F.slice(marked, 3, F.greatest(F.lit(0), F.size(marked) - 2)), lambda c, i: F.concat(F.get(marked, i), F.get(marked, i + 1), c))
+    n = F.greatest(F.lit(0), F.size(marked) - 2)
+    first, second, third = (F.slice(marked, k, n) for k in (1, 2, 3))  # each evaluates the split once, not once for each symbol
+    grams = F.zip_with(F.zip_with(first, second, lambda a, b: F.concat(a, b)), third, lambda a, b: F.concat(a, b))
     return F.when(F.length(url) > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
