@@ -40,7 +40,7 @@ def gutters(items: DataFrame) -> DataFrame:
     words = items.where(F.length(F.trim("text")) >= 3)
     runs = words.join(dominant(words, PAGE, half(F.col("size")), "page_size"), PAGE).where("abs(size - page_size) <= 1").withColumn("end", F.col("x") + F.col("w"))
     counted = runs.withColumn("runs", F.count("*").over(W.partitionBy(*PAGE))).where(F.col("runs") >= LEAST_RUNS)
-    width = F.first("page_width").over(W.partitionBy(*PAGE))
+    width = F.col("page_width")
     at = counted.withColumn("g", F.explode(F.sequence(F.round(width * 0.35).cast("int"), F.floor(width * 0.65).cast("int"))))
     per = at.groupBy(*PAGE, "g").agg(F.count_if((F.col("x") < F.col("g") - 1) & (F.col("end") > F.col("g") + 1)).alias("cross"), F.count_if(F.col("end") <= F.col("g")).alias("l"), F.count_if(F.col("x") >= F.col("g")).alias("r"), F.first("runs").alias("runs"), F.first("page_width").alias("width"))
     best = per.withColumn("k", F.row_number().over(W.partitionBy(*PAGE).orderBy("cross", F.abs(F.col("g") - F.col("width") / 2), "g"))).where(
@@ -58,7 +58,8 @@ def lines(items: DataFrame) -> DataFrame:
     font = dominant(near, ["doc_id"], F.col("font"), "body_font")
     down = W.partitionBy(*PAGE).orderBy(F.desc("y"), "x", "seq")
     apart = F.lag("y").over(down) - F.col("y") > 0.5 * F.greatest("size", F.lag("size").over(down))
-    rows = seen.withColumn("row", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(down)).join(gutters(seen), PAGE, "left").withColumn("end", F.col("x") + F.col("w"))
+    parted = seen.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int"))
+    rows = parted.withColumn("row", F.sum("apart").over(down)).join(gutters(seen), PAGE, "left").withColumn("end", F.col("x") + F.col("w"))
     row = W.partitionBy(*PAGE, "row")
     on_left = F.col("x") + F.col("w") / 2 < F.col("gutter")
     over = F.max((F.col("x") < F.col("gutter") - 3) & (F.col("end") > F.col("gutter") + 3)).over(row)
@@ -200,7 +201,8 @@ def read_pages(items: DataFrame) -> DataFrame:
         | (~table_on & ~caption_on & ((F.abs(was("size") - F.col("size")) > 0.8) | (was_table != is_table) | wide | text.rlike(LIST_MARKER) | (ends & (short | indented)) | (moved & ends & short)))
     )
     # a paragraph that goes on in the next column or page starts there in lower case and stays one block
-    numbered = typed.withColumn("block", F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(order))
+    broken = typed.withColumn("breaks", F.coalesce(breaks, F.lit(True)).cast("int"))
+    numbered = broken.withColumn("block", F.sum("breaks").over(order))
     line = F.struct("region", (-F.col("y")).alias("k"), "x0", "text", "cells", "size")
     blocks = numbered.groupBy("doc_id", "block").agg(
         F.array_sort(F.collect_list(line)).alias("lines"), F.min_by("kind", F.struct("region", -F.col("y"))).alias("kind"), F.min("page").alias("page"), F.max("page").alias("page_end"), F.max("size").alias("size"), F.first("body_size").alias("body_size")
