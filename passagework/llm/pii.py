@@ -27,10 +27,10 @@ from .common import beside
 KINDS = ("email", "ip", "card", "phone")
 REACH, WINDOW, STRIDE = 24, 64, 32
 #: Documented bounds of the training sample, and the network's size.
-SAMPLE_WINDOWS, MADE_WINDOWS, EPOCHS, BATCH = 1_024, 512, 8, 64
+SAMPLE_WINDOWS, MADE_WINDOWS, EPOCHS, BATCH = 1_024, 512, 16, 64
 EMBEDDED, HIDDEN, SYMBOLS = 12, 16, 130
 #: Least marginal probability that each character of an added span must have.
-SURE = 0.95
+SURE = 0.8
 
 Span = tuple[int, int, int]  # kind, start, end
 
