@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .common import beside
 
-MOST_STATES, MOST_PIECES = 400_000, 400_000
+MOST_STATES, MOST_PIECES = 200_000, 200_000
 CHUNK_CHARS, BLOCK_IDS = 65_536, 8_192
 NEVER = 1 << 60
 

@@ -103,7 +103,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
+    for part in (whole.slice(at, 500) for whole in parts for at in range(0, whole.num_rows, 500)):
         sizes, keys, slots, bands = [], [], [], []
         for text in part.column("text").cast(pa.binary()).to_pylist():
             hashes = shingles(text)
