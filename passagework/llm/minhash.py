@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     by_class = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    # a row's class is asked by its representative, so that classes of many copies meet their one row in a join that can be split
+    # a class of many copies is one row on the right, so AQE can split its rows on the left
     joined = signed.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -127,8 +127,8 @@ def test_stages(spark, docs, none, stage):
     ids = [r["doc_id"] for r in rows]
     if stage == "language":
         assert set(ids) >= {1, 2, 6, 7, 9, 10, 11, 12, 13, None} and not {3, 4, 5, 8} & set(ids)
-    elif stage == "near_duplicates":
-        assert sorted(ids, key=str) == sorted([1, 3, 4, 5, 6, None, 7, 8, 9, 11, 12, 13], key=str)
+    elif stage == "near_duplicates":  # 7 repeats the shingles of 1
+        assert sorted(ids, key=str) == sorted([1, 3, 4, 5, 6, None, 8, 9, 11, 12, 13], key=str)
     elif stage == "personal_data":
         assert len(rows) == len(ROWS) and [r["text"] for r in rows if r["doc_id"] is None] == ["a text without an id, mail me at <EMAIL> now"]
     elif stage == "source_mix":
