@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    found = minhash.near_duplicates(docs)
+    """One document of each group of near-duplicates (five words, similarity 0.8), that with the smallest id."""
+    found = minhash.near_duplicates(docs, percent=80)
     dropped = found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
     left = docs.join(dropped, docs["doc_id"] == dropped["__id"], "left_anti")
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():

@@ -29,10 +29,10 @@ from .common import staged
 from .components import components
 
 WORDS = 5
-#: 42 bands of 6 slots: a pair with similarity 0.85 shares no band once in 4e8 times.
+#: 42 bands of 6 slots: a pair with similarity 0.80 shares no band once in 350,000 times, one with 0.85 once in 4e8.
 BANDS, DEPTH = 42, 6
 SLOTS = BANDS * DEPTH
-#: Share of equal slots below which a pair of similarity 0.85 is ruled out: 5 standard errors and more below it.
+#: Share of equal slots below which a pair of similarity 0.80 is ruled out: 6 standard errors below it.
 LEAST_EQUAL = 0.65
 #: Words hashed at a time, classes compared at a time, and bits of the bitmap of needed texts.
 RUN_WORDS, BLOCK_CLASSES, FILTER_BITS = 500_000, 500, 1 << 23
@@ -253,7 +253,7 @@ def across_components(members: DataFrame, classes: DataFrame, docs: DataFrame, p
     return left.join(full.withColumnRenamed("id", "rep"), "rep").groupBy(*key).applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Rows are linked when their sets of shingles have 100 * intersection >=
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
 
 
 OP7_SQL = r"""

@@ -157,7 +157,8 @@ def test_lattice_base_scores(spark, sf, texts):
         assert math.isclose(r["base_score"], of(ends) + sum(of(counts[w]) for w in words), rel_tol=1e-9) and -math.inf < r["score"] < 0
 
 
-def test_near_duplicates_at_the_threshold(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_at_the_threshold(spark, percent):
     rng, rows = random.Random(4), []
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     for group in range(40):
@@ -180,10 +181,10 @@ def test_near_duplicates_at_the_threshold(spark):
 
     for a in sets:
         for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
-    found = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
     assert {n: r["component_id"] for n, r in found.items()} == {n: top(n) for n in sets}
     assert all(r["n_shingles"] == len(sets[n]) for n, r in found.items())
 
