@@ -4,30 +4,38 @@ The detectors find e-mail addresses, IPv4 addresses, card numbers and phone numb
 model is trained in numpy, on the driver, from windows of a bounded sample of texts whose
 spans the detectors label, and of made-up lines labelled by construction, so that small corpora train it too.
 
-Personal data of these kinds holds a digit or an @, so a character farther than REACH from
-every digit and @ of its text is outside all spans without being asked. All other stretches of
-all texts are read by overlapping windows; where windows overlap, their scores are
-averaged with weights that fall towards a window's ends, and the CRF decodes the stretch as a
-whole. Spans that overlap a detector's, or that the CRF is not sure of, are dropped.
+Every character of every text is read by overlapping windows; where windows overlap, their scores
+are averaged with weights that fall towards a window's ends, and the CRF decodes the text as a
+whole. Its best path is found without a step for each character: a bound on what leaving tag 0 can gain shows
+where the path is surely outside, and only the rest is decoded. Spans that overlap a detector's, or that
+the CRF is not sure of, are dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import beside
+from .common import beside, staged
 
 KINDS = ("email", "ip", "card", "phone")
 REACH, WINDOW, STRIDE = 24, 64, 32
 #: Documented bounds of the training sample, and the network's size.
 SAMPLE_WINDOWS, MADE_WINDOWS, EPOCHS, BATCH = 1_024, 512, 16, 64
+#: Windows without a digit or @ from the corpus, and invented ones of spelled-out data.
+PLAIN_WINDOWS, SPELLED_WINDOWS = 768, 1_024
+#: Characters whose scores are held at once, and windows that go through the network together.
+PIECE, TOGETHER = 1_572_864, 512
 EMBEDDED, HIDDEN, SYMBOLS = 12, 16, 130
 #: Least marginal probability that each character of an added span must have.
 SURE = 0.8
@@ -91,10 +99,20 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ascii_of(c: str) -> str:
+    """A decimal digit of any script as its ASCII digit, a full-width sign as the sign."""
+    return str(unicodedata.decimal(c)) if c.isdecimal() else chr(ord(c) - 0xFEE0) if "\uff01" <= c <= "\uff5e" else c
+
+
+SYMBOL = np.full(sys.maxunicode + 1, 129, np.uint8)
+SYMBOL[:128] = np.arange(1, 129)
+for _c in [chr(n) for n in range(128, sys.maxunicode + 1) if 0xFF01 <= n <= 0xFF5E or chr(n).isdecimal()]:
+    SYMBOL[ord(_c)] = ord(ascii_of(_c)) + 1
+
+
 def symbols(text: str) -> np.ndarray:
-    """1 to 128 for ASCII, 129 for all else; 0 fills windows up."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return np.minimum(codes, 128).astype(np.int64) + 1
+    """1 to 128 for ASCII, and for the digits and full-width signs that stand for it, 129 for all else; 0 fills windows up."""
+    return SYMBOL[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
 
 def tags(n: int, spans: list[Span], offset: int) -> np.ndarray:
@@ -112,14 +130,11 @@ def tags(n: int, spans: list[Span], offset: int) -> np.ndarray:
 TAGS = 1 + 2 * len(KINDS)
 
 
-def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 @dataclass
 class Network:
-    """Embedding, an LSTM in each direction, a linear layer, CRF transitions (the last row: from the start)."""
+    """Embedding, an LSTM in each direction, a linear layer, CRF transitions (the last row: from the start).
+
+    Gates and states are piecewise linear, which numpy computes in a fraction of the time of exp and tanh."""
 
     embed: np.ndarray
     into: np.ndarray  # direction, embedded + hidden + 1, 4 hidden
@@ -148,11 +163,11 @@ class Network:
         for n in range(t):
             seen[:, n, :, EMBEDDED:-1] = states[n]
             z = seen[:, n] @ self.into
-            z[..., : 3 * h] = 1 / (1 + np.exp(-z[..., : 3 * h]))
-            z[..., 3 * h :] = np.tanh(z[..., 3 * h :])
+            z[..., : 3 * h] = np.clip(z[..., : 3 * h] / 4 + 0.5, 0, 1)
+            z[..., 3 * h :] = np.clip(z[..., 3 * h :], -1, 1)
             gates[n] = z
             cells[n + 1] = z[..., h : 2 * h] * cells[n] + z[..., :h] * z[..., 3 * h :]
-            states[n + 1] = z[..., 2 * h : 3 * h] * np.tanh(cells[n + 1])
+            states[n + 1] = z[..., 2 * h : 3 * h] * np.clip(cells[n + 1], -1, 1)
         both = np.concatenate([states[1:, 0], states[:0:-1, 1], np.ones((t, b, 1))], axis=2)
         return both @ self.out, (x, seen, gates, cells, both)
 
@@ -167,9 +182,10 @@ class Network:
             d_state[0] += d_both[n, :, :h]
             d_state[1] += d_both[t - 1 - n, :, h : 2 * h]
             i, f, o, g = (gates[n][..., k * h : (k + 1) * h] for k in range(4))
-            c = np.tanh(cells[n + 1])
-            d_cell = d_cell + d_state * o * (1 - c * c)
-            d_z = np.concatenate([d_cell * g * i * (1 - i), d_cell * cells[n] * f * (1 - f), d_state * c * o * (1 - o), d_cell * i * (1 - g * g)], axis=-1)
+            c = np.clip(cells[n + 1], -1, 1)
+            d_cell = d_cell + d_state * o * (np.abs(c) < 1)
+            slope = lambda gate: 0.25 * ((gate > 0) & (gate < 1))
+            d_z = np.concatenate([d_cell * g * slope(i), d_cell * cells[n] * slope(f), d_state * c * slope(o), d_cell * i * (np.abs(g) < 1)], axis=-1)
             d_in += seen[:, n].transpose(0, 2, 1) @ d_z
             d_seen[:, n] = d_z @ self.into.transpose(0, 2, 1)
             d_state, d_cell = d_seen[:, n, :, EMBEDDED:-1].copy(), d_cell * f
@@ -178,21 +194,22 @@ class Network:
         return [d_embed, d_in, d_out]
 
     def marginals(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log partition (batch), tag marginals (time, batch, tag), and expected transitions, by forward and backward sums."""
+        """Log partition (batch), tag marginals (time, batch, tag), and expected transitions, by forward and backward sums scaled at each step."""
         t = len(scores)
-        ahead, back = np.empty_like(scores), np.zeros_like(scores)
-        ahead[0] = scores[0] + self.moves[-1]
-        for n in range(1, t):
-            ahead[n] = scores[n] + logsumexp(ahead[n - 1][:, :, None] + self.moves[:-1], 1)
+        top = scores.max(axis=2, keepdims=True)
+        here, step = np.exp(scores - top), np.exp(self.moves)
+        ahead, back, scale = np.empty_like(here), np.ones_like(here), np.empty((t, scores.shape[1], 1))
+        for n in range(t):
+            ahead[n] = here[n] * (ahead[n - 1] @ step[:-1] if n else step[-1])
+            scale[n] = ahead[n].sum(axis=1, keepdims=True)
+            ahead[n] /= scale[n]
         for n in range(t - 2, -1, -1):
-            back[n] = logsumexp(self.moves[:-1] + (scores[n + 1] + back[n + 1])[:, None, :], 2)
-        total = logsumexp(ahead[-1], 1)
-        chance = np.exp(ahead + back - total[:, None])
+            back[n] = (here[n + 1] * back[n + 1]) @ step[:-1].T / scale[n + 1]
+        chance = ahead * back
         expected = np.zeros_like(self.moves)
-        for n in range(1, t):
-            expected[:-1] += np.exp(ahead[n - 1][:, :, None] + self.moves[:-1] + (scores[n] + back[n])[:, None, :] - total[:, None, None]).sum(axis=0)
+        expected[:-1] = step[:-1] * np.tensordot(ahead[:-1], here[1:] * back[1:] / scale[1:], ([0, 1], [0, 1]))
         expected[-1] = chance[0].sum(axis=0)
-        return total, chance, expected
+        return (np.log(scale) + top).sum(axis=(0, 2)), chance, expected
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-likelihood of the tags y (batch, time)."""
@@ -220,59 +237,175 @@ class Network:
                     v += 0.01 * (g * g - v)
                     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
-    def decode(self, scores: np.ndarray) -> np.ndarray:
-        """The best tags of one stretch, scores (time, tag)."""
-        best, came = scores[0] + self.moves[-1], []
-        for s in scores[1:]:
-            all_ = best[:, None] + self.moves[:-1]
-            came.append(all_.argmax(axis=0))
-            best = all_.max(axis=0) + s
-        path = [int(best.argmax())]
-        for c in reversed(came):
-            path.append(int(c[path[-1]]))
-        return np.array(path[::-1])
-
-    def read(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """Spans of each stretch that the model is sure of, as kind, start, end in it."""
-        windows, owner = [], []
-        for n, text in enumerate(texts):
-            codes = symbols(text)
-            for start in range(0, max(1, len(codes) - WINDOW + STRIDE), STRIDE):
-                windows.append(np.pad(codes[start : start + WINDOW], (0, max(0, WINDOW - len(codes) + start))))
-                owner.append((n, start))
-        weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)[:, None]
-        sums, weights = ([np.zeros((len(t), k)) for t in texts] for k in (TAGS, 1))
-        for at in range(0, len(windows), 256):
-            scores, _ = self.forward(np.array(windows[at : at + 256]))
-            for k, (n, start) in enumerate(owner[at : at + 256]):
-                size = min(WINDOW, len(texts[n]) - start)
-                sums[n][start : start + size] += weight[:size] * scores[:size, k]
-                weights[n][start : start + size] += weight[:size]
-        out = []
-        for text, sum_, w in zip(texts, sums, weights):
-            scores = sum_ / w
-            path = self.decode(scores)
-            found: list[tuple[int, int, int]] = []
-            if path.any():
-                chance = self.marginals(scores[:, None])[1][np.arange(len(path)), 0, path]
-                start = 0
-                while start < len(path):
-                    end = start + 1
-                    if path[start]:
-                        kind = (path[start] - 1) // 2
-                        while end < len(path) and path[end] == 2 + 2 * kind:
-                            end += 1
-                        if path[start] % 2 and chance[start:end].min() >= SURE and plausible(int(kind), text[start:end]):
-                            found.append((int(kind), start, end))
-                    start = end
-            out.append(found)
+    def decode(self, parts: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each part, scores (time, tag); parts of about the same length go together, step by step."""
+        out: list[np.ndarray] = [np.empty(0, int)] * len(parts)
+        longest = sorted(range(len(parts)), key=lambda n: -len(parts[n]))
+        moves = np.ascontiguousarray(self.moves[:-1].T)[:, :, None].astype(np.float32)
+        for at in range(0, len(longest), TOGETHER):
+            some = longest[at : at + TOGETHER]
+            sizes = np.array([len(parts[n]) for n in some])
+            best = np.zeros((sizes[0], TAGS, len(some)), np.float32)
+            for k, n in enumerate(some):
+                best[: sizes[k], :, k] = parts[n]
+            best[0] += self.moves[-1][:, None]
+            left = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), "left")  # parts longer than each place
+            for t in range(1, sizes[0]):
+                m = left[t]
+                best[t, :, :m] += (best[t - 1, None, :, :m] + moves).max(axis=1)
+                best[t, :, :m] -= best[t, :, :m].max(axis=0)
+            path = np.zeros((sizes[0], len(some)), np.int64)
+            for t in range(sizes[0] - 1, -1, -1):
+                m, now = left[t + 1], best[t, :, : left[t]]
+                now[:, :m] += moves[path[t + 1, :m], :, 0].T if m else 0
+                path[t, : left[t]] = now.argmax(axis=0)
+            for k, n in enumerate(some):
+                out[n] = path[: sizes[k], k]
         return out
 
+    def scores(self, windows: np.ndarray) -> np.ndarray:
+        """forward()'s scores, as (window, time, tag), of symbols (window, WINDOW), in single precision with the batch innermost."""
+        h, n = HIDDEN, len(windows)
+        into = self.into.transpose(0, 2, 1).astype(np.float32)
+        into[:, : 3 * h] /= 4
+        into[:, : 3 * h, -1] += 0.5
+        seen, z = np.ones((EMBEDDED + h + 1, n), np.float32), np.empty((4 * h, n), np.float32)
+        embedded = np.ascontiguousarray(self.embed.astype(np.float32)[windows].transpose(1, 2, 0))
+        both, a = np.ones((WINDOW, 2 * h + 1, n), np.float32), np.empty((h, n), np.float32)
+        gates, (i, f, o, g) = z[: 3 * h], (z[k * h : (k + 1) * h] for k in range(4))
+        for way, order in enumerate((range(WINDOW), range(WINDOW - 1, -1, -1))):
+            cell, state = np.zeros((h, n), np.float32), seen[EMBEDDED:-1]
+            state[:] = 0
+            for t in order:
+                seen[:EMBEDDED] = embedded[t]
+                np.matmul(into[way], seen, out=z)
+                np.minimum(np.maximum(gates, 0, out=gates), 1, out=gates)
+                np.minimum(np.maximum(g, -1, out=a), 1, out=a)
+                a *= i
+                cell *= f
+                cell += a
+                np.minimum(np.maximum(cell, -1, out=a), 1, out=a)
+                np.multiply(a, o, out=state)
+                both[t, way * h : (way + 1) * h] = state
+        return np.matmul(self.out.T.astype(np.float32), both).transpose(2, 0, 1)
+
+    def averaged(self, parts: list[np.ndarray]) -> list[np.ndarray]:
+        """Scores (time, tag) of each part: of windows that start at every STRIDE, averaged where they overlap."""
+        halves = [max(2, -(-len(p) // STRIDE)) for p in parts]
+        codes = np.concatenate([np.pad(p, (0, n * STRIDE - len(p))) for p, n in zip(parts, halves)]).reshape(-1, STRIDE)
+        ends = np.cumsum(halves)
+        first = np.setdiff1d(np.arange(len(codes)), ends - 1)
+        weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+        sums, weights = np.zeros((len(codes), STRIDE, TAGS), np.float32), np.zeros((len(codes), STRIDE, 1), np.float32)
+        for at in range(0, len(first), TOGETHER):
+            some = first[at : at + TOGETHER]
+            scores = self.scores(np.concatenate([codes[some], codes[some + 1]], axis=1)) * weight
+            sums[some] += scores[:, :STRIDE]
+            sums[some + 1] += scores[:, STRIDE:]
+        weights[first] += weight[:STRIDE]
+        weights[first + 1] += weight[STRIDE:]
+        sums /= weights
+        return [sums[e - n : e].reshape(-1, TAGS)[: len(p)] for p, n, e in zip(parts, halves, ends)]
+
+    def parts(self, codes: list[np.ndarray], wanted: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
+        """Lists of (text, start, end) of each wanted part, start in steps of STRIDE, with its scores within the whole text; at most about PIECE characters at once."""
+        some: list[tuple[int, int, int]] = []
+        for k, part in enumerate(wanted):
+            some.append(part)
+            if k + 1 == len(wanted) or sum(e - s for _, s, e in some) + wanted[k + 1][2] - wanted[k + 1][1] > PIECE:
+                # one stride more to each side, so that all windows over the part are there
+                scores = self.averaged([codes[n][max(0, s - STRIDE) : -(-e // STRIDE) * STRIDE + STRIDE] for n, s, e in some])
+                yield [(n, s, e, x[(at := min(s, STRIDE)) : at + e - s]) for (n, s, e), x in zip(some, scores)]
+                some = []
+
+    def open_places(self, gains: np.ndarray) -> np.ndarray:
+        """Where the best path can leave tag 0: places in a run whose gains, bounded from above, add up to more than none."""
+        leave = max(0.0, float((self.moves[1:-1, 0] - self.moves[0, 0]).max())) + 1e-3
+
+        def ahead(x: np.ndarray) -> np.ndarray:
+            sums = np.cumsum(x, dtype=np.float64)
+            return sums - np.minimum.accumulate(np.concatenate([[0], sums[:-1]]))
+
+        return ahead(gains) + ahead(gains[::-1])[::-1] - gains + leave > 0
+
+    def read(self, texts: list[str], taken: Sequence[Sequence[Span]] | None = None) -> list[list[Span]]:
+        """Spans of each text that the model is sure of and that overlap none of those taken."""
+        codes = [symbols(t) for t in texts]
+        out: list[list[Span]] = [[] for _ in texts]
+        gains = [np.empty(len(c), np.float32) for c in codes]
+        enter = np.maximum(self.moves[:-1].max(axis=0) - self.moves[0, 0], self.moves[-1] - self.moves[-1, 0])[1:].astype(np.float32)
+        whole = [(n, s, min(len(c), s + PIECE)) for n, c in enumerate(codes) for s in range(0, len(c), PIECE)]
+        for some in self.parts(codes, whole):
+            held = {}
+            for n, start, end, x in some:
+                gains[n][start:end] = (x[:, 1:] + enter).max(axis=1) - x[:, 0]
+                held[n] = x if end - start == len(codes[n]) else None
+            regions: list[tuple[int, int, int]] = []
+            for n in (n for n, _, end, _ in some if end == len(codes[n])):
+                places = np.flatnonzero(self.open_places(gains[n]))
+                cuts = np.flatnonzero(np.diff(places) > STRIDE)
+                if len(places):
+                    regions += [(n, int(a), int(b) + 1) for a, b in zip(places[[0, *(cuts + 1)]], places[[*cuts, -1]])]
+            scores = self.cut_out(codes, held, regions)
+            for (n, start, end), x in zip(regions, scores):
+                if start:  # the path is at tag 0 before and after
+                    x[0] += self.moves[0] - self.moves[-1]
+                if end < len(codes[n]):
+                    x[-1] += self.moves[:-1, 0]
+            spans = []
+            for (n, start, _), path in zip(regions, self.decode(scores)):
+                for at in np.flatnonzero(path % 2 == 1):
+                    end = at + 1
+                    while end < len(path) and path[end] == path[at] + 1:
+                        end += 1
+                    kind, s, e = int(path[at] - 1) // 2, start + int(at), start + int(end)
+                    if free(s, e, taken[n] if taken else ()) and plausible(kind, texts[n][s:e]):
+                        spans.append((n, kind, s, e))
+            # a span's marginals, with a window of text to each side
+            around = self.cut_out(codes, held, [(n, max(0, s - WINDOW), min(len(codes[n]), e + WINDOW)) for n, _, s, e in spans])
+            for (n, kind, s, e), x in zip(spans, around):
+                chance = self.marginals(x[:, None].astype(np.float64))[1][min(s, WINDOW) :, 0]
+                if min(chance[0, 1 + 2 * kind], chance[1 : e - s, 2 + 2 * kind].min(initial=1)) >= SURE:
+                    s, e = widened(kind, texts[n], s, e)
+                    if free(s, e, taken[n] if taken else ()) and free(s, e, out[n]):
+                        out[n].append((kind, s, e))
+        return out
+
+    def cut_out(self, codes: list[np.ndarray], held: dict[int, np.ndarray | None], wanted: list[tuple[int, int, int]]) -> list[np.ndarray]:
+        """Scores of the wanted places: of those held, or, of texts longer than PIECE, read again."""
+        again = [(n, s // STRIDE * STRIDE, e) for n, s, e in wanted if held[n] is None]
+        read = iter([x for some in self.parts(codes, again) for *_, x in some])
+        return [(next(read)[s % STRIDE :] if held[n] is None else held[n][s:e]).copy() for n, s, e in wanted]
+
+
+def free(start: int, end: int, spans: Sequence[Span]) -> bool:
+    return all(end <= s or start >= e for _, s, e in spans)
+
+
+def widened(kind: int, text: str, start: int, end: int) -> tuple[int, int]:
+    """An address with an @, or a number, with all of the word that it stands in, so that no part of it is left over."""
+    more = {0: lambda c: ascii_of(c) in LOCAL or c.isalnum()}.get(kind, str.isdecimal)
+    if kind or "@" in map(ascii_of, text[start:end]):
+        while start and more(text[start - 1]):
+            start -= 1
+        while end < len(text) and (more(text[end]) and (text[end].isalnum() or text[end + 1 : end + 2].isalnum())):
+            end += 1
+    return start, end
+
+
+#: What a spelled-out address and a spelled-out number hold.
+AT = re.compile(r"(?<![^\W_])at(?![^\W_])", re.I)
+NUMBER = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b", re.I)
+
 
 def plausible(kind: int, text: str) -> bool:
-    """What no span of the kind can lack: an @ between other characters, three dots, or enough digits."""
-    digits = sum(c in "0123456789" for c in text)
-    return (len(text) >= 5 and "@" in text[1:-1], digits >= 4 and text.count(".") == 3, 16 <= digits <= 19 and luhn(re.sub("[^0-9]", "", text)), 8 <= digits <= 15)[kind]
+    """What no span of the kind can lack: an @ or the word at between others, or enough digits, of any script or in words."""
+    if kind == 0:
+        inner = text[1:-1]
+        return len(text) >= 5 and ("@" in inner or "\uff20" in inner or bool(AT.search(inner)))
+    digits = "".join(ascii_of(c) for c in text if c.isdecimal())
+    n = len(digits) + len(NUMBER.findall(text))
+    return (n >= 4, 16 <= n <= 19 and (n > len(digits) or luhn(digits)), 8 <= n <= 15)[kind - 1]
 
 
 def made_windows(n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
@@ -299,25 +432,82 @@ def made_windows(n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
     return out
 
 
+def spelled_windows(n: int, seed: int = 12) -> list[tuple[str, list[Span]]]:
+    """Windows of lines with personal data in words or at hosts without a dot, or with words alike that are none."""
+    rng = np.random.default_rng(seed)
+    some = lambda letters, low, high: "".join(rng.choice(list(letters), rng.integers(low, high)))
+    word = lambda: some("abcdefghijklmnoprstuvwyz", 2, 9)
+    digits = "zero one two three four five six seven eight nine".split()
+    small = "at dot and the of in to on or is was for by a an point one two three plus we from".split()
+
+    def email() -> str:
+        at, dot = [(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" AT ", " DOT "), (" at ", ".")][rng.integers(6)]
+        return dot.join(word() for _ in range(rng.integers(1, 3))) + at + word() + dot + (word() + dot if rng.random() < 0.3 else "") + str(rng.choice(["com", "org", "net", "edu", "de", "fr", "info"]))
+
+    def phone() -> str:
+        return ("plus " if rng.random() < 0.5 else "") + str(rng.choice([" ", " ", "-"])).join(rng.choice(digits, rng.integers(8, 13)))
+
+    makers = [
+        (0, email),
+        (3, phone),
+        (0, email),
+        (3, phone),
+        (0, lambda: some("abcdefghijklmnopqrstuvwxyz0123456789._-", 6, 60).strip("._-") + "@" + word()),
+        (None, lambda: f"{word()} at {word()}. {word()}"),
+        (None, lambda: " ".join(rng.choice(digits, rng.integers(1, 4)))),
+        (None, lambda: " ".join(rng.choice(small, rng.integers(2, 9)))),
+    ]
+    fill = lambda: " ".join(str(rng.choice(small)) if rng.random() < 0.4 else word() for _ in range(rng.integers(0, 12)))
+    out = []
+    for k in range(n):
+        kind, make = makers[k % len(makers)]
+        before, made = fill() + str(rng.choice([" ", ": ", "\n"])), make()
+        text = before + made + str(rng.choice([" ", ". ", ", "])) + fill()
+        start = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
+        spans = [] if kind is None else [(kind, len(before) - start, len(before) + len(made) - start)]
+        out.append((text[start : start + WINDOW], spans))
+    return out
+
+
 def trained(docs: DataFrame, seed: int = 5) -> Network:
-    """Fitted on windows of the corpus, at most SAMPLE_WINDOWS, with the smallest hashes, and MADE_WINDOWS invented ones."""
+    """Fitted on windows of the corpus with the smallest hashes, at most SAMPLE_WINDOWS near a digit or @ and
+    PLAIN_WINDOWS of the texts at large, and MADE_WINDOWS and SPELLED_WINDOWS invented ones."""
 
     def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            order, chars, labels = [], [], []
+            order, chars, labels, plain = [], [], [], []
             for text in part.column("text").to_pylist():
-                places = stretches(text or "")
+                places = [(s, min(e, s + WINDOW), False) for s, e in stretches(text or "")]
                 spans = detected(text) if places else []
-                for start, end in places:
-                    piece = text[start : min(end, start + WINDOW)]
+                if text:
+                    start = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text) - WINDOW + 1)
+                    places.append((start, min(len(text), start + WINDOW), True))
+                for start, end, at_large in places:
+                    piece = text[start:end]
+                    plain.append(at_large)
                     order.append(int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "replace"), digest_size=7).digest(), "big"))
                     chars.append(piece)
                     labels.append(tags(len(piece), spans, start).tolist())
             if chars:
-                yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(chars), pa.array(labels, pa.list_(pa.int64()))], names=["order", "piece", "labels"])
-
-    found = docs.select("text").mapInArrow(windows, "order long, piece string, labels array<long>").dropDuplicates(["order"]).orderBy("order").limit(SAMPLE_WINDOWS).collect()
-    lines = [(r["piece"], np.array(r["labels"])) for r in found] + [(t, tags(len(t), s, 0)) for t, s in made_windows(MADE_WINDOWS)]
+                yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(chars), pa.array(labels, pa.list_(pa.int8())), pa.array(plain)], names=["order", "piece", "labels", "plain"])
+
+    # the smallest of each task are enough for the smallest of all
+    def smallest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for part in windows(parts):
+            both = pa.Table.from_batches([part]) if held is None else pa.concat_tables([held, pa.Table.from_batches([part])])
+            kept = {False: {}, True: {}}
+            for n, (order, plain) in enumerate(zip(both["order"].to_pylist(), both["plain"].to_pylist())):
+                kept[plain].setdefault(order, n)
+            held = both.take(sorted(n for plain, most in ((False, SAMPLE_WINDOWS), (True, PLAIN_WINDOWS)) for _, n in sorted(kept[plain].items())[:most])).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    sample = docs.select("text").mapInArrow(smallest, "order long, piece string, labels array<tinyint>, plain boolean").dropDuplicates(["plain", "order"])
+    sample = staged(sample)
+    found = [r for of, most in ((~F.col("plain"), SAMPLE_WINDOWS), (F.col("plain"), PLAIN_WINDOWS)) for r in sample.where(of).orderBy("order").limit(most).collect()]
+    lines = [(r["piece"], np.array(r["labels"])) for r in found]
+    lines += [(t, tags(len(t), s, 0)) for t, s in (*made_windows(MADE_WINDOWS), *spelled_windows(SPELLED_WINDOWS))]
     x, y = np.zeros((len(lines), WINDOW), np.int64), np.zeros((len(lines), WINDOW), np.int64)
     for n, (text, label) in enumerate(lines):
         x[n, : len(text)] = symbols(text)
@@ -330,15 +520,8 @@ def trained(docs: DataFrame, seed: int = 5) -> Network:
 def find(texts: list[str | None], network: Network) -> list[tuple[list[Span], list[Span]]]:
     """For each text the detectors' spans, and those together with the spans that the network adds."""
     bases = [detected(t or "") for t in texts]
-    places = [(n, s, e) for n, t in enumerate(texts) for s, e in stretches(t or "")]
-    everything = [list(b) for b in bases]
-    for at in range(0, len(places), 512):
-        some = places[at : at + 512]
-        for (n, start, _), spans in zip(some, network.read([texts[n][s:e] for n, s, e in some])):
-            for kind, s, e in spans:
-                if all(e + start <= bs or s + start >= be for _, bs, be in everything[n]):
-                    everything[n].append((kind, s + start, e + start))
-    return [(b, sorted(e)) for b, e in zip(bases, everything)]
+    added = network.read([t or "" for t in texts], bases)
+    return [(b, sorted([*b, *a])) for b, a in zip(bases, added)]
 
 
 def written(spans: list[Span]) -> str:

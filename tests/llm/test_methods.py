@@ -219,3 +219,38 @@ def test_network_learns_spans_it_has_not_seen():
     wanted = [[s for s in spans if s[2] <= len(t)] for t, spans in held]
     right = sum(len(set(a) & set(b)) for a, b in zip(got, wanted))
     assert right >= 0.7 * sum(map(len, wanted)) and right >= 0.9 * sum(map(len, got))
+
+
+def test_network_reads_every_character():
+    class Seen(pii.Network):
+        def scores(self, windows):
+            seen.append(windows)
+            return super().scores(windows)
+
+    seen = []
+    text = "a line without signs or numbers. " * 40 + "ab" * 40
+    network = Seen(*pii.Network.new(5).parameters())
+    pii.find([text, "", None], network)
+    codes = pii.symbols(text)
+    windows = {bytes(w) for w in np.concatenate(seen)}
+    padded = np.pad(codes, (0, -len(codes) % pii.STRIDE))
+    assert all(bytes(padded[s : s + pii.WINDOW]) in windows for s in range(0, len(padded) - pii.STRIDE, pii.STRIDE))
+    windows = np.array([list(w) for w in windows])
+    assert np.allclose(network.scores(windows), network.forward(windows)[0].transpose(1, 0, 2), atol=1e-4)
+
+
+def test_network_finds_spelled_out_data_and_whole_addresses():
+    train, held = [*pii.made_windows(512), *pii.spelled_windows(1_024, seed=1)], pii.spelled_windows(600, seed=99)
+    x, y = np.zeros((len(train), pii.WINDOW), np.int64), np.zeros((len(train), pii.WINDOW), np.int64)
+    for n, (text, spans) in enumerate(train):
+        x[n, : len(text)], y[n, : len(text)] = pii.symbols(text), pii.tags(len(text), spans, 0)
+    network = pii.Network.new(5)
+    network.train(x, y, 5)
+    got = [spans for _, spans in ((b, [s for s in e if s not in b]) for b, e in pii.find([t for t, _ in held], network))]
+    wanted = [[s for s in spans if s[1] >= 0 and s[2] <= len(t)] for t, spans in held]
+    plain = [n for n, (t, _) in enumerate(held) if not pii.MARKS.search(t)]
+    right = sum(len(set(got[n]) & set(wanted[n])) for n in plain)
+    assert right >= 0.25 * sum(len(wanted[n]) for n in plain) > 0
+    assert pii.widened(0, "to " + "a" * 80 + ".b@host, or", 60, 90) == (3, 90)
+    assert pii.widened(3, "+49 345 6789012 now", 0, 12) == (0, 15)
+    assert pii.plausible(3, "+٤٩ ٣٤٥ ٦٧٨٩٠١٢") and not pii.plausible(0, "Rotation")
