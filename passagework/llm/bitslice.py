@@ -25,15 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-BLOCK_ROWS, BATCH_ROWS = 16_384, 256
-#: Components of at least this size can't be scored in 64 bits.
-LARGEST = 2.0**16
+BLOCK_ROWS, BATCH_ROWS = 16_384, 1_024
+#: Quantised components end here: the difference of two still is a 64-bit number. Scores end at those of 64 bits.
+LARGEST, MOST_SCORE = float(2**62 - 512), 2**63 - 1
 
 
 def quantised(vector: Column) -> Column:
-    """floor(256 x) of each component; null if the vector or a component is null, not finite, or LARGEST or more."""
-    usable = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < LARGEST, F.lit(False)))  # NaN is not less
-    return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("long")))
+    """floor(256 x) of each component, within LARGEST; null if the vector or a component is null or not finite."""
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))  # NaN is not less
+    whole = lambda x: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), x.cast("double") * 256))).cast("long")
+    return F.when(finite, F.transform(vector, whole))
 
 
 def matrix(column: pa.ListArray) -> np.ndarray:
@@ -68,9 +69,9 @@ class Block:
         weights = np.resize(np.append(weights, np.zeros(max(0, len(self.least) - len(weights)), np.int64)), len(self.least))
         score, constant = self.added(weights)
         left = self.rows.copy()
-        at = np.searchsorted(self.ids, but) if but is not None else len(self.ids)
-        if at < len(self.ids) and self.ids[at] == but:
-            left[at >> 6] &= ~(np.uint64(1) << np.uint64(at & 63))
+        if but is not None:
+            for at in range(*np.searchsorted(self.ids, [but, but + 1])):
+                left[at >> 6] &= ~(np.uint64(1) << np.uint64(at & 63))
         taken = np.zeros_like(left)
         have = 0
         for plane in reversed(score):
@@ -87,7 +88,7 @@ class Block:
 
     def added(self, weights: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the inner product, least significant first, and what must be added to it."""
-        constant = int(weights @ self.least)
+        constant = sum(w * x for w, x in zip(weights.tolist(), self.least.tolist()))  # in integers of any length
         piles: dict[int, list[np.ndarray]] = {}
         for shift, digits in enumerate(signed_digits(weights)):
             sign = digits[self.dim]
@@ -162,7 +163,7 @@ def _block(table: pa.Table) -> pa.Table:
 
 def _batch(table: pa.Table) -> pa.Table:
     values = matrix(table["value"].combine_chunks())
-    return pa.table({"batch": table["batch"][:1], "query_ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "weights": pa.array([values.tobytes()], pa.binary())})
+    return pa.table({"batch": table["batch"][:1], "turns": pa.array([table["turn"].to_numpy().tobytes()], pa.binary()), "query_ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "weights": pa.array([values.tobytes()], pa.binary())})
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -170,42 +171,45 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     vectors has vec_id and embedding. Queries are the rows whose id is
     divisible by `every`; each is compared with every row but those of its own id. Rows with a
-    null id, and vectors that are null or hold null, non-finite or components of LARGEST and more, take
-    no part. Rows that repeat an id count once, with the smallest of their vectors. Of vectors of
+    null id, and vectors that are null or hold null or non-finite components, take
+    no part. Rows that repeat an id are candidates each, and each different vector of a repeated query id
+    is a query. Components of 2**54 and more count as that, and scores beyond 64 bits as the largest of these, as floor(256 x) and its sums can't
+    be told in 64 bits there. Of vectors of
     unequal length, the common leading components are multiplied; an empty
     vector scores 0. Equal scores go to the smaller vec_id; with fewer than k
     rows all are returned, and an empty table gives an empty result. Other
     columns are ignored."""
-    usable = vectors.select("vec_id", quantised(F.col("embedding")).alias("value")).where("vec_id IS NOT NULL AND value IS NOT NULL")
-    one = staged(usable.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("value").alias("value")))
-    asked = one.where(F.col("vec_id") % every == 0)
-    blocks, batches = -(-one.count() // BLOCK_ROWS) or 1, -(-asked.count() // BATCH_ROWS) or 1
+    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("value")).where("vec_id IS NOT NULL AND value IS NOT NULL")
+    # rows are dealt by their places, so that one id with many rows is dealt like many; the staged table fixes the places
+    rows = staged(usable.withColumn("place", F.xxhash64(F.monotonically_increasing_id())))
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("value").alias("turn"), "value").distinct()
+    blocks, batches = -(-rows.count() // BLOCK_ROWS) or 1, -(-asked.count() // BATCH_ROWS) or 1
     index = staged(
-        one.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+        rows.withColumn("block", F.pmod("place", F.lit(blocks)).cast("int"))
         .groupBy("block")
         .applyInArrow(_block, "block int, head binary, slices binary, rows binary")
     )
     queries = (
-        asked.withColumn("batch", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(batches)).cast("int"))
+        asked.withColumn("batch", F.pmod(F.xxhash64("vec_id", "turn"), F.lit(batches)).cast("int"))
         .groupBy("batch")
-        .applyInArrow(_batch, "batch int, query_ids binary, weights binary")
+        .applyInArrow(_batch, "batch int, turns binary, query_ids binary, weights binary")
     )
 
     def cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in range(part.num_rows):
-                cell = {c: part.column(c)[row].as_py() for c in ("head", "slices", "rows", "query_ids", "weights")}
+                cell = {c: part.column(c)[row].as_py() for c in ("head", "slices", "rows", "turns", "query_ids", "weights")}
                 block = Block.load(cell["head"], cell["slices"], cell["rows"])
-                ids = np.frombuffer(cell["query_ids"], np.int64)
+                ids, turns = np.frombuffer(cell["query_ids"], np.int64), np.frombuffer(cell["turns"], np.int64)
                 weights = np.frombuffer(cell["weights"], np.int64).reshape(len(ids), -1)
-                found = [(int(q), i, s) for q, w in zip(ids, weights) for s, i in block.best(w, k, int(q))]
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+                found = [(int(q), int(t), i, max(-MOST_SCORE, min(MOST_SCORE, s))) for q, t, w in zip(ids, turns, weights) for s, i in block.best(w, k, int(q))]
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(4)], names=["query_id", "turn", "vec_id", "score"])
 
     key, n = ["block", "batch"], blocks * batches
     left = index.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).repartition(n, *key)
     right = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(n, *key)
-    best = left.join(right.hint("shuffle_hash"), key).mapInArrow(cells, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = left.join(right.hint("shuffle_hash"), key).mapInArrow(cells, "query_id long, turn long, vec_id long, score long")  # hashes one batch of queries
+    rank = F.row_number().over(W.partitionBy("query_id", "turn").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -214,7 +218,9 @@ def op1_top_k(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings),
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
