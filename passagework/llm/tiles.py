@@ -2,10 +2,11 @@
 
 Equal vectors of a label form one class, which counts as often as it occurs.
 The classes of a label are dealt into tiles of bounded size and each pair of
-tiles is one group. In a group, unit vectors are turned into the basis of the
-corpus' principal components; products grow by some leading dimensions at a
+tiles is one group. In a group, unit vectors are projected on the leading
+principal axes, which are those of a bounded sample; products grow by some of these dimensions at a
 time, and a pair is given up once its product so far plus the product of the two
-remaining norms (Cauchy-Schwarz) cannot reach the threshold. Pairs that remain are
+remaining norms (Cauchy-Schwarz) cannot reach the threshold; this holds for any axes, so the sample
+decides on speed alone. Pairs that remain are
 computed again on the vectors as given, in double precision.
 
 A group returns how many links each of its classes has there and a spanning forest of the links
@@ -26,22 +27,8 @@ from .common import staged
 from .components import components
 
 TILE_ROWS, STEP, STRIP = 2_048, 16, 64
-#: Longest vectors that are turned; longer ones are compared in their own basis, which is as exact.
-LONGEST_TURNED = 512
-
-
-def moments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of x_i x_j of the unit vectors, by length of the vector."""
-    sums: dict[int, np.ndarray] = {}
-    for part in parts:
-        for size in np.unique(part.column("dims").to_numpy()):
-            if 0 < size <= LONGEST_TURNED:
-                x = vectors(part.filter(pa.compute.equal(part.column("dims"), int(size))).column("vector"), int(size))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                sums[int(size)] = sums.get(int(size), 0) + x.T @ x
-    for size, sum_ in sums.items():
-        n = size * size
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, size, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(sum_.ravel())], names=["dims", "at", "value"])
+#: Vectors of one length that the axes are computed from, axes that are used, and the fewest classes of a length that get axes of their own.
+SAMPLE_ROWS, LEADING, FEWEST = 1_024, 128, 1_000
 
 
 def vectors(column: pa.Array, dims: int) -> np.ndarray:
@@ -49,20 +36,32 @@ def vectors(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(len(column), dims)
 
 
+def leading_axes(x: np.ndarray) -> np.ndarray:
+    """Up to LEADING orthonormal columns, along which the unit vectors of x are longest, the longest first."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    axes = np.linalg.svd(x, full_matrices=False)[2].T
+    return np.linalg.qr(axes[:, :LEADING])[0]
+
+
 def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each length of vectors, the principal axes, strongest first: at most LONGEST_TURNED ** 2 numbers each."""
-    sums = classes.select("dims", "vector").mapInArrow(moments, "dims int, at int, value double").groupBy("dims", "at").agg(F.sum("value").alias("value"))
-    axes: dict[int, np.ndarray] = {}
-    for row in sums.toLocalIterator():
-        axes.setdefault(row["dims"], np.zeros(row["dims"] ** 2))[row["at"]] = row["value"]
-    return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1] for d, m in axes.items()}
+    """For each length of vectors with FEWEST classes or more, its leading axes, from about SAMPLE_ROWS vectors whose hashes choose them."""
+    many = classes.groupBy("dims").agg(F.count("*").alias("n")).where(F.col("n") >= FEWEST)
+    chosen = classes.join(many, "dims").where(F.pmod(F.xxhash64("vector", F.lit(3)), F.ceil(F.col("n") / SAMPLE_ROWS)) == 0).select("dims", "vector")
+
+    def axes(table: pa.Table) -> pa.Table:
+        dims = table["dims"][0].as_py()
+        return pa.table({"dims": table["dims"][:1], "axes": pa.array([leading_axes(vectors(table["vector"], dims)).tobytes()], pa.binary())})
+
+    rows = chosen.groupBy("dims").applyInArrow(axes, "dims int, axes binary").toLocalIterator()  # a matrix for each length that is common
+    return {r["dims"]: np.frombuffer(r["axes"]).reshape(r["dims"], -1) for r in rows}
 
 
 def linked(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all pairs with a cosine of at least `least`."""
-    dims = a.shape[1]
-    steps = list(range(STEP, dims, STEP)) or [dims]
-    rest_a, rest_b = ([np.sqrt(np.maximum(0, (t[:, s:] ** 2).sum(axis=1))) for s in steps] for t in (turned_a, turned_b))
+    """Row numbers of all pairs with a cosine of at least `least`; turned are the unit vectors' leading components, or some of them."""
+    dims = turned_a.shape[1]
+    steps = [*range(STEP, dims, STEP), dims]
+    # what is left of a unit vector's length behind each step, with a margin for rounding
+    rest_a, rest_b = ([np.sqrt(np.maximum(0, 1 + 1e-12 - (t[:, :s] ** 2).sum(axis=1))) for s in steps] for t in (turned_a, turned_b))
     length_a, length_b = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     reach = least - 1e-9
@@ -124,7 +123,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93) -> DataFrame:
         dims = table["dims"][0].as_py()
         x, rep, copies = vectors(table["vector"], dims), table["rep"].to_numpy(), table["copies"].to_numpy()
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        turned = unit @ axes[dims] if dims in axes else unit
+        turned = unit @ axes[dims] if dims in axes else unit[:, :LEADING]
         first = table["own"].to_numpy() == table["i"][0].as_py()
         same = table["i"][0].as_py() == table["j"][0].as_py()
         ia = np.flatnonzero(first)
