@@ -348,19 +348,19 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]
         n = counter.count(text)
         return len((text or "").encode()), n, n > limit
 
-    return beside(docs, keep, docs["text"], "n_bytes long, n_tokens long, over_limit boolean", each(of, "count", content, pattern))
+    return beside(docs, keep, "text", "n_bytes long, n_tokens long, over_limit boolean", each(of, "count", content, pattern))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and ids (array of int) of every text of docs, by a file of ranks; null and empty texts have none."""
     content = shipped(docs.sparkSession, path)
-    return beside(docs, keep, docs["text"], "ids array<int>", each(lambda coder, text: (coder.encode(text),), "code", content, pattern))
+    return beside(docs, keep, "text", "ids array<int>", each(lambda coder, text: (coder.encode(text),), "code", content, pattern))
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and the text of every row's ids; bytes that are no UTF-8 become U+FFFD, null ids the empty text."""
     content = shipped(encoded.sparkSession, path)
-    return beside(encoded, keep, encoded["ids"], "text string", each(lambda coder, ids: (coder.decode(ids or []),), "code", content, pattern))
+    return beside(encoded, keep, "ids", "text string", each(lambda coder, ids: (coder.decode(ids or []),), "code", content, pattern))
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -382,7 +382,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ..
         stream.feed(b"", last=True)
         return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest(), stream.valid
 
-    return beside(docs, keep, docs["text"], "n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean", each(of, "code", content, pattern))
+    return beside(docs, keep, "text", "n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean", each(of, "code", content, pattern))
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:

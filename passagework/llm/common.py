@@ -42,7 +42,7 @@ def staged(df: DataFrame) -> DataFrame:
     This cuts the lineage, survives the loss of an executor, and lets later
     steps read only the columns that they need."""
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    small_batches(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,25 +55,44 @@ def doc_key(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
+#: Bytes of a batch that goes to a Python worker at once; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def beside(docs: DataFrame, keep: Sequence[str], texts: Column, made: str, start: Callable[[], Callable[[list], list[tuple]]], rows: int = 1_000, extra: Sequence[Column] = ()) -> DataFrame:
-    """The kept columns of docs, the extra ones, and what a function makes of the texts.
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH_BYTES at most, so that workers don't hold thousands of long texts at once."""
+    conf = df.sparkSession.conf
+    set_ = conf.get(BYTES_SETTING).rstrip("bB")
+    if not set_.isdigit() or int(set_) > BATCH_BYTES:
+        conf.set(BYTES_SETTING, BATCH_BYTES)
+    return df
+
+
+def beside(docs: DataFrame, keep: Sequence[str], texts: str | Column, made: str, start: Callable[[], Callable[[list], list[tuple]]], rows: int = 1_000, extra: Sequence[Column] = ()) -> DataFrame:
+    """The kept columns of docs, the extra ones, and what a function makes of the texts, a column's name or an expression.
 
     start() gives that function in each task; it takes some values of `texts`
     and returns a tuple for each, with the fields of the schema `made`. Columns go
-    through Arrow under names of their own, so no name of docs can clash."""
+    through Arrow under names of their own, so no name of docs can clash; a kept column
+    that is also the texts goes through once."""
     fields = [f.strip().split(" ", 1) for f in made.split(", ")]
-    inner = docs.select(*[docs[c].alias(f"k{n}") for n, c in enumerate(keep)], *[c.alias(f"x{n}") for n, c in enumerate(extra)], texts.alias("t"))
+    names = [f"k{n}" for n in range(len(keep))]
+    inner = [docs[c].alias(n) for c, n in zip(keep, names)] + [c.alias(f"x{n}") for n, c in enumerate(extra)]
+    of = names[list(keep).index(texts)] if isinstance(texts, str) and texts in keep else "t"
+    if of == "t":
+        inner.append((docs[texts] if isinstance(texts, str) else texts).alias("t"))
+    inner = small_batches(docs.select(*inner))
     passed = [f for f in inner.schema if f.name != "t"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = start()
+        made_of = start()
         for part in parts:
             for at in range(0, part.num_rows, rows):
                 some = part.slice(at, rows)
-                out = of(some.column("t").to_pylist())
+                out = made_of(some.column(of).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in passed), *(pa.array([o[n] for o in out], ARROW[kind]) for n, (_, kind) in enumerate(fields))], names=[*(f.name for f in passed), *(f"m{n}" for n in range(len(fields)))])
 
     types = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in passed), *(f"m{n} {kind}" for n, (_, kind) in enumerate(fields))])

@@ -24,6 +24,8 @@ from .common import beside, doc_key
 
 DIMS_BITS, LONGEST_GRAM, BATCH = 15, 4, 128
 DIMS = 1 << DIMS_BITS
+#: Characters of a text that are looked at at once.
+PIECE = 1 << 20
 #: The documented bounds of the fitted sample: rows and landmarks of each language.
 SAMPLE_ROWS, LANDMARKS, RIDGE = 200, 32, 1e-3
 UNDETERMINED = "und"
@@ -43,27 +45,28 @@ def folded() -> np.ndarray:
     return _folded[0]
 
 
-def grams(text: str | None) -> np.ndarray | None:
-    """Places of the n-grams of a whole text, repeats included; None without a letter."""
-    codes = folded()[np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)]
-    if not (codes != 32).any():
-        return None
-    codes = np.concatenate([[32], codes, [32]]).astype(np.uint32)
-    codes = codes[np.append(True, (codes[1:] != 32) | (codes[:-1] != 32))]  # runs of other characters are one space
-    places, rolled = [], np.zeros(len(codes), np.uint32)
-    for n in range(1, min(LONGEST_GRAM, len(codes)) + 1):
-        rolled = rolled[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] + np.uint32(n)
-        spread = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        places.append((spread ^ (spread >> np.uint32(12))) * np.uint32(0x297A2D39) >> np.uint32(32 - DIMS_BITS))
-    return np.concatenate(places)
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Places of the n-grams of a whole text, repeats included, PIECE characters at a time; nothing without a letter."""
+    before = np.array([32], np.uint32)
+    for at in range(0, len(text), PIECE):
+        codes = folded()[np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "replace"), np.uint32)]
+        codes = np.concatenate([before, codes, [32] if at + PIECE >= len(text) else []]).astype(np.uint32)
+        codes = codes[np.append(True, (codes[1:] != 32) | (codes[:-1] != 32))]  # runs of other characters are one space
+        before = codes[1 - LONGEST_GRAM :]  # n-grams across the cut; those within it come twice, which presence doesn't mind
+        if not (codes != 32).any():
+            continue
+        rolled = np.zeros(len(codes), np.uint32)
+        for n in range(1, min(LONGEST_GRAM, len(codes)) + 1):
+            rolled = rolled[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] + np.uint32(n)
+            spread = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            yield (spread ^ (spread >> np.uint32(12))) * np.uint32(0x297A2D39) >> np.uint32(32 - DIMS_BITS)
 
 
 def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Presence of n-grams by row, and whether the text has a letter."""
     out, has = np.zeros((len(texts), DIMS), np.float32), np.zeros(len(texts), bool)
     for row, text in enumerate(texts):
-        places = grams(text)
-        if places is not None:
+        for places in grams(text or ""):
             out[row, places] = 1
             has[row] = True
     return out, has
@@ -75,15 +78,25 @@ class Model:
     landmarks: np.ndarray  # packed bits
     weights: np.ndarray  # landmarks and a constant x languages
 
-    def kernel(self, rows: np.ndarray) -> np.ndarray:
-        marks = getattr(self, "_marks", None)
-        if marks is None:
+    def marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Presence in the landmarks divided by the root of their numbers of n-grams, and these roots."""
+        if getattr(self, "_marks", None) is None:
             marks = np.unpackbits(self.landmarks, axis=1).astype(np.float32)
-            self._marks = marks = marks / np.sqrt(np.maximum(1, marks.sum(axis=1, keepdims=True)))
-        return (rows @ marks.T) / np.sqrt(np.maximum(1, rows.sum(axis=1, keepdims=True)))
+            roots = np.sqrt(np.maximum(1, marks.sum(axis=1)))
+            self._marks = marks / roots[:, None], roots
+        return self._marks
+
+    def kernel(self, rows: np.ndarray) -> np.ndarray:
+        return (rows @ self.marks()[0].T) / np.sqrt(np.maximum(1, rows.sum(axis=1, keepdims=True)))
+
+    def scores(self, kernel: np.ndarray) -> np.ndarray:
+        return kernel @ self.weights[:-1] + self.weights[-1]
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        return self.kernel(rows) @ self.weights[:-1] + self.weights[-1]
+    def share(self, kernel: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The largest share of n-grams in common with a landmark, of the smaller of both, beyond those that fall on the same places by chance."""
+        own, roots = np.sqrt(np.maximum(1, rows.sum(axis=1, keepdims=True))), self.marks()[1]
+        chance = (own * roots) ** 2 / DIMS
+        return ((kernel * own * roots - chance) / np.maximum(1, np.minimum(own, roots) ** 2 - chance)).max(axis=1).clip(0, 1)
 
 
 def fit(bits: np.ndarray, languages: list[str]) -> Model:
@@ -92,11 +105,11 @@ def fit(bits: np.ndarray, languages: list[str]) -> Model:
     label = np.array([names.index(x) for x in languages])
     marks = np.sort(np.concatenate([np.flatnonzero(label == n)[:LANDMARKS] for n in range(len(names))]))
     model = Model(names, bits[marks], np.zeros(0))
-    rows = np.unpackbits(bits, axis=1).astype(np.float32)
-    kernel = model.kernel(rows).astype(np.float64)
+    blocks = (bits[at : at + 2 * BATCH] for at in range(0, len(bits), 2 * BATCH))
+    kernel = np.concatenate([model.kernel(np.unpackbits(some, axis=1).astype(np.float32)) for some in blocks]).astype(np.float64)
     values, axes = np.linalg.eigh(kernel[marks] + 1e-6 * np.eye(len(marks)))
     root = axes / np.sqrt(np.maximum(values, 1e-6)) @ axes.T
-    features = np.hstack([kernel @ root, np.ones((len(rows), 1))])
+    features = np.hstack([kernel @ root, np.ones((len(kernel), 1))])
     targets = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     share = np.bincount(label, minlength=len(names))
     balance = (1 / share[label])[:, None]  # each language weighs the same
@@ -127,13 +140,14 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[s
     return bits, [r["lang"] for r in found]
 
 
-def identify(docs: DataFrame, keep: Sequence[str] = ("doc_id",), names: Sequence[str] = ("held_out", "lang_pred", "score")) -> DataFrame:
-    """The kept columns, held_out, lang_pred and score (or other names for them) of every row of docs (doc_id, text, lang).
+def identify(docs: DataFrame, keep: Sequence[str] = ("doc_id",), names: Sequence[str] = ("held_out", "lang_pred", "score", "known")) -> DataFrame:
+    """The kept columns, held_out, lang_pred, score and known (or other names for them) of every row of docs (doc_id, text, lang).
 
     The model learns from text and lang of rows whose crc32 of the id is not 1
     modulo 3 and whose lang is not null: SAMPLE_ROWS of each language. A
     prediction sees the whole text and nothing else. score is the winning language's regression value,
-    brought from -1..1 to 0..1. Texts that are null or have no letter are `und` with score 0, and so
+    brought from -1..1 to 0..1; known is the largest share of n-grams that the text has in common with a
+    landmark, of those of the smaller of both, beyond chance. Texts that are null or have no letter are `und` with score and known 0, and so
     are all if there is nothing to learn from. A null id counts as the empty
     text for held_out. Repeated rows are predicted each; an empty table gives an
     empty result; other columns are ignored."""
@@ -145,14 +159,17 @@ def identify(docs: DataFrame, keep: Sequence[str] = ("doc_id",), names: Sequence
 
         def of(texts: list[str | None]) -> list[tuple]:
             rows, has = presence(texts)
-            scores = model.scores(rows) if model else np.zeros((len(rows), 1))
-            won = scores.argmax(axis=1)
-            return [(model.languages[w], float(min(1.0, max(0.0, (scores[n, w] + 1) / 2)))) if h and model else (UNDETERMINED, 0.0) for n, (w, h) in enumerate(zip(won, has))]
+            if not model:
+                return [(UNDETERMINED, 0.0, 0.0)] * len(rows)
+            kernel = model.kernel(rows)
+            scores = model.scores(kernel)
+            won, known = scores.argmax(axis=1), model.share(kernel, rows)
+            return [(model.languages[w], float(min(1.0, max(0.0, (s[w] + 1) / 2))), float(k)) if h else (UNDETERMINED, 0.0, 0.0) for w, s, k, h in zip(won, scores, known, has)]
 
         return of
 
     held = doc_key(docs["doc_id"]) % 3 == 1
-    said = beside(docs, keep, docs["text"], "lang string, score double", start, BATCH, [held])
+    said = beside(docs, keep, "text", "lang string, score double, known double", start, BATCH, [held])
     return said.toDF(*keep, *names)
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .components import components
 
 WORDS = 5
@@ -103,6 +103,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but the text, with size, digest of the set, slots and bands."""
     for part in (whole.slice(at, 500) for whole in parts for at in range(0, whole.num_rows, 500)):
         sizes, keys, slots, bands = [], [], [], []
         for text in part.column("text").cast(pa.binary()).to_pylist():
@@ -117,9 +118,10 @@ def _signed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
             slots.append(mixed(values).astype(np.uint8).tobytes())
             bands.append(mixed((values.reshape(BANDS, DEPTH) * COEFFICIENTS).sum(axis=1, dtype=np.uint64) ^ BAND_SEEDS).view(np.int64))
+        passed = [c for c in part.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(slots, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "set_key", "slots", "bands"],
+            [*(part.column(c) for c in passed), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(slots, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            names=[*passed, "n_shingles", "set_key", "slots", "bands"],
         )
 
 
@@ -141,12 +143,15 @@ def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """id and hashes (sorted, 8 bytes each) of the full sets of the texts named by ids (id), and maybe of some more.
 
     Which texts are needed goes to the scan as a bitmap of FILTER_BITS hashed ids: 1 MB, whatever their
-    number; it may let more texts through, which the joins drop."""
+    number. It may let more texts through, few as long as the ids are few beside its bits; of
+    more ids, the texts that it lets through meet the ids themselves before their sets are made."""
+    ids = ids.distinct()
     hashed = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     words = ids.select(hashed.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits")).collect()
     filter_ = np.zeros(FILTER_BITS // 64, np.int64)
     for row in words:
         filter_[row["word"]] = row["bits"]
+    crowded = np.bitwise_count(filter_).sum() > FILTER_BITS // 8
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +163,10 @@ def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
                 hashes = [shingles(t).tobytes() for t in some.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(hashes, pa.binary())], names=["id", "hashes"])
 
-    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", hashed.alias("h"), "text")
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
+    if crowded:
+        known = known.join(ids, "id", "left_semi")
+    known = known.select("id", hashed.alias("h"), "text")
     return staged(known.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"]))
 
 
@@ -253,18 +261,22 @@ def across_components(members: DataFrame, classes: DataFrame, docs: DataFrame, p
     return left.join(full.withColumnRenamed("id", "rep"), "rep").groupBy(*key).applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, percent: int = 80, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `also`, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Rows are linked when their sets of shingles have 100 * intersection >=
     percent * union; component_id is the smallest doc_id reachable by links, itself
     included, and kept says that it is the row's own. Texts that are null, empty or without words have an empty set
     and link with nothing. Rows with a null id link with nothing; their component is null, and they
-    are kept. Rows that share an id are one document for links, each with its own n_shingles. An
-    empty table gives an empty result; other columns are ignored. Bands are
-    tuned for percent >= 80."""
-    docs = docs.select("doc_id", "text")
-    signed = staged(docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, slots binary, bands array<long>"))
+    are kept. Rows that share an id are judged by their own texts, each with its own n_shingles; only
+    where the id is the smallest of several of its texts' copies do these count as one document. An
+    empty table gives an empty result; other columns are ignored. Bands and the
+    cut of signatures are made for percent >= 80; less is refused."""
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must lie between 80 and 100")
+    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also))
+    types = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != "text")
+    signed = staged(docs.mapInArrow(_signed, f"{types}, n_shingles long, set_key binary, slots binary, bands array<long>"))
     told = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     reps = told.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = staged(
@@ -284,9 +296,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         roots = components(links.unionByName(more))
     by_class = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     # a class of many copies is one row on the right, so AQE can split its rows on the left
-    joined = signed.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
+    joined = signed.select("doc_id", *also, "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", *also, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
