@@ -1,19 +1,20 @@
 """Personal data: exact detectors, and a character-level BiLSTM-CRF that adds spans.
 
 The detectors find e-mail addresses, IPv4 addresses, card numbers and phone numbers. The
-model is trained in numpy, on the driver, from windows of a bounded sample of texts whose
+model is trained in numpy, in one task, from windows of a bounded sample of texts whose
 spans the detectors label, and of made-up lines labelled by construction, so that small corpora train it too.
 
 Every character of every text is read by overlapping windows; where windows overlap, their scores
 are averaged with weights that fall towards a window's ends, and the CRF decodes the text as a
 whole. Its best path is found without a step for each character: a bound on what leaving tag 0 can gain shows
-where the path is surely outside, and only the rest is decoded. Spans that overlap a detector's, or that
+where the path is surely outside, and only the rest is decoded, very long stretches block by block. Spans that overlap a detector's, or that
 the CRF is not sure of, are dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import sys
 import unicodedata
@@ -29,14 +30,19 @@ from pyspark.sql import functions as F
 from .common import beside, staged
 
 KINDS = ("email", "ip", "card", "phone")
-REACH, WINDOW, STRIDE = 24, 64, 32
+#: Training windows, and how far from a digit or @ they lie; windows in which texts are read, and how far they overlap.
+REACH, TRAINED = 24, 64
+WINDOW, OVERLAP = 512, 32
+STRIDE = WINDOW - OVERLAP
 #: Documented bounds of the training sample, and the network's size.
-SAMPLE_WINDOWS, MADE_WINDOWS, EPOCHS, BATCH = 1_024, 512, 16, 64
+SAMPLE_WINDOWS, MADE_WINDOWS, EPOCHS, BATCH = 1_024, 512, 12, 32
 #: Windows without a digit or @ from the corpus, and invented ones of spelled-out data.
-PLAIN_WINDOWS, SPELLED_WINDOWS = 768, 1_024
+PLAIN_WINDOWS, SPELLED_WINDOWS = 768, 2_048
 #: Characters whose scores are held at once, and windows that go through the network together.
-PIECE, TOGETHER = 1_572_864, 512
-EMBEDDED, HIDDEN, SYMBOLS = 12, 16, 130
+PIECE, TOGETHER = 2_048 * STRIDE, 256
+#: Characters of a region that are decoded at once, longest span that is added, and text to its sides that its marginals see.
+BLOCK, LONGEST, AROUND = 256, 320, 64
+EMBEDDED, HIDDEN, SYMBOLS = 8, 12, 130
 #: Least marginal probability that each character of an added span must have.
 SURE = 0.8
 
@@ -130,6 +136,15 @@ def tags(n: int, spans: list[Span], offset: int) -> np.ndarray:
 TAGS = 1 + 2 * len(KINDS)
 
 
+def sensible() -> np.ndarray:
+    """Which tags may follow each tag (the last row: the start): a span begins outside, and goes on in its own kind."""
+    first = 1 + 2 * np.arange(len(KINDS))
+    yes = np.zeros((TAGS + 1, TAGS), bool)
+    yes[:, 0] = yes[0, first] = yes[-1, first] = True
+    yes[first, first + 1] = yes[first + 1, first + 1] = True
+    return yes
+
+
 @dataclass
 class Network:
     """Embedding, an LSTM in each direction, a linear layer, CRF transitions (the last row: from the start).
@@ -142,23 +157,24 @@ class Network:
     moves: np.ndarray
 
     @classmethod
-    def new(cls, seed: int) -> Network:
+    def new(cls, seed: int, kind: type = np.float32) -> Network:
         rng = np.random.default_rng(seed)
         into = rng.normal(0, 0.2, (2, EMBEDDED + HIDDEN + 1, 4 * HIDDEN))
         into[:, -1] = 0
         into[:, -1, HIDDEN : 2 * HIDDEN] = 1  # forget gates open
-        return cls(rng.normal(0, 0.3, (SYMBOLS, EMBEDDED)), into, rng.normal(0, 0.2, (2 * HIDDEN + 1, TAGS)), np.zeros((TAGS + 1, TAGS)))
+        made = rng.normal(0, 0.3, (SYMBOLS, EMBEDDED)), into, rng.normal(0, 0.2, (2 * HIDDEN + 1, TAGS)), np.where(sensible(), 0.0, -4.0)
+        return cls(*(m.astype(kind) for m in made))
 
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, self.into, self.out, self.moves]
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Scores (time, batch, tag) of symbols (batch, time), and what backward() needs."""
-        b, t = x.shape
-        seen = np.ones((2, t, b, EMBEDDED + HIDDEN + 1))
+        (b, t), kind = x.shape, self.embed.dtype
+        seen = np.ones((2, t, b, EMBEDDED + HIDDEN + 1), kind)
         seen[0, :, :, :EMBEDDED] = self.embed[x.T]
         seen[1, :, :, :EMBEDDED] = self.embed[x.T[::-1]]
-        gates, cells, states = np.empty((t, 2, b, 4 * HIDDEN)), np.zeros((t + 1, 2, b, HIDDEN)), np.zeros((t + 1, 2, b, HIDDEN))
+        gates, cells, states = np.empty((t, 2, b, 4 * HIDDEN), kind), np.zeros((t + 1, 2, b, HIDDEN), kind), np.zeros((t + 1, 2, b, HIDDEN), kind)
         h = HIDDEN
         for n in range(t):
             seen[:, n, :, EMBEDDED:-1] = states[n]
@@ -168,13 +184,13 @@ class Network:
             gates[n] = z
             cells[n + 1] = z[..., h : 2 * h] * cells[n] + z[..., :h] * z[..., 3 * h :]
             states[n + 1] = z[..., 2 * h : 3 * h] * np.clip(cells[n + 1], -1, 1)
-        both = np.concatenate([states[1:, 0], states[:0:-1, 1], np.ones((t, b, 1))], axis=2)
+        both = np.concatenate([states[1:, 0], states[:0:-1, 1], np.ones((t, b, 1), kind)], axis=2)
         return both @ self.out, (x, seen, gates, cells, both)
 
     def backward(self, d_scores: np.ndarray, kept: tuple) -> list[np.ndarray]:
         x, seen, gates, cells, both = kept
         t, h = len(gates), HIDDEN
-        d_out = np.einsum("tbi,tbj->ij", both, d_scores)
+        d_out = np.tensordot(both, d_scores, ([0, 1], [0, 1]))
         d_both = d_scores @ self.out.T
         d_in, d_seen = np.zeros_like(self.into), np.zeros_like(seen)
         d_state, d_cell = np.zeros_like(cells[0]), np.zeros_like(cells[0])
@@ -184,7 +200,7 @@ class Network:
             i, f, o, g = (gates[n][..., k * h : (k + 1) * h] for k in range(4))
             c = np.clip(cells[n + 1], -1, 1)
             d_cell = d_cell + d_state * o * (np.abs(c) < 1)
-            slope = lambda gate: 0.25 * ((gate > 0) & (gate < 1))
+            slope = lambda gate: ((gate > 0) & (gate < 1)) * gate.dtype.type(0.25)
             d_z = np.concatenate([d_cell * g * slope(i), d_cell * cells[n] * slope(f), d_state * c * slope(o), d_cell * i * (np.abs(g) < 1)], axis=-1)
             d_in += seen[:, n].transpose(0, 2, 1) @ d_z
             d_seen[:, n] = d_z @ self.into.transpose(0, 2, 1)
@@ -237,18 +253,114 @@ class Network:
                     v += 0.01 * (g * g - v)
                     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
-    def decode(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tags of each part, scores (time, tag); parts of about the same length go together, step by step."""
+    def scores(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Scores (time, tag) of each of the windows codes[start : start + size], longest first, in single precision.
+
+        Windows lie innermost, and each step works
+        on those that are still running, so no window is filled up; the backward direction reads each from its own end."""
+        h, most, n = HIDDEN, int(sizes[0]), len(sizes)
+        into = np.ascontiguousarray(self.into.transpose(0, 2, 1), np.float32)
+        into[:, : 3 * h] /= 4
+        into[:, : 3 * h, -1] += 0.5
+        out, embed = self.out.T.astype(np.float32), np.ascontiguousarray(self.embed.T, np.float32)
+        place = np.arange(most)
+        running = np.searchsorted(-sizes, -place, "left").tolist()  # windows longer than each place
+        cell, numbers = np.empty((h, n), np.float32), np.empty(4 * h * n, np.float32)
+        zeros, ones, minus = np.zeros(3 * h * n, np.float32), np.ones(3 * h * n, np.float32), np.full(h * n, -1, np.float32)  # numpy is several times as fast with bounds in arrays
+        ways = []
+        for way in range(2):
+            at = starts + (sizes - 1 - place[:, None] if way else place[:, None])
+            seen = np.empty((most + 1, EMBEDDED + h + 1, n), np.float32)  # for each step the symbol, the state before it, and a one
+            read = codes[np.clip(at, 0, len(codes) - 1)].astype(np.intp)
+            for e in range(EMBEDDED):
+                np.take(embed[e], read, out=seen[:-1, e], mode="clip")
+            seen[:, EMBEDDED:-1] = 0
+            seen[:, -1] = 1
+            cell[:] = 0
+            for t, m in enumerate(running):
+                z = np.matmul(into[way], seen[t, :, :m], out=numbers[: 4 * h * m].reshape(4 * h, m))
+                gates, g, c = z[: 3 * h], z[3 * h :], cell[:, :m]
+                one, less = ones[: h * m].reshape(h, m), minus[: h * m].reshape(h, m)
+                np.minimum(np.maximum(gates, zeros[: 3 * h * m].reshape(3 * h, m), out=gates), ones[: 3 * h * m].reshape(3 * h, m), out=gates)
+                np.minimum(np.maximum(g, less, out=g), one, out=g)
+                g *= z[:h]
+                c *= z[h : 2 * h]
+                c += g
+                np.minimum(np.maximum(c, less, out=g), one, out=g)
+                np.multiply(g, z[2 * h : 3 * h], out=seen[t + 1, EMBEDDED:-1, :m])
+            made = np.empty((n, most * TAGS), np.float32)
+            for t in range(0, most, 16):  # a few steps at a time, which stay in the cache
+                some = np.matmul(out[:, way * h : (way + 1) * h], seen[t + 1 : min(t + 16, most) + 1, EMBEDDED:-1])
+                made[:, t * TAGS : (t + len(some)) * TAGS] = some.reshape(-1, n).T
+            ways.append(made.reshape(n, most, TAGS))
+        ways[0] += self.out[-1].astype(np.float32)
+        return [ahead[:n] + back[:n][::-1] for ahead, back, n in zip(*ways, sizes.tolist())]
+
+    def averaged(self, parts: list[np.ndarray]) -> list[np.ndarray]:
+        """Scores (time, tag) of each part: of windows that start at every STRIDE, averaged where they overlap, nearer ends weighing less."""
+        sizes = np.array([len(p) for p in parts])
+        ends = np.cumsum(sizes)
+        codes = np.concatenate(parts) if len(parts) else np.zeros(0, np.uint8)
+        windows = np.maximum(1, -(-(sizes - OVERLAP) // STRIDE)) * (sizes > 0)
+        owner = np.repeat(np.arange(len(parts)), windows)
+        turn = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        start = (ends - sizes)[owner] + turn * STRIDE
+        size = np.minimum(WINDOW, ends[owner] - start)
+        follows, last = turn > 0, turn == windows[owner] - 1
+        order = np.argsort(-size, kind="stable")
+        sums = np.zeros((len(codes), TAGS), np.float32)
+        ramp = (np.arange(1, OVERLAP + 1)[:, None] / (OVERLAP + 1)).astype(np.float32)
+        for at in range(0, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            for n, x in zip(some.tolist(), self.scores(codes, start[some], size[some])):
+                if follows[n]:
+                    x[:OVERLAP] *= ramp
+                if not last[n]:  # and so is full
+                    x[STRIDE:] *= ramp[::-1]
+                sums[start[n] : start[n] + len(x)] += x
+        return np.split(sums, ends[:-1])
+
+    def parts(self, codes: list[np.ndarray], wanted: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
+        """Lists of (text, start, end) of each wanted part, start in steps of STRIDE, with its scores within the whole text; at most about PIECE characters at once."""
+        some: list[tuple[int, int, int]] = []
+        held = 0
+        for k, part in enumerate(wanted):
+            some.append(part)
+            held += part[2] - part[1]
+            if k + 1 == len(wanted) or held + wanted[k + 1][2] - wanted[k + 1][1] > PIECE:
+                # one stride more to each side, so that all windows over the part are there
+                scores = self.averaged([codes[n][max(0, s - STRIDE) : -(-e // STRIDE) * STRIDE + STRIDE] for n, s, e in some])
+                yield [(n, s, e, x[(at := min(s, STRIDE)) : at + e - s]) for (n, s, e), x in zip(some, scores)]
+                some, held = [], 0
+
+    def gains(self, x: np.ndarray, at_start: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the most that its tag can add over tag 0, if it leaves tag 0 there and if it was left before."""
+        moves, x = (self.moves - self.moves[0, 0]).astype(np.float32), np.ascontiguousarray(x.T)
+        first = (x[1:] + moves[0, 1:, None]).max(axis=0) - x[0]
+        if at_start and len(first):
+            first[0] = (x[1:, 0] + self.moves[-1, 1:] - self.moves[-1, 0]).max() - x[0, 0]
+        return first, (x[1:] + moves[1:-1, 1:].max(axis=0)[:, None]).max(axis=0) - x[0]
+
+    def open_places(self, first: np.ndarray, further: np.ndarray) -> np.ndarray:
+        """Where the best path can be off tag 0: places of some stretch whose gains, with the moves away and back, may add up to more than none."""
+        sums = np.cumsum(further, dtype=np.float64)
+        back = sums + float((self.moves[1:-1, 0] - self.moves[0, 0]).max())
+        back[-1:] = sums[-1:]  # at the text's end there is no move back
+        begun = np.maximum.accumulate(first - sums)
+        return begun + np.maximum.accumulate(back[::-1])[::-1] > -1e-3
+
+    def decode(self, parts: list[np.ndarray], entries: Sequence[int], exits: Sequence[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each part, scores (time, tag), after the tag (or start) `entry` and with `exit` added at its end."""
         out: list[np.ndarray] = [np.empty(0, int)] * len(parts)
-        longest = sorted(range(len(parts)), key=lambda n: -len(parts[n]))
+        some = sorted(range(len(parts)), key=lambda n: -len(parts[n]))
         moves = np.ascontiguousarray(self.moves[:-1].T)[:, :, None].astype(np.float32)
-        for at in range(0, len(longest), TOGETHER):
-            some = longest[at : at + TOGETHER]
+        if some:
             sizes = np.array([len(parts[n]) for n in some])
             best = np.zeros((sizes[0], TAGS, len(some)), np.float32)
             for k, n in enumerate(some):
                 best[: sizes[k], :, k] = parts[n]
-            best[0] += self.moves[-1][:, None]
+                best[0, :, k] += self.moves[entries[n]]
+                best[sizes[k] - 1, :, k] += exits[n]
             left = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), "left")  # parts longer than each place
             for t in range(1, sizes[0]):
                 m = left[t]
@@ -263,114 +375,123 @@ class Network:
                 out[n] = path[: sizes[k], k]
         return out
 
-    def scores(self, windows: np.ndarray) -> np.ndarray:
-        """forward()'s scores, as (window, time, tag), of symbols (window, WINDOW), in single precision with the batch innermost."""
-        h, n = HIDDEN, len(windows)
-        into = self.into.transpose(0, 2, 1).astype(np.float32)
-        into[:, : 3 * h] /= 4
-        into[:, : 3 * h, -1] += 0.5
-        seen, z = np.ones((EMBEDDED + h + 1, n), np.float32), np.empty((4 * h, n), np.float32)
-        embedded = np.ascontiguousarray(self.embed.astype(np.float32)[windows].transpose(1, 2, 0))
-        both, a = np.ones((WINDOW, 2 * h + 1, n), np.float32), np.empty((h, n), np.float32)
-        gates, (i, f, o, g) = z[: 3 * h], (z[k * h : (k + 1) * h] for k in range(4))
-        for way, order in enumerate((range(WINDOW), range(WINDOW - 1, -1, -1))):
-            cell, state = np.zeros((h, n), np.float32), seen[EMBEDDED:-1]
-            state[:] = 0
-            for t in order:
-                seen[:EMBEDDED] = embedded[t]
-                np.matmul(into[way], seen, out=z)
-                np.minimum(np.maximum(gates, 0, out=gates), 1, out=gates)
-                np.minimum(np.maximum(g, -1, out=a), 1, out=a)
-                a *= i
-                cell *= f
-                cell += a
-                np.minimum(np.maximum(cell, -1, out=a), 1, out=a)
-                np.multiply(a, o, out=state)
-                both[t, way * h : (way + 1) * h] = state
-        return np.matmul(self.out.T.astype(np.float32), both).transpose(2, 0, 1)
-
-    def averaged(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """Scores (time, tag) of each part: of windows that start at every STRIDE, averaged where they overlap."""
-        halves = [max(2, -(-len(p) // STRIDE)) for p in parts]
-        codes = np.concatenate([np.pad(p, (0, n * STRIDE - len(p))) for p, n in zip(parts, halves)]).reshape(-1, STRIDE)
-        ends = np.cumsum(halves)
-        first = np.setdiff1d(np.arange(len(codes)), ends - 1)
-        weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
-        sums, weights = np.zeros((len(codes), STRIDE, TAGS), np.float32), np.zeros((len(codes), STRIDE, 1), np.float32)
-        for at in range(0, len(first), TOGETHER):
-            some = first[at : at + TOGETHER]
-            scores = self.scores(np.concatenate([codes[some], codes[some + 1]], axis=1)) * weight
-            sums[some] += scores[:, :STRIDE]
-            sums[some + 1] += scores[:, STRIDE:]
-        weights[first] += weight[:STRIDE]
-        weights[first + 1] += weight[STRIDE:]
-        sums /= weights
-        return [sums[e - n : e].reshape(-1, TAGS)[: len(p)] for p, n, e in zip(parts, halves, ends)]
-
-    def parts(self, codes: list[np.ndarray], wanted: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
-        """Lists of (text, start, end) of each wanted part, start in steps of STRIDE, with its scores within the whole text; at most about PIECE characters at once."""
-        some: list[tuple[int, int, int]] = []
-        for k, part in enumerate(wanted):
-            some.append(part)
-            if k + 1 == len(wanted) or sum(e - s for _, s, e in some) + wanted[k + 1][2] - wanted[k + 1][1] > PIECE:
-                # one stride more to each side, so that all windows over the part are there
-                scores = self.averaged([codes[n][max(0, s - STRIDE) : -(-e // STRIDE) * STRIDE + STRIDE] for n, s, e in some])
-                yield [(n, s, e, x[(at := min(s, STRIDE)) : at + e - s]) for (n, s, e), x in zip(some, scores)]
-                some = []
-
-    def open_places(self, gains: np.ndarray) -> np.ndarray:
-        """Where the best path can leave tag 0: places in a run whose gains, bounded from above, add up to more than none."""
-        leave = max(0.0, float((self.moves[1:-1, 0] - self.moves[0, 0]).max())) + 1e-3
-
-        def ahead(x: np.ndarray) -> np.ndarray:
-            sums = np.cumsum(x, dtype=np.float64)
-            return sums - np.minimum.accumulate(np.concatenate([[0], sums[:-1]]))
-
-        return ahead(gains) + ahead(gains[::-1])[::-1] - gains + leave > 0
+    def across(self, x: np.ndarray) -> np.ndarray:
+        """(part, a, b): the best that a path adds over each part, scores (part, time, tag), from tag a before it to tag b at its end."""
+        moves, x = self.moves[:-1], x.astype(np.float64)
+        made = moves + x[:, 0, None, :]
+        for t in range(1, x.shape[1]):
+            made = (made[:, :, :, None] + moves).max(axis=2) + x[:, t, None, :]
+        return made
+
+    def long_path(self, codes: np.ndarray, held: np.ndarray | None, start: int, end: int, exit_: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The best tags of codes[start:end], block by block: what each block adds between all tags tells which tags the
+        blocks begin and end with, and with these each is decoded on its own, so scores of a few blocks are held at once."""
+        cuts = [*range(start, end, BLOCK), end]
+        several = [[(0, s, e) for s, e in zip(cuts, cuts[1:])][n : n + PIECE // BLOCK] for n in range(0, len(cuts) - 1, PIECE // BLOCK)]
+        read = lambda some: self.cut_out([codes], {0: held}, some)
+        sums = np.where(np.arange(TAGS) == 0, 0.0, -np.inf)  # at tag 0 before the first block
+        came: list[np.ndarray] = []
+        for some in several:
+            scores = read(some)
+            if not start and not came:
+                scores[0][0] += self.moves[-1] - self.moves[0]
+            full = [x for x in scores if len(x) == BLOCK]
+            added = [*(self.across(np.array(full)) if full else ()), *(self.across(x[None])[0] for x in scores if len(x) < BLOCK)]
+            for more in added:
+                ways = sums[:, None] + more
+                came.append(ways.argmax(axis=0))
+                sums = ways.max(axis=0)
+        tags_ = [int((sums + exit_).argmax())]
+        for before in reversed(came):
+            tags_.append(int(before[tags_[-1]]))
+        tags_.reverse()
+        only = np.where(np.eye(TAGS) > 0, 0.0, -1e30)
+        for n, some in enumerate(several):
+            first = n * (PIECE // BLOCK)
+            entries = [TAGS if s == 0 else tags_[first + k] for k, (_, s, _) in enumerate(some)]
+            paths = self.decode(read(some), entries, [only[tags_[first + k + 1]] for k in range(len(some))])
+            yield from zip((s for _, s, _ in some), paths)
+
+    def paths(self, codes: list[np.ndarray], held: dict[int, np.ndarray | None], regions: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, start, tags) of each region, at tag 0 before and after, long ones in several pieces."""
+        exit_ = lambda n, end: self.moves[:-1, 0] if end < len(codes[n]) else np.zeros(TAGS)
+        short = sorted((r for r in regions if r[2] - r[1] <= 4 * BLOCK), key=lambda r: r[2] - r[1])
+        while short:  # of about the same length, as they go step by step
+            n = max(1, min(TOGETHER, 4 * TOGETHER * BLOCK // (short[-1][2] - short[-1][1])))
+            some, short = short[-n:], short[:-n]
+            found = self.decode(self.cut_out(codes, held, some), [0 if s else TAGS for _, s, _ in some], [exit_(n, e) for n, _, e in some])
+            yield from ((n, s, path) for (n, s, _), path in zip(some, found))
+        for n, start, end in (r for r in regions if r[2] - r[1] > 4 * BLOCK):
+            yield from ((n, s, path) for s, path in self.long_path(codes[n], held[n], start, end, exit_(n, end)))
 
     def read(self, texts: list[str], taken: Sequence[Sequence[Span]] | None = None) -> list[list[Span]]:
         """Spans of each text that the model is sure of and that overlap none of those taken."""
         codes = [symbols(t) for t in texts]
         out: list[list[Span]] = [[] for _ in texts]
-        gains = [np.empty(len(c), np.float32) for c in codes]
-        enter = np.maximum(self.moves[:-1].max(axis=0) - self.moves[0, 0], self.moves[-1] - self.moves[-1, 0])[1:].astype(np.float32)
+        busy: dict[int, bytearray] = {}  # characters of spans that are there already
+
+        def free(n: int, start: int, end: int) -> bool:
+            if n not in busy:
+                busy[n] = bytearray(len(codes[n]))
+                for _, s, e in taken[n] if taken else ():
+                    busy[n][s:e] = b"\1" * (e - s)
+            return busy[n].find(1, start, end) < 0
+
+        first, further = ([np.empty(len(c), np.float32) for c in codes] for _ in range(2))
         whole = [(n, s, min(len(c), s + PIECE)) for n, c in enumerate(codes) for s in range(0, len(c), PIECE)]
         for some in self.parts(codes, whole):
             held = {}
             for n, start, end, x in some:
-                gains[n][start:end] = (x[:, 1:] + enter).max(axis=1) - x[:, 0]
+                first[n][start:end], further[n][start:end] = self.gains(x, not start)
                 held[n] = x if end - start == len(codes[n]) else None
             regions: list[tuple[int, int, int]] = []
             for n in (n for n, _, end, _ in some if end == len(codes[n])):
-                places = np.flatnonzero(self.open_places(gains[n]))
-                cuts = np.flatnonzero(np.diff(places) > STRIDE)
+                places = np.flatnonzero(self.open_places(first[n], further[n]))
+                cuts = np.flatnonzero(np.diff(places) > 1)
                 if len(places):
                     regions += [(n, int(a), int(b) + 1) for a, b in zip(places[[0, *(cuts + 1)]], places[[*cuts, -1]])]
-            scores = self.cut_out(codes, held, regions)
-            for (n, start, end), x in zip(regions, scores):
-                if start:  # the path is at tag 0 before and after
-                    x[0] += self.moves[0] - self.moves[-1]
-                if end < len(codes[n]):
-                    x[-1] += self.moves[:-1, 0]
+            begun: dict[int, tuple[int, int, int]] = {}  # text: kind, start and end of a span that may go on in the next piece
             spans = []
-            for (n, start, _), path in zip(regions, self.decode(scores)):
-                for at in np.flatnonzero(path % 2 == 1):
-                    end = at + 1
-                    while end < len(path) and path[end] == path[at] + 1:
-                        end += 1
-                    kind, s, e = int(path[at] - 1) // 2, start + int(at), start + int(end)
-                    if free(s, e, taken[n] if taken else ()) and plausible(kind, texts[n][s:e]):
+            for n, start, path in self.paths(codes, held, regions):
+                kind, s, e = begun.pop(n, (-1, -1, -1))
+                turns = [0, *(np.flatnonzero(np.diff(path)) + 1), len(path)]
+                for at, to in zip(turns, turns[1:]):
+                    tag, here = int(path[at]), start + int(at)
+                    if tag and tag % 2 == 0 and kind == tag // 2 - 1 and e == here:
+                        e = start + int(to)
+                        continue
+                    if kind >= 0:
                         spans.append((n, kind, s, e))
-            # a span's marginals, with a window of text to each side
-            around = self.cut_out(codes, held, [(n, max(0, s - WINDOW), min(len(codes[n]), e + WINDOW)) for n, _, s, e in spans])
-            for (n, kind, s, e), x in zip(spans, around):
-                chance = self.marginals(x[:, None].astype(np.float64))[1][min(s, WINDOW) :, 0]
-                if min(chance[0, 1 + 2 * kind], chance[1 : e - s, 2 + 2 * kind].min(initial=1)) >= SURE:
+                    # of a run of first characters, the last begins the span that goes on
+                    kind, s, e = (tag // 2, start + int(to) - 1, start + int(to)) if tag % 2 else (-1, -1, -1)
+                if kind >= 0:
+                    begun[n] = (kind, s, e)
+            spans += [(n, *span) for n, span in begun.items()]
+            spans = [(n, k, s, e) for n, k, s, e in sorted(spans, key=lambda x: (x[0], x[2])) if e - s <= LONGEST and free(n, s, e) and plausible(k, texts[n][s:e])]
+            for at in range(0, len(spans), TOGETHER):
+                for n, kind, s, e in self.sure(codes, held, spans[at : at + TOGETHER]):
                     s, e = widened(kind, texts[n], s, e)
-                    if free(s, e, taken[n] if taken else ()) and free(s, e, out[n]):
+                    if free(n, s, e):
                         out[n].append((kind, s, e))
+                        busy[n][s:e] = b"\1" * (e - s)
         return out
 
+    def sure(self, codes: list[np.ndarray], held: dict[int, np.ndarray | None], spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """The spans each of whose characters has a marginal of SURE, with AROUND characters of text to each side."""
+        around = self.cut_out(codes, held, [(n, max(0, s - AROUND), min(len(codes[n]), e + AROUND)) for n, _, s, e in spans])
+        by_size: dict[int, list[int]] = {}
+        for k, x in enumerate(around):
+            by_size.setdefault(len(x), []).append(k)
+        yes = set()
+        for some in by_size.values():
+            chances = self.marginals(np.stack([around[k] for k in some], axis=1).astype(np.float64))[1]
+            for place, k in enumerate(some):
+                _, kind, s, e = spans[k]
+                chance = chances[min(s, AROUND) :, place]
+                if min(chance[0, 1 + 2 * kind], chance[1 : e - s, 2 + 2 * kind].min(initial=1)) >= SURE:
+                    yes.add(k)
+        return [spans[k] for k in sorted(yes)]
+
     def cut_out(self, codes: list[np.ndarray], held: dict[int, np.ndarray | None], wanted: list[tuple[int, int, int]]) -> list[np.ndarray]:
         """Scores of the wanted places: of those held, or, of texts longer than PIECE, read again."""
         again = [(n, s // STRIDE * STRIDE, e) for n, s, e in wanted if held[n] is None]
@@ -378,10 +499,6 @@ class Network:
         return [(next(read)[s % STRIDE :] if held[n] is None else held[n][s:e]).copy() for n, s, e in wanted]
 
 
-def free(start: int, end: int, spans: Sequence[Span]) -> bool:
-    return all(end <= s or start >= e for _, s, e in spans)
-
-
 def widened(kind: int, text: str, start: int, end: int) -> tuple[int, int]:
     """An address with an @, or a number, with all of the word that it stands in, so that no part of it is left over."""
     more = {0: lambda c: ascii_of(c) in LOCAL or c.isalnum()}.get(kind, str.isdecimal)
@@ -428,7 +545,7 @@ def made_windows(n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
         before = " ".join(word() for _ in range(rng.integers(0, 5))) + rng.choice([" ", ": ", "\n"])
         text = before + makers[k % len(makers)]()
         spans = [(k % len(makers), len(before), len(text))] if k % len(makers) < len(KINDS) else []
-        out.append(((text + rng.choice([" ", ". ", ", "]) + " ".join(word() for _ in range(rng.integers(0, 5))))[:WINDOW], spans))
+        out.append(((text + rng.choice([" ", ". ", ", "]) + " ".join(word() for _ in range(rng.integers(0, 5))))[:TRAINED], spans))
     return out
 
 
@@ -463,9 +580,9 @@ def spelled_windows(n: int, seed: int = 12) -> list[tuple[str, list[Span]]]:
         kind, make = makers[k % len(makers)]
         before, made = fill() + str(rng.choice([" ", ": ", "\n"])), make()
         text = before + made + str(rng.choice([" ", ". ", ", "])) + fill()
-        start = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
+        start = int(rng.integers(0, max(1, len(text) - TRAINED + 1)))
         spans = [] if kind is None else [(kind, len(before) - start, len(before) + len(made) - start)]
-        out.append((text[start : start + WINDOW], spans))
+        out.append((text[start : start + TRAINED], spans))
     return out
 
 
@@ -477,11 +594,11 @@ def trained(docs: DataFrame, seed: int = 5) -> Network:
         for part in parts:
             order, chars, labels, plain = [], [], [], []
             for text in part.column("text").to_pylist():
-                places = [(s, min(e, s + WINDOW), False) for s, e in stretches(text or "")]
+                places = [(s, min(e, s + TRAINED), False) for s, e in stretches(text or "")]
                 spans = detected(text) if places else []
                 if text:
-                    start = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text) - WINDOW + 1)
-                    places.append((start, min(len(text), start + WINDOW), True))
+                    start = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text) - TRAINED + 1)
+                    places.append((start, min(len(text), start + TRAINED), True))
                 for start, end, at_large in places:
                     piece = text[start:end]
                     plain.append(at_large)
@@ -503,12 +620,20 @@ def trained(docs: DataFrame, seed: int = 5) -> Network:
         if held is not None:
             yield from held.to_batches()
 
-    sample = docs.select("text").mapInArrow(smallest, "order long, piece string, labels array<tinyint>, plain boolean").dropDuplicates(["plain", "order"])
-    sample = staged(sample)
-    found = [r for of, most in ((~F.col("plain"), SAMPLE_WINDOWS), (F.col("plain"), PLAIN_WINDOWS)) for r in sample.where(of).orderBy("order").limit(most).collect()]
-    lines = [(r["piece"], np.array(r["labels"])) for r in found]
-    lines += [(t, tags(len(t), s, 0)) for t, s in (*made_windows(MADE_WINDOWS), *spelled_windows(SPELLED_WINDOWS))]
-    x, y = np.zeros((len(lines), WINDOW), np.int64), np.zeros((len(lines), WINDOW), np.int64)
+    def fitted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for part in parts for r in part.to_pylist()]
+        network = fit([(r["piece"], np.array(r["labels"], np.int64)) for r in sorted(rows, key=lambda r: (r["plain"], r["order"]))], seed)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], names=["network"])
+
+    sample = staged(docs.select("text").mapInArrow(smallest, "order long, piece string, labels array<tinyint>, plain boolean").dropDuplicates(["plain", "order"]))
+    near, plain = (sample.where(of).orderBy("order").limit(most) for of, most in ((~F.col("plain"), SAMPLE_WINDOWS), (F.col("plain"), PLAIN_WINDOWS)))
+    return pickle.loads(near.unionByName(plain).coalesce(1).mapInArrow(fitted, "network binary").first()["network"])  # one task for a bounded sample
+
+
+def fit(lines: list[tuple[str, np.ndarray]], seed: int) -> Network:
+    """A network fitted on lines of at most TRAINED characters with their tags, and on the invented ones."""
+    lines = lines + [(t, tags(len(t), s, 0)) for t, s in (*made_windows(MADE_WINDOWS), *spelled_windows(SPELLED_WINDOWS))]
+    x, y = np.zeros((len(lines), TRAINED), np.int64), np.zeros((len(lines), TRAINED), np.int64)
     for n, (text, label) in enumerate(lines):
         x[n, : len(text)] = symbols(text)
         y[n, : len(text)] = label
@@ -531,7 +656,7 @@ def written(spans: list[Span]) -> str:
 def _each(docs: DataFrame, keep: Sequence[str], of: Callable[[str | None, list[Span], list[Span]], tuple], made: str) -> DataFrame:
     """of(text, base, all) for every row, with a network trained on docs."""
     shipped = docs.sparkSession.sparkContext.broadcast(trained(docs))
-    return beside(docs, keep, docs["text"], made, lambda: lambda texts: [of(t, b, e) for t, (b, e) in zip(texts, find(texts, shipped.value))])
+    return beside(docs, keep, "text", made, lambda: lambda texts: [of(t, b, e) for t, (b, e) in zip(texts, find(texts, shipped.value))])
 
 
 def find_personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -88,8 +88,12 @@ def test_vectors(spark):
     ]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit("x") for c in CLASH})
     got = [tuple(r) for r in bitslice.top_k(frame).orderBy("query_id", "rank").collect()]
-    assert [g for g in got if g[0] == 0] == [(0, 1, 1, 65536), (0, 2, 9, 65536), (0, 3, 10, 65536), (0, 4, 2, 58880), (0, 5, 7, 0)]
+    # both rows of id 1 are candidates
+    assert [g for g in got if g[0] == 0] == [(0, 1, 1, 65536), (0, 2, 1, 65536), (0, 3, 9, 65536), (0, 4, 10, 65536), (0, 5, 2, 58880)]
     assert [g[2] for g in got if g[0] == 50] == [7, 8, 2, 0, 1]
+    large = spark.createDataFrame([(0, [1.0, 2.0]), (1, [70000.0, -1.0]), (2, [3e30, 0.0]), (3, [0.0, 1.0]), (0, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = [tuple(r)[1:] for r in bitslice.top_k(large).collect()]
+    assert (1, 2, 2**63 - 1) in got and (2, 1, 256 * 256 * 70000 - 512 * 256) in got and (1, 3, 0) in got and len(got) == 6
     assert bitslice.top_k(frame.limit(0)).count() == 0
     found = sorted(tiles.near_duplicates(frame).collect(), key=lambda r: (r["vec_id"] is None, r["vec_id"] or 0))
     assert len(found) == len(rows)
