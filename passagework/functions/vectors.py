@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import tokenize
+from .plain import tokenize
 
 BUCKETS, BIGRAM_WEIGHT = 512, 0.5
 
@@ -39,20 +39,29 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 
 def bytes_to_vector(data: Column) -> Column:
-    """Little-endian 32-bit floats of a binary column as an array of float; null if the length is no multiple of 4."""
+    """Little-endian 32-bit floats of a binary column as an array of float; an error if the length is no multiple of 4."""
 
     @F.pandas_udf("array<float>")
-    def decoded(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: np.frombuffer(b, "<f4") if b is not None and len(b) % 4 == 0 else None)
+    def decoded(column: pd.Series) -> pd.Series:
+        sizes = column.str.len().fillna(0).astype(int)
+        if (sizes % 4).any():
+            raise ValueError("a vector's bytes are no multiple of 4")
+        numbers = np.frombuffer(b"".join(column.dropna()), "<f4")
+        cut = np.split(numbers, np.cumsum(sizes.to_numpy() // 4)[:-1]) if len(column) else []
+        return pd.Series(cut, dtype=object).where(column.notna().to_numpy(), None)
 
     return decoded(data)
 
 
 def vector_to_bytes(vector: Column) -> Column:
+    """An array of numbers as little-endian 32-bit floats."""
 
     @F.pandas_udf("binary")
-    def encoded(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    def encoded(column: pd.Series) -> pd.Series:
+        sizes = np.array([0 if v is None else 4 * len(v) for v in column], int)
+        ends = np.cumsum(sizes)
+        data = np.concatenate([np.zeros(0), *column.dropna()]).astype("<f4").tobytes()
+        return pd.Series([data[e - n : e] for e, n in zip(ends, sizes)], dtype=object).where(column.notna().to_numpy(), None)
 
     return encoded(vector)
 
@@ -73,18 +82,22 @@ def fnv_buckets(terms: list[str]) -> np.ndarray:
     return (hashes % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _embedded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        buckets, weights = [], []
-        for tokens in part.column("tokens").to_pylist():
-            tokens = tokens or []
-            pairs = [f"{a}_{b}" for a, b in zip(tokens, tokens[1:])]
-            at = fnv_buckets(tokens + pairs)
-            sums = np.bincount(at, np.repeat([1.0, BIGRAM_WEIGHT], [len(tokens), len(pairs)]), BUCKETS)
-            some = np.flatnonzero(sums)
-            buckets.append(some.astype(np.int32))
-            weights.append(sums[some] / np.sqrt((sums * sums).sum()) if len(some) else sums[some])
-        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=["key", "bucket", "weight"])
+def embedded(tokens: list[list[str]]) -> np.ndarray:
+    """Hashed embeddings of token lists, one row each: 1 a token and half a pair of neighbours, brought to unit length; zero without tokens."""
+    pairs = [[f"{a}_{b}" for a, b in zip(some, some[1:])] for some in tokens]
+    sizes = np.array([(len(a), len(b)) for a, b in zip(tokens, pairs)], np.int64).reshape(-1, 2)
+    at = fnv_buckets([t for a, b in zip(tokens, pairs) for t in (*a, *b)])
+    owner = np.repeat(np.arange(len(tokens)), sizes.sum(axis=1))
+    weight = np.repeat(np.tile([1.0, BIGRAM_WEIGHT], len(tokens)), sizes.ravel())
+    sums = np.bincount(owner * BUCKETS + at, weight, len(tokens) * BUCKETS).reshape(len(tokens), BUCKETS)
+    return sums / np.sqrt(np.maximum((sums * sums).sum(axis=1, keepdims=True), 1e-300))
+
+
+def _sparse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in (whole.slice(at, 512) for whole in parts for at in range(0, whole.num_rows, 512)):
+        made = embedded([tokenize(t or "") for t in part.column("text").to_pylist()])
+        rows, buckets = np.nonzero(made)
+        yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows)), pa.array(buckets.astype(np.int32)), pa.array(made[rows, buckets])], names=["key", "bucket", "weight"])
 
 
 def hashed_embedding(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -93,7 +106,5 @@ def hashed_embedding(rows: DataFrame, key: str, text: Column) -> DataFrame:
     Texts without tokens have no rows. A row's vector is made where the row is, in Arrow
     batches: hashing character by character in SQL took twenty times as long, and summing
     buckets there two shuffles."""
-    tokens = rows.select(F.col(key).alias("key"), tokenize(text).alias("tokens"))
-    made = tokens.mapInArrow(_embedded, f"key {tokens.schema['key'].dataType.simpleString()}, bucket array<int>, weight array<double>")
-    each = made.select(F.col("key").alias(key), F.explode(F.arrays_zip("bucket", "weight")).alias("f"))
-    return each.select(key, "f.bucket", "f.weight")
+    inner = rows.select(F.col(key).alias("key"), text.alias("text"))
+    return inner.mapInArrow(_sparse, f"key {inner.schema['key'].dataType.simpleString()}, bucket int, weight double").withColumnRenamed("key", key)

@@ -72,12 +72,12 @@ def source():  # noqa: ANN201
     return F.struct("document_id", "title", "chunk_index", "content", "heading", "page_start", "page_end").cast(SOURCE)
 
 
-def searched(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def searched(questions: DataFrame, chunks: DataFrame, tuning: S.Tuning = S.TUNING) -> DataFrame:
     """question_id, rank, source: the relevant passages of each question, best first."""
     keyed = chunks.withColumn("chunk", F.concat_ws("#", "document_id", "chunk_index"))
-    scores = S.pair_scores(questions, "question_id", F.col("question"), keyed, "chunk", contextual_text(F.col("title"), F.col("heading"), F.col("content")))
+    scores = S.pair_scores(questions, "question_id", F.col("question"), keyed, "chunk", contextual_text(F.col("title"), F.col("heading"), F.col("content")), tuning)
     full = scores.join(questions, "question_id").join(keyed.select("chunk", "heading"), "chunk")
-    top = S.relevant(S.hybrid(full, "question_id", "chunk", F.col("heading"), F.col("question"))).select("question_id", "rank", "chunk")
+    top = S.relevant(S.hybrid(full, "question_id", "chunk", F.col("heading"), F.col("question"), tuning), tuning).select("question_id", "rank", "chunk")
     return top.join(keyed, "chunk").select("question_id", "rank", source().alias("source"))
 
 

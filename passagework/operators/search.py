@@ -1,21 +1,48 @@
 """Keyword, vector and hybrid search of many questions at once.
 
-Questions and passages are tables; every ranking is a window by question with a
-total order (score, then id), and a rank filter that Spark turns into partial
-limits before the shuffle. No side is broadcast by hint: AQE measures and decides."""
+Questions are a table of known size, passages one of any. Passages are read twice: once to count in how many of
+them the questions' terms occur, and once to score them, a block of passages against all questions by matrix
+products. A block returns, for each question, the first passages of each list, which are all that can be
+among the first of the whole, so no pair of a question and a passage is shuffled but these. Every ranking is
+a window by question with a total order (score, then id)."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import plain
 from ..functions.constants import ASKS_ABOUT_REFERENCES, REFERENCES_HEADING
-from ..functions.text import token_count, tokenize
-from ..functions.vectors import cosine, hashed_embedding, norm
+from ..functions.text import normalize_for_match
+from ..functions.vectors import BUCKETS, embedded
+
+
+@dataclass(frozen=True)
+class Tuning:
+    """What a search can be tuned by."""
+
+    k1: float = 1.2
+    b: float = 0.75
+    rrf_k: int = 60
+    depth: int = 50
+    top: int = 8
+    references_penalty: float = 0.5
+    least_score: float = 0.05
+    least_coverage: float = 0.5
 
-K1, B, RRF_K, DEPTH, TOP, PENALTY = 1.2, 0.75, 60, 50, 8, 0.5
-LEAST_SCORE, LEAST_COVERAGE = 0.05, 0.5
+
+TUNING = Tuning()
+#: Questions that meet the passages in one reading, passages that they meet at once, and places to which scores are rounded.
+QUESTIONS, BLOCK, PLACES = 1_024, 256, 6
+LISTS = ("vector_score", "bm25", "coverage")
 
 
 def ranked(rows: DataFrame, by: str, *order: Column, at_most: int | None = None, name: str = "rank") -> DataFrame:
@@ -24,103 +51,230 @@ def ranked(rows: DataFrame, by: str, *order: Column, at_most: int | None = None,
     return numbered if at_most is None else numbered.where(F.col(name) <= at_most)
 
 
-def postings(passages: DataFrame, key: str, text: Column, terms: DataFrame | None = None) -> DataFrame:
-    """key, term, tf, length: how often each term is in each passage; only the given terms (term) if any.
+class Asked:
+    """Questions as arrays: their terms, and their hashed embeddings."""
+
+    def __init__(self, keys: list, texts: list[str | None]) -> None:
+        tokens = [plain.tokenize(t or "") for t in texts]
+        self.keys, self.terms = keys, [list(dict.fromkeys(t)) for t in tokens]
+        self.number = {t: n for n, t in enumerate(dict.fromkeys(t for some in self.terms for t in some))}
+        self.vectors = embedded(tokens)
+        holders = [[] for _ in self.number]
+        for q, some in enumerate(self.terms):
+            for t in some:
+                holders[self.number[t]].append(q)
+        self.starts = np.cumsum([0, *map(len, holders)])  # questions of each term, one after the other
+        self.holders = np.array([q for some in holders for q in some], np.int64)
+
+    def weigh(self, docs: int, words: int, frequency: dict[str, int], tuning: Tuning) -> None:
+        """Weights of the terms, from the number of passages, of all their tokens, and of passages with each term."""
+        self.tuning, self.mean = tuning, words / docs if words else 1.0
+        df = [frequency.get(t, 0) for t in self.number]
+        self.idf = np.array([math.log(1 + (docs - n + 0.5) / (n + 0.5)) for n in df])
+        self.total = np.array([sum(self.idf[self.number[t]] for t in some) for some in self.terms])
+
+    def scores(self, passages: list[list[str]]) -> dict[str, np.ndarray]:
+        """(question, passage) of each score."""
+        at, times, owner = [], [], []
+        for p, tokens in enumerate(passages):
+            some = Counter(n for t in tokens if (n := self.number.get(t)) is not None)
+            at += some.keys()
+            times += some.values()
+            owner += [p] * len(some)
+        at, tf, owner = np.array(at, np.int64), np.array(times, float), np.array(owner, np.int64)
+        length = np.array([len(t) for t in passages], float)
+        k1, b = self.tuning.k1, self.tuning.b
+        gain = self.idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[owner] / self.mean))
+        # each occurrence of a term counts for all questions that hold it
+        many = self.starts[at + 1] - self.starts[at]
+        each = np.repeat(np.arange(len(at)), many)
+        question = self.holders[np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + self.starts[at][each]]
+        cell, shape = question * len(passages) + owner[each], (len(self.keys), len(passages))
+        sums = lambda w: np.bincount(cell, w, shape[0] * shape[1]).reshape(shape)
+        held = np.divide(sums(self.idf[at][each]), self.total[:, None], out=np.zeros(shape), where=self.total[:, None] > 0)
+        found = {"vector_score": np.minimum(1, self.vectors @ embedded(passages).T), "bm25": sums(gain[each]), "coverage": held}
+        return {name: np.round(x, PLACES) + 0.0 for name, x in found.items()}
+
+
+def counted(tokens: list[list[str]], wanted: dict[str, int]) -> tuple[int, int, Counter]:
+    """Passages, their tokens, and passages with each wanted term."""
+    return len(tokens), sum(map(len, tokens)), Counter(t for some in tokens for t in set(some) if t in wanted)
+
+
+def blocks(part: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    for at in range(0, part.num_rows, BLOCK):
+        some = part.slice(at, BLOCK)
+        yield some, [plain.tokenize(t or "") for t in some.column("text").to_pylist()]
+
+
+def candidates(questions: DataFrame, question_key: str, question: Column, passages: DataFrame, key: str, text: Column, lists: dict[str, int], tuning: Tuning = TUNING) -> DataFrame:
+    """question_key, key, vector_score, bm25, coverage of at least the first passages of each of the lists, each so many long.
+
+    vector_score compares hashed embeddings, bm25 is over all passages given, and coverage is the share of the
+    question's idf, absent terms included, that the passage holds. Scores have PLACES places. The vector list holds passages of any score, the others
+    only those that share a term. Questions are dealt into groups of about QUESTIONS, which is what is sent to every task; each group reads the passages."""
+    n = questions.count()
+    groups = max(1, -(-n // QUESTIONS))
+    asked = questions.select(F.col(question_key).alias("key"), question.alias("text"))
+    inner = passages.select(F.col(key).alias("key"), text.alias("text"))
+    made = None
+    for group in range(groups):
+        some = asked.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == group) if groups > 1 else asked
+        rows = some.collect()
+        order = sorted(range(len(rows)), key=lambda r: (rows[r]["key"] is None, rows[r]["key"]))
+        one = _scored(Asked([rows[r]["key"] for r in order], [rows[r]["text"] for r in order]), asked, inner, lists, tuning)
+        made = one if made is None else made.unionByName(one)
+    return made.withColumnsRenamed({"question": question_key, "key": key})
 
-    Terms are counted within a passage's own array, which needs no shuffle."""
-    tokens = passages.select(F.col(key), tokenize(text).alias("tokens"))
-    each = tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        each = each.join(terms.select("term").distinct(), "term", "left_semi")
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
+def _scored(asked: Asked, questions: DataFrame, passages: DataFrame, lists: dict[str, int], tuning: Tuning) -> DataFrame:
+    shipped = passages.sparkSession.sparkContext.broadcast(asked)  # QUESTIONS of them
 
-def bm25(questions: DataFrame, question_key: str, question: Column, passages: DataFrame, key: str, text: Column) -> DataFrame:
-    """question_key, key, bm25, coverage for every pair that shares a term.
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, terms = [0, 0], Counter()
+        for _, tokens in (b for part in parts for b in blocks(part)):
+            docs, words, df = counted(tokens, shipped.value.number)
+            sums[0] += docs
+            sums[1] += words
+            terms.update(df)
+        names = [None, None, *terms]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0, 1, *[2] * len(terms)], pa.int32()), pa.array([*sums, *terms.values()], pa.int64())], names=["term", "what", "n"])
 
-    Passages count with all their tokens; idf is over all passages. coverage is the share of the
-    question's idf, absent terms included, that the passage holds."""
-    wanted = questions.select(F.col(question_key), F.explode(F.array_distinct(tokenize(question))).alias("term"))
-    stats = passages.select(token_count(text).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    found = postings(passages, key, text, wanted)
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    df = F.coalesce("df", F.lit(0))
-    weighed = (
-        wanted.join(frequency, "term", "left")
-        .crossJoin(F.broadcast(stats))  # one row
-        .withColumn("idf", F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5)))
-    )
-    total = weighed.groupBy(question_key).agg(F.sum("idf").alias("total"))
-    mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    scored = weighed.join(found, "term").groupBy(question_key, key).agg(F.sum(gain).alias("bm25"), F.sum("idf").alias("held"))
-    return scored.join(total, question_key).select(question_key, key, "bm25", F.coalesce(F.try_divide("held", "total"), F.lit(0.0)).alias("coverage"))
+    totals = passages.mapInArrow(count, "term string, what int, n long").groupBy("what", "term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the questions
+    sums = {r["what"]: r["n"] for r in totals if r["what"] < 2}
+    asked.weigh(sums.get(0, 0), sums.get(1, 0), {r["term"]: r["n"] for r in totals if r["what"] == 2}, tuning)
+    weighed = passages.sparkSession.sparkContext.broadcast(asked)
+    question_type, key_type = questions.schema["key"].dataType.simpleString(), passages.schema["key"].dataType.simpleString()
 
+    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions_ = weighed.value
+        for some, tokens in (b for part in parts for b in blocks(part)):
+            found = questions_.scores(tokens)
+            keys = some.column("key")
+            order = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")  # ties go to smaller keys
+            chosen = np.zeros(found["bm25"].shape, bool)
+            for name, long in lists.items():
+                x = found[name]
+                first = np.lexsort((np.broadcast_to(order, x.shape), -x))[:, :long]
+                np.put_along_axis(chosen, first, np.take_along_axis(chosen, first, 1) | (name == "vector_score") | (np.take_along_axis(x, first, 1) > 0), 1)
+            q, p = np.nonzero(chosen)
+            columns = [pa.array([questions_.keys[n] for n in q]), keys.take(pa.array(p)), *(pa.array(found[c][q, p]) for c in LISTS)]
+            if len(q):
+                yield pa.RecordBatch.from_arrays(columns, names=["question", "key", *LISTS])
 
-def sparse_cosine(questions: DataFrame, question_key: str, question: Column, passages: DataFrame, key: str, text: Column) -> DataFrame:
-    """question_key, key, vector_score by hashed embeddings, for pairs that share a bucket."""
-    a = hashed_embedding(questions, question_key, question)
-    b = hashed_embedding(passages, key, text).withColumnRenamed("weight", "w")
-    return a.join(b, "bucket").groupBy(question_key, key).agg(F.least(F.lit(1.0), F.sum(F.col("weight") * F.col("w"))).alias("vector_score"))
+    return passages.mapInArrow(score, f"question {question_type}, key {key_type}, " + ", ".join(f"{c} double" for c in LISTS))
+
+
+def grid_top(table: pa.Table, other: pa.Table, k: int) -> pa.Table:
+    """Of queries and vectors of one cell: the k vectors with the best cosine for each query, never its own id."""
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        x = t["vector"].combine_chunks()
+        return np.array(x.flatten().to_numpy(), np.float64).reshape(len(x), -1)
+
+    a, b = matrix(table), matrix(other)
+    if a.shape[1] != b.shape[1]:
+        raise ValueError("vectors differ in length")
+    length = lambda x: np.sqrt((x * x).sum(axis=1))
+    both = np.outer(length(a), length(b))
+    score = np.round(np.clip(np.divide(a @ b.T, both, out=np.zeros_like(both), where=both > 0), -1, 1), PLACES) + 0.0
+    query, ids = table["query_id"].to_numpy(), other["other_id"].to_numpy()
+    score[query[:, None] == ids] = -2
+    first = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :k]
+    kept = np.take_along_axis(score, first, 1)
+    rows, places = np.nonzero(kept >= -1)
+    return pa.table({"query_id": query[rows], "vec_id": ids[first[rows, places]], "score": kept[rows, places]})
+
+
+#: Queries and vectors of one cell of the grid in which all of them meet.
+GRID_QUERIES, GRID_VECTORS = 1_024, 8_192
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, same_label: bool = False) -> DataFrame:
-    """query_id, vec_id, score, rank of the nearest other vectors of each query; of its label only if told so."""
-    a = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"), norm(F.col("embedding")).alias("q_norm"))
-    b = vectors.select("vec_id", "embedding", "label", norm(F.col("embedding")).alias("v_norm"))
-    met = (F.col("query_id") != F.col("vec_id")) & ((F.col("q_label") == F.col("label")) if same_label else F.lit(True))
-    scored = a.join(b, met).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding"), F.col("q_norm"), F.col("v_norm")), 6).alias("score"))
-    return ranked(scored, "query_id", F.desc("score"), F.col("vec_id"), at_most=k)
+    """query_id, vec_id, score, rank of the nearest other vectors of each query; of its label only if told so.
+
+    Null vectors have no part. Blocks of queries and of vectors meet in cells of bounded size, each a matrix product; within
+    a label if told so, where a label with many vectors has many cells."""
+    label = F.col("label") if same_label else F.lit(0)
+    a = queries.where("embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), label.alias("label"))
+    b = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").alias("other_id"), F.col("embedding").alias("vector"), label.alias("label"))
+    if same_label:
+        a, b = a.where("label IS NOT NULL"), b.where("label IS NOT NULL")
+    tiles = lambda rows, size, name: rows.groupBy("label").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    cells = tiles(a, GRID_QUERIES, "rows").join(tiles(b, GRID_VECTORS, "columns"), "label")
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str, of_own: str, of_other: str) -> DataFrame:
+        placed = rows.join(cells, "label").withColumn(own, F.pmod(F.xxhash64(key), F.col(of_own)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(of_other) - 1))).drop("rows", "columns")
 
+    left, right = dealt(a, "query_id", "i", "j", "rows", "columns"), dealt(b, "other_id", "j", "i", "columns", "rows")
+    met = left.toDF(*left.columns).groupBy("label", "i", "j").cogroup(right.toDF(*right.columns).groupBy("label", "i", "j"))
 
-def fuse(rankings: list[DataFrame], by: str, key: str) -> DataFrame:
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not len(x) or not len(y):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        return grid_top(x, y, k)
+
+    return ranked(met.applyInArrow(best, "query_id long, vec_id long, score double"), "query_id", F.desc("score"), F.col("vec_id"), at_most=k)
+
+
+def fuse(rankings: list[DataFrame], by: str, key: str, tuning: Tuning = TUNING) -> DataFrame:
     """Reciprocal rank fusion of rankings (by, key, rank), as a share of the best score there can be."""
     everything = rankings[0].select(by, key, "rank")
     for other in rankings[1:]:
         everything = everything.unionByName(other.select(by, key, "rank"))
-    return everything.groupBy(by, key).agg((F.sum(1.0 / (RRF_K + F.col("rank"))) / (len(rankings) / (RRF_K + 1.0))).alias("score"))
+    return everything.groupBy(by, key).agg((F.sum(1.0 / (tuning.rrf_k + F.col("rank"))) / (len(rankings) / (tuning.rrf_k + 1.0))).alias("score"))
+
+
+def both_lists(scores: DataFrame, by: str, key: str, tuning: Tuning = TUNING) -> DataFrame:
+    """The fused scores of the vector list, with any score, and of the keyword list, of passages that share a term."""
+    vector = ranked(scores, by, F.desc("vector_score"), F.col(key), at_most=tuning.depth)
+    keyword = ranked(scores.where("bm25 > 0"), by, F.desc("bm25"), F.col(key), at_most=tuning.depth)
+    return fuse([vector, keyword], by, key, tuning)
+
+
+def about_references(heading: Column, question: Column | None) -> Column:
+    """Whether a passage stands under a heading of references that the question doesn't ask about."""
+    asks = F.lit(False) if question is None else F.coalesce(question.rlike("(?i)" + ASKS_ABOUT_REFERENCES), F.lit(False))
+    return F.coalesce(heading.rlike("(?i)" + REFERENCES_HEADING), F.lit(False)) & ~asks
 
 
-def hybrid(scores: DataFrame, by: str, key: str, heading: Column | None = None, question: Column | None = None, top: int = TOP) -> DataFrame:
-    """The top passages of each question by fused vector and keyword ranks.
+def hybrid(scores: DataFrame, by: str, key: str, heading: Column | None = None, question: Column | None = None, tuning: Tuning = TUNING) -> DataFrame:
+    """The top passages of each question by fused vector and keyword ranks, from candidates of both lists.
 
-    scores: by, key, vector_score, bm25, coverage. The vector list has no least
-    score, the keyword list only passages that share a term. Passages under a heading of
+    scores: by, key, vector_score, bm25, coverage. Passages under a heading of
     references count half, unless the question asks about references."""
-    vector = ranked(scores, by, F.desc("vector_score"), F.col(key), at_most=DEPTH)
-    keyword = ranked(scores.where("bm25 > 0"), by, F.desc("bm25"), F.col(key), at_most=DEPTH)
-    fused = fuse([vector, keyword], by, key).join(scores, [by, key])
+    fused = both_lists(scores, by, key, tuning).join(scores, [by, key])
     if heading is not None:
-        asks = F.lit(False) if question is None else question.rlike("(?i)" + ASKS_ABOUT_REFERENCES)
-        fused = fused.withColumn("score", F.when(F.coalesce(heading.rlike("(?i)" + REFERENCES_HEADING), F.lit(False)) & ~asks, F.col("score") * PENALTY).otherwise(F.col("score")))
-    return ranked(fused, by, F.desc("score"), F.desc("vector_score"), F.col(key), at_most=top)
+        fused = fused.withColumn("score", F.when(about_references(heading, question), F.col("score") * tuning.references_penalty).otherwise(F.col("score")))
+    return ranked(fused, by, F.desc("score"), F.desc("vector_score"), F.col(key), at_most=tuning.top)
 
 
-def relevant(rows: DataFrame, least_score: float = LEAST_SCORE, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+def relevant(rows: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
     """Passages near enough by vector or by words; applied after the cut to the top."""
-    return rows.where((F.col("vector_score") >= least_score) | (F.col("coverage") >= least_coverage))
+    return rows.where((F.col("vector_score") >= tuning.least_score) | (F.col("coverage") >= tuning.least_coverage))
 
 
-def pair_scores(questions: DataFrame, question_key: str, question: Column, passages: DataFrame, key: str, text: Column) -> DataFrame:
-    """question_key, key, vector_score, bm25, coverage of every pair that either search finds; what one lacks is 0."""
-    a = sparse_cosine(questions, question_key, question, passages, key, text)
-    b = bm25(questions, question_key, question, passages, key, text)
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return a.join(b, [question_key, key], "full").select(question_key, key, zero("vector_score"), zero("bm25"), zero("coverage"))
+def pair_scores(questions: DataFrame, question_key: str, question: Column, passages: DataFrame, key: str, text: Column, tuning: Tuning = TUNING) -> DataFrame:
+    """question_key, key, vector_score, bm25, coverage of the passages that hybrid() can choose from."""
+    return candidates(questions, question_key, question, passages, key, text, {"vector_score": tuning.depth, "bm25": tuning.depth}, tuning)
 
 
 def quotes_in(quotes: DataFrame, quote_key: str, quote: Column, passages: DataFrame, key: str, text: Column) -> DataFrame:
-    """quote_key, key of every passage that holds a quote, both squashed to single spaces and lower case.
+    """quote_key, key of every passage that holds a quote of three characters or more, both normalised.
 
     Pairs meet on one whole word of the quote's inside: such a word must also be a word of the passage. The longest is
-    taken, being rare. Quotes of two words and less meet every passage."""
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    asked = quotes.select(F.col(quote_key), plain(quote).alias("quote")).where("length(quote) >= 3")
+    taken, being rare. Quotes of two words and less have no inside and meet on their first three
+    characters. Only words and keys are matched at first; texts join the pairs that are left."""
+    asked = quotes.select(F.col(quote_key), normalize_for_match(quote).alias("quote")).where("length(quote) >= 3")
     inside = F.expr("filter(slice(split(quote, ' '), 2, greatest(0, size(split(quote, ' ')) - 2)), w -> length(w) > 0)")
     longest = F.expr("array_max(transform(inside, w -> struct(length(w) AS n, w AS w)))")["w"]
     keyed = asked.withColumn("inside", inside).withColumn("word", longest).drop("inside")
-    held = passages.select(F.col(key), plain(text).alias("content"))
-    words = held.select(key, "content", F.explode(F.array_distinct(F.split("content", " "))).alias("word")).join(keyed.select("word").where("word IS NOT NULL").distinct(), "word", "left_semi")
-    by_word = words.join(keyed.where("word IS NOT NULL"), "word").where(F.col("content").contains(F.col("quote"))).select(quote_key, key)
-    short = keyed.where("word IS NULL").join(held, F.col("content").contains(F.col("quote"))).select(quote_key, key)
-    return by_word.unionByName(short)
+    held = passages.select(F.col(key), normalize_for_match(text).alias("content"))
+    words = held.select(key, F.explode(F.array_distinct(F.split("content", " "))).alias("word"))
+    met = words.join(keyed.where("word IS NOT NULL").select("word", quote_key), "word").select(quote_key, key)
+    short = keyed.where("word IS NULL").select(quote_key, F.left("quote", F.lit(3)).alias("gram"))
+    if not short.isEmpty():
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("content") - 2)), lambda n: F.substring(F.col("content"), n, F.lit(3)))
+        met = met.unionByName(held.select(key, F.explode(F.array_distinct(grams)).alias("gram")).join(short, "gram").select(quote_key, key))
+    return met.join(asked, quote_key).join(held, key).where(F.col("content").contains(F.col("quote"))).select(quote_key, key)

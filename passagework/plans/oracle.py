@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.constants import IRREGULAR, OVERVIEW_PATTERN, OVERVIEW_WORDS, STOPWORDS
+from ..functions.constants import ASKS_ABOUT_REFERENCES, IRREGULAR, OVERVIEW_PATTERN, OVERVIEW_WORDS, STOPWORDS
 
 
 def quoted(items) -> str:
@@ -66,7 +66,7 @@ HYBRID = f"""{BM25},
 fd AS ({features('doc_id', 'tok', 't')}), fq AS ({features('item_id', 'ask', 'every')}),
 nd AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM fd GROUP BY 1), nq AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM fq GROUP BY 1),
 vec AS (SELECT item_id, doc_id, least(1.0, sum(fq.w / nq.n * (fd.w / nd.n))) AS vector_score FROM fq JOIN nq USING (item_id) JOIN fd ON fd.bucket = fq.bucket JOIN nd USING (doc_id) GROUP BY ALL),
-pairs AS (SELECT item_id, doc_id, round(coalesce(vector_score, 0), 6) AS vector_score, round(coalesce(bm25, 0), 6) AS bm25, round(coalesce(coverage, 0), 6) AS coverage FROM vec FULL JOIN bm USING (item_id, doc_id)),
+pairs AS (SELECT item_id, doc_id, round(coalesce(vector_score, 0), 6) AS vector_score, round(coalesce(bm25, 0), 6) AS bm25, round(coalesce(coverage, 0), 6) AS coverage FROM (SELECT item_id, doc_id FROM ask, tok) LEFT JOIN vec USING (item_id, doc_id) LEFT JOIN bm USING (item_id, doc_id)),
 lists AS (
   SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY vector_score DESC, doc_id) AS rank FROM pairs
   UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) FROM pairs WHERE bm25 > 0),
@@ -75,7 +75,8 @@ top AS (
   SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vector_score DESC, doc_id) AS INT) AS rank, round(score, 6) AS score, vector_score, coverage
   FROM (SELECT item_id, doc_id, round(score, 9) AS score FROM fused) JOIN pairs USING (item_id, doc_id))"""
 
-PLAIN = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+CURLY, STRAIGHT = "‘’‚‛“”„‟‐‑‒–—―−\u00a0\ufeff", "''''" + '"' * 4 + "-" * 7 + "  "
+PLAIN = "trim(regexp_replace(translate(lower({0}), '" + CURLY + "', '" + STRAIGHT.replace("'", "''") + "'), '\\s+', ' ', 'g'))"
 CELL = """CASE WHEN regexp_matches(x, '["\\r\\n,]') THEN '"' || replace(x, '"', '""') || '"' ELSE x END"""
 
 
@@ -107,6 +108,9 @@ ORACLES: dict[str, str] = {
     "bm25_topk": f"WITH {BM25} SELECT item_id, doc_id, CAST(rank AS INT) AS rank, bm25 FROM (SELECT item_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 8",
     "bm25_coverage": f"WITH {BM25} SELECT item_id, doc_id, CAST(rank AS INT) AS rank, coverage FROM (SELECT item_id, doc_id, round(coverage, 6) AS coverage, row_number() OVER (PARTITION BY item_id ORDER BY round(coverage, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 8",
     "hybrid_rank": f"WITH {HYBRID} SELECT * FROM top WHERE rank <= 8",
+    "references_penalty": f"""WITH {HYBRID},
+      p AS (SELECT f.item_id, f.doc_id, f.score * CASE WHEN f.doc_id % 10 = 0 AND NOT (f.item_id % 4 = 0 OR regexp_matches(lower(b.text), '{ASKS_ABOUT_REFERENCES}')) THEN 0.5::DOUBLE ELSE 1 END AS score FROM fused f JOIN benchmark b USING (item_id)),
+      r AS (SELECT item_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, vector_score DESC, doc_id) AS INT) AS rank FROM p JOIN pairs USING (item_id, doc_id)) SELECT item_id, doc_id, rank, score FROM r WHERE rank <= 8""",
     "relevance_gate": f"WITH {HYBRID} SELECT * FROM top WHERE rank <= 8 AND (vector_score >= 0.05 OR coverage >= 0.5)",
     "rrf_fusion": f"WITH {HYBRID} SELECT item_id, doc_id, round(score, 6) AS score FROM fused",
     "tokenize_terms": f"SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, CAST(len(list_distinct(t)) AS INT) AS n_unique, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",

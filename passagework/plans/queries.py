@@ -15,6 +15,7 @@ from ..operators import search as S
 from ..operators.ask import ask
 from ..operators.chunk import chunks_of_texts, sentences_of_texts
 from ..operators.ingest import read_files
+from ..operators.terms import frequencies, term_counts, tokens_of
 from ..sources import native as N
 from ..streaming.files import windowed_activity
 from .oracle import NOW
@@ -31,34 +32,31 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def bm25_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25(table(spark, d, "benchmark"), "item_id", F.col("text"), table(spark, d, "documents"), "doc_id", F.col("text"))
+def found(spark: SparkSession, d: str, **lists: int) -> DataFrame:
+    """Each benchmark text as a question to all documents."""
+    return S.candidates(table(spark, d, "benchmark"), "item_id", F.col("text"), table(spark, d, "documents"), "doc_id", F.col("text"), lists)
 
 
 @query
 def bm25_topk(spark, d):
     """Each benchmark text as a question: the top documents by BM25."""
-    scored = bm25_pairs(spark, d).select("item_id", "doc_id", F.round("bm25", 6).alias("bm25"))
-    return S.ranked(scored, "item_id", F.desc("bm25"), F.col("doc_id"), at_most=S.TOP)
+    top = S.TUNING.top
+    return S.ranked(found(spark, d, bm25=top).select("item_id", "doc_id", "bm25"), "item_id", F.desc("bm25"), F.col("doc_id"), at_most=top)
 
 
 @query
 def bm25_coverage(spark, d):
-    scored = bm25_pairs(spark, d).select("item_id", "doc_id", F.round("coverage", 6).alias("coverage"))
-    return S.ranked(scored, "item_id", F.desc("coverage"), F.col("doc_id"), at_most=S.TOP)
+    top = S.TUNING.top
+    return S.ranked(found(spark, d, coverage=top).select("item_id", "doc_id", "coverage"), "item_id", F.desc("coverage"), F.col("doc_id"), at_most=top)
 
 
 def pairs(spark, d):
-    scores = S.pair_scores(table(spark, d, "benchmark"), "item_id", F.col("text"), table(spark, d, "documents"), "doc_id", F.col("text"))
-    return scores.select("item_id", "doc_id", *[F.round(c, 6).alias(c) for c in ("vector_score", "bm25", "coverage")])
+    return found(spark, d, vector_score=S.TUNING.depth, bm25=S.TUNING.depth)
 
 
 @query
 def rrf_fusion(spark, d):
-    scores = pairs(spark, d)
-    vector = S.ranked(scores, "item_id", F.desc("vector_score"), F.col("doc_id"), at_most=S.DEPTH)
-    keyword = S.ranked(scores.where("bm25 > 0"), "item_id", F.desc("bm25"), F.col("doc_id"), at_most=S.DEPTH)
-    return S.fuse([vector, keyword], "item_id", "doc_id").withColumn("score", F.round("score", 6))
+    return S.both_lists(pairs(spark, d), "item_id", "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query
@@ -66,6 +64,16 @@ def hybrid_rank(spark, d):
     return S.hybrid(pairs(spark, d), "item_id", "doc_id").select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"), "vector_score", "coverage")
 
 
+@query
+def references_penalty(spark, d):
+    """The ranking of hybrid_rank where every tenth document stands under a heading of references, which questions on citations ask for."""
+    heading = F.when(F.col("doc_id") % 10 == 0, "Paper › References").otherwise("Paper › Results")
+    asked = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 4 == 0, F.concat(F.col("text"), F.lit(" citations?"))).otherwise(F.col("text")).alias("question"))
+    rows = pairs(spark, d).join(asked, "item_id")
+    top = S.hybrid(rows, "item_id", "doc_id", heading, F.col("question"))
+    return top.select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def relevance_gate(spark, d):
     return S.relevant(hybrid_rank(spark, d))
@@ -73,18 +81,17 @@ def relevance_gate(spark, d):
 
 @query
 def tokenize_terms(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_unique"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
+    t = tokens_of(table(spark, d, "documents"), "doc_id", F.col("text"))
+    return t.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_unique"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"))
 
 
-def terms(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
+def vocabulary(spark, d):
+    return frequencies(term_counts(table(spark, d, "documents"), "doc_id", F.col("text")))
 
 
 @query
 def stem_vocab(spark, d):
-    by_doc = terms(spark, d).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return by_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return vocabulary(spark, d).select("term", F.col("tf").alias("n"), F.col("df").alias("docs"))
 
 
 @query
@@ -96,7 +103,7 @@ def token_counts(spark, d):
 @query
 def doc_frequency(spark, d):
     docs = table(spark, d, "documents")
-    df = docs.select(F.explode(T.unique_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = frequencies(term_counts(docs, "doc_id", F.col("text")))
     n = docs.agg(F.count("*").alias("n"))  # one row
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
