@@ -69,7 +69,7 @@ QUANTITATIVE = (
     r"|frequency|resolution|number|value|count|percentage|time|duration|distance|length|weight|cost|price|fee|score))\b"
     r"|\b(rmse|accuracy|percentage|frequency|resolution)\b"
 )
-FOCUS = r"\b(?:what|which|how many|how much)\s+(?:(?:is|are|was|were|does|do|did)\s+)?(?:(?:the|a|an)\s+)?([\w-]+)"
+FOCUS = r"\b(?:what|which|how many|how much)\s+(?:(?:is|are|was|were|does|do|did)\s+)?(?:(?:the|a|an)\s+)?([a-zA-Z0-9-]+)"
 REFERENCES_HEADING = r"(^|› )([\dIVX]+\.?\s+)?(references|bibliography|works cited)$"
 ASKS_ABOUT_REFERENCES = r"\b(references?|cit(e|es|ed|ation|ations)|bibliography|et al|prior work|related work)\b"
 ABSTRACT_HEADING = r"(^|› )(abstract|summary|executive summary|overview)$"
@@ -88,9 +88,17 @@ NOT_PROSE = r"https?://|@\w+\.\w|^\[\d+\]|^[^.;]{1,40}: [^;]*;"
 MEASUREMENT = r"\d(\.\d+)?\s?(%|percent|m\b|cm\b|km\b|hz\b|ms\b|s\b|kg\b|°|x\b|times\b|fps\b|gb\b|mb\b|\$|£|€)|[$£€]\s?\d"
 TABLE_LINE = r"^[^.;]{1,60}: [^;]*;| \| "
 LIST_LINE = r"^([-*•]|\d{1,3}[.)])\s+"
-QUESTION_HEADER = r"^\s*(questions?|prompts?|quer(y|ies)|text|items?|q)\s*$"
 QUESTION_COLUMNS = "question questions prompt prompts query queries text item q".split()
 
+GENERAL_SECTION = (
+    r"^(abstract|summary|introduction|background|related work|conclusions?|discussion|references|bibliography"
+    r"|acknowledge?ments?|appendix.*|contents|overview|system overview)$"
+)
+
+# Where a sentence may end, the word before its period, and a label before a numeral.
+SENTENCE_END = r"""([.!?])(["'”’)\]]*)\s+(?=["'“‘(\[]?[A-Z0-9])"""
+LAST_WORD = r"""(?:^|[\s(\[])([A-Za-z][A-Za-z.]*)\.["'”’)\]]*$"""
+
 NOT_FOUND = "The provided documents do not contain enough information to answer this question."
 
 # Parts of words that keep their hyphen at a line break.

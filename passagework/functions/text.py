@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import IRREGULAR, OVERVIEW_PATTERN, OVERVIEW_WORDS, STOPWORDS, TABLE_LINE
+from .constants import GENERAL_SECTION, IRREGULAR, OVERVIEW_PATTERN, OVERVIEW_WORDS, STOPWORDS, TABLE_LINE
 
 WORD_BREAK, COMPOUND = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]+(?:[-./][\p{L}\p{N}]+)+"
 
@@ -205,15 +205,118 @@ def format_percent(fraction: Column) -> Column:
 
 
 def format_ms(ms: Column) -> Column:
-    return F.when(ms < 1_000, F.concat(F.round(ms).cast("long").cast("string"), F.lit(" ms"))).otherwise(F.concat(F.format_number(ms / 1_000, "0.0"), F.lit(" s")))
+    return F.when(ms < 1_000, F.concat(F.round(ms).cast("long").cast("string"), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.1f", ms / 1_000), F.lit(" s")))
+
+
+def format_count(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def format_bytes(n: Column) -> Column:
+    kb, mb = F.format_string("%.1f", n / 1_024), F.format_string("%.2f", n / 1_048_576)
+    return F.when(n < 1_024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1_048_576, F.concat(kb, F.lit(" KB"))).otherwise(F.concat(mb, F.lit(" MB")))
+
+
+def pluralize(n: Column, singular: str, plural: str | None = None) -> Column:
+    return F.concat(format_count(n), F.lit(" "), F.when(n == 1, singular).otherwise(plural or singular + "s"))
+
+
+def file_kind_label(filename: Column, mime: Column) -> Column:
+    """The extension in capitals, else the MIME type, else "file"."""
+    extension = F.upper(F.regexp_extract(filename, r"\.([^.]+)$", 1))
+    return F.coalesce(_or_null(extension), _or_null(mime), F.lit("file"))
+
+
+def served_as(mime: Column) -> Column:
+    """How an original file is handed out: inline only for formats that can't run anything, and any text as plain text."""
+    inline = mime.isin("application/pdf", "text/plain", "text/markdown", "text/csv")
+    kind = F.when(~F.coalesce(inline, F.lit(False)), "application/octet-stream").when(mime.startswith("text/"), "text/plain; charset=utf-8").otherwise(mime)
+    return F.struct(F.when(inline, "inline").otherwise("attachment").alias("disposition"), kind.alias("type"))
+
+
+def blocks_to_text(blocks: Column) -> Column:
+    """The texts of an array of blocks, with a blank line between them."""
+    return F.array_join(blocks, "\n\n")
+
+
+def document_text(title: Column, blocks: Column) -> Column:
+    """Title, if there is one, and blocks as one text."""
+    return F.concat_ws("\n\n", _or_null(title), blocks_to_text(blocks))
+
+
+def topic_of(heading: Column) -> Column:
+    """What a heading of an outline suggests to ask about: without its number, in lower case but for acronyms; null for general sections."""
+    name = F.trim(F.regexp_replace(display_heading(heading), r"^([IVXLC]+|[0-9]+(\.[0-9]+)*|[A-Z])[.)]\s+", ""))
+    words_ = F.split(name, r"(?<=[^A-Za-z0-9_])|(?=[^A-Za-z0-9_])")
+    plain = F.array_join(F.transform(words_, lambda w: F.when(w.rlike("^[A-Z][a-z]+$"), F.lower(w)).otherwise(w)), "")
+    return F.when(F.length(name).between(4, 40) & ~name.rlike("(?i)" + GENERAL_SECTION), plain)
+
+
+def suggested_questions(n_documents: Column, topics: Column) -> Column:
+    """Questions to begin with: two general ones, and one for each of the first two topics."""
+    first = F.when(n_documents == 1, "Summarise this document").otherwise("What are these documents about?")
+    about = F.transform(F.slice(topics, 1, 2), lambda t: F.concat(F.lit("What does it say about "), t, F.lit("?")))
+    return F.concat(F.array(first, F.lit("What are the key findings?")), about)
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Whole percent of a total, 0 of nothing."""
+    return F.round(100 * done / F.greatest(F.lit(1), total)).cast("int")
 
 
 def highlight_offset(content: Column, quote: Column) -> Column:
-    """0-based place of the normalised quote in the normalised content; null if absent."""
-    at = F.instr(normalize_for_match(content), normalize_for_match(quote))
+    """0-based place of the quote in the content as it stands, ignoring case; null if absent."""
+    at = F.instr(F.lower(content), F.lower(quote))
     return F.when(at > 0, at - 1)
 
 
+def json_reply(content: Column) -> Column:
+    """The JSON value of a model's reply, as a variant: the whole of it, else what a fence holds, else from the first brace to the last; null if none parses."""
+    fence, brace = r"(?is)```(?:json)?\s*(.*?)```", r"(?s)(\{.*\})"
+    inside = lambda pattern: F.try_parse_json(F.trim(_or_null(F.regexp_extract(content, pattern, 1))))
+    return F.coalesce(F.try_parse_json(_or_null(F.trim(content))), inside(fence), inside(brace))
+
+
+def reply_fields(content: Column) -> Column:
+    """answer, citations, confidence, insufficient of a model's reply, with small liberties put right; null if it is no answer."""
+    value = json_reply(content)
+    text = lambda path: F.try_variant_get(value, path, "string")
+    raw = F.try_variant_get(value, "$.citations", "array<struct<source:string,quote:string>>")
+    cited = F.transform(F.coalesce(raw, F.array().cast("array<struct<source:string,quote:string>>")), lambda c: F.struct(c["source"].try_cast("double").try_cast("int").alias("source"), c["quote"].alias("quote")))
+    confidence = F.lower(F.trim(text("$.confidence")))
+    fields = F.struct(text("$.answer").alias("answer"), cited.alias("citations"), confidence.alias("confidence"), F.coalesce(text("$.insufficient") == "true", F.lit(False)).alias("insufficient"))
+    return F.when(text("$.answer").isNotNull() & confidence.isin("high", "medium", "low"), fields)
+
+
+SUMMARY_TYPE = "struct<abstract:string, keyPoints:array<struct<text:string, chunkIndex:int, page:int>>, outline:array<struct<heading:string, level:int, page:int, chunkIndex:int>>>"
+
+
+def parse_summary(json: Column) -> Column:
+    """A stored summary; null unless it is JSON with key points and an outline."""
+    value = F.try_variant_get(F.try_parse_json(json), "$", SUMMARY_TYPE)
+    return F.when(value["keyPoints"].isNotNull() & value["outline"].isNotNull(), value)
+
+
+def table_text(rows: Column) -> Column:
+    """A table, an array of arrays of cells, as an array of lines: "Header: value; …" under a header that looks like one, else cells joined by bars."""
+    clean = F.filter(F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))), lambda r: F.exists(r, lambda c: c != ""))
+    bar = lambda r: F.array_join(F.filter(r, lambda c: c != ""), " | ")
+    header = F.try_element_at(clean, F.lit(1))
+    numeric = F.size(F.filter(header, lambda c: c.rlike("[0-9]")))
+    good = (F.size(clean) >= 2) & F.forall(header, lambda c: F.length(c).between(1, 40)) & (numeric <= F.floor(F.size(header) / 3))
+    pairs = lambda r: F.array_join(F.filter(F.zip_with(header, r, lambda h, c: F.when(c != "", F.concat(h, F.lit(": "), c))), lambda x: x.isNotNull()), "; ")
+    line = lambda r: F.when(F.size(r) == F.size(header), pairs(r)).when(F.size(r) == F.size(header) + 1, F.concat(F.get(r, 0), F.lit(" — "), pairs(F.slice(r, 2, F.size(header))))).otherwise(bar(r))
+    return F.when(good, F.concat(F.array(F.array_join(header, " | ")), F.transform(F.slice(clean, 2, F.greatest(F.lit(1), F.size(clean))), line))).otherwise(F.transform(clean, bar))
+
+
+def csv_delimiter(text: Column) -> Column:
+    """The most frequent of comma, semicolon and tab outside quotes in the first line; the earlier one on a tie."""
+    line = F.regexp_replace(F.regexp_extract(text, r"^([^\n]*?)\r?(?:\n|$)", 1), '"[^"]*("|$)', "")
+    n = {d: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))) for d in ",;\t"}
+    return F.when((n[","] >= n[";"]) & (n[","] >= n["\t"]), ",").when(n[";"] >= n["\t"], ";").otherwise("\t")
+
+
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a of the characters' code points, in 64-bit arithmetic."""
     step = lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("long"))) * F.lit(16_777_619)) % F.lit(4_294_967_296)

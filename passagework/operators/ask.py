@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contextual_text, names_document, question_plan
 from . import answer as A
+from .providers import Offline, Provider
 from . import search as S
 from .chunk import Chunk
 from .summary import overview_chunks
@@ -20,26 +20,13 @@ OVERVIEW_DOCUMENTS = 3
 #: Passages for each document of an overview, by how many there are.
 OVERVIEW_PASSAGES = {1: 8, 2: 5, 3: 4}
 SOURCE = "struct<document_id:string, title:string, chunk_index:int, content:string, heading:string, page_start:int, page_end:int>"
-RESULT = "answer string, mode string, confidence string, insufficient boolean, citations array<struct<ord:int, source:int, document_id:string, chunk_index:int, quote:string, verified:boolean>>"
-
-
-class Provider(Protocol):
-    """What writes answers. Remote ones retry on their own; a task that fails is run again by Spark."""
-
-    def generate(self, question: str, sources: list[A.Source], mode: str) -> A.Answer: ...
-
-
-class Offline:
-    """Extracts sentences; needs no network."""
-
-    def generate(self, question: str, sources: list[A.Source], mode: str) -> A.Answer:
-        return A.overview(sources) if mode == "overview" else A.answer(question, sources)
+RESULT = "answer string, mode string, confidence string, insufficient boolean, citations array<struct<ord:int, source:int, document_id:string, chunk_index:int, quote:string, verified:boolean>>, error string"
 
 
 def routed(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """question_id, document_id of the questions that ask for an overview: of the documents they name, else of the newest.
 
-    documents: document_id, title, created. Up to OVERVIEW_DOCUMENTS each, newest first, then by id."""
+    documents: document_id, title, created, and points if key points are known. Up to OVERVIEW_DOCUMENTS each, newest first, then by id."""
     planned = questions.select("question_id", question_plan(F.col("question")).alias("plan"))
     newest = documents.orderBy(F.desc("created"), "document_id").limit(OVERVIEW_DOCUMENTS)
     about_all = planned.where("plan.overview").select("question_id").crossJoin(F.broadcast(newest.select("document_id", "created")))  # three rows
@@ -52,18 +39,22 @@ def routed(questions: DataFrame, documents: DataFrame) -> DataFrame:
     return S.ranked(about_all.unionByName(about_named), "question_id", F.desc("created"), F.col("document_id"), at_most=OVERVIEW_DOCUMENTS).select("question_id", "document_id")
 
 
-def overview_passages(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """question_id, rank, source: the passages that give the gist of each wanted (question_id, document_id)."""
+def overview_passages(chunks: DataFrame, wanted: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """question_id, rank, source: the passages that give the gist of each wanted (question_id, document_id).
+
+    points: document_id, points (chunk indexes of a document's key points), if they are known."""
     counted = wanted.withColumn("n", F.count("*").over(W.partitionBy("question_id")))
     needed = chunks.join(counted.select("document_id", "n").distinct(), "document_id")
+    none = F.array().cast("array<int>")
+    needed = needed.withColumn("points", none) if points is None else needed.join(points.select("document_id", "points"), "document_id", "left").withColumn("points", F.coalesce("points", none))
 
     def pick(table: pa.Table) -> pa.Table:
         order = table.sort_by("chunk_index")
         rows = [Chunk(r["chunk_index"], r["content"], r["heading"], None, None) for r in order.to_pylist()]
-        picked = set(overview_chunks(rows, [], OVERVIEW_PASSAGES[table["n"][0].as_py()]))
+        picked = set(overview_chunks(rows, table["points"][0].as_py(), OVERVIEW_PASSAGES[table["n"][0].as_py()]))
         return order.filter(pa.array([r.index in picked for r in rows])).select(["document_id", "n", "chunk_index"])
 
-    places = needed.select("document_id", "n", "chunk_index", "content", "heading").groupBy("document_id", "n").applyInArrow(pick, "document_id string, n long, chunk_index int")
+    places = needed.select("document_id", "n", "points", "chunk_index", "content", "heading").groupBy("document_id", "n").applyInArrow(pick, "document_id string, n long, chunk_index int")
     found = counted.join(places, ["document_id", "n"]).join(chunks, ["document_id", "chunk_index"])
     return found.select("question_id", F.row_number().over(W.partitionBy("question_id").orderBy("document_id", "chunk_index")).alias("rank"), source().alias("source"))
 
@@ -82,7 +73,7 @@ def searched(questions: DataFrame, chunks: DataFrame, tuning: S.Tuning = S.TUNIN
 
 
 def ask(questions: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, provider: Provider | None = None) -> DataFrame:
-    """question_id, question and the answer, mode, confidence, insufficient, citations of every question.
+    """question_id, question and the answer, mode, confidence, insufficient, citations, error of every question.
 
     questions: question_id, question; chunks: document_id, title, chunk_index, content, heading, page_start,
     page_end; documents as for routed(), none if no overviews are wanted. Questions without
@@ -90,14 +81,16 @@ def ask(questions: DataFrame, chunks: DataFrame, documents: DataFrame | None = N
     provider = provider or Offline()
     shown = searched(questions, chunks).withColumn("mode", F.lit("answer"))
     if documents is not None:
-        gist = overview_passages(chunks, routed(questions, documents)).withColumn("mode", F.lit("overview"))
+        points = documents.select("document_id", "points") if "points" in documents.columns else None
+        gist = overview_passages(chunks, routed(questions, documents), points).withColumn("mode", F.lit("overview"))
         shown = shown.join(gist.select("question_id").distinct(), "question_id", "left_anti").unionByName(gist)
     sources = shown.groupBy("question_id").agg(F.first("mode").alias("mode"), F.array_sort(F.collect_list(F.struct("rank", "source"))).alias("sources"))  # at most 12 passages
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [written(provider, r) for r in part.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([part.schema.field("question_id"), part.schema.field("question"), *RESULT_FIELDS]))
+            for at in range(0, part.num_rows, 64):  # questions come with a dozen passages each
+                rows = [written(provider, r) for r in part.slice(at, 64).to_pylist()]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([part.schema.field("question_id"), part.schema.field("question"), *RESULT_FIELDS]))
 
     asked = questions.select("question_id", "question").join(sources, "question_id", "left")
     types = {f.name: f.dataType.simpleString() for f in asked.schema}
@@ -105,11 +98,15 @@ def ask(questions: DataFrame, chunks: DataFrame, documents: DataFrame | None = N
 
 
 CITATION = pa.struct([("ord", pa.int32()), ("source", pa.int32()), ("document_id", pa.string()), ("chunk_index", pa.int32()), ("quote", pa.string()), ("verified", pa.bool_())])
-RESULT_FIELDS = [pa.field("answer", pa.string()), pa.field("mode", pa.string()), pa.field("confidence", pa.string()), pa.field("insufficient", pa.bool_()), pa.field("citations", pa.list_(CITATION))]
+RESULT_FIELDS = [pa.field("answer", pa.string()), pa.field("mode", pa.string()), pa.field("confidence", pa.string()), pa.field("insufficient", pa.bool_()), pa.field("citations", pa.list_(CITATION)), pa.field("error", pa.string())]
 
 
 def written(provider: Provider, row: dict) -> dict:
     sources = [A.Source(n, s["document_id"], s["title"] or "", s["chunk_index"], s["content"], s["heading"], s["page_start"], s["page_end"]) for n, s in enumerate((x["source"] for x in row["sources"] or []), 1)]
-    made = provider.generate(row["question"], sources, row["mode"]) if sources else A.INSUFFICIENT
+    error = None
+    try:
+        made = provider.generate(row["question"], sources, row["mode"]) if sources else A.INSUFFICIENT
+    except Exception as problem:  # noqa: BLE001 - a question that fails fails alone
+        made, error = A.INSUFFICIENT, str(problem)[:1_000]
     cited = [{"ord": c.order, "source": c.source, "document_id": c.document, "chunk_index": c.chunk_index, "quote": c.quote, "verified": c.verified} for c in A.resolve(made.citations, sources)]
-    return {"question_id": row["question_id"], "question": row["question"], "answer": made.text, "mode": row["mode"] or "answer", "confidence": made.confidence, "insufficient": made.insufficient, "citations": cited}
+    return {"question_id": row["question_id"], "question": row["question"], "answer": made.text, "mode": row["mode"] or "answer", "confidence": made.confidence, "insufficient": made.insufficient, "citations": cited, "error": error}

@@ -70,18 +70,18 @@ def read_files(files: DataFrame, options: Options | None = None) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [pa.field("detected", pa.string()), pa.field("error", pa.string()), pa.field("char_count", pa.int32()), pa.field("chunks", pa.list_(CHUNK)), pa.field("summary", SUMMARY)]
         for part in parts:
-            out = pa.RecordBatch.from_pylist([one(r) for r in part.to_pylist()], schema=pa.schema(made))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("sha256", "filename", "modified")), *out.columns], names=["sha256", "filename", "modified", *out.schema.names])
+            for row in range(part.num_rows):  # one file at a time, however many came in the batch
+                some = part.slice(row, 1)
+                out = pa.RecordBatch.from_pylist([one(r) for r in some.to_pylist()], schema=pa.schema(made))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("sha256", "filename", "modified")), *out.columns], names=["sha256", "filename", "modified", *out.schema.names])
 
     rows = files.select("sha256", "filename", "modified", "kind", "content", "refused")
     return rows.mapInArrow(run, f"sha256 string, filename string, modified timestamp, {READ}")
 
 
-def ingest(files: DataFrame, store: Store, options: Options | None = None) -> DataFrame:
-    """Reads new files into the store's documents and chunks; returns the documents written. Content hashes are their ids."""
-    stored = store.read("documents") if store.exists("documents") else None
-    read = read_files(new_files(files, stored), options)
-    documents = read.select(
+def documents_of(read: DataFrame) -> DataFrame:
+    """Rows of documents, with their chunks, from what read_files() returns. Content hashes are their ids."""
+    return read.select(
         F.col("sha256").alias("document_id"),
         "sha256",
         choose_title(F.col("detected"), F.col("filename")).alias("title"),
@@ -94,9 +94,40 @@ def ingest(files: DataFrame, store: Store, options: Options | None = None) -> Da
         F.col("modified").alias("created"),
         "chunks",
     )
-    store.write("staged_documents", documents)
-    staged = store.read("staged_documents")
-    ready = staged.where("status = 'READY'")
-    store.upsert("chunks", ready.select("document_id", "title", F.inline("chunks")), ["document_id"])
-    store.upsert("documents", staged.drop("chunks"), ["document_id"])
+
+
+def ingest(files: DataFrame, store: Store, options: Options | None = None) -> DataFrame:
+    """Reads new files into the store's documents, chunks and files, published together; returns the documents written."""
+    stored = store.read("documents") if store.exists("documents") else None
+    fresh = store.staged(new_files(files, stored))
+    staged = store.staged(documents_of(read_files(fresh, options)))
+    kept = fresh.where("refused IS NULL").select(F.col("sha256").alias("document_id"), "filename", "kind", "modified", "content")
+    publish(store, staged, {"files": kept})
+    return staged.drop("chunks")
+
+
+def publish(store: Store, documents: DataFrame, others: dict[str, DataFrame] | None = None) -> None:
+    """Documents and their chunks in place of those of the same ids; one marker makes all of it visible. A document that failed keeps the chunks it had."""
+    chunks = documents.where("status = 'READY'").select("document_id", "title", F.inline("chunks"))
+    rows = {"chunks": chunks, "documents": documents.drop("chunks"), **(others or {})}
+    store.publish({name: store.replaced(name, some, ["document_id"]) for name, some in rows.items()})
+
+
+def freshness(documents: DataFrame, version: int = VERSION) -> DataFrame:
+    """documents with outdated: whether a document was read by an earlier version and should be read again."""
+    return documents.withColumn("outdated", (F.col("pipeline_version") < version) & (F.col("status") != "PROCESSING"))
+
+
+def reprocess(ids: DataFrame, store: Store, options: Options | None = None) -> DataFrame:
+    """Reads the stored files of the documents (document_id) again and replaces their chunks; citations of these go."""
+    files = store.read("files").join(ids.select("document_id").distinct(), "document_id", "left_semi")
+    again = files.select(F.col("document_id").alias("sha256"), "filename", "modified", "kind", "content", F.lit(None).cast("string").alias("refused"))
+    staged = store.staged(documents_of(read_files(again, options)))
+    citations = {}
+    if store.exists("citations"):
+        done = staged.where("status = 'READY'").select("document_id")
+        citations = {"citations": store.read("citations").join(done, "document_id", "left_anti")}
+    chunks = staged.where("status = 'READY'").select("document_id", "title", F.inline("chunks"))
+    tables = {"chunks": store.replaced("chunks", chunks, ["document_id"]), "documents": store.replaced("documents", staged.drop("chunks"), ["document_id"])}
+    store.publish(tables | citations)
     return staged.drop("chunks")

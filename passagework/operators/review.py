@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import format_pages
+from ..functions.text import format_pages, progress
+from ..sources import csvio
+from .ask import ask
+from .providers import Provider
 from .relational import csv_line, stats
+from .search import ranked
 
 STATUSES = ("DRAFT", "APPROVED", "REJECTED")
-LONGEST_ANSWER, MOST_QUESTIONS = 10_000, 500
+LONGEST_ANSWER, MOST_QUESTIONS, LONGEST_QUESTION, LONGEST_CSV, BATCH = 10_000, 500, 2_000, 2_000_000, 5
 
 
 def coerced(value: Column, known: tuple[str, ...], otherwise: str) -> Column:
@@ -60,12 +67,70 @@ def full_set(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return questions.join(answers, "question_id", "left").withColumn("status", F.coalesce("status", F.lit("PENDING")))
 
 
+def set_list(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """set_id with its questions and how many of them are pending, drafted, approved and rejected, and the percent that is not pending."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    counted = full_set(questions, answers).groupBy("set_id").agg(F.count("*").alias("total"), of("PENDING").alias("pending"), of("DRAFT").alias("drafted"), of("APPROVED").alias("approved"), of("REJECTED").alias("rejected"))
+    return counted.withColumn("progress", progress(F.col("total") - F.col("pending"), F.col("total")))
+
+
 def set_stats(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return stats(full_set(questions, answers), F.col("status"))
 
 
 def pending(questions: DataFrame, answers: DataFrame, limit: int) -> DataFrame:
-    return questions.join(answers, "question_id", "left_anti").orderBy("idx", "question_id").limit(limit)
+    """Of each set, the first questions without an answer, as many as one batch drafts."""
+    left = questions.join(answers, "question_id", "left_anti")
+    return ranked(left, "set_id", F.col("idx"), F.col("question_id"), at_most=limit, name="turn").drop("turn")
+
+
+def draft_pending(questions: DataFrame, events: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, provider: Provider | None = None, limit: int = BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drafts the next questions of each set: new events, new citations, and per set how many were drafted, failed and are left.
+
+    questions: set_id, question_id, idx, question; events as for current_answers(). A question that fails
+    gets no event, so it stays pending; its error is in the report's list."""
+    answers = current_answers(events)
+    batch = pending(questions, answers, limit)
+    asked = ask(batch.select("question_id", "question"), chunks, documents, provider).join(batch.select("question_id", "set_id", "idx"), "question_id")
+    made = asked.where("error IS NULL")
+    last = events.groupBy("question_id").agg(F.max("seq").alias("seq"))
+    drafts = made.join(last, "question_id", "left").select(
+        "question_id",
+        (F.coalesce("seq", F.lit(0)) + 1).alias("seq"),
+        F.current_timestamp().alias("at"),
+        F.lit("draft").alias("kind"),
+        F.lit("DRAFT").alias("status"),
+        F.col("answer").alias("text"),
+    )
+    cited = made.select("question_id", F.inline("citations"))
+    left = questions.join(answers, "question_id", "left_anti").groupBy("set_id").agg(F.count("*").alias("waiting"))
+    done = asked.groupBy("set_id").agg(
+        F.count_if(F.col("error").isNull()).alias("drafted"),
+        F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("question_id", "error")))).alias("failed"),  # a batch at most
+    )
+    return drafts, cited, left.join(done, "set_id", "left").select("set_id", F.coalesce("drafted", F.lit(0)).alias("drafted"), (F.col("waiting") - F.coalesce("drafted", F.lit(0))).alias("remaining"), "failed")
+
+
+def import_csv(files: DataFrame) -> DataFrame:
+    """set_id, name, error, and the questions (idx, question) of CSV files (set_id, name, csv), one file of a few hundred lines a set.
+
+    A set whose name is blank or long, or that has no questions, too many or too long ones, has an error and no questions."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row in range(part.num_rows):
+                some = part.slice(row, 1)
+                text = some.column("csv")[0].as_py() or ""
+                found = csvio.questions(csvio.parse(text)) if len(text) <= LONGEST_CSV else []
+                yield pa.RecordBatch.from_arrays([some.column("set_id"), some.column("name"), pa.array([len(text)], pa.int32()), pa.array([found], pa.list_(pa.string()))], names=["set_id", "name", "size", "questions"])
+
+    inner = files.select("set_id", "name", "csv")
+    read = inner.mapInArrow(run, f"set_id {inner.schema['set_id'].dataType.simpleString()}, name string, size int, questions array<string>")
+    long = F.exists("questions", lambda q: F.length(q) > LONGEST_QUESTION)
+    error = F.when(F.col("size") > LONGEST_CSV, "file_too_long").otherwise(F.coalesce(set_error(F.col("name"), F.size("questions")), F.when(long, "question_too_long")))
+    checked = read.withColumn("error", error)
+    held = F.when(F.col("error").isNull(), F.col("questions")).otherwise(F.array().cast("array<string>"))
+    return checked.select("set_id", F.trim("name").alias("name"), "error", F.posexplode_outer(held).alias("idx", "question"))
 
 
 def export_lines(questions: DataFrame, answers: DataFrame, citations: DataFrame, scope: str = "approved") -> DataFrame:

@@ -8,20 +8,11 @@ from ..functions.constants import QUESTION_COLUMNS
 
 
 def detect_delimiter(text: str) -> str:
-    """The most frequent of comma, semicolon and tab outside quotes in the first line; the comma on a tie."""
-    line = re.sub(r'"[^"]*"?', "", first_record(text.removeprefix("﻿")))
+    """The most frequent of comma, semicolon and tab outside quotes in the first line; the earlier one on a tie."""
+    line = re.sub(r'"[^"]*("|$)', "", text.partition("\n")[0].removesuffix("\r"))
     return max(",;\t", key=lambda d: (line.count(d), -",;\t".index(d)))
 
 
-def first_record(text: str) -> str:
-    quoted = False
-    for n, char in enumerate(text):
-        quoted ^= char == '"'
-        if char in "\r\n" and not quoted:
-            return text[:n]
-    return text
-
-
 def parse(text: str, delimiter: str | None = None) -> list[list[str]]:
     """Rows of cells. A quote opens or closes a quoted stretch wherever it stands, two inside one are a quote; blank rows go."""
     text = text.removeprefix("﻿")
