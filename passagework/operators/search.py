@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import plain
 from ..functions.constants import ASKS_ABOUT_REFERENCES, REFERENCES_HEADING
@@ -144,6 +145,7 @@ def _scored(asked: Asked, questions: DataFrame, passages: DataFrame, lists: dict
     sums = {r["what"]: r["n"] for r in totals if r["what"] < 2}
     asked.weigh(sums.get(0, 0), sums.get(1, 0), {r["term"]: r["n"] for r in totals if r["what"] == 2}, tuning)
     weighed = passages.sparkSession.sparkContext.broadcast(asked)
+    arrow_type = to_arrow_type(questions.schema["key"].dataType)
     question_type, key_type = questions.schema["key"].dataType.simpleString(), passages.schema["key"].dataType.simpleString()
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +160,7 @@ def _scored(asked: Asked, questions: DataFrame, passages: DataFrame, lists: dict
                 first = np.lexsort((np.broadcast_to(order, x.shape), -x))[:, :long]
                 np.put_along_axis(chosen, first, np.take_along_axis(chosen, first, 1) | (name == "vector_score") | (np.take_along_axis(x, first, 1) > 0), 1)
             q, p = np.nonzero(chosen)
-            columns = [pa.array([questions_.keys[n] for n in q]), keys.take(pa.array(p)), *(pa.array(found[c][q, p]) for c in LISTS)]
+            columns = [pa.array([questions_.keys[n] for n in q], arrow_type), keys.take(pa.array(p)), *(pa.array(found[c][q, p]) for c in LISTS)]
             if len(q):
                 yield pa.RecordBatch.from_arrays(columns, names=["question", "key", *LISTS])
 

@@ -1,14 +1,18 @@
 """Jobs over tables: ingestion with failures and repeats, review, questions end to end, layout, and the entry module."""
 
+import json
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from passagework.operators import layout, review
+from passagework.operators import layout, providers, review
 from passagework.operators.ask import ask
-from passagework.operators.ingest import ingest
+from passagework.operators.evaluate import evaluate, read_eval_set
+from passagework.operators.ingest import freshness, ingest, reprocess
+from passagework.operators.providers import Offline
 from passagework.sources.store import Store
 from passagework.streaming.files import ingest_arriving
 
@@ -35,6 +39,70 @@ def test_files_to_answers(spark, tmp_path):
     assert store.read("chunks").count() == 0
 
 
+def test_files_are_read_again_and_drafts_come_in_batches(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    frame = spark.createDataFrame([("/in/rules.md", RULES.encode())], "path string, content binary").withColumn("modified", F.current_timestamp())
+    document = ingest(frame, store).select("document_id")
+    store.write("citations", document.withColumn("quote", F.lit("old")))
+    store.write("chunks", store.read("chunks").withColumn("content", F.lit("stale")))
+    assert freshness(store.read("documents"), 99).first()["outdated"] and not freshness(store.read("documents")).first()["outdated"]
+    again = reprocess(document, store)
+    assert again.first()["status"] == "READY" and store.read("chunks").where("content = 'stale'").isEmpty() and not store.read("chunks").isEmpty() and store.read("citations").count() == 0
+
+    asked = "How much is a parking permit?", "When are quiet hours?", "Who repairs elevator cables?", "fail"
+    questions = spark.createDataFrame([(7, f"q{n}", n, q) for n, q in enumerate(asked)], "set_id int, question_id string, idx int, question string")
+    none = spark.createDataFrame([], "question_id string, seq int, at timestamp, kind string, status string, text string")
+
+    class Failing(Offline):
+        def generate(self, question, sources, mode):
+            if "permit" in question:
+                raise ValueError("no answer today")
+            return super().generate(question, sources, mode)
+
+    drafts, cited, report = review.draft_pending(questions, none, store.read("chunks"), provider=Failing(), limit=2)
+    assert [(r["set_id"], r["drafted"], r["remaining"], [f["error"] for f in r["failed"]]) for r in report.collect()] == [(7, 1, 3, ["no answer today"])]
+    assert [r["question_id"] for r in drafts.collect()] == ["q1"] and cited.where("question_id = 'q1' AND verified").count() > 0
+    drafts, _, report = review.draft_pending(questions, none, store.read("chunks"), limit=3)
+    answers = review.current_answers(drafts)
+    assert "40 euros" in {r["question_id"]: r for r in answers.collect()}["q0"]["text"]
+    assert review.set_list(questions, answers).first().asDict() == {"set_id": 7, "total": 4, "pending": 1, "drafted": 3, "approved": 0, "rejected": 0, "progress": 75}
+
+
+def test_import_of_question_files(spark):
+    files = [(1, " a ", "id;Question\r\n1;\"Is it; so?\"\r\n2;  And   then?\n3;\n"), (2, "", "Question\nx"), (3, "c", "id,other\n"), (4, "d", "q\n" + "y" * 2_001), (5, "e", "q\n" + "x\n" * 501)]
+    rows = review.import_csv(spark.createDataFrame(files, "set_id int, name string, csv string")).orderBy("set_id", "idx").collect()
+    assert [(r["set_id"], r["name"], r["error"], r["idx"], r["question"]) for r in rows[:2]] == [(1, "a", None, 0, "Is it; so?"), (1, "a", None, 1, "And then?")]
+    assert {r["set_id"]: r["error"] for r in rows[2:]} == {2: "bad_name", 3: None, 4: "question_too_long", 5: "too_many_questions"}
+
+
+def test_evaluation(spark, tmp_path):
+    (tmp_path / "set.json").write_text(json.dumps({"name": "s", "documents": ["a"], "questions": [{"q": "A?", "evidence": ["forty-two"], "answer": ["42"]}, {"q": "B?", "evidence": ["x y"], "answer": ["no"]}, {"q": "C?", "expectInsufficient": True}]}))
+    asked = read_eval_set(spark, str(tmp_path / "set.json"))
+    passages = spark.createDataFrame([("s#0", 1, "nothing"), ("s#0", 2, "Forty Two."), ("s#1", 1, "X-Y")], "question_id string, rank int, content string")
+    answers = spark.createDataFrame([("s#0", "It is 42.", False), ("s#1", "no", True), ("s#2", "not there", True)], "question_id string, text string, insufficient boolean")
+    got = evaluate(asked, passages, answers).first().asDict()
+    assert got == {"n": 3, "retrievable": 2, "hit1": 1, "hit3": 2, "hitk": 2, "answered": 2, "hit1_percent": 50, "hit3_percent": 100, "hitk_percent": 100, "answered_percent": 67}
+
+
+def test_providers():
+    mixed = providers.provider("offline", "offline")
+    assert mixed.embed(["a quiet house", ""]).shape == (2, 512)
+    with pytest.raises(ValueError):
+        providers.provider("elsewhere")
+    waits, turns = [], iter([providers.Transient(), providers.Transient(), 5])
+
+    def of():
+        got = next(turns)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    assert providers.with_retry(of, sleep=waits.append) == 5 and waits == [0.5, 1.0]
+    with pytest.raises(KeyError):
+        providers.with_retry(lambda: {}["x"], sleep=waits.append)
+    assert providers.Settings.read({"MAX_UPLOAD_MB": "", "PROVIDER": " offline "}) == providers.Settings()
+
+
 def test_arriving_files(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     (tmp_path / "in").mkdir()
