@@ -21,7 +21,6 @@ import base64
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
 from itertools import chain
 
 import regex
@@ -30,7 +29,9 @@ from pyspark.sql import DataFrame
 from .common import beside
 
 MOST_STATES, MOST_PIECES = 200_000, 200_000
-CHUNK_CHARS, BLOCK_IDS = 65_536, 8_192
+#: Longest piece that is kept, and bytes of a longer one between two looks at the number of states.
+LONGEST_KEPT, RUN_BYTES = 256, 4_096
+CHUNK_CHARS, BLOCK_IDS = 8_192, 8_192
 NEVER = 1 << 60
 
 
@@ -157,29 +158,43 @@ class Transducer:
         move = self.moves[number][byte] = (self._number(state), first[:settled], settled)
         return move
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def fresh(self, number: int) -> int:
+        """The number of a state, after all others are forgotten if there are too many."""
         if len(self.states) > MOST_STATES:
+            state = self.states[number]
             self.forget()
-        number, out, moves = 0, [], self.moves
-        for byte in piece:
-            number, emitted, _ = moves[number].get(byte) or self.grow(number, byte)
-            if emitted:
-                out += emitted
+            number = self._number(state)
+        return number
+
+    def encode(self, piece: bytes) -> tuple[int, ...]:
+        number, out = self.fresh(0), []
+        for start in range(0, len(piece), RUN_BYTES):
+            number = self.fresh(number)
+            moves = self.moves
+            for byte in piece[start : start + RUN_BYTES]:
+                number, emitted, _ = moves[number].get(byte) or self.grow(number, byte)
+                if emitted:
+                    out += emitted
         return (*out, *self.ends[number])
 
+    def run(self, number: int, data: bytes) -> tuple[int, int]:
+        """The state after the bytes, and the count of the tokens emitted: only counts on the transitions, summed up."""
+        n = 0
+        for start in range(0, len(data), RUN_BYTES):
+            number = self.fresh(number)
+            moves = self.moves
+            for byte in data[start : start + RUN_BYTES]:
+                number, _, emitted = moves[number].get(byte) or self.grow(number, byte)
+                n += emitted
+        return number, n
+
     def count(self, piece: bytes) -> int:
-        """Only the counts on the transitions, summed up."""
-        if len(self.states) > MOST_STATES:
-            self.forget()
-        number, n, moves = 0, 0, self.moves
-        for byte in piece:
-            number, _, emitted = moves[number].get(byte) or self.grow(number, byte)
-            n += emitted
+        number, n = self.run(self.fresh(0), piece)
         return n + len(self.ends[number])
 
 
 class Pieces(dict):
-    """What `of` makes of each piece, kept for the last MOST_PIECES of them and as many before."""
+    """What `of` makes of each piece, kept for the last MOST_PIECES short ones and as many before."""
 
     def __init__(self, of: Callable[[bytes], object]) -> None:
         super().__init__()
@@ -192,7 +207,8 @@ class Pieces(dict):
         made = self.before.get(piece)
         if made is None:
             made = self.of(piece.encode())
-        self[piece] = made
+        if len(piece) <= LONGEST_KEPT:
+            self[piece] = made
         return made
 
 
@@ -243,66 +259,177 @@ class Coder:
         return "".join([*(stream.feed(b) for b in self.blocks(ids)), stream.feed(b"", last=True)])
 
 
-@dataclass(frozen=True)
+#: Where the cutting of a text into pieces stands: what the open piece is (nothing, letters, numbers, signs, an apostrophe
+#: that may begin an ending, space), the character that is held back until the next one shows where it belongs, and the transducer's state within the open piece.
+State = tuple[str, str, tuple]
+FIRST: tuple = ((0, -1, ()),)
+START: State = ("", "", FIRST)
+ENDINGS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}  # of one letter, or with the letter that must follow
+
+
 class ChunkMap:
-    """What a chunk of text does to the count, whatever the state it is entered in.
+    """What a chunk of text does to the count: from the state it is entered in to the state it is left in, and the tokens completed between.
+
+    The states that it can be entered in are too many to list. Those asked for are worked out and kept;
+    the one to be expected is asked for when the map is made."""
+
+    def __init__(self, counter: Counter, text: str) -> None:
+        self.counter, self.text = counter, text
+        self.known: dict[State, tuple[State, int]] = {}
 
-    A piece always begins where a space character follows another one. Up to
-    the first such place the count depends on the text before the chunk, and
-    from the last one on the text after it; both ends are kept as they are.
-    count is None for a chunk without such a place, which is all head."""
+    def __call__(self, state: State) -> tuple[State, int]:
+        if state not in self.known:
+            self.known[state] = self.counter.through(state, self.text)
+        return self.known[state]
 
-    head: str
-    count: int | None = None
-    tail: str = ""
+
+class Composed:
+    """Two maps, one after the other."""
+
+    def __init__(self, first: Callable[[State], tuple[State, int]], second: Callable[[State], tuple[State, int]]) -> None:
+        self.first, self.second = first, second
+        self.known: dict[State, tuple[State, int]] = {}
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        if state not in self.known:
+            middle, n = self.first(state)
+            end, more = self.second(middle)
+            self.known[state] = end, n + more
+        return self.known[state]
 
 
 class Counter:
-    """Counts tokens of whole texts with the transducer's counts; added tokens count as one."""
+    """Counts tokens of whole texts with the transducer's counts; added tokens count as one.
 
+    The cutting of texts into pieces is a machine of its own over characters, for the one pattern that the vocabularies
+    here are used with; both together are in a State between two characters. Within a chunk, pieces that are closed
+    for certain are counted by the cache of pieces."""
+
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     seam = regex.compile(r"(?<=\S)(?=\s)")
+    kinds = tuple((kind, regex.compile(of)) for kind, of in (("L", r"\p{L}"), ("N", r"\p{N}"), ("W", r"\s"), ("O", r"(?s).")))
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, added: Iterable[str] = ()) -> None:
+        if pattern != self.pattern:
+            raise ValueError("tokens are counted for one pattern only")
         self.machine = Transducer(ranks)
         self.cut = regex.compile(pattern).findall
         self.pieces = Pieces(self.machine.count)
+        self.kind_of: dict[str, str] = {}
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
-    def tokens(self, text: str) -> int:
-        parts = self.added.split(text) if self.added and self.added.search(text) else [text]
-        return len(parts) - 1 + sum(sum(map(self.pieces.__getitem__, self.cut(p))) for p in parts)
-
-    def chunk(self, text: str) -> ChunkMap:
-        first = self.seam.search(text)
-        if first is None:
-            return ChunkMap(text)
-        at = first.start()
-        last = next(n for n in range(len(text) - 1, 0, -1) if text[n].isspace() and self.seam.match(text, n))
-        return ChunkMap(text[:at], self.tokens(text[at:last]), text[last:])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.count is None:
-            return ChunkMap(a.head + b.head, b.count, b.tail)
-        if b.count is None:
-            return ChunkMap(a.head, a.count, a.tail + b.head)
-        return ChunkMap(a.head, a.count + self.tokens(a.tail + b.head) + b.count, b.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
+    def kind(self, char: str) -> str:
+        found = self.kind_of.get(char)
+        if found is None:
+            found = self.kind_of[char] = next(kind for kind, of in self.kinds if of.match(char))
+        return found
+
+    def feed(self, inner: tuple, text: str) -> tuple[tuple, int]:
+        number, n = self.machine.run(self.machine._number(inner), text.encode("utf-8", "surrogatepass"))
+        return self.machine.states[number], n
+
+    def step(self, state: State, char: str) -> tuple[State, int]:
+        """The state after one more character, and the tokens that it completes."""
+        mode, held, inner = state
+        kind = self.kind(char)
+        if mode == kind != "W" or mode == "A" and not held and kind == "O":  # the piece goes on; an apostrophe and other signs are a piece of signs
+            inner, n = self.feed(inner, char)
+            return (kind, "", inner), n
+        if mode == "A" and held:
+            if char == ENDINGS[held]:
+                return START, self.close(*self.feed(inner, held + char))
+            done = len(inner[-1][2])  # the apostrophe alone, and the letter begins a piece
+            state, n = self.step(START, held)
+            state, more = self.step(state, char)
+            return state, done + n + more
+        if mode == "A" and char in ENDINGS:
+            return (START, self.close(*self.feed(inner, char))) if not ENDINGS[char] else (("A", char, inner), 0)
+        if mode == "W" and kind == "W":
+            inner, n = self.feed(inner, held)
+            return ("W", char, inner), n
+        if mode == "W":
+            done = len(inner[-1][2])  # the space before the last one is a piece
+            if held == " ":
+                inner, n = self.feed(FIRST, " " + char)
+                return (kind, "", inner), done + n
+            state, n = self.step(START, char)
+            return state, done + self.pieces[held] + n
+        done = 0 if mode == "" else len(inner[-1][2])
+        if kind == "W":
+            return ("W", char, FIRST), done
+        inner, n = self.feed(FIRST, char)
+        return ("A" if char == "'" else kind, "", inner), done + n
+
+    def close(self, inner: tuple, n: int) -> int:
+        return n + len(inner[-1][2])
+
+    def end(self, state: State) -> int:
+        """Tokens that are completed by the text's end."""
+        mode, held, inner = state
+        if mode == "A" and held:
+            return self.close(inner, 0) + self.pieces[held]
+        return self.close(*self.feed(inner, held)) if mode else 0
+
+    def steps(self, state: State, text: str) -> tuple[State, int]:
+        total = 0
+        for char in text:
+            state, n = self.step(state, char)
+            total += n
+        return state, total
+
+    def through(self, state: State, text: str) -> tuple[State, int]:
+        """Step by step up to the first place where a piece begins for certain, piece by piece up to the last piece, and step by step through that."""
+        if state == START:
+            at, total = 0, 0
+        else:
+            first = self.seam.search(text)
+            if first is None:
+                return self.steps(state, text)
+            at = first.start()
+            state, total = self.steps(state, text[:at])
+            # a piece of letters, numbers or signs ends here; the space that follows begins the next one
+            total += self.end(state)
+        pieces = self.cut(text[at:] if at else text)
+        last = len(pieces) - (2 if len(pieces) > 1 and pieces[-2] == "'" and pieces[-1] in ENDINGS else 1)
+        for piece in pieces[:last]:
+            total += self.pieces[piece]
+        state, n = self.steps(START, "".join(pieces[last:]))
+        return state, total + n
+
+    def expected(self, before: str) -> State | None:
+        """The state at the end of a text, if a piece begins for certain within its last LONGEST_KEPT characters."""
+        tail = before[-LONGEST_KEPT:]
+        for at in range(len(tail) - 1, 0, -1):
+            if self.kind(tail[at]) == "W" and self.kind(tail[at - 1]) != "W":
+                return self.steps(START, tail[at:])[0]
+        return None
+
+    def maps(self, text: str) -> list[ChunkMap]:
+        """The maps of a text's chunks, each worked out for the state that it will most likely be entered in, without the ones before."""
+        made = []
+        for at in range(0, len(text), CHUNK_CHARS):
+            made.append(ChunkMap(self, text[at : at + CHUNK_CHARS]))
+            state = self.expected(text[max(0, at - LONGEST_KEPT) : at]) if at else START
+            if state is not None:
+                made[-1](state)
+        return made
+
+    def scan(self, maps: list[Callable[[State], tuple[State, int]]]) -> list[Callable[[State], tuple[State, int]]]:
         """The composition of every prefix of maps, in as many rounds as the log of their number."""
         step = 1
         while step < len(maps):
-            maps = [*maps[:step], *(self.compose(a, b) for a, b in zip(maps, maps[step:]))]
+            maps = [*maps[:step], *(Composed(a, b) for a, b in zip(maps, maps[step:]))]
             step *= 2
         return maps
 
     def count(self, text: str | None) -> int:
-        text = text or ""
-        if len(text) <= CHUNK_CHARS:
-            return self.tokens(text)
-        maps = [self.chunk(text[n : n + CHUNK_CHARS]) for n in range(0, len(text), CHUNK_CHARS)]
-        while len(maps) > 1:  # only the last of the scan is asked for: pairs, pairs of pairs, ...
-            maps = [self.scan(maps[n : n + 2])[-1] for n in range(0, len(maps), 2)]
-        return self.tokens(maps[0].head) + (maps[0].count or 0) + self.tokens(maps[0].tail)
+        total = 0
+        parts = [text or ""] if self.added is None or not self.added.search(text or "") else self.added.split(text)
+        for part in parts:
+            if part:
+                state, n = self.scan(self.maps(part))[-1](START)
+                total += n + self.end(state)
+        return total + len(parts) - 1
 
 
 _made: dict[tuple, object] = {}
