@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import once, shipped
-from .common import doc_key, staged
+from .common import doc_key, small_batches, staged
 
 COMMON, LONGEST_COMMON = 100_000, 64
 #: Distinct words held while counting, words in a batch of the recursion, and pseudo-count of a piece.
@@ -122,7 +122,7 @@ def score_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     spark = docs.sparkSession
     content = shipped(spark, path)
     trains = (doc_key(F.col("doc_id")) % 10 != 0).alias("trains")
-    rows = docs.select(F.col("doc_id"), "text", trains)
+    rows = small_batches(docs.select(F.col("doc_id"), "text", trains))
     counted = rows.select("text", "trains").mapInArrow(_counted, "word binary, learned long, n long")
     words = staged(counted.groupBy("word").agg(F.sum("learned").alias("learned"), F.sum("n").alias("n")))
     sums = words.agg(F.coalesce(F.sum("learned"), F.lit(0)).alias("learned"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("learned") > 0).alias("distinct")).first()
@@ -162,9 +162,9 @@ def score_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     common = {bytes(r["word"]): (r["known"], r["base"], r["score"]) for r in by_word.where(is_common).toLocalIterator()}  # COMMON words at most
     lookup = spark.sparkContext.broadcast(common)
 
-    def same(text: str | None) -> int:
+    def same(text: str | None) -> bytes:
         """Tells texts apart under one id."""
-        return xxhash.xxh32_intdigest((text or "").encode()) - (1 << 31)
+        return xxhash.xxh3_128_digest((text or "").encode())
 
     def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a document: what its common words and its end give."""
@@ -181,7 +181,7 @@ def score_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                         score += n * has[2]
                 out.append((same(text), len(words) + 1, known, base, score))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(pa.array([o[n] for o in out], t) for n, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())))],
+                [part.column("doc_id"), *(pa.array([o[n] for o in out], t) for n, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())))],
                 names=["doc_id", "twin", "n_tokens", "known", "base", "score"],
             )
 
@@ -197,17 +197,17 @@ def score_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     words += [w for w, _ in left]
                     counts += [c for _, c in left]
                     owners.append(np.full(len(left), n))
-                    twins.append(np.full(len(left), same(text), np.int32))
+                    twins += [same(text)] * len(left)
                 if words:
                     yield pa.RecordBatch.from_arrays(
-                        [some.column("doc_id").take(pa.array(np.concatenate(owners))), pa.array(np.concatenate(twins)), pa.array(words, pa.binary()), pa.array(counts, pa.int32())],
+                        [some.column("doc_id").take(pa.array(np.concatenate(owners))), pa.array(twins, pa.binary()), pa.array(words, pa.binary()), pa.array(counts, pa.int32())],
                         names=["doc_id", "twin", "word", "times"],
                     )
 
     id_type = dict(docs.dtypes)["doc_id"]
-    one = rows.select("doc_id", "text").mapInArrow(whole, f"doc_id {id_type}, twin int, n_tokens long, known long, base double, score double")
-    pairs = rows.select("doc_id", "text").mapInArrow(rare, f"doc_id {id_type}, twin int, word binary, times int")
-    met = pairs.join(by_word.where(~is_common).select("word", "known", "base", "score").hint("shuffle_hash"), "word")
+    one = rows.select("doc_id", "text").mapInArrow(whole, f"doc_id {id_type}, twin binary, n_tokens long, known long, base double, score double")
+    pairs = rows.select("doc_id", "text").mapInArrow(rare, f"doc_id {id_type}, twin binary, word binary, times int")
+    met = pairs.join(by_word.where(~is_common).select("word", "known", "base", "score"), "word")
     parts = met.select("doc_id", "twin", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"), *[(F.col("times") * F.col(c)).alias(c) for c in ("known", "base", "score")])
     both = one.withColumn("rows", F.lit(1).cast("long")).unionByName(parts)
     sums_ = both.groupBy("doc_id", "twin").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "score")])
