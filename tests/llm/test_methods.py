@@ -57,11 +57,45 @@ def test_machines_agree_with_the_libraries():
 def test_chunk_maps_compose(monkeypatch):
     ranks, added = bpe.json_vocabulary(content("byte_bpe_50k.json"))
     counter = bpe.Counter(ranks, P.PATTERN, added)
-    for text in awkward(1_000, seed=2):
-        whole = counter.tokens(text)
-        for size in (3, 17):
+    tricky = ["it's they're we've I'll I'd 'tis 're'", "a'r b'v c'l 'r 'x ''s !'s", "a  b\n\n c \t d\u00a0\u00a0e  ", "'", " '", "'l", "  ", "x" * 700 + " y", "\n" * 300 + "z", "1 22  333'4", "é'é ’s 中 文"]
+    texts = awkward(400, seed=2) + tricky
+    for text, whole in zip(texts, [len(e.ids) for e in Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]):
+        for size in (1, 2, 3, 17, 8_192):  # 1 cuts at every character
             monkeypatch.setattr(bpe, "CHUNK_CHARS", size)
-            assert counter.count(text) == whole
+            assert counter.count(text) == whole, (text, size)
+
+
+def test_chunk_maps_know_entry_states_and_are_associative(monkeypatch):
+    ranks, added = bpe.json_vocabulary(content("byte_bpe_50k.json"))
+    counter = bpe.Counter(ranks, P.PATTERN, added)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 50)
+    text = "It's a line of words, cut anywhere; the maps don't mind. " * 20
+    maps = counter.maps(text)
+    assert all(len(m.known) == 1 for m in maps)  # before any is composed
+    state, total = bpe.START, 0
+    for m in maps:
+        assert state in m.known  # as expected
+        state, n = m(state)
+        total += n
+    a, b, c = maps[:3]
+    entry = next(iter(a.known))
+    assert bpe.Composed(bpe.Composed(a, b), c)(entry) == bpe.Composed(a, bpe.Composed(b, c))(entry)
+    prefixes = counter.scan(maps)
+    assert prefixes[-1](bpe.START) == (state, total) and len(prefixes) == len(maps)
+    assert all(len(m.known) == 1 for m in maps)
+
+
+def test_long_pieces_keep_memory_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_STATES", 2_000)
+    rng = random.Random(5)
+    piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    ranks = bpe.rank_vocabulary(content("byte_bpe_50k.tiktoken"))
+    coder, counter = bpe.Coder(ranks, P.PATTERN), bpe.Counter(ranks, P.PATTERN)
+    tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = tik.encode_ordinary(piece)
+    assert coder.encode(piece) == ids and counter.count(piece) == len(ids)
+    assert len(coder.machine.states) < 2_000 + bpe.RUN_BYTES + 2 and len(counter.machine.states) < 2_000 + bpe.RUN_BYTES + 2
+    assert not any(len(p) > bpe.LONGEST_KEPT for p in (*coder.pieces, *counter.pieces))
 
 
 def test_small_caches_change_nothing(monkeypatch):
@@ -193,6 +227,64 @@ def test_lattice_against_enumeration():
     assert np.allclose(np.exp(lattice.Lattice(coder, chance).score(words)), [total(w) for w in words])
 
 
+def test_lattice_document_scores(spark):
+    """Against counts, chances and sums over all segmentations written plainly, with the vocabulary's real ranks."""
+    rows = [(n, t) for n, t in enumerate(["the cat sat", "The cat ran, the cat ran", "a cat", None, "", "dog dog catdog", "sat on the mat the cat", "ran", "mat cat", "zebra the", "cat"])] + [(None, "the cat"), (None, "the dog"), (4, "the cat")]
+    ranks = bpe.rank_vocabulary(content("byte_bpe_50k.tiktoken"))
+    tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces, ends = collections.Counter(), 0
+    for n, t in rows:
+        if zlib.crc32(b"" if n is None else str(n).encode()) % 10:
+            ends += 1
+            for w in (t or "").lower().split():
+                pieces.update(ranks[b] for b in tik.decode_tokens_bytes(tik.encode_ordinary(" " + w)))
+    mass = sum(pieces.values()) + ends + lattice.PSEUDO * (len(ranks) + 1)
+
+    def chance(word):
+        sums = [1.0] + [0.0] * len(word)
+        for end in range(1, len(word) + 1):
+            sums[end] = sum(sums[start] * (pieces[ranks[word[start:end]]] + lattice.PSEUDO) / mass for start in range(end) if word[start:end] in ranks)
+        return sums[-1]
+
+    want = sorted(math.log10((ends + lattice.PSEUDO) / mass) + sum(math.log10(chance(b" " + w.encode())) for w in (t or "").lower().split()) for _, t in rows)
+    got = sorted(r["score"] for r in lattice.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect())
+    assert len(got) == len(want) and np.allclose(got, want, rtol=1e-9)
+
+
+def test_language_scores_against_a_plain_kernel_machine():
+    """Kernel values by sets of n-grams, and ridge regression in its dual form over the same landmarks."""
+    texts = ["the cat sat on a mat", "the dog ran to the cat", "a bird on the tree", "le chat est sur la table", "la maison et le chien", "un oiseau dans le ciel"]
+    labels, marks = ["en"] * 3 + ["fr"] * 3, [0, 1, 3, 4]
+    sets = [set(np.concatenate(list(langid.grams(t))).tolist()) for t in texts]
+    kernel = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    folded = " ".join(texts[0].split())
+    plain = {f" {folded} "[k : k + n] for n in range(1, 5) for k in range(len(folded) + 3 - n)}
+    assert abs(len(sets[0]) - len(plain)) <= 2  # but for places that collide
+
+    bits = np.packbits(langid.presence(texts)[0].astype(bool), axis=1)
+    before, langid.LANDMARKS = langid.LANDMARKS, 2
+    try:
+        model = langid.fit(bits, labels)
+    finally:
+        langid.LANDMARKS = before
+    rows = langid.presence(texts)[0]
+    assert np.allclose(model.kernel(rows), kernel[:, marks], atol=1e-6)
+    values, axes = np.linalg.eigh(kernel[np.ix_(marks, marks)] + 1e-6 * np.eye(4))
+    features = np.hstack([kernel[:, marks] @ (axes / np.sqrt(np.maximum(values, 1e-6)) @ axes.T), np.ones((6, 1))])
+    targets = np.array([[1, -1] if x == "en" else [-1, 1] for x in labels], float)
+    scaled = features * math.sqrt(1 / 3)  # each row weighs one by the rows of its language
+    dual = scaled.T @ np.linalg.solve(scaled @ scaled.T + langid.RIDGE * np.eye(6), targets * math.sqrt(1 / 3))
+    assert np.allclose(model.scores(model.kernel(rows)), features @ dual, atol=2e-3)
+    cut = langid.PIECE
+    try:
+        langid.PIECE = 7
+        assert all((langid.presence([t])[0] == langid.presence([t])[0]).all() for t in texts)
+        short = langid.presence(texts)[0]
+    finally:
+        langid.PIECE = cut
+    assert (short == rows).all()
+
+
 def test_lattice_base_scores(spark, sf, texts):
     counts, ends = collections.Counter(), 0
     for n, r in texts.items():
