@@ -79,6 +79,23 @@ def read_files(files: DataFrame, options: Options | None = None) -> DataFrame:
     return rows.mapInArrow(run, f"sha256 string, filename string, modified timestamp, {READ}")
 
 
+def blocks_of_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, ord, kind, level, text of the blocks of every HTML page, read where the page is."""
+    rows = pages.select(F.col(key).alias("key"), F.col(html).alias("html"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, 200):
+                some = part.slice(at, 200)
+                found = [readers.html_blocks(t or "") for t in some.column("html").to_pylist()]
+                owner = pa.array([n for n, bs in enumerate(found) for _ in bs], pa.int64())
+                flat = [b for bs in found for b in bs]
+                columns = [pa.array([n for bs in found for n in range(len(bs))], pa.int32()), pa.array([b.kind for b in flat], pa.string()), pa.array([b.level for b in flat], pa.int32()), pa.array([b.text for b in flat], pa.string())]
+                yield pa.RecordBatch.from_arrays([some.column("key").take(owner), *columns], names=["key", "ord", "kind", "level", "text"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ord int, kind string, level int, text string").withColumnRenamed("key", key)
+
+
 def documents_of(read: DataFrame) -> DataFrame:
     """Rows of documents, with their chunks, from what read_files() returns. Content hashes are their ids."""
     return read.select(

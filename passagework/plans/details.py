@@ -11,6 +11,7 @@ from ..operators import evaluate as E
 from ..operators import ingest, review
 from ..operators import relational as R
 from ..operators import search as S
+from ..operators.ingest import blocks_of_pages
 from . import queries as Q
 from .queries import query, table
 
@@ -29,6 +30,12 @@ def named_files(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", name.alias("filename"), picked(MIMES, F.col("doc_id")).alias("mime"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("first_line"))
 
 
+@query
+def page_blocks(spark, d):
+    """Headings, paragraphs, list items and tables of every page, in their order."""
+    return blocks_of_pages(table(spark, d, "pages"), "page_id", "html")
+
+
 @query
 def file_names(spark, d):
     """Kind, title, label, safe name and way of serving of every document's file."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.constants import GENERAL_SECTION, TABLE_LINE
-from .oracle import BM25, ORACLES, PLAIN
+from ..functions.constants import ABBREVIATIONS, GENERAL_SECTION, LABEL_WORDS, TABLE_LINE
+from .oracle import BM25, ORACLES, PLAIN, html, quoted
 
 FILES = """f AS (
   SELECT doc_id, e, mime, source || '__my-file_' || doc_id AS stem, string_split(text, chr(10))[1] AS line FROM (
@@ -34,7 +34,23 @@ a AS (SELECT q.*, answer, coalesce(['DRAFT', 'APPROVED', 'REJECTED'][length(answ
 QUOTED = f"q AS (SELECT item_id, text, {PLAIN.format('text')} AS q FROM benchmark), d AS (SELECT *, {PLAIN.format('text')} AS d FROM documents), h AS (SELECT item_id, doc_id, q.text AS quote, d.text, source, lang FROM q JOIN d ON contains(d, q) WHERE length(q) >= 3)"
 REPLY = "CASE WHEN event_id % 4 < 3 THEN {0} END"
 
+CLOSERS = """["''”’)\\]]*"""
+ENDED = "([.!?]" + CLOSERS + ")\\s+([\"''“‘(\\[]?[A-Z0-9])"
+LAST = "(?:^|[\\s(\\[])([A-Za-z][A-Za-z.]*)\\." + CLOSERS + "$"
+LABELLED = "(?:^|[^\\p{L}\\p{N}_])(" + "|".join(LABEL_WORDS) + ") [a-z]\\." + CLOSERS + "$"
+
 DETAILS: dict[str, str] = {
+    "sentences": f"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS ln, unnest(x) AS line FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS x FROM documents)),
+      p AS (SELECT doc_id, ln, unnest(range(len(ps))) AS pn, unnest(ps) AS part FROM (SELECT doc_id, ln, string_split(regexp_replace(line, '{ENDED}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM l WHERE line <> '')),
+      w AS (SELECT *, regexp_extract(part, '{LAST}', 1) AS w FROM p),
+      a AS (SELECT *, CASE WHEN regexp_matches(w, '^[A-Z]$') THEN NOT regexp_matches(lower(part), '{LABELLED}') WHEN w = '' OR regexp_matches(w, '^[IVX]+$') THEN false ELSE lower(w) IN ({quoted(sorted(ABBREVIATIONS))}) OR rtrim(lower(w), '.') IN ({quoted(sorted(ABBREVIATIONS))}) END AS short FROM w),
+      g AS (SELECT *, coalesce(sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, ln ORDER BY pn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM a),
+      s AS (SELECT doc_id, ln, g, string_agg(part, ' ' ORDER BY pn) AS sentence FROM g GROUP BY ALL)
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ln, g) - 1 AS INT) AS ord, sentence FROM s""",
+    "page_blocks": f"""WITH m AS (SELECT page_id, regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)\\b[^>]*>.*?</(?:h[1-6]|p|li)>') AS m FROM pages),
+      e AS (SELECT page_id, unnest(range(len(m))) AS n, unnest(m) AS e FROM m), t AS (SELECT page_id, n, lower(regexp_extract(e, '^<([a-zA-Z0-9]+)', 1)) AS tag, {html("e")} AS text FROM e)
+      SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INT) AS ord, CASE WHEN tag[1] = 'h' THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN tag[1] = 'h' THEN CAST(tag[2] AS INT) END AS level,
+      CASE WHEN tag = 'li' THEN '- ' ELSE '' END || text AS text FROM t WHERE text <> ''""",
     "file_names": f"""WITH {FILES} SELECT doc_id,
       CASE e WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'txt' THEN 'text' WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' WHEN 'csv' THEN 'csv'
         ELSE CASE mime WHEN 'application/pdf' THEN 'pdf' WHEN 'text/plain' THEN 'text' END END AS kind,

@@ -176,6 +176,8 @@ def read(kind: str | None, data: bytes) -> tuple[str | None, list[Block]]:
     """Title and blocks of a file; ReadError if it can't be read or holds next to no text."""
     if kind in ("markdown", "docx"):
         title, blocks = with_title(markdown_blocks(from_utf8(data)) if kind == "markdown" else docx_blocks(data))
+    elif kind == "html":
+        title, blocks = with_title(html_blocks(from_utf8(data)))
     elif kind in ("text", "csv"):
         title, blocks = None, (text_blocks if kind == "text" else csv_blocks)(from_utf8(data))
     elif kind == "pdf":
