@@ -35,7 +35,7 @@ SLOTS = BANDS * DEPTH
 #: Share of equal slots below which a pair of similarity 0.80 is ruled out: 6 standard errors below it.
 LEAST_EQUAL = 0.65
 #: Words hashed at a time, classes compared at a time, and bits of the bitmap of needed texts.
-RUN_WORDS, BLOCK_CLASSES, FILTER_BITS = 500_000, 500, 1 << 23
+RUN_WORDS, BLOCK_CLASSES, FILTER_BITS = 50_000, 500, 1 << 23
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
