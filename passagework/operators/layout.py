@@ -2,19 +2,47 @@
 
 items: doc_id, page, seq, text, x, y, w, size, font, page_width, page_height, in points with
 y upwards, as any PDF decoder gives them. Every step groups or orders within a page or a document.
-Where a fold over neighbours would be needed, a window over them stands for it: runs share a line
-when their baselines are near the run before, and paragraphs are numbered by the running sum of their breaks."""
+Runs are put into rows by a fold over one page; elsewhere a window stands for the fold:
+paragraphs are numbered by the running sum of their breaks."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.constants import CAPTION, COMPOUND_PREFIXES, COMPOUND_SUFFIXES, LIST_MARKER, NUMBERED_HEADING, PAGE_NUMBER, SECTION_NAMES
 
+# Gaps in sizes, shares of pages and runs, and accents that are drawn before their letter.
 CELL_GAP, SPACE_GAP, MARGIN, REPEATED, CROSSING, SIDE, LEAST_RUNS = 1.5, 0.12, 0.08, 0.4, 0.08, 0.2, 12
+ACCENTS = {"˜": "\u0303", "´": "\u0301", "¨": "\u0308", "ˆ": "\u0302", "ˇ": "\u030c", "˘": "\u0306", "˚": "\u030a"}
 PAGE = ["doc_id", "page"]
+LETTER = r"[^\W\d_]"
+_BEFORE, _GRAVE = re.compile(rf"([{''.join(ACCENTS)}])\s?({LETTER})"), re.compile(rf"(?<={LETTER})`([A-Za-z])")
+
+
+def composed(text: str) -> str:
+    """Accents with their letters, as one character where there is one."""
+    text = _BEFORE.sub(lambda m: m[2].replace("ı", "i") + ACCENTS[m[1]], re.sub("ı(?=[\u0300-\u036f])", "i", text))
+    return unicodedata.normalize("NFC", _GRAVE.sub("\\1\u0300", text))
+
+
+def in_rows(page: pa.Table) -> pa.Table:
+    """The runs of one page with `row`: from the top down, a run joins the row whose largest run has its baseline within half a size."""
+    page = page.sort_by([("y", "descending"), ("x", "ascending"), ("seq", "ascending")])
+    rows, row, top, large = [], 0, None, 0.0
+    for y, size in zip(page["y"].to_pylist(), page["size"].to_pylist()):
+        if top is None or abs(top - y) > 0.5 * max(large, size):
+            row, top, large = row + 1, y, size
+        elif size > large:
+            top, large = y, size
+        rows.append(row)
+    texts = pa.array([composed(t) for t in page["text"].to_pylist()], pa.string())
+    return page.set_column(page.schema.get_field_index("text"), "text", texts).append_column("row", pa.array(rows, pa.int32()))
 
 
 def clean_text(text: Column) -> Column:
@@ -56,10 +84,8 @@ def lines(items: DataFrame) -> DataFrame:
     body = dominant(seen, ["doc_id"], half(F.col("size")), "body_size")
     near = seen.join(body, "doc_id").where("abs(size - body_size) <= 0.6")
     font = dominant(near, ["doc_id"], F.col("font"), "body_font")
-    down = W.partitionBy(*PAGE).orderBy(F.desc("y"), "x", "seq")
-    apart = F.lag("y").over(down) - F.col("y") > 0.5 * F.greatest("size", F.lag("size").over(down))
-    parted = seen.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int"))
-    rows = parted.withColumn("row", F.sum("apart").over(down)).join(gutters(seen), PAGE, "left").withColumn("end", F.col("x") + F.col("w"))
+    fields = ", ".join(f"{c} {t}" for c, t in seen.dtypes)
+    rows = seen.groupBy(*PAGE).applyInArrow(in_rows, f"{fields}, row int").join(gutters(seen), PAGE, "left").withColumn("end", F.col("x") + F.col("w"))  # a page at a time
     row = W.partitionBy(*PAGE, "row")
     on_left = F.col("x") + F.col("w") / 2 < F.col("gutter")
     over = F.max((F.col("x") < F.col("gutter") - 3) & (F.col("end") > F.col("gutter") + 3)).over(row)

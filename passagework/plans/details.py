@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import evaluate as E
-from ..operators import ingest, review
+from ..operators import ingest, layout, review
 from ..operators import relational as R
 from ..operators import search as S
+from ..operators.ask import routed
 from ..operators.ingest import blocks_of_pages
 from . import queries as Q
 from .queries import query, table
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EXTENSIONS = ("pdf", "docx", "txt", "md", "markdown", "csv", "bin", "")
 MIMES = ("application/pdf", "text/plain", "text/html", "application/octet-stream")
 
@@ -270,3 +272,91 @@ def eval_answers(spark, d):
     top = Q.bm25_topk(spark, d).select(F.col("item_id").alias("question_id"), "rank", "doc_id").join(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
     answers = top.where("rank = 1").select("question_id", F.col("content").alias("text"), (F.col("question_id") % 18 == 0).alias("insufficient"))
     return E.evaluate(asked, top, answers)
+
+
+# Documents as positioned text: two lines beside each other, in two columns, with a running header and a page number.
+
+
+def positioned(spark, d, per_page: int) -> DataFrame:
+    doc = F.col("doc_id").cast("string").alias("doc_id")
+    lines = table(spark, d, "documents").select(doc, F.posexplode(F.split("text", "\n")).alias("seq", "text")).where("trim(text) <> ''")
+    page = (F.floor(F.col("seq") / per_page) + 1).cast("int")
+    place = F.col("seq") % per_page
+    x, y = F.when(F.col("seq") % 2 == 0, 40.0).otherwise(320.0), 740.0 - 17 * F.floor(place / 2)
+    size = F.when(F.col("seq") == 0, 16.0).when(F.col("seq") % 7 == 3, 10.4).otherwise(10.0)
+    runs = lines.select("doc_id", page.alias("page"), "seq", "text", x.alias("x"), y.cast("double").alias("y"), F.least(F.lit(240.0), F.length("text") * 4.5).alias("w"), size.alias("size"), F.when(F.col("seq") % 9 == 4, "bold").otherwise("body").alias("font"))
+    pages = runs.select("doc_id", "page").distinct()
+    extra = lambda seq, text, y: pages.select("doc_id", "page", F.lit(seq).alias("seq"), text.alias("text"), F.lit(280.0).alias("x"), F.lit(y).alias("y"), F.lit(40.0).alias("w"), F.lit(8.0).alias("size"), F.lit("body").alias("font"))
+    both = runs.unionByName(extra(-1, F.concat(F.lit("Report "), F.col("page").cast("string")), 790.0)).unionByName(extra(100_000, F.col("page").cast("string"), 10.0))
+    return both.withColumn("page_width", F.lit(600.0)).withColumn("page_height", F.lit(800.0))
+
+
+def body_sizes(items: DataFrame) -> DataFrame:
+    return layout.dominant(items, ["doc_id"], layout.half(F.col("size")), "body_size")
+
+
+@query
+def layout_fonts(spark, d):
+    """The size and the font of most of each document's text."""
+    items = positioned(spark, d, 16)
+    near = items.join(body_sizes(items), "doc_id").where("abs(size - body_size) <= 0.6")
+    return body_sizes(items).join(layout.dominant(near, ["doc_id"], F.col("font"), "body_font"), "doc_id", "left")
+
+
+@query
+def layout_margins(spark, d):
+    """What is left of each document without page numbers and running headers, on pages of four lines."""
+    left = layout.without_margins(positioned(spark, d, 4).withColumnRenamed("page_height", "height"))
+    return left.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text").startswith("Report ")).alias("headers"))
+
+
+@query
+def layout_titles(spark, d):
+    items = positioned(spark, d, 16)
+    return layout.titles(items.withColumnRenamed("page_height", "height").join(body_sizes(items), "doc_id"))
+
+
+@query
+def layout_columns(spark, d):
+    """Pages in two columns, and the inner edges of these."""
+    found = layout.gutters(positioned(spark, d, 24))
+    return found.select("doc_id", "page", "gutter", F.round("left_edge", 3).alias("left_edge"), F.round("right_edge", 3).alias("right_edge"))
+
+
+@query
+def layout_lines(spark, d):
+    """Lines of each page: cells of one line where there is one column, lines of their own where there are two."""
+    made = layout.lines(positioned(spark, d, 24))
+    return made.groupBy("doc_id", "page", "side").agg(F.count("*").alias("lines"), F.sum(F.size("cells")).alias("cells"), F.sum(F.length("text")).alias("chars"), F.count_if("distinct_font").alias("distinct_font"))
+
+
+@query
+def layout_headings(spark, d):
+    """Levels of headings with numbers of all kinds, small capitals put right, and cleaned texts."""
+    prefix = picked(("", "2.1 ", "III. ", "A. ", "4) ", "V. I NTRODUCTION TO A "), F.col("page_id"))
+    heading = F.translate(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1), LETTERS, LETTERS.upper())
+    text = F.concat(prefix, F.when(F.col("page_id") % 4 == 0, "Conclusions").when(F.col("page_id") % 4 == 1, F.regexp_replace(heading, "[^A-Z ]", "")).otherwise(F.regexp_replace(heading, "[^A-Za-z ]", "")))
+    rows = table(spark, d, "pages").select("page_id", text.alias("text"), (10.0 + F.col("page_id") % 5).alias("size"))
+    broken = F.concat(F.lit("ﬁ\u00ad"), F.col("text"), F.lit("  ﬄ\u0003"))
+    return rows.select("page_id", layout.heading_level(F.col("text"), F.col("size"), F.lit(10.0)).alias("level"), layout.fix_small_caps(F.col("text")).alias("fixed"), layout.clean_text(broken).alias("clean"))
+
+
+@query
+def overview_route(spark, d):
+    """Questions for an overview of parts: the newest three documents whose titles hold all of their topic."""
+    parts = table(spark, d, "part")
+    documents = parts.select(F.col("p_partkey").cast("string").alias("document_id"), F.concat("p_name", F.lit(" of "), F.col("p_brand")).alias("title"), F.col("p_size").alias("created"))
+    asked = parts.select("p_name").distinct().select(F.col("p_name").alias("question_id"), F.concat(F.lit("Give an overview of the "), F.col("p_name")).alias("question"))
+    general = asked.limit(1).select(F.lit("all").alias("question_id"), F.lit("What is this document about?").alias("question"))
+    return routed(asked.unionByName(general), documents)
+
+
+@query
+def review_state(spark, d):
+    """Events as drafts, reviews and edits of one answer a user, folded to its state."""
+    n = F.col("event_id")
+    kind = picked(("draft", "review", "edit", "draft", "review", "edit", "edit"), n)
+    status = F.when(kind == "review", picked(("APPROVED", "DRAFT", "REJECTED", "LOST"), F.col("user_id") + n))
+    text = F.when(kind == "draft", F.concat(F.lit("d"), (n % 3).cast("string"))).when(kind == "edit", picked((" e ", "", "d1", "d2"), n))
+    events = table(spark, d, "events").select(F.col("user_id").alias("question_id"), n.alias("seq"), "ts", kind.alias("kind"), status.alias("status"), text.alias("text")).withColumnRenamed("ts", "at")
+    return review.current_answers(events).select("question_id", "draft", "final_text", "status", "text")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.constants import ABBREVIATIONS, GENERAL_SECTION, LABEL_WORDS, TABLE_LINE
-from .oracle import BM25, ORACLES, PLAIN, html, quoted
+from ..functions.constants import ABBREVIATIONS, GENERAL_SECTION, LABEL_WORDS, OVERVIEW_WORDS, SECTION_NAMES, TABLE_LINE
+from .oracle import BM25, ORACLES, PLAIN, html, quoted, tokens
 
 FILES = """f AS (
   SELECT doc_id, e, mime, source || '__my-file_' || doc_id AS stem, string_split(text, chr(10))[1] AS line FROM (
@@ -39,7 +39,57 @@ ENDED = "([.!?]" + CLOSERS + ")\\s+([\"''“‘(\\[]?[A-Z0-9])"
 LAST = "(?:^|[\\s(\\[])([A-Za-z][A-Za-z.]*)\\." + CLOSERS + "$"
 LABELLED = "(?:^|[^\\p{L}\\p{N}_])(" + "|".join(LABEL_WORDS) + ") [a-z]\\." + CLOSERS + "$"
 
+
+
+def positioned(per_page: int) -> str:
+    return f"""r AS (
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(i // {per_page} + 1 AS INT) AS page, CAST(i AS INT) AS seq, t AS text, CASE WHEN i % 2 = 0 THEN 40.0 ELSE 320.0 END::DOUBLE AS x, (740 - 17 * ((i % {per_page}) // 2))::DOUBLE AS y,
+    least(240, length(t) * 4.5)::DOUBLE AS w, CASE WHEN i = 0 THEN 16.0 WHEN i % 7 = 3 THEN 10.4 ELSE 10.0 END::DOUBLE AS size, CASE WHEN i % 9 = 4 THEN 'bold' ELSE 'body' END AS font
+  FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(t) <> ''),
+i AS (SELECT * FROM r UNION ALL SELECT DISTINCT doc_id, page, -1, 'Report ' || page, 280.0, 790.0, 40.0, 8.0, 'body' FROM r UNION ALL SELECT DISTINCT doc_id, page, 100000, CAST(page AS VARCHAR), 280.0, 10.0, 40.0, 8.0, 'body' FROM r),
+bs AS (SELECT doc_id, v AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p, q) AS k FROM (SELECT doc_id, round(size * 2) / 2 AS v, sum(length(text)) AS n, min(page) AS p, arg_min(seq, page * 1000000 + seq) AS q FROM i GROUP BY ALL)) WHERE k = 1),
+bf AS (SELECT doc_id, font AS body_font FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS k FROM (SELECT doc_id, font, sum(length(text)) AS n, min(page * 1000000 + seq) AS p FROM i JOIN bs USING (doc_id) WHERE abs(size - body_size) <= 0.6 GROUP BY ALL)) WHERE k = 1)"""
+
+
+COLUMNS = """ps AS (SELECT doc_id, page, v AS page_size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, q) AS k FROM (SELECT doc_id, page, round(size * 2) / 2 AS v, sum(length(text)) AS n, min(seq) AS q FROM i WHERE length(trim(text)) >= 3 GROUP BY ALL)) WHERE k = 1),
+u AS (SELECT i.*, x + w AS e, count(*) OVER (PARTITION BY i.doc_id, i.page) AS n FROM i JOIN ps ON i.doc_id = ps.doc_id AND i.page = ps.page WHERE length(trim(text)) >= 3 AND abs(size - page_size) <= 1),
+c AS (SELECT doc_id, page, g, n, count(*) FILTER (x < g - 1 AND e > g + 1) AS cross_, count(*) FILTER (e <= g) AS l, count(*) FILTER (x >= g) AS r FROM u, (SELECT unnest(range(210, 391)) AS g) WHERE n >= 12 GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY cross_, abs(g - 300), g) AS k FROM c) WHERE k = 1 AND cross_ <= n * 0.08 AND l >= n * 0.2 AND r >= n * 0.2),
+cols AS (SELECT u.doc_id, u.page, CAST(g AS INT) AS gutter, round(quantile_cont(e, 0.98) FILTER (e <= g), 3) AS left_edge, round(quantile_cont(x, 0.02) FILTER (x >= g), 3) AS right_edge FROM u JOIN best b ON u.doc_id = b.doc_id AND u.page = b.page GROUP BY ALL)"""
+MARKED = """p AS (SELECT page_id, 10 + page_id % 5 AS size, ['', '2.1 ', 'III. ', 'A. ', '4) ', 'V. I NTRODUCTION TO A '][page_id % 6 + 1] || CASE WHEN page_id % 4 = 0 THEN 'Conclusions'
+  ELSE regexp_replace(translate(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z ]', '', 'g') END AS t FROM pages),
+s AS (SELECT *, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS up, regexp_replace(t, '^\\S+\\s*', '') AS rest FROM p)"""
+ABOUT = tokens("'" + " ".join(OVERVIEW_WORDS) + "'")
+
 DETAILS: dict[str, str] = {
+    "layout_fonts": f"WITH {positioned(16)} SELECT doc_id, body_size, body_font FROM bs LEFT JOIN bf USING (doc_id)",
+    "layout_margins": f"""WITH {positioned(4)}, m AS (SELECT *, y > 736 OR y < 64 AS margin, trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) AS k FROM i),
+      n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM i GROUP BY doc_id), f AS (SELECT doc_id, k, count(DISTINCT page) AS o FROM m WHERE margin GROUP BY ALL)
+      SELECT doc_id, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (starts_with(text, 'Report ')) AS headers FROM m JOIN n USING (doc_id) LEFT JOIN f USING (doc_id, k)
+      WHERE NOT (margin AND (regexp_matches(trim(text), '(?i)^(page\\s*)?#?[0-9]{{1,4}}(\\s*(of|/)\\s*[0-9]{{1,4}})?$') OR (pages >= 3 AND coalesce(o, 0) >= greatest(2, ceil(pages * 0.4))))) GROUP BY doc_id""",
+    "layout_titles": f"WITH {positioned(16)}, t AS (SELECT *, max(size) OVER (PARTITION BY doc_id) AS m FROM i JOIN bs USING (doc_id) WHERE page = 1 AND y > 440), j AS (SELECT doc_id, string_agg(text, ' ' ORDER BY -y, text) AS title FROM t WHERE m >= body_size * 1.4 AND abs(size - m) < 0.5 GROUP BY doc_id) SELECT * FROM j WHERE length(title) BETWEEN 10 AND 250",
+    "layout_columns": f"WITH {positioned(24)}, {COLUMNS} SELECT * FROM cols",
+    "layout_lines": f"""WITH {positioned(24)}, {COLUMNS}, z AS (SELECT i.*, gutter, left_edge, right_edge, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean FROM i LEFT JOIN cols USING (doc_id, page)),
+      w AS (SELECT *, max(CASE WHEN x + w / 2 < gutter THEN x + w END) OVER r AS le, min(CASE WHEN x + w / 2 >= gutter THEN x END) OVER r AS rs, max(CASE WHEN x < gutter - 3 AND x + w > gutter + 3 THEN 1 ELSE 0 END) OVER r AS over_ FROM z WINDOW r AS (PARTITION BY doc_id, page, y)),
+      o AS (SELECT *, CASE WHEN gutter IS NULL OR over_ = 1 OR coalesce(le > left_edge + 2 OR rs < right_edge - 2, false) AND le IS NOT NULL AND rs IS NOT NULL THEN 'F' WHEN x + w / 2 < gutter THEN 'L' ELSE 'R' END AS side FROM w),
+      b AS (SELECT doc_id, page, side, y, count(*) AS cells, sum(length(clean)) + 3 * (count(*) - 1) AS chars, count(DISTINCT font) = 1 AND min(font) <> coalesce(any_value(body_font), '') AS df FROM o LEFT JOIN bf USING (doc_id) GROUP BY ALL)
+      SELECT doc_id, page, side, count(*) AS lines, CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(chars) AS BIGINT) AS chars, count(*) FILTER (df) AS distinct_font FROM b GROUP BY ALL""",
+    "layout_headings": f"""WITH {MARKED} SELECT page_id, CAST(CASE WHEN regexp_matches(t, '^[0-9]{{1,2}}(\\.[0-9]{{1,2}})*[.)]?\\s') THEN least(3, len(string_split(regexp_extract(t, '^([0-9]{{1,2}}(?:\\.[0-9]{{1,2}})*)', 1), '.')))
+      WHEN regexp_matches(t, '^[IVXLC]{{2,6}}\\.\\s') OR regexp_matches(t, '^[IVXLC]\\.\\s') AND length(regexp_replace(rest, '[^A-Z]', '', 'g')) > 0.8 * length(regexp_replace(rest, '[^A-Za-z]', '', 'g')) THEN 1 WHEN regexp_matches(t, '^[A-Z]\\.\\s') THEN 2
+      WHEN regexp_matches(trim(t), '{SECTION_NAMES}') OR size >= 13 THEN 1 ELSE 2 END AS INT) AS level,
+      CASE WHEN n >= 4 AND up >= 0.8 * n THEN regexp_replace(t, '\\b([A-Z]) ([A-Z]{{2,}})\\b', '\\1\\2', 'g') ELSE t END AS fixed, trim(regexp_replace('fi' || t || '  ffl', '\\s+', ' ', 'g')) AS clean FROM s""",
+    "overview_route": f"""WITH o AS (SELECT list_distinct({ABOUT}) AS o), d AS (SELECT CAST(p_partkey AS VARCHAR) AS document_id, p_size AS created, {tokens("p_name || ' of ' || p_brand")} AS t FROM part),
+      q AS (SELECT p_name AS question_id, list_distinct(list_filter({tokens("'Give an overview of the ' || p_name")}, lambda x: NOT list_contains(o, x))) AS t FROM (SELECT DISTINCT p_name FROM part), o),
+      r AS (SELECT question_id, document_id, row_number() OVER (PARTITION BY question_id ORDER BY created DESC, document_id) AS k FROM q, d WHERE len(q.t) = 0 OR list_has_all(d.t, q.t) UNION ALL SELECT 'all', document_id, row_number() OVER (ORDER BY created DESC, document_id) FROM d)
+      SELECT question_id, document_id FROM r WHERE k <= 3""",
+    "review_state": """WITH e AS (SELECT user_id AS question_id, event_id AS seq, ['draft', 'review', 'edit', 'draft', 'review', 'edit', 'edit'][event_id % 7 + 1] AS kind,
+        ['APPROVED', 'DRAFT', 'REJECTED', 'LOST'][(user_id + event_id) % 4 + 1] AS status, 'd' || event_id % 3 AS draft, [' e ', '', 'd1', 'd2'][event_id % 4 + 1] AS edit FROM events),
+      v AS (SELECT * FROM e WHERE kind = 'draft' OR kind = 'review' AND status <> 'LOST' OR kind = 'edit' AND trim(edit) <> ''),
+      b AS (SELECT *, last_value(CASE WHEN kind = 'review' THEN status END IGNORE NULLS) OVER (PARTITION BY question_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
+      k AS (SELECT * FROM b WHERE NOT (kind = 'draft' AND coalesce(before = 'APPROVED', false))),
+      f AS (SELECT question_id, arg_max(draft, seq) FILTER (kind = 'draft') AS draft, arg_max(CASE WHEN kind = 'draft' THEN 'DRAFT' ELSE status END, seq) FILTER (kind <> 'edit') AS status, arg_max(trim(edit), seq) FILTER (kind = 'edit') AS edit,
+        max(seq) FILTER (kind = 'edit') > max(seq) FILTER (kind = 'draft') AS later FROM k GROUP BY question_id),
+      g AS (SELECT *, CASE WHEN coalesce(later, false) AND edit <> draft THEN edit END AS final_text FROM f) SELECT question_id, draft, final_text, coalesce(status, 'DRAFT') AS status, coalesce(final_text, draft) AS text FROM g""",
     "sentences": f"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS ln, unnest(x) AS line FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS x FROM documents)),
       p AS (SELECT doc_id, ln, unnest(range(len(ps))) AS pn, unnest(ps) AS part FROM (SELECT doc_id, ln, string_split(regexp_replace(line, '{ENDED}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM l WHERE line <> '')),
       w AS (SELECT *, regexp_extract(part, '{LAST}', 1) AS w FROM p),
