@@ -136,7 +136,6 @@ def _duckdb() -> str:
         name, slash, start = text.partition("/")
         fits = f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{start}') THEN "
         cases_rule, cases_verdict = cases_rule + fits + f"'{text}' ", cases_verdict + fits + f"'{what}' "
-    model = ratio_sql().replace("{counts}", "counts").replace("D * ", "::DOUBLE * ").replace("1D", "1::DOUBLE").replace("D))", "::DOUBLE))")
     return f"""
 WITH rest AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parsed AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
@@ -144,7 +143,14 @@ ruled AS (SELECT row_number() OVER () AS row, *, CASE {cases_rule} END AS rule,
 marked AS (SELECT *, '^^' || regexp_replace(translate(url, '{UPPER}123456789', '{lower}000000000'), '[^{KEPT}]', '*', 'g') || '$' AS m FROM ruled),
 grams AS (SELECT row, by_rule, unnest(list_transform(range(1, length(m) - 1), lambda i: substr(m, i, 3))) AS gram FROM marked WHERE length(url) > 0),
 counts AS (SELECT gram, CAST(count(*) FILTER (by_rule = 'allow') AS BIGINT) AS allowed, CAST(count(*) FILTER (by_rule = 'block') AS BIGINT) AS blocked FROM grams GROUP BY gram),
-model AS ({model}),
+total AS (SELECT sum(allowed) AS a, sum(blocked) AS b FROM counts),
+last AS (SELECT right(gram, 1) AS c, sum(allowed) AS a, sum(blocked) AS b FROM counts GROUP BY 1),
+middle AS (SELECT substr(gram, 2, 1) AS c, sum(allowed) AS a, sum(blocked) AS b FROM counts GROUP BY 1),
+ends AS (SELECT right(gram, 2) AS g, sum(allowed) AS a, sum(blocked) AS b FROM counts GROUP BY 1),
+starts AS (SELECT left(gram, 2) AS g, sum(allowed) AS a, sum(blocked) AS b FROM counts GROUP BY 1),
+plain AS (SELECT c, (last.a + 2 / 44.0::DOUBLE) / (total.a + 2) AS a, (last.b + 2 / 44.0::DOUBLE) / (total.b + 2) AS b FROM last, total),
+pair AS (SELECT g, (ends.a + 2 * plain.a) / (middle.a + 2) AS a, (ends.b + 2 * plain.b) / (middle.b + 2) AS b FROM ends JOIN plain ON plain.c = right(g, 1) JOIN middle ON middle.c = left(g, 1)),
+model AS (SELECT gram, ln((allowed + 2 * pair.a) / (starts.a + 2)) - ln((blocked + 2 * pair.b) / (starts.b + 2)) AS ratio FROM counts JOIN pair ON pair.g = right(gram, 2) JOIN starts ON starts.g = left(gram, 2)),
 scored AS (SELECT r.page_id, r.host, r.path, r.rule, r.by_rule, s.score FROM ruled r LEFT JOIN (SELECT row, avg(ratio) AS score FROM grams JOIN model USING (gram) GROUP BY row) s ON s.row = r.row),
 classes AS (SELECT avg(score) FILTER (by_rule = 'allow') AS a, stddev_pop(score) FILTER (by_rule = 'allow') AS sa, avg(score) FILTER (by_rule = 'block') AS b, stddev_pop(score) FILTER (by_rule = 'block') AS sb FROM scored),
 cut AS (SELECT CASE WHEN sa + sb > 0 THEN (a * sb + b * sa) / (sa + sb) ELSE (a + b) / 2 END AS threshold FROM classes)
