@@ -191,11 +191,11 @@ def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    greatest(0.05, coalesce(CAST(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS DOUBLE) / nullif(length(text), 0), 0.05)) AS quality
+    greatest(0.05, coalesce(CAST(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS DOUBLE) / nullif(length(text), 0), 0.05)) AS quality, coalesce(CAST(doc_id AS VARCHAR), text, '') AS draw
   FROM documents),
 keyed AS (
   SELECT doc_id, size, source, source IS NULL AS no_source, coalesce(source, '') AS name,
-    -ln((CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / quality AS key
+    -ln((CAST(CAST('0x' || substr(md5(draw), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / quality AS key
   FROM sized),
 sources AS (SELECT no_source, name, sum(size) AS source_size FROM keyed GROUP BY ALL),
 weighed AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY no_source, name) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM sources),
