@@ -311,10 +311,11 @@ def doc_summary(spark, d):
 
 @query
 def offline_answers(spark, d):
-    """Each benchmark text asked of the passages of all documents: search, gate, extract, verify."""
+    """Each benchmark text asked of the passages of all documents, or of the newest ones where it asks for an overview: search, gate, extract, verify."""
     passages = chunks(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), "chunk_index", "content", "heading", "page_start", "page_end")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    found = ask(asked, passages)
+    documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), F.col("doc_id").alias("created"))
+    found = ask(asked, passages, documents)
     return found.select("question_id", "mode", "confidence", "insufficient", "answer", F.size("citations").alias("n_citations"), F.size(F.filter("citations", lambda c: c["verified"])).alias("n_verified"))
 
 
