@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, staged
+from .common import beside, small_batches, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Training windows, and how far from a digit or @ they lie; windows in which texts are read, and how far they overlap.
@@ -39,7 +40,7 @@ SAMPLE_WINDOWS, MADE_WINDOWS, EPOCHS, BATCH = 1_024, 512, 12, 32
 #: Windows without a digit or @ from the corpus, and invented ones of spelled-out data.
 PLAIN_WINDOWS, SPELLED_WINDOWS = 768, 2_048
 #: Characters whose scores are held at once, and windows that go through the network together.
-PIECE, TOGETHER = 2_048 * STRIDE, 256
+PIECE, TOGETHER = 2_048 * STRIDE, 512
 #: Characters of a region that are decoded at once, longest span that is added, and text to its sides that its marginals see.
 BLOCK, LONGEST, AROUND = 256, 320, 64
 EMBEDDED, HIDDEN, SYMBOLS = 8, 12, 130
@@ -590,42 +591,36 @@ def trained(docs: DataFrame, seed: int = 5) -> Network:
     """Fitted on windows of the corpus with the smallest hashes, at most SAMPLE_WINDOWS near a digit or @ and
     PLAIN_WINDOWS of the texts at large, and MADE_WINDOWS and SPELLED_WINDOWS invented ones."""
 
-    def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            order, chars, labels, plain = [], [], [], []
-            for text in part.column("text").to_pylist():
-                places = [(s, min(e, s + TRAINED), False) for s, e in stretches(text or "")]
-                spans = detected(text) if places else []
-                if text:
-                    start = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text) - TRAINED + 1)
-                    places.append((start, min(len(text), start + TRAINED), True))
-                for start, end, at_large in places:
-                    piece = text[start:end]
-                    plain.append(at_large)
-                    order.append(int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "replace"), digest_size=7).digest(), "big"))
-                    chars.append(piece)
-                    labels.append(tags(len(piece), spans, start).tolist())
-            if chars:
-                yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(chars), pa.array(labels, pa.list_(pa.int8())), pa.array(plain)], names=["order", "piece", "labels", "plain"])
-
-    # the smallest of each task are enough for the smallest of all
+    def places(text: str) -> list[tuple[int, int, bool]]:
+        start = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text) - TRAINED + 1)
+        return [*((s, min(e, s + TRAINED), False) for s, e in stretches(text)), (start, min(len(text), start + TRAINED), True)]
+
+    # the smallest of each task are enough for the smallest of all; windows that can't be among them aren't labelled
     def smallest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for part in windows(parts):
-            both = pa.Table.from_batches([part]) if held is None else pa.concat_tables([held, pa.Table.from_batches([part])])
-            kept = {False: {}, True: {}}
-            for n, (order, plain) in enumerate(zip(both["order"].to_pylist(), both["plain"].to_pylist())):
-                kept[plain].setdefault(order, n)
-            held = both.take(sorted(n for plain, most in ((False, SAMPLE_WINDOWS), (True, PLAIN_WINDOWS)) for _, n in sorted(kept[plain].items())[:most])).combine_chunks()
-        if held is not None:
-            yield from held.to_batches()
+        kept: dict[bool, dict[int, tuple[str, list[int]]]] = {False: {}, True: {}}
+        below, most = {False: 1 << 62, True: 1 << 62}, {False: SAMPLE_WINDOWS, True: PLAIN_WINDOWS}
+        for text in (t for part in parts for t in part.column("text").to_pylist() if t):
+            spans = None
+            for start, end, plain in places(text):
+                piece = text[start:end]
+                order = xxhash.xxh3_64_intdigest(piece.encode("utf-8", "replace")) >> 2
+                if order < below[plain]:
+                    spans = detected(text) if spans is None else spans
+                    kept[plain].setdefault(order, (piece, tags(len(piece), spans, start).tolist()))
+                    if len(kept[plain]) >= 2 * most[plain]:
+                        kept[plain] = dict(sorted(kept[plain].items())[: most[plain]])
+                        below[plain] = max(kept[plain])
+        rows = [(order, piece, labels, plain) for plain in kept for order, (piece, labels) in sorted(kept[plain].items())[: most[plain]]]
+        columns = zip(*rows) if rows else ([], [], [], [])
+        types = (pa.int64(), pa.string(), pa.list_(pa.int8()), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["order", "piece", "labels", "plain"])
 
     def fitted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for part in parts for r in part.to_pylist()]
         network = fit([(r["piece"], np.array(r["labels"], np.int64)) for r in sorted(rows, key=lambda r: (r["plain"], r["order"]))], seed)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], names=["network"])
 
-    sample = staged(docs.select("text").mapInArrow(smallest, "order long, piece string, labels array<tinyint>, plain boolean").dropDuplicates(["plain", "order"]))
+    sample = staged(small_batches(docs.select("text")).mapInArrow(smallest, "order long, piece string, labels array<tinyint>, plain boolean").dropDuplicates(["plain", "order"]))
     near, plain = (sample.where(of).orderBy("order").limit(most) for of, most in ((~F.col("plain"), SAMPLE_WINDOWS), (F.col("plain"), PLAIN_WINDOWS)))
     return pickle.loads(near.unionByName(plain).coalesce(1).mapInArrow(fitted, "network binary").first()["network"])  # one task for a bounded sample
 
