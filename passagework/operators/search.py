@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,7 +154,7 @@ def _scored(asked: Asked, questions: DataFrame, passages: DataFrame, lists: dict
         for some, tokens in (b for part in parts for b in blocks(part)):
             found = questions_.scores(tokens)
             keys = some.column("key")
-            order = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")  # ties go to smaller keys
+            order = pc.rank(keys, tiebreaker="first").to_numpy()  # ties go to smaller keys
             chosen = np.zeros(found["bm25"].shape, bool)
             for name, long in lists.items():
                 x = found[name]
