@@ -33,16 +33,17 @@ class Tournament:
         threshold = square[None, :] - square[:, None]
         self.exact = (c, normal, threshold)
         self.length = float(np.sqrt((normal.astype(float) ** 2).sum(axis=2).max(initial=0)))
+        self.reach = float(np.sqrt((c.astype(float) ** 2).sum(axis=1).max(initial=0)))
         self.most = float(np.abs(threshold.astype(float)).max(initial=0))
-        fits = max(self.length, self.most) < SAFE
-        self.whole = tuple(x.astype(np.int64) for x in self.exact) if fits else None
+        self.fits = max(self.length, self.most) < SAFE
+        self.whole = tuple(x.astype(np.int64) for x in self.exact) if self.fits else self.exact
 
     def assigned(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the nearest centroid of each row of x, and the squared distance to it, within 64 bits."""
         number, distance = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
         length = np.sqrt((x.astype(float) ** 2).sum(axis=1))
-        small = length * self.length + self.most < SAFE if self.whole else np.zeros(len(x), bool)
-        small &= (length + self.length + np.sqrt(self.most)) ** 2 < SAFE
+        # all forms, thresholds and squared distances stay in 64 bits
+        small = self.fits & (length * self.length + self.most < SAFE) & ((length + self.reach) ** 2 < SAFE)
         for rows, (centroids, normal, threshold), kind in ((np.flatnonzero(small), self.whole, np.int64), (np.flatnonzero(~small), self.exact, object)):
             if not len(rows):
                 continue

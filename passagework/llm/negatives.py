@@ -31,12 +31,19 @@ MOST_PARTITIONS = 4_096
 NONE = -(2**63)  # stands for no score; scores end at -MOST_SCORE
 
 
+def even(x: np.ndarray) -> np.ndarray:
+    """x with a row and a column of zeros more where its sides are odd."""
+    out = np.zeros([n + n % 2 for n in x.shape], x.dtype)
+    out[: x.shape[0], : x.shape[1]] = x
+    return out
+
+
 def strassen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b by seven products of half the size."""
     (m, k), n = a.shape, b.shape[1]
     if min(m, k, n) <= LEAF:
         return a @ b
-    a, b = np.pad(a, ((0, m % 2), (0, k % 2))), np.pad(b, ((0, k % 2), (0, n % 2)))
+    a, b = even(a), even(b)
     h, i, j = a.shape[0] // 2, a.shape[1] // 2, b.shape[1] // 2
     a11, a12, a21, a22 = a[:h, :i], a[:h, i:], a[h:, :i], a[h:, i:]
     b11, b12, b21, b22 = b[:i, :j], b[:i, j:], b[i:, :j], b[i:, j:]

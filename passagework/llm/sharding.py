@@ -78,7 +78,7 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     large = F.col("load") * PARTS >= total
     items = groups.groupBy(F.when(large, F.col("digest")).otherwise(bundle(F.col("digest"))).alias("item")).agg(F.sum("load").alias("load"))
     shard = scheduled(((r["item"], r["load"]) for r in items.toLocalIterator()), shards)  # PARTS + LEVELS * BUNDLES at most
-    table = docs.sparkSession.createDataFrame(pa.table({"item": pa.array(shard.keys(), pa.string()), "of": pa.array(shard.values(), pa.int32())}))
+    table = docs.sparkSession.createDataFrame(list(shard.items()), "item string, of int")
     alone, bundles = (F.broadcast(some) for some in (table.where("length(item) = 64").toDF("digest", "own"), table.where("length(item) < 64").toDF("bundle", "shared")))  # as many as items
     placed = rows.withColumn("bundle", bundle(F.col("digest"))).join(alone, "digest", "left").join(bundles, "bundle", "left")
     placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("own", "shared").alias("shard"))
