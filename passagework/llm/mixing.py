@@ -169,17 +169,26 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: Sequence[float]
 def mixed(docs: DataFrame, quality: Column | None = None, most: float = 2.0, **options: object) -> DataFrame:
     """The rows of docs, each as often as mix() takes it, with the columns of docs.
 
-    Every row is held against its source's place where it lies, and texts aren't shuffled. Of rows at the place that are alike in source, id, key and size, all are taken once more or none, as more or less than half of them fit."""
+    Every row is held against its source's place where it lies, and texts aren't shuffled, but for rows at a place that are alike in source, id, key
+    and size, and of which only some are taken once more: these are numbered, within the slices that tasks read."""
     quality = text_quality(docs["text"]) if quality is None else quality
     own = sized(docs, quality)
     at = places(ranged(staged(docs.select(*own))), most=most, **options)
     names = [f"d{n}" for n in range(len(docs.columns))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], *own).drop("quality")
     before, at_place = once_more()
-    more = F.when(before | (at_place & (2 * F.col("of_alike") >= F.col("alike"))), 1).otherwise(0)
+    placed = rows.join(at, SOURCE)
+    more = F.when(before | (at_place & (F.col("of_alike") == F.col("alike"))), 1).otherwise(0)
     copies = F.least(F.lit(int(most)), F.when(F.col("size") > 0, F.col("epochs")).otherwise(F.lit(0)) + more)
-    many = rows.join(at, SOURCE).withColumn("copies", copies.cast("int")).where("copies > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return many.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    many = placed.withColumn("copies", copies.cast("int")).where("copies > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    some = at.where("of_alike < alike")
+    if not some.isEmpty():  # only where rows repeat
+        alike = staged(rows.join(some, SOURCE).where(at_place).select(*SOURCE, "of_alike", *names, F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("line")))
+        counts = alike.groupBy(*SOURCE, "slice").agg(F.count("*").alias("n"))  # a row a partition
+        earlier = counts.withColumn("earlier", F.sum("n").over(W.partitionBy(*SOURCE).orderBy("slice")) - F.col("n")).drop("n")
+        number = F.row_number().over(W.partitionBy(*SOURCE, "slice").orderBy("line")) + F.col("earlier")
+        many = many.unionByName(alike.join(earlier, [*SOURCE, "slice"]).withColumn("number", number).where("number <= of_alike").select(*names))
+    return many.toDF(*docs.columns)
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
