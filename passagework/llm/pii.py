@@ -41,8 +41,8 @@ SAMPLE_WINDOWS, MADE_WINDOWS, EPOCHS, BATCH = 1_024, 512, 12, 32
 PLAIN_WINDOWS, SPELLED_WINDOWS = 768, 2_048
 #: Characters whose scores are held at once, and windows that go through the network together.
 PIECE, TOGETHER = 2_048 * STRIDE, 512
-#: Characters of a region that are decoded at once, longest span that is added, and text to its sides that its marginals see.
-BLOCK, LONGEST, AROUND = 256, 320, 64
+#: Characters of a region that are decoded at once, of a span that are held against their marginals at once, and text to the sides that these see.
+BLOCK, SPAN_PART, AROUND = 256, 320, 64
 EMBEDDED, HIDDEN, SYMBOLS = 8, 12, 130
 #: Least marginal probability that each character of an added span must have.
 SURE = 0.8
@@ -468,7 +468,7 @@ class Network:
                 if kind >= 0:
                     begun[n] = (kind, s, e)
             spans += [(n, *span) for n, span in begun.items()]
-            spans = [(n, k, s, e) for n, k, s, e in sorted(spans, key=lambda x: (x[0], x[2])) if e - s <= LONGEST and free(n, s, e) and plausible(k, texts[n][s:e])]
+            spans = [(n, k, s, e) for n, k, s, e in sorted(spans, key=lambda x: (x[0], x[2])) if free(n, s, e) and plausible(k, texts[n][s:e])]
             for at in range(0, len(spans), TOGETHER):
                 for n, kind, s, e in self.sure(codes, held, spans[at : at + TOGETHER]):
                     s, e = widened(kind, texts[n], s, e)
@@ -478,20 +478,24 @@ class Network:
         return out
 
     def sure(self, codes: list[np.ndarray], held: dict[int, np.ndarray | None], spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """The spans each of whose characters has a marginal of SURE, with AROUND characters of text to each side."""
-        around = self.cut_out(codes, held, [(n, max(0, s - AROUND), min(len(codes[n]), e + AROUND)) for n, _, s, e in spans])
-        by_size: dict[int, list[int]] = {}
-        for k, x in enumerate(around):
-            by_size.setdefault(len(x), []).append(k)
-        yes = set()
-        for some in by_size.values():
-            chances = self.marginals(np.stack([around[k] for k in some], axis=1).astype(np.float64))[1]
-            for place, k in enumerate(some):
-                _, kind, s, e = spans[k]
-                chance = chances[min(s, AROUND) :, place]
-                if min(chance[0, 1 + 2 * kind], chance[1 : e - s, 2 + 2 * kind].min(initial=1)) >= SURE:
-                    yes.add(k)
-        return [spans[k] for k in sorted(yes)]
+        """The spans each of whose characters has a marginal of SURE, with AROUND characters of text to each side; long ones by parts."""
+        parts = [(k, a, min(e, a + SPAN_PART)) for k, (_, _, s, e) in enumerate(spans) for a in range(s, e, SPAN_PART)]
+        unsure = set()
+        for first in range(0, len(parts), TOGETHER):
+            some = parts[first : first + TOGETHER]
+            around = self.cut_out(codes, held, [(n := spans[k][0], max(0, a - AROUND), min(len(codes[n]), b + AROUND)) for k, a, b in some])
+            by_size: dict[int, list[int]] = {}
+            for place, x in enumerate(around):
+                by_size.setdefault(len(x), []).append(place)
+            for places in by_size.values():
+                chances = self.marginals(np.stack([around[p] for p in places], axis=1).astype(np.float64))[1]
+                for column, (k, a, b) in enumerate(some[p] for p in places):
+                    _, kind, s, _ = spans[k]
+                    chance = chances[min(a, AROUND) :, column]
+                    begins = int(a == s)
+                    if min(chance[0, 2 + 2 * kind - begins], chance[1 : b - a, 2 + 2 * kind].min(initial=1)) < SURE:
+                        unsure.add(k)
+        return [span for k, span in enumerate(spans) if k not in unsure]
 
     def cut_out(self, codes: list[np.ndarray], held: dict[int, np.ndarray | None], wanted: list[tuple[int, int, int]]) -> list[np.ndarray]:
         """Scores of the wanted places: of those held, or, of texts longer than PIECE, read again."""
