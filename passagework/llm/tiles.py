@@ -32,8 +32,10 @@ SAMPLE_ROWS, LEADING, FEWEST = 1_024, 128, 1_000
 
 
 def vectors(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of doubles, each brought by a power of two to a largest component between a half and 1, so that no square overflows or vanishes; cosines stay as they are."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), dims)
+    x = column.flatten().to_numpy().astype(np.float64).reshape(len(column), dims)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
 
 
 def leading_axes(x: np.ndarray) -> np.ndarray:
