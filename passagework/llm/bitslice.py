@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-BLOCK_ROWS, BATCH_ROWS = 16_384, 1_024
+BLOCK_ROWS, BATCH_ROWS = 16_384, 8_192
+#: Partitions of the grid at most; of more cells, a task takes several, one after the other.
+MOST_PARTITIONS = 4_096
 #: Quantised components end here: the difference of two still is a 64-bit number. Scores end at those of 64 bits.
 LARGEST, MOST_SCORE = float(2**62 - 512), 2**63 - 1
 
@@ -166,6 +168,13 @@ def _batch(table: pa.Table) -> pa.Table:
     return pa.table({"batch": table["batch"][:1], "turns": pa.array([table["turn"].to_numpy().tobytes()], pa.binary()), "query_ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "weights": pa.array([values.tobytes()], pa.binary())})
 
 
+def grid(rows: int, queries: int, cores: int) -> tuple[int, int, int]:
+    """Blocks of rows, batches of queries, and partitions in which they meet: two cells for each core at least, and each block goes to as many cells as there are batches."""
+    blocks = max(1, -(-rows // BLOCK_ROWS))
+    batches = max(1, -(-queries // BATCH_ROWS), min(queries, -(-2 * cores // blocks)))
+    return blocks, batches, min(blocks * batches, MOST_PARTITIONS)
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner products of floor(256 x), for each query.
 
@@ -183,7 +192,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     # rows are dealt by their places, so that one id with many rows is dealt like many; the staged table fixes the places
     rows = staged(usable.withColumn("place", F.xxhash64(F.monotonically_increasing_id())))
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("value").alias("turn"), "value").distinct()
-    blocks, batches = -(-rows.count() // BLOCK_ROWS) or 1, -(-asked.count() // BATCH_ROWS) or 1
+    blocks, batches, n = grid(rows.count(), asked.count(), vectors.sparkSession.sparkContext.defaultParallelism)
     index = staged(
         rows.withColumn("block", F.pmod("place", F.lit(blocks)).cast("int"))
         .groupBy("block")
@@ -205,7 +214,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 found = [(int(q), int(t), i, max(-MOST_SCORE, min(MOST_SCORE, s))) for q, t, w in zip(ids, turns, weights) for s, i in block.best(w, k, int(q))]
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(4)], names=["query_id", "turn", "vec_id", "score"])
 
-    key, n = ["block", "batch"], blocks * batches
+    key = ["block", "batch"]
     left = index.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).repartition(n, *key)
     right = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(n, *key)
     best = left.join(right.hint("shuffle_hash"), key).mapInArrow(cells, "query_id long, turn long, vec_id long, score long")  # hashes one batch of queries
