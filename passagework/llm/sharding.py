@@ -62,7 +62,7 @@ def numbered(rows: DataFrame, by: str, *order: str) -> DataFrame:
     dealt = staged(sorted_.mapInArrow(run, f"{types}, task int, place long"))
     counts = dealt.groupBy(by, "task").agg(F.count("*").alias("n"))  # a row for each value in each task
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy(by).orderBy("task")) - F.col("n")).drop("n")
-    return dealt.join(before, [by, "task"]).withColumn("slot", F.col("before") + F.col("place")).drop("task", "place", "before")
+    return dealt.join(before, [by, "task"]).select(*rows.columns, (F.col("before") + F.col("place")).alias("slot"))
 
 
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
