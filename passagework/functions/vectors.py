@@ -82,17 +82,26 @@ def fnv_buckets(terms: list[str]) -> np.ndarray:
     return (hashes % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def embedded(tokens: list[list[str]]) -> np.ndarray:
-    """Hashed embeddings of token lists, one row each: 1 a token and half a pair of neighbours, brought to unit length; zero without tokens."""
+def bucket_sums(tokens: list[list[str]]) -> np.ndarray:
+    """Sums by bucket of token lists, one row each: 1 a token and half a pair of neighbours."""
     pairs = [[f"{a}_{b}" for a, b in zip(some, some[1:])] for some in tokens]
     sizes = np.array([(len(a), len(b)) for a, b in zip(tokens, pairs)], np.int64).reshape(-1, 2)
     at = fnv_buckets([t for a, b in zip(tokens, pairs) for t in (*a, *b)])
     owner = np.repeat(np.arange(len(tokens)), sizes.sum(axis=1))
     weight = np.repeat(np.tile([1.0, BIGRAM_WEIGHT], len(tokens)), sizes.ravel())
-    sums = np.bincount(owner * BUCKETS + at, weight, len(tokens) * BUCKETS).reshape(len(tokens), BUCKETS)
+    return np.bincount(owner * BUCKETS + at, weight, len(tokens) * BUCKETS).reshape(len(tokens), BUCKETS)
+
+
+def unit(sums: np.ndarray) -> np.ndarray:
+    """Rows brought to length 1; zero rows stay."""
     return sums / np.sqrt(np.maximum((sums * sums).sum(axis=1, keepdims=True), 1e-300))
 
 
+def embedded(tokens: list[list[str]]) -> np.ndarray:
+    """Hashed embeddings of token lists, one row each, of unit length; zero without tokens."""
+    return unit(bucket_sums(tokens))
+
+
 def _sparse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in (whole.slice(at, 512) for whole in parts for at in range(0, whole.num_rows, 512)):
         made = embedded([tokenize(t or "") for t in part.column("text").to_pylist()])

@@ -1,30 +1,21 @@
 """Keyword, vector and hybrid search of many questions at once.
 
-Questions are a table of known size, passages one of any. Passages are read twice: once to count in how many of
-them the questions' terms occur, and once to score them, a block of passages against all questions by matrix
-products. A block returns, for each question, the first passages of each list, which are all that can be
-among the first of the whole, so no pair of a question and a passage is shuffled but these. Every ranking is
-a window by question with a total order (score, then id)."""
+Questions are a table of known size, passages one of any. Passages are scored in an index of them, where a task keeps the
+first of each list for every question; see index.py. Every ranking is a window by question with a total order (score, then id)."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import plain
 from ..functions.constants import ASKS_ABOUT_REFERENCES, REFERENCES_HEADING
 from ..functions.text import normalize_for_match
-from ..functions.vectors import BUCKETS, embedded
+from .index import PLACES, build, search
 
 
 @dataclass(frozen=True)
@@ -42,9 +33,6 @@ class Tuning:
 
 
 TUNING = Tuning()
-#: Questions that meet the passages in one reading, passages that they meet at once, and places to which scores are rounded.
-QUESTIONS, BLOCK, PLACES = 1_024, 256, 6
-LISTS = ("vector_score", "bm25", "coverage")
 
 
 def ranked(rows: DataFrame, by: str, *order: Column, at_most: int | None = None, name: str = "rank") -> DataFrame:
@@ -53,119 +41,9 @@ def ranked(rows: DataFrame, by: str, *order: Column, at_most: int | None = None,
     return numbered if at_most is None else numbered.where(F.col(name) <= at_most)
 
 
-class Asked:
-    """Questions as arrays: their terms, and their hashed embeddings."""
-
-    def __init__(self, keys: list, texts: list[str | None]) -> None:
-        tokens = [plain.tokenize(t or "") for t in texts]
-        self.keys, self.terms = keys, [list(dict.fromkeys(t)) for t in tokens]
-        self.number = {t: n for n, t in enumerate(dict.fromkeys(t for some in self.terms for t in some))}
-        self.vectors = embedded(tokens)
-        holders = [[] for _ in self.number]
-        for q, some in enumerate(self.terms):
-            for t in some:
-                holders[self.number[t]].append(q)
-        self.starts = np.cumsum([0, *map(len, holders)])  # questions of each term, one after the other
-        self.holders = np.array([q for some in holders for q in some], np.int64)
-
-    def weigh(self, docs: int, words: int, frequency: dict[str, int], tuning: Tuning) -> None:
-        """Weights of the terms, from the number of passages, of all their tokens, and of passages with each term."""
-        self.tuning, self.mean = tuning, words / docs if words else 1.0
-        df = [frequency.get(t, 0) for t in self.number]
-        self.idf = np.array([math.log(1 + (docs - n + 0.5) / (n + 0.5)) for n in df])
-        self.total = np.array([sum(self.idf[self.number[t]] for t in some) for some in self.terms])
-
-    def scores(self, passages: list[list[str]]) -> dict[str, np.ndarray]:
-        """(question, passage) of each score."""
-        at, times, owner = [], [], []
-        for p, tokens in enumerate(passages):
-            some = Counter(n for t in tokens if (n := self.number.get(t)) is not None)
-            at += some.keys()
-            times += some.values()
-            owner += [p] * len(some)
-        at, tf, owner = np.array(at, np.int64), np.array(times, float), np.array(owner, np.int64)
-        length = np.array([len(t) for t in passages], float)
-        k1, b = self.tuning.k1, self.tuning.b
-        gain = self.idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[owner] / self.mean))
-        # each occurrence of a term counts for all questions that hold it
-        many = self.starts[at + 1] - self.starts[at]
-        each = np.repeat(np.arange(len(at)), many)
-        question = self.holders[np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + self.starts[at][each]]
-        cell, shape = question * len(passages) + owner[each], (len(self.keys), len(passages))
-        sums = lambda w: np.bincount(cell, w, shape[0] * shape[1]).reshape(shape)
-        held = np.divide(sums(self.idf[at][each]), self.total[:, None], out=np.zeros(shape), where=self.total[:, None] > 0)
-        found = {"vector_score": np.minimum(1, self.vectors @ embedded(passages).T), "bm25": sums(gain[each]), "coverage": held}
-        return {name: np.round(x, PLACES) + 0.0 for name, x in found.items()}
-
-
-def counted(tokens: list[list[str]], wanted: dict[str, int]) -> tuple[int, int, Counter]:
-    """Passages, their tokens, and passages with each wanted term."""
-    return len(tokens), sum(map(len, tokens)), Counter(t for some in tokens for t in set(some) if t in wanted)
-
-
-def blocks(part: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
-    for at in range(0, part.num_rows, BLOCK):
-        some = part.slice(at, BLOCK)
-        yield some, [plain.tokenize(t or "") for t in some.column("text").to_pylist()]
-
-
 def candidates(questions: DataFrame, question_key: str, question: Column, passages: DataFrame, key: str, text: Column, lists: dict[str, int], tuning: Tuning = TUNING) -> DataFrame:
-    """question_key, key, vector_score, bm25, coverage of at least the first passages of each of the lists, each so many long.
-
-    vector_score compares hashed embeddings, bm25 is over all passages given, and coverage is the share of the
-    question's idf, absent terms included, that the passage holds. Scores have PLACES places. The vector list holds passages of any score, the others
-    only those that share a term. Questions are dealt into groups of about QUESTIONS, which is what is sent to every task; each group reads the passages."""
-    n = questions.count()
-    groups = max(1, -(-n // QUESTIONS))
-    asked = questions.select(F.col(question_key).alias("key"), question.alias("text"))
-    inner = passages.select(F.col(key).alias("key"), text.alias("text"))
-    made = None
-    for group in range(groups):
-        some = asked.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == group) if groups > 1 else asked
-        rows = some.collect()
-        order = sorted(range(len(rows)), key=lambda r: (rows[r]["key"] is None, rows[r]["key"]))
-        one = _scored(Asked([rows[r]["key"] for r in order], [rows[r]["text"] for r in order]), asked, inner, lists, tuning)
-        made = one if made is None else made.unionByName(one)
-    return made.withColumnsRenamed({"question": question_key, "key": key})
-
-
-def _scored(asked: Asked, questions: DataFrame, passages: DataFrame, lists: dict[str, int], tuning: Tuning) -> DataFrame:
-    shipped = passages.sparkSession.sparkContext.broadcast(asked)  # QUESTIONS of them
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, terms = [0, 0], Counter()
-        for _, tokens in (b for part in parts for b in blocks(part)):
-            docs, words, df = counted(tokens, shipped.value.number)
-            sums[0] += docs
-            sums[1] += words
-            terms.update(df)
-        names = [None, None, *terms]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0, 1, *[2] * len(terms)], pa.int32()), pa.array([*sums, *terms.values()], pa.int64())], names=["term", "what", "n"])
-
-    totals = passages.mapInArrow(count, "term string, what int, n long").groupBy("what", "term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the questions
-    sums = {r["what"]: r["n"] for r in totals if r["what"] < 2}
-    asked.weigh(sums.get(0, 0), sums.get(1, 0), {r["term"]: r["n"] for r in totals if r["what"] == 2}, tuning)
-    weighed = passages.sparkSession.sparkContext.broadcast(asked)
-    arrow_type = to_arrow_type(questions.schema["key"].dataType)
-    question_type, key_type = questions.schema["key"].dataType.simpleString(), passages.schema["key"].dataType.simpleString()
-
-    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions_ = weighed.value
-        for some, tokens in (b for part in parts for b in blocks(part)):
-            found = questions_.scores(tokens)
-            keys = some.column("key")
-            order = pc.rank(keys, tiebreaker="first").to_numpy()  # ties go to smaller keys
-            chosen = np.zeros(found["bm25"].shape, bool)
-            for name, long in lists.items():
-                x = found[name]
-                first = np.lexsort((np.broadcast_to(order, x.shape), -x))[:, :long]
-                np.put_along_axis(chosen, first, np.take_along_axis(chosen, first, 1) | (name == "vector_score") | (np.take_along_axis(x, first, 1) > 0), 1)
-            q, p = np.nonzero(chosen)
-            columns = [pa.array([questions_.keys[n] for n in q], arrow_type), keys.take(pa.array(p)), *(pa.array(found[c][q, p]) for c in LISTS)]
-            if len(q):
-                yield pa.RecordBatch.from_arrays(columns, names=["question", "key", *LISTS])
-
-    return passages.mapInArrow(score, f"question {question_type}, key {key_type}, " + ", ".join(f"{c} double" for c in LISTS))
+    """question_key, key, vector_score, bm25, coverage of the first passages of each of the lists, by an index made for it; see index.search()."""
+    return search(build(passages, key, text, vectors="vector_score" in lists), questions, question_key, question, key, lists, tuning.k1, tuning.b)
 
 
 def grid_top(table: pa.Table, other: pa.Table, k: int) -> pa.Table:
@@ -230,10 +108,15 @@ def fuse(rankings: list[DataFrame], by: str, key: str, tuning: Tuning = TUNING)
 
 
 def both_lists(scores: DataFrame, by: str, key: str, tuning: Tuning = TUNING) -> DataFrame:
-    """The fused scores of the vector list, with any score, and of the keyword list, of passages that share a term."""
-    vector = ranked(scores, by, F.desc("vector_score"), F.col(key), at_most=tuning.depth)
-    keyword = ranked(scores.where("bm25 > 0"), by, F.desc("bm25"), F.col(key), at_most=tuning.depth)
-    return fuse([vector, keyword], by, key, tuning)
+    """scores with `score`: the fused ranks in the vector list, with any score, and in the keyword list, of passages that share a term.
+
+    Both ranks and all that follows by question come of one shuffle."""
+    own = W.partitionBy(by)
+    numbered = scores.withColumn("near", F.row_number().over(own.orderBy(F.desc("vector_score"), key))).withColumn("worded", F.row_number().over(own.orderBy(F.desc("bm25"), key)))
+    share = lambda rank, here: F.when(here & (F.col(rank) <= tuning.depth), 1.0 / (tuning.rrf_k + F.col(rank)))
+    near, worded = share("near", F.lit(True)), share("worded", F.col("bm25") > 0)
+    both = (F.coalesce(near, F.lit(0.0)) + F.coalesce(worded, F.lit(0.0))) / (2 / (tuning.rrf_k + 1.0))
+    return numbered.withColumn("score", both).where("score > 0").drop("near", "worded")
 
 
 def about_references(heading: Column, question: Column | None) -> Column:
@@ -247,7 +130,7 @@ def hybrid(scores: DataFrame, by: str, key: str, heading: Column | None = None,
 
     scores: by, key, vector_score, bm25, coverage. Passages under a heading of
     references count half, unless the question asks about references."""
-    fused = both_lists(scores, by, key, tuning).join(scores, [by, key])
+    fused = both_lists(scores, by, key, tuning)
     if heading is not None:
         fused = fused.withColumn("score", F.when(about_references(heading, question), F.col("score") * tuning.references_penalty).otherwise(F.col("score")))
     return ranked(fused, by, F.desc("score"), F.desc("vector_score"), F.col(key), at_most=tuning.top)

@@ -17,6 +17,7 @@ from ..operators.chunk import chunks_of_texts, sentences_of_texts
 from ..operators.ingest import read_files
 from ..operators.terms import frequencies, term_counts, tokens_of
 from ..sources import native as N
+from ..sources.tables import spread
 from ..streaming.files import windowed_activity
 from .oracle import NOW
 
@@ -32,9 +33,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
+    """A table of texts, dealt to all cores."""
+    return spread(table(spark, d, name))
+
+
 def found(spark: SparkSession, d: str, **lists: int) -> DataFrame:
     """Each benchmark text as a question to all documents."""
-    return S.candidates(table(spark, d, "benchmark"), "item_id", F.col("text"), table(spark, d, "documents"), "doc_id", F.col("text"), lists)
+    return S.candidates(table(spark, d, "benchmark"), "item_id", F.col("text"), texts(spark, d), "doc_id", F.col("text"), lists)
 
 
 @query
@@ -56,7 +62,7 @@ def pairs(spark, d):
 
 @query
 def rrf_fusion(spark, d):
-    return S.both_lists(pairs(spark, d), "item_id", "doc_id").withColumn("score", F.round("score", 6))
+    return S.both_lists(pairs(spark, d), "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query
