@@ -5,22 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contextual_text, names_document, question_plan
+from ..sources.tables import written
 from . import answer as A
-from .providers import Offline, Provider
+from . import extract
 from . import search as S
-from .chunk import Chunk
-from .summary import overview_chunks
+from .citations import resolved
+from .providers import Offline, Provider, with_retry
+from .salience import gist
 
 OVERVIEW_DOCUMENTS = 3
 #: Passages for each document of an overview, by how many there are.
 OVERVIEW_PASSAGES = {1: 8, 2: 5, 3: 4}
 SOURCE = "struct<document_id:string, title:string, chunk_index:int, content:string, heading:string, page_start:int, page_end:int>"
-RESULT = "answer string, mode string, confidence string, insufficient boolean, citations array<struct<ord:int, source:int, document_id:string, chunk_index:int, quote:string, verified:boolean>>, error string"
 
 
 def routed(questions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -47,14 +48,8 @@ def overview_passages(chunks: DataFrame, wanted: DataFrame, points: DataFrame |
     needed = chunks.join(counted.select("document_id", "n").distinct(), "document_id")
     none = F.array().cast("array<int>")
     needed = needed.withColumn("points", none) if points is None else needed.join(points.select("document_id", "points"), "document_id", "left").withColumn("points", F.coalesce("points", none))
-
-    def pick(table: pa.Table) -> pa.Table:
-        order = table.sort_by("chunk_index")
-        rows = [Chunk(r["chunk_index"], r["content"], r["heading"], None, None) for r in order.to_pylist()]
-        picked = set(overview_chunks(rows, table["points"][0].as_py(), OVERVIEW_PASSAGES[table["n"][0].as_py()]))
-        return order.filter(pa.array([r.index in picked for r in rows])).select(["document_id", "n", "chunk_index"])
-
-    places = needed.select("document_id", "n", "points", "chunk_index", "content", "heading").groupBy("document_id", "n").applyInArrow(pick, "document_id string, n long, chunk_index int")
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in OVERVIEW_PASSAGES.items() for x in pair]), F.col("n").cast("int"))
+    places = gist(needed.select("document_id", "n", "points", "chunk_index", "content", "heading"), ["document_id", "n"], limit).select("document_id", "n", "chunk_index")
     found = counted.join(places, ["document_id", "n"]).join(chunks, ["document_id", "chunk_index"])
     return found.select("question_id", F.row_number().over(W.partitionBy("question_id").orderBy("document_id", "chunk_index")).alias("rank"), source().alias("source"))
 
@@ -77,36 +72,62 @@ def ask(questions: DataFrame, chunks: DataFrame, documents: DataFrame | None = N
 
     questions: question_id, question; chunks: document_id, title, chunk_index, content, heading, page_start,
     page_end; documents as for routed(), none if no overviews are wanted. Questions without
-    relevant passages are insufficient without asking the provider."""
+    relevant passages are insufficient without asking the provider. A provider that writes as the offline one does answers all questions
+    at once, by extract.answers(); overviews, and other providers, write one question at a time from its dozen passages."""
     provider = provider or Offline()
     shown = searched(questions, chunks).withColumn("mode", F.lit("answer"))
     if documents is not None:
         points = documents.select("document_id", "points") if "points" in documents.columns else None
-        gist = overview_passages(chunks, routed(questions, documents), points).withColumn("mode", F.lit("overview"))
-        shown = shown.join(gist.select("question_id").distinct(), "question_id", "left_anti").unionByName(gist)
-    sources = shown.groupBy("question_id").agg(F.first("mode").alias("mode"), F.array_sort(F.collect_list(F.struct("rank", "source"))).alias("sources"))  # at most 12 passages
+        gists = overview_passages(chunks, routed(questions, documents), points).withColumn("mode", F.lit("overview"))
+        shown = shown.join(gists.select("question_id").distinct(), "question_id", "left_anti").unionByName(gists)
+    shown = written(shown.select("question_id", "mode", F.col("rank").alias("number"), F.col("source.*")).withColumnRenamed("number", "source"))
+    by_rows = type(provider).generate is Offline.generate
+    modes = shown.groupBy("question_id").agg(F.first("mode").alias("mode"))
+    asked = questions.select("question_id", "question").join(modes, "question_id", "left")
+    one_by_one = asked.where("mode = 'overview'" if by_rows else "mode IS NOT NULL")
+    made = _written(one_by_one, shown, provider).unionByName(asked.where("mode IS NULL").select("question_id", *_said(A.INSUFFICIENT)))
+    if by_rows:
+        found = extract.answers(asked.where("mode = 'answer'"), "question_id", "question", shown.where("mode = 'answer'"))
+        made = made.unionByName(found.withColumns({"mode": F.lit("answer"), "error": F.lit(None).cast("string")}))
+    made = written(made)
+    each = F.array_sort(F.collect_list(F.struct("ord", "source", "document_id", "chunk_index", "quote", "verified")))  # one answer's citations
+    cited = resolved(made, shown).groupBy("question_id").agg(each.alias("cited"))
+    both = questions.select("question_id", "question").join(made.drop("citations"), "question_id").join(cited, "question_id", "left")
+    return both.select("question_id", "question", "answer", "mode", "confidence", "insufficient", F.coalesce("cited", F.array().cast(CITATIONS)).alias("citations"), "error")
+
+
+CITATIONS = "array<struct<ord:int, source:int, document_id:string, chunk_index:int, quote:string, verified:boolean>>"
+RAW = "array<struct<source:double, quote:string>>"
+SAID = {"answer": "string", "mode": "string", "confidence": "string", "insufficient": "boolean", "citations": RAW, "error": "string"}
+
+
+def _said(answer: A.Answer) -> list[Column]:
+    """The columns of an answer without citations."""
+    values = {"answer": answer.text, "mode": "answer", "confidence": answer.confidence, "insufficient": answer.insufficient, "error": None}
+    return [(F.array() if c == "citations" else F.lit(values[c])).cast(kind).alias(c) for c, kind in SAID.items()]
+
+
+def _written(asked: DataFrame, shown: DataFrame, provider: Provider) -> DataFrame:
+    """What the provider writes to each question (question_id, question, mode) from its passages."""
+    passage = F.struct("source", "document_id", "title", "chunk_index", "content", "heading", "page_start", "page_end")
+    rows = asked.join(shown.groupBy("question_id").agg(F.array_sort(F.collect_list(passage)).alias("sources")), "question_id")  # at most 12 passages
+    raw = pa.list_(pa.struct([("source", pa.float64()), ("quote", pa.string())]))
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), RAW: raw}
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for at in range(0, part.num_rows, 64):  # questions come with a dozen passages each
-                rows = [written(provider, r) for r in part.slice(at, 64).to_pylist()]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([part.schema.field("question_id"), part.schema.field("question"), *RESULT_FIELDS]))
-
-    asked = questions.select("question_id", "question").join(sources, "question_id", "left")
-    types = {f.name: f.dataType.simpleString() for f in asked.schema}
-    return asked.mapInArrow(write, f"question_id {types['question_id']}, question string, {RESULT}")
-
+        for some in (part.slice(at, 64) for part in parts for at in range(0, part.num_rows, 64)):  # questions come with a dozen passages each
+            made = [one(provider, r) for r in some.to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("question_id"), *(pa.array([m[c] for m in made], kinds[t]) for c, t in SAID.items())], names=["question_id", *SAID])
 
-CITATION = pa.struct([("ord", pa.int32()), ("source", pa.int32()), ("document_id", pa.string()), ("chunk_index", pa.int32()), ("quote", pa.string()), ("verified", pa.bool_())])
-RESULT_FIELDS = [pa.field("answer", pa.string()), pa.field("mode", pa.string()), pa.field("confidence", pa.string()), pa.field("insufficient", pa.bool_()), pa.field("citations", pa.list_(CITATION)), pa.field("error", pa.string())]
+    return rows.mapInArrow(write, f"question_id {rows.schema['question_id'].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in SAID.items()))
 
 
-def written(provider: Provider, row: dict) -> dict:
-    sources = [A.Source(n, s["document_id"], s["title"] or "", s["chunk_index"], s["content"], s["heading"], s["page_start"], s["page_end"]) for n, s in enumerate((x["source"] for x in row["sources"] or []), 1)]
+def one(provider: Provider, row: dict) -> dict:
+    sources = [A.Source(s["source"], s["document_id"], s["title"] or "", s["chunk_index"], s["content"], s["heading"], s["page_start"], s["page_end"]) for s in row["sources"]]
     error = None
     try:
-        made = provider.generate(row["question"], sources, row["mode"]) if sources else A.INSUFFICIENT
+        made = with_retry(lambda: provider.generate(row["question"], sources, row["mode"]))
     except Exception as problem:  # noqa: BLE001 - a question that fails fails alone
         made, error = A.INSUFFICIENT, str(problem)[:1_000]
-    cited = [{"ord": c.order, "source": c.source, "document_id": c.document, "chunk_index": c.chunk_index, "quote": c.quote, "verified": c.verified} for c in A.resolve(made.citations, sources)]
-    return {"question_id": row["question_id"], "question": row["question"], "answer": made.text, "mode": row["mode"] or "answer", "confidence": made.confidence, "insufficient": made.insufficient, "citations": cited, "error": error}
+    number = lambda n: float(n) if isinstance(n, (int, float)) and not isinstance(n, bool) else None
+    return {"answer": made.text, "mode": row["mode"], "confidence": made.confidence, "insufficient": made.insufficient, "citations": [{"source": number(n), "quote": q} for n, q in made.citations], "error": error}

