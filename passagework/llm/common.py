@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -71,6 +73,26 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, which gives memory that it no longer uses back to the system when its task ends.
+
+    Spark keeps workers for the next task, and several of them wait beside those that work."""
+
+    def tidied(parts: Batches) -> Batches:
+        try:
+            yield from run(parts)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidied
+
+
 def beside(docs: DataFrame, keep: Sequence[str], texts: str | Column, made: str, start: Callable[[], Callable[[list], list[tuple]]], rows: int = 1_000, extra: Sequence[Column] = ()) -> DataFrame:
     """The kept columns of docs, the extra ones, and what a function makes of the texts, a column's name or an expression.
 
@@ -96,4 +118,4 @@ def beside(docs: DataFrame, keep: Sequence[str], texts: str | Column, made: str,
                 yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in passed), *(pa.array([o[n] for o in out], ARROW[kind]) for n, (_, kind) in enumerate(fields))], names=[*(f.name for f in passed), *(f"m{n}" for n in range(len(fields)))])
 
     types = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in passed), *(f"m{n} {kind}" for n, (_, kind) in enumerate(fields))])
-    return inner.mapInArrow(run, types).toDF(*keep, *(f"extra{n}" for n in range(len(extra))), *(name for name, _ in fields))
+    return inner.mapInArrow(tidy(run), types).toDF(*keep, *(f"extra{n}" for n in range(len(extra))), *(name for name, _ in fields))

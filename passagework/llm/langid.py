@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import beside, doc_key
+from .common import beside, doc_key, tidy
 
 DIMS_BITS, LONGEST_GRAM, BATCH = 15, 4, 128
 DIMS = 1 << DIMS_BITS
@@ -134,7 +134,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[s
                 columns = [some.column("doc_id").filter(keep), some.column("lang").filter(keep), pa.array([b.tobytes() for b in np.packbits(bits.astype(bool), axis=1)[has]], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "bits"])
 
-    found = texts.mapInArrow(packed, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, bits binary").dropDuplicates(["doc_id", "lang"]).collect()
+    found = texts.mapInArrow(tidy(packed), f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, bits binary").dropDuplicates(["doc_id", "lang"]).collect()
     found.sort(key=lambda r: (r["lang"], r["doc_id"]))
     bits = np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(len(found), DIMS // 8)
     return bits, [r["lang"] for r in found]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import small_batches, staged, tidy
 from .components import components
 
 WORDS = 5
@@ -58,7 +58,9 @@ def powers(base: int, n: int) -> np.ndarray:
         size = max(n, 1 << 16)
         known = np.full(size, base, np.uint64)
         known[0] = 1
-        known = _powers[base] = np.multiply.accumulate(known)
+        known = np.multiply.accumulate(known)
+        if size == 1 << 16:  # of very long runs they are made each time
+            _powers[base] = known
     return known[:n]
 
 
@@ -129,7 +131,7 @@ def not_ruled_out(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     """The pairs (a, b) whose sizes and signatures allow the similarity."""
     slim = classes.select("rep", "n_shingles", "slots")
     both = pairs.join(slim.toDF("a", "n_a", "slots_a"), "a").join(slim.toDF("b", "n_b", "slots_b"), "b")
-    return both.where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent).select("a", "b", "slots_a", "slots_b").mapInArrow(_alike, "a long, b long")
+    return both.where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent).select("a", "b", "slots_a", "slots_b").mapInArrow(tidy(_alike), "a long, b long")
 
 
 def _alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +169,7 @@ def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     if crowded:
         known = known.join(ids, "id", "left_semi")
     known = known.select("id", hashed.alias("h"), "text")
-    return staged(known.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"]))
+    return staged(known.mapInArrow(tidy(sets), "id long, hashes binary").dropDuplicates(["id"]))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -186,7 +188,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yes = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sets]
             yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(yes, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    return both.mapInArrow(hold, "a long, b long")
+    return both.mapInArrow(tidy(hold), "a long, b long")
 
 
 class Group:
@@ -276,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, also: tuple[str, ...] =
         raise ValueError("percent must lie between 80 and 100")
     docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also))
     types = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != "text")
-    signed = staged(docs.mapInArrow(_signed, f"{types}, n_shingles long, set_key binary, slots binary, bands array<long>"))
+    signed = staged(docs.mapInArrow(tidy(_signed), f"{types}, n_shingles long, set_key binary, slots binary, bands array<long>"))
     told = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     reps = told.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = staged(

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, small_batches, staged
+from .common import beside, small_batches, staged, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Training windows, and how far from a digit or @ they lie; windows in which texts are read, and how far they overlap.
@@ -40,7 +40,9 @@ SAMPLE_WINDOWS, MADE_WINDOWS, EPOCHS, BATCH = 1_024, 512, 12, 32
 #: Windows without a digit or @ from the corpus, and invented ones of spelled-out data.
 PLAIN_WINDOWS, SPELLED_WINDOWS = 768, 2_048
 #: Characters whose scores are held at once, and windows that go through the network together.
-PIECE, TOGETHER = 2_048 * STRIDE, 512
+PIECE, TOGETHER = 1_024 * STRIDE, 512
+#: Texts that are read at once.
+TEXTS = 250
 #: Characters of a region that are decoded at once, of a span that are held against their marginals at once, and text to the sides that these see.
 BLOCK, SPAN_PART, AROUND = 256, 320, 64
 EMBEDDED, HIDDEN, SYMBOLS = 8, 12, 130
@@ -624,9 +626,9 @@ def trained(docs: DataFrame, seed: int = 5) -> Network:
         network = fit([(r["piece"], np.array(r["labels"], np.int64)) for r in sorted(rows, key=lambda r: (r["plain"], r["order"]))], seed)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], names=["network"])
 
-    sample = staged(small_batches(docs.select("text")).mapInArrow(smallest, "order long, piece string, labels array<tinyint>, plain boolean").dropDuplicates(["plain", "order"]))
+    sample = staged(small_batches(docs.select("text")).mapInArrow(tidy(smallest), "order long, piece string, labels array<tinyint>, plain boolean").dropDuplicates(["plain", "order"]))
     near, plain = (sample.where(of).orderBy("order").limit(most) for of, most in ((~F.col("plain"), SAMPLE_WINDOWS), (F.col("plain"), PLAIN_WINDOWS)))
-    return pickle.loads(near.unionByName(plain).coalesce(1).mapInArrow(fitted, "network binary").first()["network"])  # one task for a bounded sample
+    return pickle.loads(near.unionByName(plain).coalesce(1).mapInArrow(tidy(fitted), "network binary").first()["network"])  # one task for a bounded sample
 
 
 def fit(lines: list[tuple[str, np.ndarray]], seed: int) -> Network:
@@ -655,7 +657,7 @@ def written(spans: list[Span]) -> str:
 def _each(docs: DataFrame, keep: Sequence[str], of: Callable[[str | None, list[Span], list[Span]], tuple], made: str) -> DataFrame:
     """of(text, base, all) for every row, with a network trained on docs."""
     shipped = docs.sparkSession.sparkContext.broadcast(trained(docs))
-    return beside(docs, keep, "text", made, lambda: lambda texts: [of(t, b, e) for t, (b, e) in zip(texts, find(texts, shipped.value))])
+    return beside(docs, keep, "text", made, lambda: lambda texts: [of(t, b, e) for t, (b, e) in zip(texts, find(texts, shipped.value))], rows=TEXTS)
 
 
 def find_personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
