@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import contextual_text, names_document, question_plan
+from ..functions.text import names_document, question_plan
 from ..sources.tables import written
 from . import answer as A
 from . import extract
 from . import search as S
 from .citations import resolved
+from .embedding import embedded_passages, in_context
 from .providers import Offline, Provider, with_retry
 from .salience import gist
 
@@ -58,10 +60,21 @@ def source():  # noqa: ANN201
     return F.struct("document_id", "title", "chunk_index", "content", "heading", "page_start", "page_end").cast(SOURCE)
 
 
-def searched(questions: DataFrame, chunks: DataFrame, tuning: S.Tuning = S.TUNING) -> DataFrame:
-    """question_id, rank, source: the relevant passages of each question, best first."""
+def searched(questions: DataFrame, chunks: DataFrame, tuning: S.Tuning = S.TUNING, provider: Provider | None = None) -> DataFrame:
+    """question_id, rank, source: the relevant passages of each question, best first.
+
+    Passages that carry an embedding_model are searched only if it is the provider's, and by their stored `embedding`; without stored ones, the offline provider's are made on
+    the way, and another provider embeds the passages first. The provider's threshold is the least cosine of a relevant passage."""
+    provider = provider or Offline()
+    if "embedding_model" in chunks.columns:
+        chunks = chunks.where(F.col("embedding_model") == provider.embedding_model)
+    stored = "embedding" in chunks.columns
+    if not stored and type(provider).embed is not Offline.embed:
+        chunks, stored = embedded_passages(chunks, provider), True
+    tuning = replace(tuning, least_score=provider.relevance_threshold)
     keyed = chunks.withColumn("chunk", F.concat_ws("#", "document_id", "chunk_index"))
-    scores = S.pair_scores(questions, "question_id", F.col("question"), keyed, "chunk", contextual_text(F.col("title"), F.col("heading"), F.col("content")), tuning)
+    how = {"embedding": F.col("embedding"), "embed": provider.embed} if stored else {}
+    scores = S.pair_scores(questions, "question_id", F.col("question"), keyed, "chunk", in_context(), tuning, **how)
     full = scores.join(questions, "question_id").join(keyed.select("chunk", "heading"), "chunk")
     top = S.relevant(S.hybrid(full, "question_id", "chunk", F.col("heading"), F.col("question"), tuning), tuning).select("question_id", "rank", "chunk")
     return top.join(keyed, "chunk").select("question_id", "rank", source().alias("source"))
@@ -75,7 +88,7 @@ def ask(questions: DataFrame, chunks: DataFrame, documents: DataFrame | None = N
     relevant passages are insufficient without asking the provider. A provider that writes as the offline one does answers all questions
     at once, by extract.answers(); overviews, and other providers, write one question at a time from its dozen passages."""
     provider = provider or Offline()
-    shown = searched(questions, chunks).withColumn("mode", F.lit("answer"))
+    shown = searched(questions, chunks, provider=provider).withColumn("mode", F.lit("answer"))
     if documents is not None:
         points = documents.select("document_id", "points") if "points" in documents.columns else None
         gists = overview_passages(chunks, routed(questions, documents), points).withColumn("mode", F.lit("overview"))

@@ -12,7 +12,7 @@ no question can reach its heap's last score is left out, so a task gives as many
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,24 +30,34 @@ from ..sources.tables import small_batches, written
 BLOCK, QUESTIONS, PLACES = 128, 1_024, 6
 LISTS = ("vector_score", "bm25", "coverage")
 POSTINGS = {"n": "int", "most": "int", "least": "double", "places": "array<int>", "counts": "array<int>"}
-VECTORS = {"starts": "array<int>", "buckets": "array<int>", "halves": "array<int>"}
+#: A block's embeddings: hashed ones as sums by bucket, in halves, exactly; stored ones behind each other.
+HASHED = {"starts": "array<int>", "buckets": "array<int>", "halves": "array<int>"}
+DENSE = {"dense": "array<float>"}
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings: term, block and what POSTINGS names; blocks: block, keys, lengths, size, tokens, and the embeddings if it holds them."""
+    """postings: term, block and what POSTINGS names; blocks: block, keys, lengths, size, tokens, and the embeddings, HASHED or DENSE, if it holds them."""
 
     postings: DataFrame
     blocks: DataFrame
 
+    @property
+    def vectors(self) -> list[str]:
+        return [c for c in (*HASHED, *DENSE) if c in self.blocks.columns]
 
-def build(passages: DataFrame, key: str, text: Column, vectors: bool = True, path: str | None = None) -> Index:
-    """The index of passages under `path`, else in the shared folder. Passages with a null key are left out; null texts have no terms."""
-    inner = passages.select(F.col(key).alias("key"), text.alias("text")).where("key IS NOT NULL")
+
+def build(passages: DataFrame, key: str, text: Column, vectors: bool = True, embedding: Column | None = None, path: str | None = None) -> Index:
+    """The index of passages under `path`, else in the shared folder. Passages with a null key are left out; null texts have no terms.
+
+    embedding: a provider's vectors, which the index holds in place of hashed ones; they must be of one length."""
+    stored = [] if embedding is None else [embedding.cast("array<float>").alias("embedding")]
+    inner = passages.select(F.col(key).alias("key"), text.alias("text"), *stored).where("key IS NOT NULL")
+    dense = bool(stored)
+    more_fields = DENSE if dense else HASHED if vectors else {}
     key_type = inner.schema["key"].dataType
-    fields = {"block": "long", "term": "string", **POSTINGS, "keys": f"array<{key_type.simpleString()}>", "lengths": "array<int>", **(VECTORS if vectors else {})}
-    ints = pa.list_(pa.int32())
-    types = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<int>": ints}
+    fields = {"block": "long", "term": "string", **POSTINGS, "keys": f"array<{key_type.simpleString()}>", "lengths": "array<int>", **more_fields}
+    types = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}
     arrow = {f: pa.list_(to_arrow_type(key_type)) if f == "keys" else types[t] for f, t in fields.items()}
 
     def batch(rows: int, **columns: object) -> pa.RecordBatch:
@@ -60,7 +70,12 @@ def build(passages: DataFrame, key: str, text: Column, vectors: bool = True, pat
             tokens = [plain.tokenize(t or "") for t in some.column("text").to_pylist()]
             length = np.array([len(t) for t in tokens])
             more = {}
-            if vectors:
+            if dense:
+                column = some.column("embedding")
+                if column.null_count or len(set(np.diff(column.offsets.to_numpy()))) > 1:
+                    raise ValueError("passages have no embeddings, or such of unequal length")
+                more = {"dense": [column.flatten().to_numpy()]}
+            elif vectors:
                 sums = bucket_sums(tokens)
                 owner, bucket = np.nonzero(sums)
                 more = {"starts": [np.searchsorted(owner, np.arange(len(tokens) + 1))], "buckets": [bucket], "halves": [np.rint(2 * sums[owner, bucket]).astype(int)]}
@@ -71,7 +86,7 @@ def build(passages: DataFrame, key: str, text: Column, vectors: bool = True, pat
 
     made = written(small_batches(inner).mapInArrow(run, ", ".join(f"{f} {t}" for f, t in fields.items())))
     terms = made.where("term IS NOT NULL").select("term", "block", *POSTINGS)
-    blocks = made.where("term IS NULL").select("block", F.col("n").alias("size"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), "keys", "lengths", *(VECTORS if vectors else ()))
+    blocks = made.where("term IS NULL").select("block", F.col("n").alias("size"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), "keys", "lengths", *more_fields)
     # a term that all blocks hold has many rows; ranges of term and block part them
     by_term = written(terms.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), path and f"{path}/postings")
     return Index(by_term, written(blocks, f"{path}/blocks") if path else blocks)
@@ -102,13 +117,13 @@ def read(spark, path: str) -> Index:  # noqa: ANN001
 
 
 class Asked:
-    """Questions as arrays: their terms, and their hashed embeddings."""
+    """Questions as arrays: their terms, and their embeddings, hashed ones or what `embed` makes of the texts, brought to unit length."""
 
-    def __init__(self, keys: list, texts: list[str | None]) -> None:
+    def __init__(self, keys: list, texts: list[str | None], embed: Callable[[list[str]], np.ndarray] | None = None) -> None:
         tokens = [plain.tokenize(t or "") for t in texts]
         self.keys, self.terms = keys, [list(dict.fromkeys(t)) for t in tokens]
         self.number = {t: n for n, t in enumerate(dict.fromkeys(t for some in self.terms for t in some))}
-        self.vectors = embedded(tokens)
+        self.vectors = embedded(tokens) if embed is None else unit(np.asarray(embed([t or "" for t in texts]), float).reshape(len(texts), -1))
         holders = [[] for _ in self.number]
         for q, some in enumerate(self.terms):
             for t in some:
@@ -177,10 +192,10 @@ class Best:
         self.score[owners, place], self.key[owners, place], self.rest[owners, place] = values[order], names[order], rest[order]
 
 
-def search(index: Index, questions: DataFrame, question_key: str, question: Column, key: str, lists: dict[str, int], k1: float, b: float) -> DataFrame:
+def search(index: Index, questions: DataFrame, question_key: str, question: Column, key: str, lists: dict[str, int], k1: float, b: float, embed: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """question_key, key, vector_score, bm25, coverage of at least the first passages of each of the lists, each so many long.
 
-    vector_score compares hashed embeddings and is null unless it is among the lists; bm25 is over all passages of the index; coverage is the share of the
+    vector_score compares embeddings, those of the questions made by `embed` if the index holds stored ones, and is null unless it is among the lists; bm25 is over all passages of the index; coverage is the share of the
     question's idf, absent terms included, that the passage holds. Scores have PLACES places. The vector list holds passages of any score, the others
     only those that share a term. Questions are dealt into groups of about QUESTIONS, which is what is sent to every task; each group reads the index."""
     n = questions.count()
@@ -190,7 +205,7 @@ def search(index: Index, questions: DataFrame, question_key: str, question: Colu
     for group in range(groups):
         some = asked.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == group) if groups > 1 else asked
         rows = sorted(some.collect(), key=lambda r: (r["key"] is None, r["key"]))
-        one = _searched(index, Asked([r["key"] for r in rows], [r["text"] for r in rows]), asked, lists, k1, b)
+        one = _searched(index, Asked([r["key"] for r in rows], [r["text"] for r in rows], embed), asked, lists, k1, b)
         made = one if made is None else made.unionByName(one)
     return made.withColumnsRenamed({"question": question_key, "key": key})
 
@@ -205,7 +220,7 @@ def _searched(index: Index, asked: Asked, questions: DataFrame, lists: dict[str,
     shipped = spark.sparkContext.broadcast(asked)  # QUESTIONS of them
     near = "vector_score" in lists
     of_block = hits.groupBy("block").agg(F.collect_list(F.struct("no", "most", "least", "n", "places", "counts")).alias("hits"))  # terms of one block
-    blocks = index.blocks.select("block", "keys", "lengths", *(VECTORS if near else ()))
+    blocks = index.blocks.select("block", "keys", "lengths", *(index.vectors if near else ()))
     met = blocks.join(of_block, "block", "left" if near else "inner").drop("block")
     key_type = blocks.schema["keys"].dataType.elementType
     names = ["question", "key", *LISTS]
@@ -227,6 +242,16 @@ def _searched(index: Index, asked: Asked, questions: DataFrame, lists: dict[str,
     return small_batches(met).mapInArrow(run, f"question {questions.schema['key'].dataType.simpleString()}, key {key_type.simpleString()}, " + ", ".join(f"{c} double" for c in LISTS))
 
 
+def vectors_of(block: dict[str, pa.Scalar], n: int) -> np.ndarray:
+    """The embeddings of a block's n passages, of unit length."""
+    if "dense" in block:
+        return unit(block["dense"].values.to_numpy().astype(float).reshape(n, -1))
+    starts, buckets, halves = (block[c].values.to_numpy() for c in HASHED)
+    sums = np.zeros((n, BUCKETS))
+    sums[np.repeat(np.arange(n), np.diff(starts)), buckets] = halves / 2
+    return unit(sums)
+
+
 def offer(asked: Asked, best: dict[str, Best], block: dict[str, pa.Scalar]) -> bool:
     """One block's passages offered to the heaps; False if none of them could have been taken and they weren't scored."""
     length = np.array(block["lengths"].as_py(), float)
@@ -241,10 +266,7 @@ def offer(asked: Asked, best: dict[str, Best], block: dict[str, pa.Scalar]) -> b
             return False
         found |= asked.scores(np.repeat(at, size), hits.field("counts").flatten().to_numpy().astype(float), hits.field("places").flatten().to_numpy(), length, live)
     if "vector_score" in best:
-        starts, buckets, halves = (block[c].values.to_numpy() for c in VECTORS)
-        sums = np.zeros((len(length), BUCKETS))
-        sums[np.repeat(np.arange(len(length)), np.diff(starts)), buckets] = halves / 2
-        found["vector_score"] = np.minimum(1, asked.vectors @ unit(sums).T)
+        found["vector_score"] = np.clip(asked.vectors @ vectors_of(block, len(length)).T, -1, 1)
     scores = np.stack([np.round(found[c], PLACES) + 0.0 for c in LISTS], axis=-1)
     keys = np.empty(len(length), object)
     keys[:] = block["keys"].as_py()

@@ -5,6 +5,7 @@ first of each list for every question; see index.py. Every ranking is a window b
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,9 +42,12 @@ def ranked(rows: DataFrame, by: str, *order: Column, at_most: int | None = None,
     return numbered if at_most is None else numbered.where(F.col(name) <= at_most)
 
 
-def candidates(questions: DataFrame, question_key: str, question: Column, passages: DataFrame, key: str, text: Column, lists: dict[str, int], tuning: Tuning = TUNING) -> DataFrame:
-    """question_key, key, vector_score, bm25, coverage of the first passages of each of the lists, by an index made for it; see index.search()."""
-    return search(build(passages, key, text, vectors="vector_score" in lists), questions, question_key, question, key, lists, tuning.k1, tuning.b)
+def candidates(questions: DataFrame, question_key: str, question: Column, passages: DataFrame, key: str, text: Column, lists: dict[str, int], tuning: Tuning = TUNING, embedding: Column | None = None, embed: Callable | None = None) -> DataFrame:
+    """question_key, key, vector_score, bm25, coverage of the first passages of each of the lists, by an index made for it; see index.search().
+
+    embedding: stored vectors of the passages, with which those that embed() makes of the questions are compared; else hashed ones are made of both."""
+    index = build(passages, key, text, vectors="vector_score" in lists, embedding=embedding)
+    return search(index, questions, question_key, question, key, lists, tuning.k1, tuning.b, embed)
 
 
 def grid_top(table: pa.Table, other: pa.Table, k: int) -> pa.Table:
@@ -141,9 +145,9 @@ def relevant(rows: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
     return rows.where((F.col("vector_score") >= tuning.least_score) | (F.col("coverage") >= tuning.least_coverage))
 
 
-def pair_scores(questions: DataFrame, question_key: str, question: Column, passages: DataFrame, key: str, text: Column, tuning: Tuning = TUNING) -> DataFrame:
+def pair_scores(questions: DataFrame, question_key: str, question: Column, passages: DataFrame, key: str, text: Column, tuning: Tuning = TUNING, embedding: Column | None = None, embed: Callable | None = None) -> DataFrame:
     """question_key, key, vector_score, bm25, coverage of the passages that hybrid() can choose from."""
-    return candidates(questions, question_key, question, passages, key, text, {"vector_score": tuning.depth, "bm25": tuning.depth}, tuning)
+    return candidates(questions, question_key, question, passages, key, text, {"vector_score": tuning.depth, "bm25": tuning.depth}, tuning, embedding, embed)
 
 
 def quotes_in(quotes: DataFrame, quote_key: str, quote: Column, passages: DataFrame, key: str, text: Column) -> DataFrame:

@@ -365,6 +365,6 @@ def review_state(spark, d):
 @query
 def page_summaries(spark, d):
     """Every page read as an HTML file: title, passages and key points, by the ingest path from bytes to summary."""
-    files = table(spark, d, "pages").select(F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.col("page_id").cast("string").alias("filename"), F.current_timestamp().alias("modified"), F.lit("html").alias("kind"), F.col("html").cast("binary").alias("content"), F.lit(None).cast("string").alias("refused"))
+    files = table(spark, d, "pages").select(F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.col("page_id").cast("string").alias("filename"), F.current_timestamp().alias("modified"), F.lit("html").alias("kind"), F.col("html").cast("binary").alias("content"), F.lit(None).cast("struct<code:int, text:string>").alias("refused"))
     read = ingest.read_files(files)
     return read.select(F.col("filename").cast("long").alias("page_id"), "detected", "error", "char_count", F.size("chunks").alias("passages"), F.array_join(F.transform("summary.key_points", lambda p: p["text"]), " | ").alias("key_points"))

@@ -309,7 +309,7 @@ def chunk_pages(spark, d):
 @query
 def doc_summary(spark, d):
     """Key points of every document, read as a plain text file: the ingest path from bytes to summary."""
-    files = parted(spark, d).select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("doc_id").cast("string").alias("filename"), F.current_timestamp().alias("modified"), F.lit("text").alias("kind"), F.col("text").cast("binary").alias("content"), F.lit(None).cast("string").alias("refused"))
+    files = parted(spark, d).select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("doc_id").cast("string").alias("filename"), F.current_timestamp().alias("modified"), F.lit("text").alias("kind"), F.col("text").cast("binary").alias("content"), F.lit(None).cast("struct<code:int, text:string>").alias("refused"))
     read = read_files(files)
     points = F.transform("summary.key_points", lambda p: p["text"])
     return read.select(F.col("filename").cast("long").alias("doc_id"), "error", "char_count", F.size("chunks").alias("passages"), F.array_join(points, " | ").alias("key_points"), "summary.abstract")

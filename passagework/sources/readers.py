@@ -25,7 +25,11 @@ class Block:
 
 
 class ReadError(ValueError):
-    """A document that can't be read; its text is for the document's error column."""
+    """A document that can't be read; its text and code are for the document's error columns: 413 too large, 415 of no known kind, 422 unreadable or empty."""
+
+    def __init__(self, text: str, code: int = 422) -> None:
+        super().__init__(text)
+        self.code = code
 
 
 def from_utf8(data: bytes) -> str:
@@ -181,9 +185,9 @@ def read(kind: str | None, data: bytes) -> tuple[str | None, list[Block]]:
     elif kind in ("text", "csv"):
         title, blocks = None, (text_blocks if kind == "text" else csv_blocks)(from_utf8(data))
     elif kind == "pdf":
-        raise ReadError("no glyph decoder for PDF is installed; give its text runs to layout.read_pages")
+        raise ReadError("no glyph decoder for PDF is installed; give its text runs to layout.read_pages", 415)
     else:
-        raise ReadError("unsupported file type")
+        raise ReadError("unsupported file type", 415)
     blocks = [b for b in blocks if b.text.strip()]
     if sum(len(b.text.strip()) for b in blocks) < LEAST_CHARS:
         raise ReadError("the file holds almost no text")
