@@ -121,3 +121,21 @@ SECTION_NAMES = (
 CAPTION = r"(?i)^(fig\.?|figure|table|tab\.)\s*[\dIVX]+[a-z]?\s*[:.|]"
 NUMBERED_HEADING = r"^((\d{1,2}(\.\d{1,2}){0,3})|[IVXLC]{1,6}|[A-Z])[.)]?\s+[A-Z]"
 PAGE_NUMBER = r"(?i)^(page\s*)?#?\d{1,4}(\s*(of|/)\s*\d{1,4})?$"
+
+# What each mark of Markdown is replaced by, in order.
+MARKDOWN_MARKS = (
+    (r"(?m)^```[^\n]*\n([\s\S]*?)^```[ \t]*$", "$1"),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""),
+    (r"(?m)[ \t]+#+[ \t]*$", ""),
+    (r"(?m)^[ \t]{0,3}>[ \t]?", ""),
+    (r"(?m)^[ \t]{0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$", ""),
+    (r"\*\*([^*\n]+)\*\*", "$1"),
+    (r"__([^_\n]+)__", "$1"),
+    (r"(^|[^\w*])\*([^*\n]+)\*(?=[^\w*]|$)", "$1$2"),
+    (r"(^|[^\w_])_([^_\n]+)_(?=[^\w_]|$)", "$1$2"),
+    (r"`([^`\n]+)`", "$1"),
+    (r"(?m)^[ \t]*[-*+][ \t]+", "- "),
+    (r"</?[a-zA-Z][^>]*>", ""),
+)

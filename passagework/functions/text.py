@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import GENERAL_SECTION, IRREGULAR, OVERVIEW_PATTERN, OVERVIEW_WORDS, STOPWORDS, TABLE_LINE
+from .constants import GENERAL_SECTION, IRREGULAR, MARKDOWN_MARKS, OVERVIEW_PATTERN, OVERVIEW_WORDS, STOPWORDS, TABLE_LINE
 
 WORD_BREAK, COMPOUND = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]+(?:[-./][\p{L}\p{N}]+)+"
 
@@ -73,11 +73,6 @@ def tokenize(text: Column) -> Column:
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.concat(stems(words(text)), compounds(text)))
 
 
-def token_count(text: Column) -> Column:
-    """Number of tokens, without stemming them."""
-    return F.coalesce(F.size(words(text)) + F.size(compounds(text)), F.lit(0))
-
-
 def unique_tokens(text: Column) -> Column:
     return F.array_distinct(tokenize(text))
 
@@ -331,23 +326,7 @@ def is_mostly_table(content: Column) -> Column:
 
 def strip_markdown(text: Column) -> Column:
     """Plain text of Markdown: marks go, their contents stay."""
-    # What each mark is replaced by, in order.
-    for pattern, by in (
-        (r"(?m)^```[^\n]*\n([\s\S]*?)^```[ \t]*$", "$1"),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-        (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""),
-        (r"(?m)[ \t]+#+[ \t]*$", ""),
-        (r"(?m)^[ \t]{0,3}>[ \t]?", ""),
-        (r"(?m)^[ \t]{0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$", ""),
-        (r"\*\*([^*\n]+)\*\*", "$1"),
-        (r"__([^_\n]+)__", "$1"),
-        (r"(^|[^\w*])\*([^*\n]+)\*(?=[^\w*]|$)", "$1$2"),
-        (r"(^|[^\w_])_([^_\n]+)_(?=[^\w_]|$)", "$1$2"),
-        (r"`([^`\n]+)`", "$1"),
-        (r"(?m)^[ \t]*[-*+][ \t]+", "- "),
-        (r"</?[a-zA-Z][^>]*>", ""),
-    ):
+    for pattern, by in MARKDOWN_MARKS:
         text = F.regexp_replace(text, pattern, by)
     return text
 

@@ -142,5 +142,4 @@ def one(provider: Provider, row: dict) -> dict:
         made = with_retry(lambda: provider.generate(row["question"], sources, row["mode"]))
     except Exception as problem:  # noqa: BLE001 - a question that fails fails alone
         made, error = A.INSUFFICIENT, str(problem)[:1_000]
-    number = lambda n: float(n) if isinstance(n, (int, float)) and not isinstance(n, bool) else None
-    return {"answer": made.text, "mode": row["mode"], "confidence": made.confidence, "insufficient": made.insufficient, "citations": [{"source": number(n), "quote": q} for n, q in made.citations], "error": error}
+    return {"answer": made.text, "mode": row["mode"], "confidence": made.confidence, "insufficient": made.insufficient, "citations": [{"source": A.number(n), "quote": q} for n, q in made.citations], "error": error}

@@ -123,7 +123,7 @@ class Asked:
         tokens = [plain.tokenize(t or "") for t in texts]
         self.keys, self.terms = keys, [list(dict.fromkeys(t)) for t in tokens]
         self.number = {t: n for n, t in enumerate(dict.fromkeys(t for some in self.terms for t in some))}
-        self.vectors = embedded(tokens) if embed is None else unit(np.asarray(embed([t or "" for t in texts]), float).reshape(len(texts), -1))
+        self.vectors = unit(np.asarray(embed([t or "" for t in texts]), float)) if embed and texts else embedded(tokens)
         holders = [[] for _ in self.number]
         for q, some in enumerate(self.terms):
             for t in some:
@@ -229,7 +229,7 @@ def _searched(index: Index, asked: Asked, questions: DataFrame, lists: dict[str,
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shipped.value
         best = {name: Best(len(asked.keys), long) for name, long in lists.items()}
-        for part in parts:
+        for part in parts if asked.keys else ():
             for at in range(part.num_rows):
                 offer(asked, best, {c: part.column(c)[at] for c in part.schema.names})
         found = {}

@@ -18,7 +18,7 @@ from .providers import Offline, Provider
 from .salience import salient
 from .summary import outlined
 
-LARGEST_BYTES, LONGEST_ERROR = 10 * 1024 * 1024, 1_000
+LARGEST_MB, LONGEST_ERROR = 10, 1_000
 #: Letters and digits of a key point by which its passage is found.
 BEGINNING = 120
 VERSION = 2
@@ -31,7 +31,7 @@ READ = (
 )
 
 
-def new_files(files: DataFrame, stored: DataFrame | None, model: str) -> DataFrame:
+def new_files(files: DataFrame, stored: DataFrame | None, model: str, largest: int = LARGEST_MB << 20) -> DataFrame:
     """Files (path, content, modified) with filename, kind, sha256 and refused; one of each content, and none that is stored and up to date."""
     named = files.withColumn("filename", F.element_at(F.split("path", "/"), -1))
     size = F.length("content")
@@ -39,7 +39,7 @@ def new_files(files: DataFrame, stored: DataFrame | None, model: str) -> DataFra
         "*",
         file_kind(F.col("filename"), F.lit(None).cast("string")).alias("kind"),
         F.sha2("content", 256).alias("sha256"),
-        F.when(size > LARGEST_BYTES, refusal(413, "the file is too large")).when(size == 0, refusal(422, "the file is empty")).alias("refused"),
+        F.when(size > largest, refusal(413, "the file is too large")).when(size == 0, refusal(422, "the file is empty")).alias("refused"),
     )
     one = known.groupBy("sha256").agg(F.min("path").alias("path"))
     fresh = known.join(one, ["sha256", "path"], "left_semi")
@@ -139,11 +139,11 @@ def documents_of(read: DataFrame, provider: Provider) -> DataFrame:
     )
 
 
-def ingest(files: DataFrame, store: Store, options: Options | None = None, provider: Provider | None = None) -> DataFrame:
+def ingest(files: DataFrame, store: Store, options: Options | None = None, provider: Provider | None = None, largest_mb: int = LARGEST_MB) -> DataFrame:
     """Reads new files into the store's documents, chunks and files, published together; returns the documents written."""
     provider = provider or Offline()
     stored = store.read("documents") if store.exists("documents") else None
-    fresh = store.staged(new_files(files, stored, provider.embedding_model))
+    fresh = store.staged(new_files(files, stored, provider.embedding_model, largest_mb << 20))
     staged = store.staged(documents_of(read_files(fresh, options), provider))
     kept = fresh.where("refused IS NULL").select(F.col("sha256").alias("document_id"), "filename", "kind", "modified", "content")
     publish(store, staged, provider, {"files": kept})

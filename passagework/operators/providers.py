@@ -40,6 +40,28 @@ class Offline:
         return A.overview(sources) if mode == "overview" else A.answer(question, sources)
 
 
+class Chat:
+    """A model behind a function that takes messages and returns the reply's text, with the offline embeddings. A reply that is no answer is asked for once more, with the reason."""
+
+    relevance_threshold = Offline.relevance_threshold
+    embedding_model = Offline.embedding_model
+
+    def __init__(self, send: Callable[[list[dict[str, str]]], str], model: str) -> None:
+        self.send, self.chat_model = send, model
+
+    def embed(self, texts: Sequence[str]) -> np.ndarray:
+        return Offline().embed(texts)
+
+    def generate(self, question: str, sources: list[A.Source], mode: str) -> A.Answer:
+        asked = A.messages(question, sources, mode)
+        reply = self.send(asked)
+        try:
+            return A.replied(reply)
+        except ValueError as problem:
+            again = [{"role": "assistant", "content": reply}, {"role": "user", "content": f"This could not be read: {problem}. Send the JSON object alone."}]
+            return A.replied(self.send([*asked, *again]))
+
+
 class Mixed:
     """One provider's embeddings with another one's answers."""
 

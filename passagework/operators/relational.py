@@ -28,11 +28,6 @@ def without(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> Dat
     return rows.join(others.select(F.col(other_key).alias(key)), key, "left_anti")
 
 
-def first_of(rows: DataFrame, by: list[Column], *order: Column) -> DataFrame:
-    """The first row of each group."""
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
-
-
 def exact_duplicates(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """sha256, copies and the smallest key of every distinct text; combined before the shuffle."""
     return docs.select(F.col(key), F.sha2(text.cast("binary"), 256).alias("sha256")).groupBy("sha256").agg(F.count("*").alias("copies"), F.min(key).alias("first_id"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import format_pages, progress
 from ..sources import csvio
+from ..sources.tables import written
 from .ask import ask
 from .providers import Provider
 from .relational import csv_line, stats
@@ -35,7 +36,7 @@ def event_error(event_kind: Column, status: Column, text: Column) -> Column:
 
 
 def current_answers(events: DataFrame) -> DataFrame:
-    """question_id, draft, final_text, status, text, updated: the state after all valid events.
+    """question_id, draft, final_text, status, text, updated, draft_seq: the state after all valid events, and the event that made the draft.
 
     events: question_id, seq, at, kind (draft, review or edit), status, text. A draft resets status and final text; it is
     refused while the answer is approved, so an approval guards it until a later review. An edit equal to
@@ -57,9 +58,19 @@ def current_answers(events: DataFrame) -> DataFrame:
         latest(F.trim("text"), F.col("kind") == "edit").alias("edited"),
         F.coalesce(edit_seq > draft_seq, F.lit(False)).alias("is_edited"),
         F.max("at").alias("updated"),
+        draft_seq.alias("draft_seq"),
     )
     final = F.when(F.col("is_edited") & (F.col("edited") != F.col("draft")), F.col("edited"))
-    return folded.select("question_id", "draft", final.alias("final_text"), coerced(F.col("status"), STATUSES, "DRAFT").alias("status"), F.coalesce(final, F.col("draft")).alias("text"), "updated")
+    return folded.select("question_id", "draft", final.alias("final_text"), coerced(F.col("status"), STATUSES, "DRAFT").alias("status"), F.coalesce(final, F.col("draft")).alias("text"), "updated", "draft_seq")
+
+
+def current_citations(citations: DataFrame, events: DataFrame) -> DataFrame:
+    """Of citations (question_id, seq, ...), seq being the event of the draft that they belong to, those of the draft that stands.
+
+    Citations are only ever added: a new draft brings its own, and those of the one before, or of a draft that
+    was refused because the answer was approved, are no longer read."""
+    standing = current_answers(events).where("draft_seq IS NOT NULL").select("question_id", F.col("draft_seq").alias("seq"))
+    return citations.join(standing, ["question_id", "seq"], "left_semi")
 
 
 def full_set(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -84,6 +95,14 @@ def pending(questions: DataFrame, answers: DataFrame, limit: int) -> DataFrame:
     return ranked(left, "set_id", F.col("idx"), F.col("question_id"), at_most=limit, name="turn").drop("turn")
 
 
+def _drafted(asked: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New events, and new citations with the seq of theirs, from answers without an error."""
+    last = events.groupBy("question_id").agg(F.max("seq").alias("last"))
+    made = asked.where("error IS NULL").join(last, "question_id", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + 1)
+    drafts = made.select("question_id", "seq", F.current_timestamp().alias("at"), F.lit("draft").alias("kind"), F.lit("DRAFT").alias("status"), F.col("answer").alias("text"))
+    return drafts, made.select("question_id", "seq", F.inline("citations"))
+
+
 def draft_pending(questions: DataFrame, events: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, provider: Provider | None = None, limit: int = BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drafts the next questions of each set: new events, new citations, and per set how many were drafted, failed and are left.
 
@@ -91,24 +110,30 @@ def draft_pending(questions: DataFrame, events: DataFrame, chunks: DataFrame, do
     gets no event, so it stays pending; its error is in the report's list."""
     answers = current_answers(events)
     batch = pending(questions, answers, limit)
-    asked = ask(batch.select("question_id", "question"), chunks, documents, provider).join(batch.select("question_id", "set_id", "idx"), "question_id")
-    made = asked.where("error IS NULL")
-    last = events.groupBy("question_id").agg(F.max("seq").alias("seq"))
-    drafts = made.join(last, "question_id", "left").select(
-        "question_id",
-        (F.coalesce("seq", F.lit(0)) + 1).alias("seq"),
-        F.current_timestamp().alias("at"),
-        F.lit("draft").alias("kind"),
-        F.lit("DRAFT").alias("status"),
-        F.col("answer").alias("text"),
-    )
-    cited = made.select("question_id", F.inline("citations"))
+    asked = written(ask(batch.select("question_id", "question"), chunks, documents, provider).join(batch.select("question_id", "set_id", "idx"), "question_id"))
     left = questions.join(answers, "question_id", "left_anti").groupBy("set_id").agg(F.count("*").alias("waiting"))
     done = asked.groupBy("set_id").agg(
         F.count_if(F.col("error").isNull()).alias("drafted"),
         F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("question_id", "error")))).alias("failed"),  # a batch at most
     )
-    return drafts, cited, left.join(done, "set_id", "left").select("set_id", F.coalesce("drafted", F.lit(0)).alias("drafted"), (F.col("waiting") - F.coalesce("drafted", F.lit(0))).alias("remaining"), "failed")
+    report = left.join(done, "set_id", "left").select("set_id", F.coalesce("drafted", F.lit(0)).alias("drafted"), (F.col("waiting") - F.coalesce("drafted", F.lit(0))).alias("remaining"), "failed")
+    return *_drafted(asked, events), report
+
+
+def redraft(ids: DataFrame, questions: DataFrame, events: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, provider: Provider | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drafts the questions of ids (question_id) again, answered or not: new events, new citations, and those that were not drafted (question_id, error_code, error).
+
+    The new draft takes the place of the old one, its edit and its citations, once its event and citations are stored. An approved answer is refused until a
+    review takes the approval back (409); an id that is no question is unknown (404); a provider's failure is passed on (502)."""
+    wanted = ids.select("question_id").distinct()
+    approved = current_answers(events).where("status = 'APPROVED'").select("question_id")
+    open_ = questions.join(wanted, "question_id", "left_semi").join(approved, "question_id", "left_anti")
+    asked = written(ask(open_.select("question_id", "question"), chunks, documents, provider))
+    said = lambda rows, code, error: rows.select("question_id", F.lit(code).alias("error_code"), error.alias("error"))
+    refused = said(wanted.join(approved, "question_id", "left_semi"), 409, F.lit("the answer is approved; take the approval back first"))
+    unknown = said(wanted.join(questions, "question_id", "left_anti"), 404, F.lit("there is no such question"))
+    failed = said(asked.where("error IS NOT NULL"), 502, F.col("error"))
+    return *_drafted(asked, events), refused.unionByName(unknown).unionByName(failed)
 
 
 def import_csv(files: DataFrame) -> DataFrame:

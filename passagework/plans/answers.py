@@ -10,6 +10,7 @@ from ..functions.text import word_count
 from ..operators import extract, salience
 from ..operators.chunk import sentences_of_texts
 from ..operators.citations import resolved
+from ..sources import native
 from . import queries as Q
 from .details import LETTERS
 from .queries import query, table, texts
@@ -64,3 +65,23 @@ def extracted_answers(spark, d):
     asked = table(spark, d, "benchmark").select("item_id", F.concat(chosen(("", "How many ", "Explain why "), F.col("item_id")), "text").alias("question"))
     made = extract.answers(asked, "item_id", "question", shown(spark, d, 3).withColumnRenamed("question_id", "item_id"))
     return made.select("item_id", "answer", "confidence", "insufficient", F.size("citations").alias("n_citations"))
+
+
+def as_markdown(spark, d):
+    """Documents with their lines as Markdown: headings of both styles, paragraphs with marks, items, tables and fences in turn."""
+    lines = texts(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    c = F.trim(F.left(F.trim(F.regexp_replace(F.regexp_replace("raw", r"[^\p{L}\p{N} ]+", ""), " +", " ")), F.lit(60)))
+    line = lines.select("doc_id", "i", F.when(c == "", "x").otherwise(c).alias("c"), ((F.col("i") + F.col("doc_id")) % 13).alias("kind"))
+    c, word = F.col("c"), F.split_part("c", F.lit(" "), F.lit(1))
+    made = {0: F.concat(F.lit("# "), c, F.lit(" ##")), 2: F.concat(F.lit("**"), c, F.lit("** and `code`")), 3: F.lit(""), 5: F.lit("-----"), 6: F.concat(F.lit("- ["), c, F.lit("](http://x)")), 7: F.lit("* item"), 8: F.lit("| Key | Word |"), 9: F.lit("|---|---|"), 10: F.concat(F.lit("| "), F.col("i").cast("string"), F.lit(" | "), word, F.lit(" |")), 11: F.lit("```")}
+    chosen_ = c
+    for kind, text in made.items():
+        chosen_ = F.when(F.col("kind") == kind, text).otherwise(chosen_)
+    each = F.array_sort(F.collect_list(F.struct("i", chosen_.alias("line"))))  # lines of one document
+    return line.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["line"]), "\n").alias("markdown"))
+
+
+@query
+def markdown_blocks(spark, d):
+    """The blocks of these texts: running fences, headings above underlines, tables and paragraphs as sessions of lines."""
+    return native.markdown_blocks(as_markdown(spark, d), "doc_id", F.col("markdown"))

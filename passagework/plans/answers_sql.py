@@ -84,4 +84,18 @@ ANSWERS: dict[str, str] = {
       said AS (SELECT k.item_id, string_agg(text || ' [' || source || ']', ' ' ORDER BY source, local) AS answer, count(*) AS n FROM picked p JOIN k ON k.item_id = p.item_id AND (k.source, k.local) = p.place GROUP BY k.item_id)
       SELECT item_id, coalesce(answer, {literal(NOT_FOUND)}) AS answer, CASE WHEN answer IS NULL THEN 'low' WHEN score >= 0.75 THEN 'high' ELSE 'medium' END AS confidence, answer IS NULL AS insufficient, CAST(coalesce(n, 0) AS INT) AS n_citations
       FROM benchmark LEFT JOIN said USING (item_id) LEFT JOIN best USING (item_id)""",
+    "markdown_blocks": """WITH l AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)),
+      c AS (SELECT doc_id, i, (i + doc_id) % 13 AS kind, coalesce(nullif(trim(left(trim(regexp_replace(regexp_replace(raw, '[^\\p{L}\\p{N} ]+', '', 'g'), ' +', ' ', 'g')), 60)), ''), 'x') AS c, i + 1 < count(*) OVER (PARTITION BY doc_id) AS more FROM l),
+      p AS (SELECT *, count(*) FILTER (kind = 11) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS fenced,
+        CASE kind WHEN 2 THEN c || ' and code' WHEN 3 THEN '' WHEN 5 THEN '' WHEN 6 THEN '- ' || c WHEN 7 THEN '- item' WHEN 8 THEN '| Key | Word |' WHEN 9 THEN '|---|---|' WHEN 10 THEN '| ' || i || ' | ' || split_part(c, ' ', 1) || ' |' ELSE c END AS bare FROM c),
+      k AS (SELECT *, CASE WHEN fenced THEN 'f' WHEN kind = 0 OR kind = 4 AND more THEN 'h' WHEN kind = 3 THEN 'b' WHEN kind IN (6, 7) THEN 'l' WHEN kind IN (8, 9, 10) THEN 't' ELSE 'p' END AS w FROM p WHERE kind <> 11 AND NOT (kind = 5 AND NOT fenced AND i > 0)),
+      g AS (SELECT *, count(*) FILTER (w IN ('h', 't', 'b', 'l')) OVER o AS texts, count(*) FILTER (w IN ('h', 'b', 'l', 'p')) OVER o AS tables FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+      e AS (SELECT doc_id, texts AS s, 'paragraph' AS kind, string_agg(bare, ' ' ORDER BY i) FILTER (bare <> '') AS text FROM g WHERE w IN ('p', 'f') GROUP BY ALL
+        UNION ALL SELECT doc_id, tables, 'table', string_agg(CASE kind WHEN 8 THEN 'Key | Word' WHEN 10 THEN CASE WHEN headed THEN 'Key: ' || i || '; Word: ' || split_part(c, ' ', 1) ELSE i || ' | ' || split_part(c, ' ', 1) END END, chr(10) ORDER BY i)
+          FROM (SELECT *, bool_or(kind = 8) OVER (PARTITION BY doc_id, tables) AS headed FROM g WHERE w = 't') GROUP BY doc_id, tables),
+      z AS (SELECT e.doc_id, e.kind, e.text, CAST(NULL AS INT) AS level, coalesce(min(n.i), 1000000000) AS at_, coalesce(arg_min(n.w, n.i), 'h') = 'h' AS head FROM e LEFT JOIN g n ON n.doc_id = e.doc_id AND CASE WHEN e.kind = 'table' THEN n.tables ELSE n.texts END = e.s + 1 AND n.w IN ('h', 'b', 'l', CASE WHEN e.kind = 'table' THEN 'p' ELSE 't' END)
+        GROUP BY e.doc_id, e.kind, e.text, e.s),
+      u AS (SELECT doc_id, kind, text, level, at_, CASE WHEN (kind = 'table') = head THEN 1 ELSE 0 END AS sub FROM z
+        UNION ALL SELECT doc_id, CASE WHEN w = 'h' THEN 'heading' ELSE 'paragraph' END, bare, CASE WHEN w = 'l' THEN NULL WHEN kind = 0 THEN 1 ELSE 2 END, i, 2 FROM g WHERE w IN ('h', 'l'))
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at_, sub) - 1 AS INT) AS ord, kind, text, level FROM u WHERE text <> ''""",
 }

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import evaluate as E
-from ..operators import ingest, layout, review
+from ..operators import ingest, layout, review, views
 from ..operators import relational as R
 from ..operators import search as S
 from ..operators.ask import routed
 from ..operators.ingest import blocks_of_pages
 from . import queries as Q
-from .queries import query, table
+from .queries import query, table, texts
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EXTENSIONS = ("pdf", "docx", "txt", "md", "markdown", "csv", "bin", "")
@@ -223,8 +223,10 @@ def csv_delimiters(spark, d):
 @query
 def dashboard(spark, d):
     """Counts of documents, sets and questions, and of documents to be read again."""
-    docs = table(spark, d, "documents").select(F.when(F.col("doc_id") % 10 == 0, "PROCESSING").otherwise("READY").alias("status"), (F.col("doc_id") % 3).alias("pipeline_version"))
-    state = ingest.freshness(docs).agg(F.count("*").alias("documents"), F.count_if("outdated").alias("outdated"))
+    model = picked(("hashed-512", "hashed-512", "another"), F.floor(F.col("doc_id") / 3))
+    docs = table(spark, d, "documents").select(F.when(F.col("doc_id") % 10 == 0, "PROCESSING").otherwise("READY").alias("status"), (F.col("doc_id") % 3).alias("pipeline_version"), model.alias("embedding_model"))
+    old, other = ingest.freshness(docs), ingest.freshness(docs, model="hashed-512").select(F.col("outdated").alias("stale"))
+    state = old.agg(F.count("*").alias("documents"), F.count_if("outdated").alias("outdated")).crossJoin(F.broadcast(other.agg(F.count_if("stale").alias("stale"))))  # one row
     asked = questions_of(spark, d).agg(F.countDistinct("set_id").alias("sets"), F.count("*").alias("questions"))
     answered = answers_of(spark, d).agg(F.count("*").alias("answers"))
     return state.crossJoin(F.broadcast(asked)).crossJoin(F.broadcast(answered)).withColumn("progress", T.progress(F.col("answers"), F.col("questions")))  # one row each
@@ -240,10 +242,29 @@ def newest_first(spark, d):
 @query
 def document_with_passages(spark, d):
     """Every order with its lines in order, and how many there are."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))  # a few lines an order
+    order = ["l_linenumber", "l_partkey", "l_quantity"]
+    both = views.nested(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", table(spark, d, "lineitem"), "l_orderkey", order, ["l_linenumber", "l_partkey"], "lines")
     said = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), " ")
-    both = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return both.select("o_orderkey", F.coalesce(F.size("lines"), F.lit(0)).alias("n"), F.coalesce(said, F.lit("")).alias("said"))
+    return both.select("o_orderkey", F.size("lines").alias("n"), said.alias("said"))
+
+
+@query
+def answer_views(spark, d):
+    """Benchmark texts as answers with the documents that hold them as citations: number, title, heading and pages of each; those of every ninth document are gone."""
+    held = S.quotes_in(table(spark, d, "benchmark"), "item_id", F.col("text"), texts(spark, d), "doc_id", F.col("text"))
+    cited = S.ranked(held, "item_id", F.col("doc_id"), name="ord").select(F.col("item_id").alias("question_id"), "ord", F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.lit("").alias("quote"), F.lit(True).alias("verified"))
+    docs = table(spark, d, "documents").where("doc_id % 9 <> 0").select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"), F.lit(0).alias("chunk_index"), F.col("lang").alias("heading"), (F.col("doc_id") % 5).cast("int").alias("page_start"), (F.col("doc_id") % 7).cast("int").alias("page_end"))
+    seen = views.answer_view(table(spark, d, "benchmark").select(F.col("item_id").alias("question_id")), cited, docs, docs)
+    one = lambda c: F.concat_ws(" ", c["ord"].cast("string"), F.coalesce(c["title"], F.lit("gone")), c["heading"], F.when(c["page_start"].isNotNull(), T.format_pages(c["page_start"], c["page_end"])))
+    return seen.select(F.col("question_id").alias("item_id"), F.size("citations").alias("n"), F.array_join(F.transform("citations", one), "; ").alias("said"))
+
+
+@query
+def standing_citations(spark, d):
+    """Citations of every draft, two to four each, of which those of the draft that stands are read."""
+    events = reviewed(spark, d)
+    drafts = events.where("kind = 'draft'").select("question_id", "seq", F.explode(F.sequence(F.lit(0), (F.col("seq") % 3 + 1).cast("int"))).alias("ord"))
+    return review.current_citations(drafts, events)
 
 
 @query
@@ -351,15 +372,19 @@ def overview_route(spark, d):
     return routed(asked.unionByName(general), documents)
 
 
-@query
-def review_state(spark, d):
-    """Events as drafts, reviews and edits of one answer a user, folded to its state."""
+def reviewed(spark, d) -> DataFrame:
+    """Events as drafts, reviews and edits of one answer a user."""
     n = F.col("event_id")
     kind = picked(("draft", "review", "edit", "draft", "review", "edit", "edit"), n)
     status = F.when(kind == "review", picked(("APPROVED", "DRAFT", "REJECTED", "LOST"), F.col("user_id") + n))
     text = F.when(kind == "draft", F.concat(F.lit("d"), (n % 3).cast("string"))).when(kind == "edit", picked((" e ", "", "d1", "d2"), n))
-    events = table(spark, d, "events").select(F.col("user_id").alias("question_id"), n.alias("seq"), "ts", kind.alias("kind"), status.alias("status"), text.alias("text")).withColumnRenamed("ts", "at")
-    return review.current_answers(events).select("question_id", "draft", "final_text", "status", "text")
+    return table(spark, d, "events").select(F.col("user_id").alias("question_id"), n.alias("seq"), F.col("ts").alias("at"), kind.alias("kind"), status.alias("status"), text.alias("text"))
+
+
+@query
+def review_state(spark, d):
+    """Those events folded to the state of each answer."""
+    return review.current_answers(reviewed(spark, d)).select("question_id", "draft", "final_text", "status", "text")
 
 
 @query

@@ -61,7 +61,18 @@ MARKED = """p AS (SELECT page_id, 10 + page_id % 5 AS size, ['', '2.1 ', 'III. '
 s AS (SELECT *, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS up, regexp_replace(t, '^\\S+\\s*', '') AS rest FROM p)"""
 ABOUT = tokens("'" + " ".join(OVERVIEW_WORDS) + "'")
 
+REVIEWED = """e AS (SELECT user_id AS question_id, event_id AS seq, ['draft', 'review', 'edit', 'draft', 'review', 'edit', 'edit'][event_id % 7 + 1] AS kind,
+        ['APPROVED', 'DRAFT', 'REJECTED', 'LOST'][(user_id + event_id) % 4 + 1] AS status, 'd' || event_id % 3 AS draft, [' e ', '', 'd1', 'd2'][event_id % 4 + 1] AS edit FROM events),
+      v AS (SELECT * FROM e WHERE kind = 'draft' OR kind = 'review' AND status <> 'LOST' OR kind = 'edit' AND trim(edit) <> ''),
+      b AS (SELECT *, last_value(CASE WHEN kind = 'review' THEN status END IGNORE NULLS) OVER (PARTITION BY question_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
+      k AS (SELECT * FROM b WHERE NOT (kind = 'draft' AND coalesce(before = 'APPROVED', false)))"""
+
 DETAILS: dict[str, str] = {
+    "standing_citations": f"""WITH {REVIEWED}, l AS (SELECT question_id, max(seq) FILTER (kind = 'draft') AS seq FROM k GROUP BY question_id)
+      SELECT question_id, seq, CAST(unnest(range(0, seq % 3 + 2)) AS INT) AS ord FROM l WHERE seq IS NOT NULL""",
+    "answer_views": f"""WITH {QUOTED}, c AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS ord, doc_id, source, lang, doc_id % 5 AS a, doc_id % 7 AS b FROM h),
+      t AS (SELECT item_id, ord, CASE WHEN doc_id % 9 = 0 THEN ord || ' gone' ELSE ord || ' ' || source || ' ' || lang || ' ' || CASE WHEN a = 0 THEN '' WHEN b <> a AND b <> 0 THEN 'pp. ' || a || '–' || b ELSE 'p. ' || a END END AS x FROM c)
+      SELECT item_id, CAST(count(ord) AS INT) AS n, coalesce(string_agg(x, '; ' ORDER BY ord), '') AS said FROM benchmark LEFT JOIN t USING (item_id) GROUP BY item_id""",
     "layout_fonts": f"WITH {positioned(16)} SELECT doc_id, body_size, body_font FROM bs LEFT JOIN bf USING (doc_id)",
     "layout_margins": f"""WITH {positioned(4)}, m AS (SELECT *, y > 736 OR y < 64 AS margin, trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) AS k FROM i),
       n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM i GROUP BY doc_id), f AS (SELECT doc_id, k, count(DISTINCT page) AS o FROM m WHERE margin GROUP BY ALL)
@@ -82,11 +93,7 @@ DETAILS: dict[str, str] = {
       q AS (SELECT p_name AS question_id, list_distinct(list_filter({tokens("'Give an overview of the ' || p_name")}, lambda x: NOT list_contains(o, x))) AS t FROM (SELECT DISTINCT p_name FROM part), o),
       r AS (SELECT question_id, document_id, row_number() OVER (PARTITION BY question_id ORDER BY created DESC, document_id) AS k FROM q, d WHERE len(q.t) = 0 OR list_has_all(d.t, q.t) UNION ALL SELECT 'all', document_id, row_number() OVER (ORDER BY created DESC, document_id) FROM d)
       SELECT question_id, document_id FROM r WHERE k <= 3""",
-    "review_state": """WITH e AS (SELECT user_id AS question_id, event_id AS seq, ['draft', 'review', 'edit', 'draft', 'review', 'edit', 'edit'][event_id % 7 + 1] AS kind,
-        ['APPROVED', 'DRAFT', 'REJECTED', 'LOST'][(user_id + event_id) % 4 + 1] AS status, 'd' || event_id % 3 AS draft, [' e ', '', 'd1', 'd2'][event_id % 4 + 1] AS edit FROM events),
-      v AS (SELECT * FROM e WHERE kind = 'draft' OR kind = 'review' AND status <> 'LOST' OR kind = 'edit' AND trim(edit) <> ''),
-      b AS (SELECT *, last_value(CASE WHEN kind = 'review' THEN status END IGNORE NULLS) OVER (PARTITION BY question_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
-      k AS (SELECT * FROM b WHERE NOT (kind = 'draft' AND coalesce(before = 'APPROVED', false))),
+    "review_state": f"""WITH {REVIEWED},
       f AS (SELECT question_id, arg_max(draft, seq) FILTER (kind = 'draft') AS draft, arg_max(CASE WHEN kind = 'draft' THEN 'DRAFT' ELSE status END, seq) FILTER (kind <> 'edit') AS status, arg_max(trim(edit), seq) FILTER (kind = 'edit') AS edit,
         max(seq) FILTER (kind = 'edit') > max(seq) FILTER (kind = 'draft') AS later FROM k GROUP BY question_id),
       g AS (SELECT *, CASE WHEN coalesce(later, false) AND edit <> draft THEN edit END AS final_text FROM f) SELECT question_id, draft, final_text, coalesce(status, 'DRAFT') AS status, coalesce(final_text, draft) AS text FROM g""",
@@ -143,7 +150,7 @@ DETAILS: dict[str, str] = {
     "csv_import": f"""WITH {QUESTIONS} SELECT set_id, NULL AS error, CAST(idx AS INT) AS idx, md5(trim(regexp_replace(question, '\\s+', ' ', 'g'))) AS question_md5 FROM q WHERE set_id % 5 <> 0
       UNION ALL SELECT DISTINCT set_id, 'bad_name', NULL, NULL FROM q WHERE set_id % 5 = 0""",
     "csv_delimiters": "SELECT DISTINCT conv_id, turn, role, [',', ';', chr(9)][turn % 3 + 1] AS delimiter FROM conversations",
-    "dashboard": f"WITH {QUESTIONS} SELECT *, CAST(round(100.0 * answers / greatest(1, questions)) AS INT) AS progress FROM (SELECT count(*) AS documents, count(*) FILTER (doc_id % 3 < 2 AND doc_id % 10 <> 0) AS outdated FROM documents), (SELECT count(DISTINCT set_id) AS sets, count(*) AS questions, count(answer) AS answers FROM a)",
+    "dashboard": f"WITH {QUESTIONS} SELECT *, CAST(round(100.0 * answers / greatest(1, questions)) AS INT) AS progress FROM (SELECT count(*) AS documents, count(*) FILTER (doc_id % 3 < 2 AND doc_id % 10 <> 0) AS outdated, count(*) FILTER ((doc_id % 3 < 2 OR (doc_id // 3) % 3 = 2) AND doc_id % 10 <> 0) AS stale FROM documents), (SELECT count(DISTINCT set_id) AS sets, count(*) AS questions, count(answer) AS answers FROM a)",
     "newest_first": "SELECT o_custkey, o_orderkey, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders WHERE o_orderstatus = 'O') WHERE rank <= 3",
     "document_with_passages": "SELECT o_orderkey, CAST(count(l_orderkey) AS INT) AS n, coalesce(string_agg(l_linenumber || ':' || l_partkey, ' ' ORDER BY l_linenumber, l_partkey, l_quantity), '') AS said FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
     "answer_sources": f"WITH {QUOTED}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS ord FROM h), f AS (SELECT item_id, source || ' §' || lang AS label, min(ord) AS ord, count(*) AS n FROM r GROUP BY ALL) SELECT item_id, string_agg(label, '; ' ORDER BY ord) AS sources, CAST(sum(n) AS BIGINT) AS citations FROM f GROUP BY item_id",

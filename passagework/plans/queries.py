@@ -17,7 +17,7 @@ from ..operators.chunk import chunks_of_texts, sentences_of_texts
 from ..operators.ingest import read_files
 from ..operators.terms import frequencies, term_counts, tokens_of
 from ..sources import native as N
-from ..sources.tables import spread
+from ..sources.tables import spread, written
 from ..streaming.files import windowed_activity
 from .oracle import NOW
 
@@ -87,12 +87,12 @@ def relevance_gate(spark, d):
 
 @query
 def tokenize_terms(spark, d):
-    t = tokens_of(table(spark, d, "documents"), "doc_id", F.col("text"))
+    t = tokens_of(texts(spark, d), "doc_id", F.col("text"))
     return t.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_unique"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"))
 
 
 def vocabulary(spark, d):
-    return frequencies(term_counts(table(spark, d, "documents"), "doc_id", F.col("text")))
+    return frequencies(term_counts(texts(spark, d), "doc_id", F.col("text")))
 
 
 @query
@@ -103,12 +103,12 @@ def stem_vocab(spark, d):
 @query
 def token_counts(spark, d):
     text = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.word_count(text).cast("long").alias("n_words"), T.approx_token_count(text).cast("long").alias("n_approx"))
+    return texts(spark, d).select("doc_id", T.word_count(text).cast("long").alias("n_words"), T.approx_token_count(text).cast("long").alias("n_approx"))
 
 
 @query
 def doc_frequency(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     df = frequencies(term_counts(docs, "doc_id", F.col("text")))
     n = docs.agg(F.count("*").alias("n"))  # one row
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
@@ -122,7 +122,7 @@ def tf_idf_centroid(spark, d):
 
 @query
 def hash_bucket_embedding(spark, d):
-    e = hashed_embedding(table(spark, d, "documents"), "doc_id", F.col("text"))
+    e = hashed_embedding(texts(spark, d), "doc_id", F.col("text"))
     return e.groupBy("bucket").agg(F.count("*").alias("docs"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
@@ -151,7 +151,7 @@ def nearest_per_label(spark, d):
 @query
 def text_blocks(spark, d):
     """Blocks of documents; these hold single line breaks, which are doubled to part paragraphs."""
-    return N.text_blocks(table(spark, d, "documents"), "doc_id", F.regexp_replace("text", "\n", "\n\n"))
+    return N.text_blocks(texts(spark, d), "doc_id", F.regexp_replace("text", "\n", "\n\n"))
 
 
 @query
@@ -182,7 +182,7 @@ def labelled_rows(spark, d):
 
 @query
 def quote_verify(spark, d):
-    return S.quotes_in(table(spark, d, "benchmark"), "item_id", F.col("text"), table(spark, d, "documents"), "doc_id", F.col("text"))
+    return S.quotes_in(table(spark, d, "benchmark"), "item_id", F.col("text"), texts(spark, d), "doc_id", F.col("text"))
 
 
 @query
@@ -287,12 +287,12 @@ def format_relative(spark, d):
 
 def parted(spark, d):
     """Documents with their line breaks doubled, so that each line is a paragraph."""
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return texts(spark, d).select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
 
 
 @query
 def sentences(spark, d):
-    return sentences_of_texts(table(spark, d, "documents"), "doc_id")
+    return sentences_of_texts(texts(spark, d), "doc_id")
 
 
 @query
@@ -318,7 +318,7 @@ def doc_summary(spark, d):
 @query
 def offline_answers(spark, d):
     """Each benchmark text asked of the passages of all documents, or of the newest ones where it asks for an overview: search, gate, extract, verify."""
-    passages = chunks(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), "chunk_index", "content", "heading", "page_start", "page_end")
+    passages = written(chunks(spark, d)).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), "chunk_index", "content", "heading", "page_start", "page_end")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), F.col("doc_id").alias("created"))
     found = ask(asked, passages, documents)

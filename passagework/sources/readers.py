@@ -9,8 +9,9 @@ import zipfile
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
-from ..functions.constants import LIST_LINE
+from ..functions.constants import LIST_LINE, MARKDOWN_MARKS
 from . import csvio
+from .native import ATX, FENCE, ITEM, RULE_ROW, TABLE_ROW, UNDERLINE
 
 LEAST_CHARS = 20
 
@@ -40,6 +41,13 @@ def lines_of(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n").removeprefix("﻿")
 
 
+def strip_markdown(text: str) -> str:
+    """Plain text of Markdown, as functions.text.strip_markdown."""
+    for pattern, by in MARKDOWN_MARKS:
+        text = re.sub(pattern, by.replace("$", "\\"), text)
+    return text
+
+
 def text_blocks(text: str) -> list[Block]:
     parts = [p.strip() for p in re.split(r"\n\s*\n", lines_of(text)) if p.strip()]
     out = []
@@ -61,54 +69,62 @@ def text_blocks(text: str) -> list[Block]:
     return out
 
 
-def markdown_blocks(text: str) -> list[Block]:
-    """Headings of both styles, fenced text, pipe tables, one paragraph a list item, paragraphs between blank lines."""
-    out: list[Block] = []
-    held: list[str] = []
-    table: list[list[str]] = []
-    fenced = False
-
-    def close() -> None:
-        if table:
-            out.append(Block("table", "\n".join(csvio.table_lines(table))))
-            table.clear()
-        if held and (joined := " ".join(h.strip() for h in held if h.strip())):
-            out.append(Block("paragraph", joined))
-        held.clear()
+#: Kinds of lines of Markdown by their patterns, and the kinds that end a paragraph and a table.
+LINES = {"atx": ATX, "table": TABLE_ROW, "blank": r"^\s*$", "item": ITEM}
+ENDS = {"text": {"atx", "setext", "table", "blank", "item"}, "table": {"atx", "setext", "blank", "item", "plain"}}
 
-    lines = lines_of(text).split("\n")
-    at = 0
-    while at < len(lines):
-        line, after = lines[at], lines[at + 1] if at + 1 < len(lines) else ""
-        at += 1
-        bare = line.strip()
-        if bare.startswith(("```", "~~~")):
+
+def told_lines(lines: list[str]) -> list[tuple[int, str, str]]:
+    """Number, line and kind of the lines that are no fence and no underline of a heading, as native.markdown_lines."""
+    fenced, out = False, []
+    for n, line in enumerate(lines):
+        if re.match(FENCE, line):
             fenced = not fenced
-        elif fenced:
-            held.append(line)
-        elif heading := re.match(r"\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$", line):
-            close()
-            out.append(Block("heading", heading[2], len(heading[1])))
-        elif bare and not held and not table and re.fullmatch(r"\s{0,3}(=+|-{2,})\s*", after) and not bare.startswith(("|", "-", "*", "+")):
-            close()
-            out.append(Block("heading", bare, 1 if "=" in after else 2))
-            at += 1
-        elif len(bare) > 1 and bare.startswith("|") and bare.endswith("|"):
-            if not table:
-                close()
-            cells = [c.strip() for c in bare[1:-1].split("|")]
-            if not all(re.fullmatch(r":?-+:?", c) for c in cells):
-                table.append(cells)
-        elif not bare:
-            close()
-        else:
-            if table or re.match(r"\s*([-*+]|\d{1,3}[.)])\s+", line):
-                close()
-            held.append(line)
-    close()
+            continue
+        before = out[-1] if out else (n, "", "blank")
+        under = re.match(UNDERLINE, line) is not None
+        if under and before[0] == n - 1 and before[2] == "setext":
+            continue
+        kind = "fenced" if fenced else next((k for k, pattern in LINES.items() if re.match(pattern, line)), "plain")
+        above = n + 1 < len(lines) and re.match(UNDERLINE, lines[n + 1])
+        if above and not under and kind in ("table", "item", "plain") and before[2] not in ("plain", "fenced"):
+            kind = "setext"
+        out.append((n, line, kind))
     return out
 
 
+def markdown_blocks(text: str) -> list[Block]:
+    """One Markdown text's blocks, by the sessions of native.markdown_blocks, which takes a table of texts."""
+    lines = lines_of(text).split("\n")
+    placed: list[tuple[int, int, Block]] = []
+    open_: dict[str, list[str]] = {"text": [], "table": []}
+
+    def ended(of: str, n: int, head: bool) -> None:
+        held, open_[of] = open_[of], []
+        if of == "text":
+            said = re.sub(r"\s*\n\s*", " ", strip_markdown("\n".join(held))).strip()
+        else:
+            cells = [[strip_markdown(c).strip() for c in re.sub(r"^\s*\||\|\s*$", "", row).split("|")] for row in held if not re.match(RULE_ROW, row)]
+            said = "\n".join(csvio.table_lines(cells)) if cells else ""
+        placed.append((n, int((of == "table") == head), Block("paragraph" if of == "text" else "table", said)))
+
+    for n, line, kind in told_lines(lines):
+        head = kind in ("atx", "setext")
+        for of in [of for of, enders in ENDS.items() if kind in enders]:
+            ended(of, n, head)
+        if head:
+            atx = re.match(ATX, line) if kind == "atx" else None
+            level = len(atx[1]) if atx else 1 if lines[n + 1].strip().startswith("=") else 2
+            placed.append((n, 2, Block("heading", strip_markdown(atx[2] if atx else line).strip(), level)))
+        elif kind == "item":
+            placed.append((n, 2, Block("paragraph", strip_markdown(line).strip())))
+        elif kind != "blank":
+            open_["table" if kind == "table" else "text"].append(line)
+    for of in open_:
+        ended(of, len(lines), True)
+    return [b for *_, b in sorted(placed, key=lambda p: p[:2]) if b.text]
+
+
 def fragment_text(fragment: str) -> str:
     """Text of an HTML fragment; entities are decoded once, unknown ones stay."""
     bare = re.sub(r"<[^>]+>", "", re.sub(r"(?i)<br[^>]*>", " ", fragment))

@@ -66,10 +66,6 @@ class Store:
             return rows
         return self.read(name).join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
-    def upsert(self, name: str, rows: DataFrame, key: list[str]) -> DataFrame:
-        """Rows replace those of their key, others stay."""
-        return self.write(name, self.replaced(name, rows, key))
-
     def delete(self, name: str, ids: DataFrame, key: str) -> None:
         """Rows of the keys go, and their children; answers outlive the documents they cite."""
         keys = ids.select(key).distinct()
