@@ -67,6 +67,13 @@ REVIEWED = """e AS (SELECT user_id AS question_id, event_id AS seq, ['draft', 'r
       b AS (SELECT *, last_value(CASE WHEN kind = 'review' THEN status END IGNORE NULLS) OVER (PARTITION BY question_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
       k AS (SELECT * FROM b WHERE NOT (kind = 'draft' AND coalesce(before = 'APPROVED', false)))"""
 
+#: Sentences s (doc_id, ln, g, sentence) of lines l (doc_id, ln, line).
+SPLIT = f"""p AS (SELECT doc_id, ln, unnest(range(len(ps))) AS pn, unnest(ps) AS part FROM (SELECT doc_id, ln, string_split(regexp_replace(line, '{ENDED}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM l WHERE line <> '')),
+      w AS (SELECT *, regexp_extract(part, '{LAST}', 1) AS w FROM p),
+      a AS (SELECT *, CASE WHEN regexp_matches(w, '^[A-Z]$') THEN NOT regexp_matches(lower(part), '{LABELLED}') WHEN w = '' OR regexp_matches(w, '^[IVX]+$') THEN false ELSE lower(w) IN ({quoted(sorted(ABBREVIATIONS))}) OR rtrim(lower(w), '.') IN ({quoted(sorted(ABBREVIATIONS))}) END AS short FROM w),
+      g AS (SELECT *, coalesce(sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, ln ORDER BY pn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM a),
+      s AS (SELECT doc_id, ln, g, string_agg(part, ' ' ORDER BY pn) AS sentence FROM g GROUP BY ALL)"""
+
 DETAILS: dict[str, str] = {
     "standing_citations": f"""WITH {REVIEWED}, l AS (SELECT question_id, max(seq) FILTER (kind = 'draft') AS seq FROM k GROUP BY question_id)
       SELECT question_id, seq, CAST(unnest(range(0, seq % 3 + 2)) AS INT) AS ord FROM l WHERE seq IS NOT NULL""",
@@ -98,12 +105,7 @@ DETAILS: dict[str, str] = {
         max(seq) FILTER (kind = 'edit') > max(seq) FILTER (kind = 'draft') AS later FROM k GROUP BY question_id),
       g AS (SELECT *, CASE WHEN coalesce(later, false) AND edit <> draft THEN edit END AS final_text FROM f) SELECT question_id, draft, final_text, coalesce(status, 'DRAFT') AS status, coalesce(final_text, draft) AS text FROM g""",
     "sentences": f"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS ln, unnest(x) AS line FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS x FROM documents)),
-      p AS (SELECT doc_id, ln, unnest(range(len(ps))) AS pn, unnest(ps) AS part FROM (SELECT doc_id, ln, string_split(regexp_replace(line, '{ENDED}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM l WHERE line <> '')),
-      w AS (SELECT *, regexp_extract(part, '{LAST}', 1) AS w FROM p),
-      a AS (SELECT *, CASE WHEN regexp_matches(w, '^[A-Z]$') THEN NOT regexp_matches(lower(part), '{LABELLED}') WHEN w = '' OR regexp_matches(w, '^[IVX]+$') THEN false ELSE lower(w) IN ({quoted(sorted(ABBREVIATIONS))}) OR rtrim(lower(w), '.') IN ({quoted(sorted(ABBREVIATIONS))}) END AS short FROM w),
-      g AS (SELECT *, coalesce(sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, ln ORDER BY pn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM a),
-      s AS (SELECT doc_id, ln, g, string_agg(part, ' ' ORDER BY pn) AS sentence FROM g GROUP BY ALL)
-      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ln, g) - 1 AS INT) AS ord, sentence FROM s""",
+      {SPLIT} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ln, g) - 1 AS INT) AS ord, sentence FROM s""",
     "page_blocks": f"""WITH m AS (SELECT page_id, regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)\\b[^>]*>.*?</(?:h[1-6]|p|li)>') AS m FROM pages),
       e AS (SELECT page_id, unnest(range(len(m))) AS n, unnest(m) AS e FROM m), t AS (SELECT page_id, n, lower(regexp_extract(e, '^<([a-zA-Z0-9]+)', 1)) AS tag, {html("e")} AS text FROM e)
       SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INT) AS ord, CASE WHEN tag[1] = 'h' THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN tag[1] = 'h' THEN CAST(tag[2] AS INT) END AS level,
