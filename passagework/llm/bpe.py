@@ -26,7 +26,7 @@ from itertools import chain
 import regex
 from pyspark.sql import DataFrame
 
-from .common import beside
+from .common import KEPT, beside
 
 MOST_STATES, MOST_PIECES = 200_000, 200_000
 #: Longest piece that is kept, and bytes of a longer one between two looks at the number of states.
@@ -432,19 +432,16 @@ class Counter:
         return total + len(parts) - 1
 
 
-_made: dict[tuple, object] = {}
-
-
 def once(kind: str, content: bytes, pattern: str) -> object:
-    """One coder or counter for each vocabulary in a Python worker."""
-    key = (kind, hashlib.sha256(content).digest(), pattern)
-    if key not in _made:
+    """One coder or counter for each vocabulary in a Python worker, as long as its tasks are of this module."""
+    made, key = KEPT.setdefault(__name__, {}), (kind, hashlib.sha256(content).digest(), pattern)
+    if key not in made:
         if kind == "count":
             ranks, added = json_vocabulary(content)
-            _made[key] = Counter(ranks, pattern, added)
+            made[key] = Counter(ranks, pattern, added)
         else:
-            _made[key] = Coder(rank_vocabulary(content), pattern)
-    return _made[key]
+            made[key] = Coder(rank_vocabulary(content), pattern)
+    return made[key]
 
 
 def shipped(spark, path: str):

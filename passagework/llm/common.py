@@ -76,12 +76,19 @@ def small_batches(df: DataFrame) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
-def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """run, which gives memory that it no longer uses back to the system when its task ends.
+#: What a worker keeps from task to task, by the module that made it.
+KEPT: dict[str, dict] = {}
 
-    Spark keeps workers for the next task, and several of them wait beside those that work."""
+
+def tidy(run: Callable[[Batches], Batches], owner: str | None = None) -> Callable[[Batches], Batches]:
+    """run, which first drops what the worker kept from tasks of other modules, and at its end gives memory that it no longer uses back to the system.
+
+    Spark keeps workers for the next task, whatever that is, and several of them wait beside those that work."""
+    owner = owner or run.__module__
 
     def tidied(parts: Batches) -> Batches:
+        for other in KEPT.keys() - {owner}:
+            KEPT.pop(other)
         try:
             yield from run(parts)
         finally:
@@ -118,4 +125,4 @@ def beside(docs: DataFrame, keep: Sequence[str], texts: str | Column, made: str,
                 yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in passed), *(pa.array([o[n] for o in out], ARROW[kind]) for n, (_, kind) in enumerate(fields))], names=[*(f.name for f in passed), *(f"m{n}" for n in range(len(fields)))])
 
     types = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in passed), *(f"m{n} {kind}" for n, (_, kind) in enumerate(fields))])
-    return inner.mapInArrow(tidy(run), types).toDF(*keep, *(f"extra{n}" for n in range(len(extra))), *(name for name, _ in fields))
+    return inner.mapInArrow(tidy(run, start.__module__), types).toDF(*keep, *(f"extra{n}" for n in range(len(extra))), *(name for name, _ in fields))
