@@ -22,6 +22,15 @@ _ROUND = """b{1} AS (SELECT doc_id, arg_max(ord, (round(0.7::DOUBLE * rel - (1 -
 s{1} AS (SELECT x.doc_id, x.ord, sum(x.u * y.u) AS sim FROM b{1} b JOIN u y ON y.doc_id = b.doc_id AND y.ord = b.ord JOIN u x ON x.doc_id = y.doc_id AND x.term = y.term GROUP BY ALL),
 r{1} AS MATERIALIZED (SELECT r.doc_id, r.ord, rel, greatest(near, coalesce(sim, 0)) AS near, CASE WHEN turn IS NULL AND r.ord = b.ord THEN {1} ELSE turn END AS turn FROM r{0} r LEFT JOIN b{1} b ON b.doc_id = r.doc_id LEFT JOIN s{1} s ON s.doc_id = r.doc_id AND s.ord = r.ord)"""
 
+#: Five rounds r0 to r5 of marginal relevance over the sentences c (doc_id, ord, sentence, bonus) of each document.
+SALIENT = f"""tf AS (SELECT doc_id, ord, term, count(*) AS tf FROM (SELECT doc_id, ord, unnest({tokens('sentence')}) AS term FROM c) GROUP BY ALL),
+      w AS MATERIALIZED (SELECT *, tf * idf AS w, sum(tf) OVER (PARTITION BY doc_id, term) * idf AS c FROM (
+        SELECT tf.*, ln(1 + n / CAST(count(*) OVER (PARTITION BY doc_id, term) AS DOUBLE)) AS idf FROM tf JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id) USING (doc_id))),
+      v AS (SELECT doc_id, ord, sum(w * c) AS toward, sqrt(sum(w * w)) AS length FROM w GROUP BY ALL),
+      u AS MATERIALIZED (SELECT doc_id, ord, term, w / length AS u FROM w JOIN v USING (doc_id, ord)),
+      r0 AS MATERIALIZED (SELECT doc_id, ord, round(toward / (length * sqrt(sum(toward) OVER (PARTITION BY doc_id))) * bonus, 9) AS rel, 0.0::DOUBLE AS near, CAST(NULL AS INT) AS turn FROM v JOIN c USING (doc_id, ord)),
+      {", ".join(_ROUND.format(n, n + 1) for n in range(5))}"""
+
 SHOWN = f"{BM25}, top AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 6) DESC, doc_id) AS source FROM bm)"
 
 _PICK = """c{1} AS (
@@ -34,13 +43,7 @@ p{1} AS MATERIALIZED (SELECT p.item_id, CASE WHEN n.item_id IS NULL THEN p.place
 ANSWERS: dict[str, str] = {
     "salient_sentences": f"""WITH c AS MATERIALIZED (SELECT doc_id, ord, sentence, (CASE WHEN {found('sentence', CUE_PHRASES)} THEN 1.25 ELSE 1 END * CASE WHEN ord = 0 THEN 1.05 ELSE 1 END)::DOUBLE AS bonus
         FROM ({DETAILS['sentences']}) WHERE {N_WORDS.format('sentence')} BETWEEN 8 AND 45 AND NOT regexp_matches(sentence, 'https?://|^\\[[0-9]+\\]')),
-      tf AS (SELECT doc_id, ord, term, count(*) AS tf FROM (SELECT doc_id, ord, unnest({tokens('sentence')}) AS term FROM c) GROUP BY ALL),
-      w AS MATERIALIZED (SELECT *, tf * idf AS w, sum(tf) OVER (PARTITION BY doc_id, term) * idf AS c FROM (
-        SELECT tf.*, ln(1 + n / CAST(count(*) OVER (PARTITION BY doc_id, term) AS DOUBLE)) AS idf FROM tf JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id) USING (doc_id))),
-      v AS (SELECT doc_id, ord, sum(w * c) AS toward, sqrt(sum(w * w)) AS length FROM w GROUP BY ALL),
-      u AS MATERIALIZED (SELECT doc_id, ord, term, w / length AS u FROM w JOIN v USING (doc_id, ord)),
-      r0 AS MATERIALIZED (SELECT doc_id, ord, round(toward / (length * sqrt(sum(toward) OVER (PARTITION BY doc_id))) * bonus, 9) AS rel, 0.0::DOUBLE AS near, CAST(NULL AS INT) AS turn FROM v JOIN c USING (doc_id, ord)),
-      {", ".join(_ROUND.format(n, n + 1) for n in range(5))}
+      {SALIENT}
       SELECT doc_id, ord, turn, sentence FROM r5 JOIN c USING (doc_id, ord) WHERE turn IS NOT NULL""",
     "overview_picks": f"""WITH b AS (SELECT doc_id, ord AS i, CASE WHEN (doc_id * 7 + ord) % 5 = 0 THEN 'Name: x; Price: 3' ELSE text END AS content,
         [{", ".join("NULL" if h is None else literal(h) for h in HEADINGS)}][(doc_id + ord) % {len(HEADINGS)} + 1] AS heading, [8, 5, 4][doc_id % 3 + 1] AS most FROM ({ORACLES['text_blocks']})),

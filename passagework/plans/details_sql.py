@@ -69,8 +69,8 @@ REVIEWED = """e AS (SELECT user_id AS question_id, event_id AS seq, ['draft', 'r
 
 #: Sentences s (doc_id, ln, g, sentence) of lines l (doc_id, ln, line).
 SPLIT = f"""p AS (SELECT doc_id, ln, unnest(range(len(ps))) AS pn, unnest(ps) AS part FROM (SELECT doc_id, ln, string_split(regexp_replace(line, '{ENDED}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM l WHERE line <> '')),
-      w AS (SELECT *, regexp_extract(part, '{LAST}', 1) AS w FROM p),
-      a AS (SELECT *, CASE WHEN regexp_matches(w, '^[A-Z]$') THEN NOT regexp_matches(lower(part), '{LABELLED}') WHEN w = '' OR regexp_matches(w, '^[IVX]+$') THEN false ELSE lower(w) IN ({quoted(sorted(ABBREVIATIONS))}) OR rtrim(lower(w), '.') IN ({quoted(sorted(ABBREVIATIONS))}) END AS short FROM w),
+      ending AS (SELECT *, regexp_extract(part, '{LAST}', 1) AS w FROM p),
+      a AS (SELECT *, CASE WHEN regexp_matches(w, '^[A-Z]$') THEN NOT regexp_matches(lower(part), '{LABELLED}') WHEN w = '' OR regexp_matches(w, '^[IVX]+$') THEN false ELSE lower(w) IN ({quoted(sorted(ABBREVIATIONS))}) OR rtrim(lower(w), '.') IN ({quoted(sorted(ABBREVIATIONS))}) END AS short FROM ending),
       g AS (SELECT *, coalesce(sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, ln ORDER BY pn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM a),
       s AS (SELECT doc_id, ln, g, string_agg(part, ' ' ORDER BY pn) AS sentence FROM g GROUP BY ALL)"""
 

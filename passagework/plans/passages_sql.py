@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.constants import BACK_MATTER_HEADING
-from .answers_sql import literal
+from ..functions.constants import BACK_MATTER_HEADING, BACK_MATTER_SECTION, CUE_PHRASES, SUMMARY_SECTIONS
+from .answers_sql import N_WORDS, SALIENT, found, literal
 from .details_sql import SPLIT
 from .oracle import ORACLES
 
@@ -13,8 +13,8 @@ _PIECE = "STRUCT(t VARCHAR, j VARCHAR, p VARCHAR, h BOOLEAN)"
 #: pieces (doc_id, seq, kind, level, n, text): headings, and sentences of paragraphs, those of more than 1,200 characters cut between words, and longer words cut.
 PIECES = f"""b AS MATERIALIZED ({ORACLES['text_blocks']}), l AS (SELECT doc_id, ord AS ln, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM b WHERE kind = 'paragraph'),
 {SPLIT},
-word AS (SELECT doc_id, ln, g, unnest(range(len(x))) AS wi, unnest(x) AS w FROM (SELECT doc_id, ln, g, string_split(sentence, ' ') AS x FROM s WHERE length(sentence) > 1200)),
-part AS (SELECT doc_id, ln, g, row_number() OVER (PARTITION BY doc_id, ln, g ORDER BY wi, si) AS k, substr(w, 1200 * si + 1, 1200) AS w FROM (SELECT *, unnest(range(CAST(ceil(length(w) / 1200.0) AS INT))) AS si FROM word)),
+long_word AS (SELECT doc_id, ln, g, unnest(range(len(x))) AS wi, unnest(x) AS w FROM (SELECT doc_id, ln, g, string_split(sentence, ' ') AS x FROM s WHERE length(sentence) > 1200)),
+part AS (SELECT doc_id, ln, g, row_number() OVER (PARTITION BY doc_id, ln, g ORDER BY wi, si) AS k, substr(w, 1200 * si + 1, 1200) AS w FROM (SELECT *, unnest(range(CAST(ceil(length(w) / 1200.0) AS INT))) AS si FROM long_word)),
 cum AS MATERIALIZED (SELECT *, sum(length(w) + 1) OVER (PARTITION BY doc_id, ln, g ORDER BY k) AS upto, max(k) OVER (PARTITION BY doc_id, ln, g) AS most FROM part),
 nxt AS MATERIALIZED (SELECT x.doc_id, x.ln, x.g, x.k AS a, coalesce(min(y.k) FILTER (y.k > x.k AND y.upto - (x.upto - length(x.w) - 1) - 1 > 1200), any_value(x.most) + 1) AS z FROM cum x JOIN cum y ON x.doc_id = y.doc_id AND x.ln = y.ln AND x.g = y.g GROUP BY ALL),
 rows_ AS (SELECT doc_id, ln, g, a, z FROM nxt WHERE a = 1 UNION ALL SELECT n.doc_id, n.ln, n.g, n.a, n.z FROM rows_ r JOIN nxt n ON n.doc_id = r.doc_id AND n.ln = r.ln AND n.g = r.g AND n.a = r.z),
@@ -47,4 +47,15 @@ passage AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY
 PASSAGES = {
     "chunks": f"WITH RECURSIVE {PIECES}, {FOLD} SELECT doc_id, chunk_index, content, heading, CAST(NULL AS INT) AS page_start, CAST(NULL AS INT) AS page_end FROM passage",
     "chunk_pages": f"WITH RECURSIVE {PIECES}, {FOLD} SELECT doc_id, count(*) AS passages, CAST(sum(length(content)) AS BIGINT) AS chars FROM passage GROUP BY doc_id",
+    "doc_summary": f"""WITH RECURSIVE {PIECES}, {FOLD},
+      section AS (SELECT doc_id, ord AS ln, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord), '') AS section FROM b),
+      bare AS (SELECT doc_id, ln, g, section, regexp_replace(sentence, {literal(r'(?i)^\(?([ivx]{1,4}|[0-9]{1,2}|[a-h])\)\s+')}, '') AS sentence FROM s JOIN section USING (doc_id, ln) WHERE NOT {found('trim(section)', BACK_MATTER_SECTION)}),
+      c AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, g) - 1 AS ord, sentence,
+        (CASE WHEN {found('section', SUMMARY_SECTIONS)} THEN 1.2 ELSE 1 END * CASE WHEN {found('sentence', CUE_PHRASES)} THEN 1.25 ELSE 1 END * CASE WHEN g = 0 THEN 1.05 ELSE 1 END)::DOUBLE AS bonus
+        FROM bare WHERE {N_WORDS.format('sentence')} BETWEEN 8 AND 45 AND NOT regexp_matches(sentence, 'https?://|^\\[[0-9]+\\]')),
+      {SALIENT},
+      points AS (SELECT doc_id, string_agg(sentence, ' | ' ORDER BY ord) AS points FROM r5 JOIN c USING (doc_id, ord) WHERE turn IS NOT NULL GROUP BY doc_id),
+      size AS (SELECT doc_id, sum(length(text)) AS chars FROM b GROUP BY doc_id), held AS (SELECT doc_id, count(*) AS n FROM passage GROUP BY doc_id)
+      SELECT doc_id, CASE WHEN coalesce(chars, 0) < 20 THEN 'the file holds almost no text' END AS error, CAST(CASE WHEN chars >= 20 THEN chars ELSE 0 END AS INT) AS char_count, CAST(CASE WHEN chars >= 20 THEN n ELSE 0 END AS INT) AS passages,
+        CASE WHEN chars >= 20 THEN coalesce(points, '') END AS key_points, CAST(NULL AS VARCHAR) AS abstract FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN held USING (doc_id) LEFT JOIN points USING (doc_id)""",
 }
