@@ -16,12 +16,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.constants import CAPTION, COMPOUND_PREFIXES, COMPOUND_SUFFIXES, LIST_MARKER, NUMBERED_HEADING, PAGE_NUMBER, SECTION_NAMES
+from ..functions.text import table_text
+from ..sources.tables import written
 
-# Gaps in sizes, shares of pages and runs, and accents that are drawn before their letter.
+# Gaps in sizes, shares of pages and runs, accents that are drawn before their letter, ligatures, and where accents stand.
 CELL_GAP, SPACE_GAP, MARGIN, REPEATED, CROSSING, SIDE, LEAST_RUNS = 1.5, 0.12, 0.08, 0.4, 0.08, 0.2, 12
 ACCENTS = {"˜": "\u0303", "´": "\u0301", "¨": "\u0308", "ˆ": "\u0302", "ˇ": "\u030c", "˘": "\u0306", "˚": "\u030a"}
 PAGE = ["doc_id", "page"]
 LETTER = r"[^\W\d_]"
+LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "­": ""}
 _BEFORE, _GRAVE = re.compile(rf"([{''.join(ACCENTS)}])\s?({LETTER})"), re.compile(rf"(?<={LETTER})`([A-Za-z])")
 
 
@@ -47,7 +50,7 @@ def in_rows(page: pa.Table) -> pa.Table:
 
 def clean_text(text: Column) -> Column:
     """Ligatures as letters, no soft hyphens and control characters, single spaces."""
-    for mark, letters in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("­", "")):
+    for mark, letters in LIGATURES.items():
         text = F.replace(text, F.lit(mark), F.lit(letters))
     text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     return F.trim(F.regexp_replace(text, r"[\s  -​ ]+", " "))
@@ -170,28 +173,73 @@ def looks_like_heading(gap: Column, leading: Column) -> Column:
     )
 
 
-def joined_lines(texts: Column, words: Column, hyphenated: Column) -> Column:
-    """Lines of a paragraph as one text; a hyphen at a line's end goes unless the word is a compound."""
-
-    def add(out: Column, line: Column) -> Column:
-        before, after = F.regexp_extract(out, r"([\p{L}\d]+)-$", 1), F.regexp_extract(line, r"^([\p{L}\d]+)", 1)
-        one = F.lower(F.concat(before, after))
-        compound = F.array_contains(hyphenated, F.lower(F.concat(before, F.lit("-"), after)))
-        word = F.array_contains(words, one)
-        looks = before.rlike("[A-Z].*[A-Z]|[0-9]") | F.lower(before).isin(COMPOUND_PREFIXES) | F.lower(after).isin(COMPOUND_SUFFIXES)
-        joins = word | (after.rlike(r"^\p{Ll}") & before.rlike(r"\p{L}$") & ~compound & ~looks)
-        cut = F.substring(out, 1, F.length(out) - 1)
-        broken = F.when(joins, F.concat(cut, line)).otherwise(F.concat(out, line))
-        return F.when(out == "", line).when((before != "") & (after != ""), broken).otherwise(F.concat_ws(" ", out, line))
-
-    return F.aggregate(texts, F.lit(""), add)
+def vocabulary(lines_: DataFrame) -> DataFrame:
+    """doc_id, word: the words of each document's lines, hyphenated ones too, once each; what a hyphen at a line's end cuts off is none."""
+    lower = F.lower("text")
+    words = F.regexp_extract_all(F.regexp_replace(lower, r"\p{L}+-$", ""), F.lit(r"\p{L}+"), F.lit(0))
+    both = F.concat(words, F.regexp_extract_all(lower, F.lit(r"\p{L}+(?:-\p{L}+)+"), F.lit(0)))
+    return lines_.select("doc_id", F.explode(F.array_distinct(both)).alias("word")).distinct()
+
+
+def dehyphenated(lines_: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id, block, text: the lines (doc_id, block, n, text) of each block as one text; words: doc_id, word.
+
+    A hyphen at a line's end goes if the document has the two parts as one word, or if a word may go on there in lower case and the parts are no compound: none of the
+    document's, none with capitals or digits before the hyphen, and none with a part that makes compounds. A line's part is what stands in that line, also where the line holds nothing else."""
+    clean = lines_.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).where("text <> ''")
+    order = W.partitionBy("doc_id", "block").orderBy("n")
+    cut = clean.withColumn("before", F.coalesce(F.regexp_extract(F.lag("text").over(order), r"([\p{L}0-9]+)-$", 1), F.lit(""))).withColumn("after", F.regexp_extract("text", r"^([\p{L}0-9]+)", 1))
+    met = (F.col("before") != "") & (F.col("after") != "")
+    looked = cut.withColumns({"one": F.when(met, F.lower(F.concat("before", "after"))), "two": F.when(met, F.lower(F.concat("before", F.lit("-"), "after")))})
+    # the few lines after a hyphen meet the words of their document
+    ends = looked.where(met).select("doc_id", "block", "n", F.explode(F.array("one", "two")).alias("word")).join(words, ["doc_id", "word"])
+    known = ends.groupBy("doc_id", "block", "n").agg(F.collect_set("word").alias("known"))
+    both = looked.join(known, ["doc_id", "block", "n"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    held = lambda c: F.coalesce(F.array_contains("known", F.col(c)), F.lit(False))
+    compound = F.col("before").rlike("[A-Z].*[A-Z]|[0-9]") | F.lower("before").isin(COMPOUND_PREFIXES) | F.lower("after").isin(COMPOUND_SUFFIXES)
+    goes_on = F.col("after").rlike(r"^\p{Ll}") & F.col("before").rlike(r"\p{L}$")
+    dropped = both.withColumn("dropped", met & (held("one") | (goes_on & ~held("two") & ~compound)))
+    kept = F.when(F.coalesce(F.lead("dropped").over(order), F.lit(False)), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    piece = F.concat(F.when(met | (F.row_number().over(order) == 1), "").otherwise(" "), kept)
+    pieces = F.array_sort(F.collect_list(F.struct("n", "piece")))  # lines of one block
+    return dropped.withColumn("piece", piece).groupBy("doc_id", "block").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"))
+
+
+#: Captions and tables between the parts of one paragraph, at most.
+BETWEEN = 4
+
+
+def continued(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, block, kind, region, first, last) with `head`, the block that each belongs to, its own where it stands alone.
+
+    A paragraph that is the last prose of its region and ends no sentence goes on in the next prose block, over captions and tables, if that is the first of its own region and begins like the
+    middle of a sentence; and on from there, as long as there are no more than BETWEEN of these since its beginning. first and last: the text of the first and the last line."""
+    prose = blocks.where(F.col("kind").isin("paragraph", "heading"))
+    inside = W.partitionBy("doc_id", "region").orderBy("block")
+    own = W.partitionBy("doc_id").orderBy("block")
+    numbered_ = blocks.withColumn("skipped", F.count_if(~F.col("kind").isin("paragraph", "heading")).over(own)).select("doc_id", "block", "skipped")
+    marked = prose.join(numbered_, ["doc_id", "block"]).withColumns({"opens": F.row_number().over(inside) == 1, "closes": F.lead("block").over(inside).isNull()})
+    hangs = (F.col("kind") == "paragraph") & F.col("closes") & ~F.col("last").rlike(r"""[.!?:]["')\]]?$""")
+    goes_on = (F.col("kind") == "paragraph") & F.col("opens") & F.col("first").rlike(r"^[\p{Ll}0-9(\[]") & ~F.col("first").rlike(LIST_MARKER)
+    linked = marked.withColumn("hangs", hangs).withColumn("linked", goes_on & F.coalesce(F.lag("hangs").over(own), F.lit(False)))
+    chained = linked.withColumn("chain", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(own))
+    members = chained.groupBy("doc_id", "chain").agg(F.array_sort(F.collect_list(F.struct("block", "skipped"))).alias("members"))  # parts of one paragraph
+    # each begins anew once too much lies between it and the beginning
+    start = F.struct(F.get("members", 0).alias("head"), F.array().cast("array<struct<block:bigint, head:bigint>>").alias("told"))
+
+    def tell(state: Column, m: Column) -> Column:
+        head = F.when(m["skipped"] - state["head"]["skipped"] <= BETWEEN, state["head"]).otherwise(m)
+        return F.struct(head.alias("head"), F.concat(state["told"], F.array(F.struct(m["block"].cast("bigint").alias("block"), head["block"].cast("bigint").alias("head")))).alias("told"))
+
+    heads = members.select("doc_id", F.inline(F.aggregate("members", start, tell)["told"]))
+    return blocks.join(heads, ["doc_id", "block"], "left").withColumn("head", F.coalesce("head", "block"))
 
 
 def read_pages(items: DataFrame) -> DataFrame:
     """doc_id, ord, kind, text, level, page, page_end: the blocks of every document in reading order."""
     kept = without_margins(lines(items))
     named = kept.join(titles(kept), "doc_id", "left")
-    kept = named.where(~F.coalesce((F.col("page") == 1) & F.contains(F.col("title"), F.col("text")) & (F.col("size") > F.col("body_size") * 1.3), F.lit(False)))
+    kept = written(named.where(~F.coalesce((F.col("page") == 1) & F.contains(F.col("title"), F.col("text")) & (F.col("size") > F.col("body_size") * 1.3), F.lit(False))))
     # reading order: full-width lines part a page into bands; a band is read left, then right
     down = W.partitionBy(*PAGE).orderBy(F.desc("y"), "x0")
     turned = kept.withColumn("turn", F.col("side") == "F")
@@ -226,29 +274,28 @@ def read_pages(items: DataFrame) -> DataFrame:
         was("kind").isNull() | F.col("heading") | (was("kind") == "heading") | (F.col("kind") == "caption")
         | (~table_on & ~caption_on & ((F.abs(was("size") - F.col("size")) > 0.8) | (was_table != is_table) | wide | text.rlike(LIST_MARKER) | (ends & (short | indented)) | (moved & ends & short)))
     )
-    # a paragraph that goes on in the next column or page starts there in lower case and stays one block
-    broken = typed.withColumn("breaks", F.coalesce(breaks, F.lit(True)).cast("int"))
+    # a page's blocks end with it; paragraphs that go on are put together below
+    broken = typed.withColumn("breaks", (F.coalesce(breaks, F.lit(True)) | (was("page") != F.col("page"))).cast("int"))
     numbered = broken.withColumn("block", F.sum("breaks").over(order))
     line = F.struct("region", (-F.col("y")).alias("k"), "x0", "text", "cells", "size")
     blocks = numbered.groupBy("doc_id", "block").agg(
-        F.array_sort(F.collect_list(line)).alias("lines"), F.min_by("kind", F.struct("region", -F.col("y"))).alias("kind"), F.min("page").alias("page"), F.max("page").alias("page_end"), F.max("size").alias("size"), F.first("body_size").alias("body_size")
-    )
-    lower = F.lower("text")
-    vocabulary = kept.groupBy("doc_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.regexp_replace(lower, r"\p{L}+-$", ""), F.lit(r"\p{L}+"), F.lit(0))))).alias("words"),
-        F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(lower, F.lit(r"\p{L}+(?:-\p{L}+)+"), F.lit(0))))).alias("hyphenated"),
+        F.array_sort(F.collect_list(line)).alias("lines"), F.min_by("kind", F.struct("region", -F.col("y"))).alias("kind"), F.min("region").alias("region"), F.min("page").alias("page"), F.max("page").alias("page_end"), F.max("size").alias("size"), F.first("body_size").alias("body_size")
     )
     texts = F.transform("lines", lambda s: s["text"])
-    made = blocks.join(vocabulary, "doc_id").withColumn(
-        "text",
-        F.when(F.col("kind") == "heading", fix_small_caps(F.array_join(texts, " "))).when(F.col("kind") == "table", F.array_join(texts, "\n")).otherwise(joined_lines(texts, F.col("words"), F.col("hyphenated"))),
-    )
+    table = F.array_join(table_text(F.transform("lines", lambda s: s["cells"])), "\n")
+    made = blocks.withColumn("text", F.when(F.col("kind") == "heading", fix_small_caps(F.array_join(texts, " "))).when(F.col("kind") == "table", table).otherwise(F.array_join(texts, " ")))
     tiny = F.col("size") < F.col("body_size") * 0.72
     average = F.length(F.array_join(texts, "")) / F.size("lines")
     sentence = F.col("text").rlike("[.!?:;]") | F.exists(texts, lambda t: F.size(F.split(t, r"\s+")) >= 7)
     label = (F.col("kind") == "paragraph") & (tiny | (F.length(F.regexp_replace("text", r"[^\p{L}]", "")) < 3) | ((average < 28) & ~sentence))
     wordless = (F.col("kind") == "table") & (tiny | ~F.col("text").rlike(r"\p{L}{3}"))
-    good = made.where(~label & ~wordless)
+    left = made.where(~label & ~wordless).withColumns({"first": F.get(texts, 0), "last": F.element_at(texts, -1)})
+    parted = written(continued(left).drop("first", "last").withColumnRenamed("block", "part").withColumnRenamed("head", "block"))
+    prose = parted.where(F.col("kind").isin("paragraph", "caption"))
+    whole_lines = prose.select("doc_id", "block", F.posexplode(texts).alias("at", "text"), "part").select("doc_id", "block", F.struct("part", "at").alias("n"), "text")
+    joined = dehyphenated(whole_lines, vocabulary(kept)).withColumnRenamed("text", "joined")
+    ends = parted.groupBy("doc_id", "block").agg(F.max("page_end").alias("page_end"))
+    good = parted.where("part = block").drop("page_end", "part").join(ends, ["doc_id", "block"]).join(joined, ["doc_id", "block"], "left").withColumn("text", F.coalesce("joined", "text")).drop("joined")
     then = F.lead("kind").over(W.partitionBy("doc_id").orderBy("block"))
     kept_heading = F.col("text").rlike(NUMBERED_HEADING) | F.col("text").rlike("(?i)^(abstract|references|bibliography|acknowledg)") | F.coalesce(then.isin("paragraph", "table"), F.lit(False))
     headed = good.withColumn("stays", (F.col("kind") != "heading") | kept_heading).where("stays")

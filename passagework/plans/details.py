@@ -362,6 +362,27 @@ def layout_headings(spark, d):
     return rows.select("page_id", layout.heading_level(F.col("text"), F.col("size"), F.lit(10.0)).alias("level"), layout.fix_small_caps(F.col("text")).alias("fixed"), layout.clean_text(broken).alias("clean"))
 
 
+@query
+def layout_dehyphenated(spark, d):
+    """Documents broken into lines of 40 characters, with a hyphen where that cuts a word, and put together again by the words that they hold whole."""
+    flat = F.replace("text", F.lit("\n"), F.lit(" "))
+    cut = texts(spark, d).where("length(text) > 0").select(F.col("doc_id").cast("string").alias("doc_id"), flat.alias("t"), F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 40).cast("int"))).alias("n"))
+    piece, after = F.expr("substr(t, 40 * n + 1, 40)"), F.expr("substr(t, 40 * n + 41, 1)")
+    made = cut.select("doc_id", F.lit(0).alias("block"), "n", F.when(piece.rlike(r"\p{L}$") & after.rlike(r"\p{L}"), F.concat(piece, F.lit("-"))).otherwise(piece).alias("text"))
+    whole = layout.dehyphenated(made, layout.vocabulary(made))
+    return whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def layout_continuations(spark, d):
+    """Blocks of documents in regions of three, some of them headings, captions and tables, some without an end or a beginning: which paragraphs go on where."""
+    n = F.col("doc_id") + F.col("ord")
+    kind = F.when(n % 7 == 2, "caption").when(n % 11 == 4, "table").when(n % 13 == 5, "heading").otherwise("paragraph")
+    last = F.when(n % 5 > 0, F.regexp_replace("text", r"""[.!?:]+["')\]]*$""", "")).otherwise(F.col("text"))
+    blocks = Q.text_blocks(spark, d).select("doc_id", F.col("ord").cast("long").alias("block"), kind.alias("kind"), F.floor(F.col("ord") / 2).alias("region"), F.when(n % 6 > 0, F.lower("text")).otherwise(F.col("text")).alias("first"), last.alias("last"))
+    return layout.continued(blocks).select("doc_id", "block", "kind", "head")
+
+
 @query
 def overview_route(spark, d):
     """Questions for an overview of parts: the newest three documents whose titles hold all of their topic."""

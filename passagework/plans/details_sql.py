@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.constants import ABBREVIATIONS, GENERAL_SECTION, LABEL_WORDS, OVERVIEW_WORDS, SECTION_NAMES, TABLE_LINE
+from ..functions.constants import ABBREVIATIONS, COMPOUND_PREFIXES, COMPOUND_SUFFIXES, GENERAL_SECTION, LABEL_WORDS, LIST_MARKER, OVERVIEW_WORDS, SECTION_NAMES, TABLE_LINE
 from .oracle import BM25, ORACLES, PLAIN, html, quoted, tokens
 
 FILES = """f AS (
@@ -75,6 +75,21 @@ SPLIT = f"""p AS (SELECT doc_id, ln, unnest(range(len(ps))) AS pn, unnest(ps) AS
       s AS (SELECT doc_id, ln, g, string_agg(part, ' ' ORDER BY pn) AS sentence FROM g GROUP BY ALL)"""
 
 DETAILS: dict[str, str] = {
+    "layout_dehyphenated": f"""WITH c AS (SELECT doc_id, replace(text, chr(10), ' ') AS t, unnest(range(CAST(floor((length(text) - 1) / 40.0) AS INT) + 1)) AS n FROM documents WHERE length(text) > 0),
+      l AS MATERIALIZED (SELECT doc_id, n, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS x FROM (SELECT doc_id, n, p || CASE WHEN regexp_matches(p, '\\p{{L}}$') AND regexp_matches(q, '\\p{{L}}') THEN '-' ELSE '' END AS x FROM (SELECT doc_id, n, substr(t, 40 * n + 1, 40) AS p, substr(t, 40 * n + 41, 1) AS q FROM c)) WHERE trim(x) <> ''),
+      v AS MATERIALIZED (SELECT doc_id, list_distinct(flatten(list(regexp_extract_all(regexp_replace(lower(x), '\\p{{L}}+-$', ''), '\\p{{L}}+')))) AS words, list_distinct(flatten(list(regexp_extract_all(lower(x), '\\p{{L}}+(?:-\\p{{L}}+)+')))) AS two FROM l GROUP BY doc_id),
+      b AS (SELECT *, coalesce(regexp_extract(lag(x) OVER (PARTITION BY doc_id ORDER BY n), '([\\p{{L}}0-9]+)-$', 1), '') AS a, regexp_extract(x, '^([\\p{{L}}0-9]+)', 1) AS z FROM l),
+      k AS (SELECT doc_id, n, x, a <> '' AND z <> '' AS met, list_contains(words, lower(a || z)) OR regexp_matches(z, '^\\p{{Ll}}') AND regexp_matches(a, '\\p{{L}}$') AND NOT list_contains(two, lower(a || '-' || z))
+        AND NOT (regexp_matches(a, '[A-Z].*[A-Z]|[0-9]') OR lower(a) IN ({quoted(COMPOUND_PREFIXES)}) OR lower(z) IN ({quoted(COMPOUND_SUFFIXES)})) AS one FROM b JOIN v USING (doc_id)),
+      j AS (SELECT doc_id, n, CASE WHEN met OR row_number() OVER o = 1 THEN '' ELSE ' ' END || CASE WHEN coalesce(lead(met AND one) OVER o, false) THEN left(x, length(x) - 1) ELSE x END AS y FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY n))
+      SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, string_agg(y, '' ORDER BY n) AS t FROM j GROUP BY doc_id)""",
+    "layout_continuations": f"""WITH RECURSIVE b AS (SELECT doc_id, ord AS block, doc_id + ord AS n, text, ord // 2 AS region FROM ({ORACLES['text_blocks']})),
+      k AS MATERIALIZED (SELECT doc_id, block, region, CASE WHEN n % 7 = 2 THEN 'caption' WHEN n % 11 = 4 THEN 'table' WHEN n % 13 = 5 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN n % 6 > 0 THEN lower(text) ELSE text END AS f, CASE WHEN n % 5 > 0 THEN regexp_replace(text, '[.!?:]+["'')\\]]*$', '') ELSE text END AS e FROM b),
+      p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS s, row_number() OVER (PARTITION BY doc_id, region ORDER BY block) = 1 AS opens, row_number() OVER (PARTITION BY doc_id, region ORDER BY block DESC) = 1 AS closes FROM k WHERE kind IN ('paragraph', 'heading')),
+      h AS MATERIALIZED (SELECT *, kind = 'paragraph' AND closes AND NOT regexp_matches(e, '[.!?:]["'')\\]]?$') AS hangs, kind = 'paragraph' AND opens AND regexp_matches(f, '^[\\p{{Ll}}0-9(\\[]') AND NOT regexp_matches(f, '{LIST_MARKER}') AS goes FROM p),
+      r AS (SELECT doc_id, s, block, block AS head, s AS first_, hangs FROM h WHERE s = 1 UNION ALL
+        SELECT h.doc_id, h.s, h.block, CASE WHEN m THEN r.head ELSE h.block END, CASE WHEN m THEN r.first_ ELSE h.s END, h.hangs FROM (SELECT h.*, r.head, r.first_, r.hangs AS hung, h.goes AND r.hangs AND (h.block - r.head) - (h.s - r.first_) <= 4 AS m FROM h JOIN r ON h.doc_id = r.doc_id AND h.s = r.s + 1) h JOIN r ON r.doc_id = h.doc_id AND r.s = h.s - 1)
+      SELECT doc_id, CAST(block AS BIGINT) AS block, kind, CAST(coalesce(r.head, block) AS BIGINT) AS head FROM k LEFT JOIN r USING (doc_id, block)""",
     "standing_citations": f"""WITH {REVIEWED}, l AS (SELECT question_id, max(seq) FILTER (kind = 'draft') AS seq FROM k GROUP BY question_id)
       SELECT question_id, seq, CAST(unnest(range(0, seq % 3 + 2)) AS INT) AS ord FROM l WHERE seq IS NOT NULL""",
     "answer_views": f"""WITH {QUOTED}, c AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS ord, doc_id, source, lang, doc_id % 5 AS a, doc_id % 7 AS b FROM h),
