@@ -11,7 +11,7 @@ from .minhash import OP7_SQL, op7_minhash_dedup
 from .mixing import OP2_SQL, op2_mix_sources
 from .negatives import OP11_SQL, op11_hard_negatives
 from .pii import op9_personal_data
-from .sharding import op12_shards
+from .sharding import OP12_SQL, op12_shards
 from .tiles import OP8_SQL, op8_embedding_dedup
 from .urls import OP10_SQL, op10_url_filter
 
@@ -38,5 +38,6 @@ ORACLES = {
     "op8_embedding_dedup": OP8_SQL,
     "op10_url_filter": OP10_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_shards": OP12_SQL,
     "op13_centroid_clusters": OP13_SQL,
 }

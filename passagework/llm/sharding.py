@@ -88,3 +88,27 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
 def op12_shards(spark, sf_dir: str) -> DataFrame:
     made = sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _half(n: int) -> int:
+    """crc32's table for four bits, from its polynomial."""
+    for _ in range(4):
+        n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+#: crc32 over the halves of the bytes, the lower one first, and the same schedule as a recursion over the items.
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT DISTINCT t, hex(encode(t)) AS h FROM d),
+halves AS (SELECT t, list_transform(range(1, length(h) + 1), lambda i: CAST('0x' || h[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END] AS BIGINT)) AS n FROM x),
+crc AS MATERIALIZED (SELECT t, xor(list_reduce(list_prepend(4294967295::BIGINT, n), lambda c, b: xor(c >> 4, {[_half(n) for n in range(16)]}[(xor(c, b) & 15) + 1])), 4294967295) AS crc FROM halves),
+g AS (SELECT t, sha256(t) AS h, CAST(sum(octet_length(encode(t)) + 1) AS BIGINT) AS load FROM d GROUP BY t),
+b AS (SELECT t, load, CASE WHEN load * {PARTS} >= sum(load) OVER () THEN h ELSE ({LEVELS} - length(bin(CAST('0x' || substr(h, 1, 3) AS INT)))) || '-' || CAST('0x' || substr(h, 4, 3) AS INT) % {BUNDLES} END AS item FROM g),
+i AS MATERIALIZED (SELECT item, load, row_number() OVER (ORDER BY load DESC, item) AS n FROM (SELECT item, CAST(sum(load) AS BIGINT) AS load FROM b GROUP BY item)),
+s AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS item, list_transform(range(8), lambda z: 0::BIGINT) AS loads, 0::INT AS shard UNION ALL
+  SELECT n, item, list_transform(loads, lambda l, z: CASE WHEN z = k THEN l + load ELSE l END), CAST(k - 1 AS INT) FROM (SELECT i.n, i.item, i.load, s.loads, list_position(s.loads, list_min(s.loads)) AS k FROM s JOIN i ON i.n = s.n + 1))
+SELECT doc_id, CAST(octet_length(encode(d.t)) + 1 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, octet_length(encode(d.t))) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM d JOIN crc USING (t) JOIN b USING (t) JOIN s USING (item)
+"""
