@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from ..functions.constants import BACK_MATTER_HEADING, BACK_MATTER_SECTION, CUE_PHRASES, SUMMARY_SECTIONS
 from .answers_sql import N_WORDS, SALIENT, found, literal
-from .details_sql import SPLIT
+from .details_sql import DETAILS, SPLIT
 from .oracle import ORACLES
 
 _LENGTH = "coalesce(list_sum(list_transform({0}, lambda x: length(x.t) + length(x.j))) - length({0}[1].j), 0)"
 _PIECE = "STRUCT(t VARCHAR, j VARCHAR, p VARCHAR, h BOOLEAN)"
 
 #: pieces (doc_id, seq, kind, level, n, text): headings, and sentences of paragraphs, those of more than 1,200 characters cut between words, and longer words cut.
-PIECES = f"""b AS MATERIALIZED ({ORACLES['text_blocks']}), l AS (SELECT doc_id, ord AS ln, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM b WHERE kind = 'paragraph'),
+SPLIT_UP = f"""l AS (SELECT doc_id, ord AS ln, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM b WHERE kind = 'paragraph'),
 {SPLIT},
 long_word AS (SELECT doc_id, ln, g, unnest(range(len(x))) AS wi, unnest(x) AS w FROM (SELECT doc_id, ln, g, string_split(sentence, ' ') AS x FROM s WHERE length(sentence) > 1200)),
 part AS (SELECT doc_id, ln, g, row_number() OVER (PARTITION BY doc_id, ln, g ORDER BY wi, si) AS k, substr(w, 1200 * si + 1, 1200) AS w FROM (SELECT *, unnest(range(CAST(ceil(length(w) / 1200.0) AS INT))) AS si FROM long_word)),
@@ -23,6 +23,8 @@ unit AS (SELECT doc_id, ln, g, 0 AS a, sentence AS text FROM s WHERE length(sent
 every AS (SELECT doc_id, ord AS ln, -1 AS g, 0 AS a, kind, level, text FROM b WHERE kind = 'heading' UNION ALL SELECT doc_id, ln, g, a, 'paragraph', NULL, text FROM unit),
 pieces AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, g, a) AS seq, kind, level, row_number() OVER (PARTITION BY doc_id, ln ORDER BY g, a) - 1 AS n, text FROM every)"""
 
+PIECES = f"b AS MATERIALIZED ({ORACLES['text_blocks']}), {SPLIT_UP}"
+
 #: What is open after each piece, and what the piece closed: a heading closes a passage of 350 characters and more, a sentence one that it doesn't fit in, of which the last sentence is carried over.
 FOLD = f"""start_ AS (SELECT DISTINCT doc_id, 0::BIGINT AS seq, []::{_PIECE}[] AS open_, 0::BIGINT AS carried, '' AS p1, '' AS p2, NULL::{_PIECE}[] AS closed FROM pieces),
 fold AS (
@@ -44,18 +46,26 @@ weight AS (SELECT doc_id, seq, p, sum(length(t)) AS n, min(i) AS i FROM (SELECT
 named AS (SELECT doc_id, seq, p FROM weight QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY n DESC, i) = 1),
 passage AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS INT) AS chunk_index, substr(array_to_string(list_transform(c, lambda x: x.j || x.t), ''), length(c[1].j) + 1) AS content, p AS heading FROM done JOIN named USING (doc_id, seq))"""
 
-PASSAGES = {
-    "chunks": f"WITH RECURSIVE {PIECES}, {FOLD} SELECT doc_id, chunk_index, content, heading, CAST(NULL AS INT) AS page_start, CAST(NULL AS INT) AS page_end FROM passage",
-    "chunk_pages": f"WITH RECURSIVE {PIECES}, {FOLD} SELECT doc_id, count(*) AS passages, CAST(sum(length(content)) AS BIGINT) AS chars FROM passage GROUP BY doc_id",
-    "doc_summary": f"""WITH RECURSIVE {PIECES}, {FOLD},
-      section AS (SELECT doc_id, ord AS ln, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord), '') AS section FROM b),
+#: Key points of the blocks b, their characters, and how many passages there are.
+SUMMARY = f"""section AS (SELECT doc_id, ord AS ln, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord), '') AS section FROM b),
       bare AS (SELECT doc_id, ln, g, section, regexp_replace(sentence, {literal(r'(?i)^\(?([ivx]{1,4}|[0-9]{1,2}|[a-h])\)\s+')}, '') AS sentence FROM s JOIN section USING (doc_id, ln) WHERE NOT {found('trim(section)', BACK_MATTER_SECTION)}),
       c AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, g) - 1 AS ord, sentence,
         (CASE WHEN {found('section', SUMMARY_SECTIONS)} THEN 1.2 ELSE 1 END * CASE WHEN {found('sentence', CUE_PHRASES)} THEN 1.25 ELSE 1 END * CASE WHEN g = 0 THEN 1.05 ELSE 1 END)::DOUBLE AS bonus
         FROM bare WHERE {N_WORDS.format('sentence')} BETWEEN 8 AND 45 AND NOT regexp_matches(sentence, 'https?://|^\\[[0-9]+\\]')),
       {SALIENT},
       points AS (SELECT doc_id, string_agg(sentence, ' | ' ORDER BY ord) AS points FROM r5 JOIN c USING (doc_id, ord) WHERE turn IS NOT NULL GROUP BY doc_id),
-      size AS (SELECT doc_id, sum(length(text)) AS chars FROM b GROUP BY doc_id), held AS (SELECT doc_id, count(*) AS n FROM passage GROUP BY doc_id)
+      size AS (SELECT doc_id, sum(length(text)) AS chars FROM b GROUP BY doc_id), held AS (SELECT doc_id, count(*) AS n FROM passage GROUP BY doc_id)"""
+
+PASSAGES = {
+    "chunks": f"WITH RECURSIVE {PIECES}, {FOLD} SELECT doc_id, chunk_index, content, heading, CAST(NULL AS INT) AS page_start, CAST(NULL AS INT) AS page_end FROM passage",
+    "chunk_pages": f"WITH RECURSIVE {PIECES}, {FOLD} SELECT doc_id, count(*) AS passages, CAST(sum(length(content)) AS BIGINT) AS chars FROM passage GROUP BY doc_id",
+    "doc_summary": f"""WITH RECURSIVE {PIECES}, {FOLD}, {SUMMARY}
       SELECT doc_id, CASE WHEN coalesce(chars, 0) < 20 THEN 'the file holds almost no text' END AS error, CAST(CASE WHEN chars >= 20 THEN chars ELSE 0 END AS INT) AS char_count, CAST(CASE WHEN chars >= 20 THEN n ELSE 0 END AS INT) AS passages,
         CASE WHEN chars >= 20 THEN coalesce(points, '') END AS key_points, CAST(NULL AS VARCHAR) AS abstract FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN held USING (doc_id) LEFT JOIN points USING (doc_id)""",
+    "page_summaries": f"""WITH RECURSIVE every_block AS MATERIALIZED (SELECT page_id AS doc_id, ord, kind, text, level, count(*) OVER p AS n, count(*) FILTER (kind = 'heading' AND level = 1) OVER p AS tops FROM ({DETAILS['page_blocks']}) WINDOW p AS (PARTITION BY page_id)),
+      title AS (SELECT doc_id, text AS title FROM every_block WHERE ord = 0 AND kind = 'heading' AND level = 1 AND tops = 1 AND n > 1),
+      b AS MATERIALIZED (SELECT doc_id, ord, kind, text, level FROM every_block LEFT JOIN title USING (doc_id) WHERE title IS NULL OR ord > 0), {SPLIT_UP}, {FOLD}, {SUMMARY}
+      SELECT page_id, CASE WHEN chars >= 20 THEN title END AS detected, CASE WHEN coalesce(chars, 0) < 20 THEN 'the file holds almost no text' END AS error, CAST(CASE WHEN chars >= 20 THEN chars ELSE 0 END AS INT) AS char_count,
+        CAST(CASE WHEN chars >= 20 THEN n ELSE 0 END AS INT) AS passages, CASE WHEN chars >= 20 THEN coalesce(points, '') END AS key_points
+      FROM pages LEFT JOIN title ON title.doc_id = page_id LEFT JOIN size ON size.doc_id = page_id LEFT JOIN held ON held.doc_id = page_id LEFT JOIN points ON points.doc_id = page_id""",
 }
