@@ -93,7 +93,8 @@ def ask(questions: DataFrame, chunks: DataFrame, documents: DataFrame | None = N
         points = documents.select("document_id", "points") if "points" in documents.columns else None
         gists = overview_passages(chunks, routed(questions, documents), points).withColumn("mode", F.lit("overview"))
         shown = shown.join(gists.select("question_id").distinct(), "question_id", "left_anti").unionByName(gists)
-    shown = written(shown.select("question_id", "mode", F.col("rank").alias("number"), F.col("source.*")).withColumnRenamed("number", "source"))
+    number = F.row_number().over(W.partitionBy("question_id").orderBy("rank"))  # what was not relevant leaves no gap
+    shown = written(shown.select("question_id", "mode", number.alias("number"), F.col("source.*")).withColumnRenamed("number", "source"))
     by_rows = type(provider).generate is Offline.generate
     modes = shown.groupBy("question_id").agg(F.first("mode").alias("mode"))
     asked = questions.select("question_id", "question").join(modes, "question_id", "left")

@@ -40,6 +40,28 @@ n{1} AS (SELECT c.item_id, c.source, c.local, c.own FROM c{1} c JOIN scored s US
   WHERE s.score > 0 AND c.new >= 0.15 AND s.direct >= 0.3 AND NOT list_contains(p.places, (c.source, c.local)) QUALIFY row_number() OVER (PARTITION BY c.item_id ORDER BY s.merit DESC, c.source, c.local) = 1),
 p{1} AS MATERIALIZED (SELECT p.item_id, CASE WHEN n.item_id IS NULL THEN p.places ELSE list_append(p.places, (n.source, n.local)) END AS places, CASE WHEN n.item_id IS NULL THEN p.covered ELSE list_concat(p.covered, n.own) END AS covered FROM p{0} p LEFT JOIN n{1} n USING (item_id))"""
 
+#: The sentences said in answer to the questions q0 (item_id, question), from the sentences sent (key, ord, sentence) of their sources src (item_id, source, key, heading).
+EXTRACT = f"""q1 AS (SELECT *, list_distinct({tokens('question')}) AS every, {tokens("regexp_extract(question, " + literal('(?i)' + FOCUS) + ", 1)")}[1] AS focus FROM q0),
+      q AS MATERIALIZED (SELECT *, CASE WHEN len(topic) > 0 THEN topic ELSE every END AS terms FROM (SELECT *, list_filter(every, lambda t: NOT list_contains({ABOUT}, t)) AS topic FROM q1)),
+      own AS MATERIALIZED (SELECT key, row_number() OVER (PARTITION BY key ORDER BY ord) - 1 AS local, sentence, {tokens('sentence')} AS t FROM sent WHERE {N_WORDS.format('sentence')} >= 3 AND key IN (SELECT key FROM src)),
+      beside AS (SELECT *, list_concat(coalesce(lag(t) OVER o, []), coalesce(lead(t) OVER o, [])) AS near FROM own WINDOW o AS (PARTITION BY key ORDER BY local)),
+      k AS MATERIALIZED (SELECT item_id, source, local, sentence AS text, list_intersect(terms, t) AS own, list_intersect(terms, {tokens("coalesce(heading, '')")}) AS head, list_intersect(terms, near) AS near
+        FROM src JOIN q USING (item_id) JOIN beside USING (key) QUALIFY row_number() OVER (PARTITION BY item_id, sentence ORDER BY source, local) = 1),
+      held AS (SELECT item_id, term, count(*) AS df FROM (SELECT item_id, unnest(list_distinct(list_concat(own, head))) AS term FROM k) GROUP BY ALL),
+      known AS (SELECT item_id, term, focus, ln(1 + n / CAST(df AS DOUBLE)) AS known FROM (SELECT item_id, focus, unnest(terms) AS term FROM q) JOIN (SELECT item_id, count(*) AS n FROM k GROUP BY item_id) USING (item_id) LEFT JOIN held USING (item_id, term)),
+      w0 AS (SELECT item_id, term, coalesce(known, avg(known) OVER (PARTITION BY item_id)) * CASE WHEN list_contains({tokens(literal(' '.join(FILLER_WORDS)))}, term) THEN 0.3 WHEN term = focus THEN 1.5 ELSE 1 END::DOUBLE AS w FROM known),
+      w AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY item_id) AS total FROM w0 WHERE w IS NOT NULL),
+      s AS (SELECT item_id, source, local, round(sum(w * CASE WHEN list_contains(own, term) THEN 1 WHEN list_contains(head, term) THEN 0.6 WHEN list_contains(near, term) THEN 0.4 ELSE 0 END::DOUBLE) / any_value(total), 9) AS score,
+        round(coalesce(sum(w) FILTER (list_contains(own, term)), 0) / any_value(total), 9) AS direct FROM k JOIN w USING (item_id) GROUP BY ALL),
+      scored AS MATERIALIZED (SELECT *, round(score * (1 + 0.08::DOUBLE * greatest(0, 3 - source)), 9) AS merit FROM s),
+      best AS MATERIALIZED (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY merit DESC, source, local) = 1),
+      p0 AS MATERIALIZED (SELECT item_id, [(source, local)] AS places, own AS covered FROM best JOIN k USING (item_id, source, local) WHERE score >= 0.5),
+      {_PICK.format(0, 1)}, {_PICK.format(1, 2)},
+      after AS (SELECT k.item_id, (k.source, k.local) AS place FROM p2 p JOIN best b USING (item_id) JOIN k ON k.item_id = b.item_id AND k.source = b.source AND k.local = b.local + 1 JOIN k kb ON kb.item_id = b.item_id AND kb.source = b.source AND kb.local = b.local JOIN q ON q.item_id = k.item_id
+        WHERE len(places) < 3 AND NOT list_contains(places, (k.source, k.local)) AND {N_WORDS.format('k.text')} >= 4 AND ({found('question', EXPLANATORY)} OR {found('question', QUANTITATIVE)} AND NOT regexp_matches(kb.text, '[0-9]') AND regexp_matches(k.text, '[0-9]'))),
+      picked AS (SELECT item_id, unnest(places) AS place FROM p2 UNION ALL SELECT item_id, place FROM after),
+      said AS (SELECT k.item_id, string_agg(text || ' [' || source || ']', ' ' ORDER BY source, local) AS answer, count(*) AS n FROM picked p JOIN k ON k.item_id = p.item_id AND (k.source, k.local) = p.place GROUP BY k.item_id)"""
+
 ANSWERS: dict[str, str] = {
     "salient_sentences": f"""WITH c AS MATERIALIZED (SELECT doc_id, ord, sentence, (CASE WHEN {found('sentence', CUE_PHRASES)} THEN 1.25 ELSE 1 END * CASE WHEN ord = 0 THEN 1.05 ELSE 1 END)::DOUBLE AS bonus
         FROM ({DETAILS['sentences']}) WHERE {N_WORDS.format('sentence')} BETWEEN 8 AND 45 AND NOT regexp_matches(sentence, 'https?://|^\\[[0-9]+\\]')),
@@ -65,26 +87,8 @@ ANSWERS: dict[str, str] = {
       same AS (SELECT *, {PLAIN.format('quote')} AS p FROM met QUALIFY row_number() OVER (PARTITION BY item_id, source, {PLAIN.format('quote')} ORDER BY pos) = 1)
       SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS INT) AS ord, CAST(source AS INT) AS source, doc_id, quote, length(p) >= 3 AND contains({PLAIN.format('text')}, p) AS verified FROM same""",
     "extracted_answers": f"""WITH {SHOWN}, q0 AS (SELECT item_id, ['', 'How many ', 'Explain why '][item_id % 3 + 1] || text AS question FROM benchmark),
-      q1 AS (SELECT *, list_distinct({tokens('question')}) AS every, {tokens("regexp_extract(question, " + literal('(?i)' + FOCUS) + ", 1)")}[1] AS focus FROM q0),
-      q AS MATERIALIZED (SELECT *, CASE WHEN len(topic) > 0 THEN topic ELSE every END AS terms FROM (SELECT *, list_filter(every, lambda t: NOT list_contains({ABOUT}, t)) AS topic FROM q1)),
-      own AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS local, sentence, {tokens('sentence')} AS t FROM ({DETAILS['sentences']}) WHERE {N_WORDS.format('sentence')} >= 3 AND doc_id IN (SELECT doc_id FROM top WHERE source <= 3)),
-      beside AS (SELECT *, list_concat(coalesce(lag(t) OVER o, []), coalesce(lead(t) OVER o, [])) AS near FROM own WINDOW o AS (PARTITION BY doc_id ORDER BY local)),
-      k AS MATERIALIZED (SELECT item_id, top.source, local, sentence AS text, list_intersect(terms, t) AS own, list_intersect(terms, {tokens('d.source')}) AS head, list_intersect(terms, near) AS near
-        FROM top JOIN q USING (item_id) JOIN beside USING (doc_id) JOIN documents d USING (doc_id) WHERE top.source <= 3 QUALIFY row_number() OVER (PARTITION BY item_id, sentence ORDER BY top.source, local) = 1),
-      held AS (SELECT item_id, term, count(*) AS df FROM (SELECT item_id, unnest(list_distinct(list_concat(own, head))) AS term FROM k) GROUP BY ALL),
-      known AS (SELECT item_id, term, focus, ln(1 + n / CAST(df AS DOUBLE)) AS known FROM (SELECT item_id, focus, unnest(terms) AS term FROM q) JOIN (SELECT item_id, count(*) AS n FROM k GROUP BY item_id) USING (item_id) LEFT JOIN held USING (item_id, term)),
-      w0 AS (SELECT item_id, term, coalesce(known, avg(known) OVER (PARTITION BY item_id)) * CASE WHEN list_contains({tokens(literal(' '.join(FILLER_WORDS)))}, term) THEN 0.3 WHEN term = focus THEN 1.5 ELSE 1 END::DOUBLE AS w FROM known),
-      w AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY item_id) AS total FROM w0 WHERE w IS NOT NULL),
-      s AS (SELECT item_id, source, local, round(sum(w * CASE WHEN list_contains(own, term) THEN 1 WHEN list_contains(head, term) THEN 0.6 WHEN list_contains(near, term) THEN 0.4 ELSE 0 END::DOUBLE) / any_value(total), 9) AS score,
-        round(coalesce(sum(w) FILTER (list_contains(own, term)), 0) / any_value(total), 9) AS direct FROM k JOIN w USING (item_id) GROUP BY ALL),
-      scored AS MATERIALIZED (SELECT *, round(score * (1 + 0.08::DOUBLE * greatest(0, 3 - source)), 9) AS merit FROM s),
-      best AS MATERIALIZED (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY merit DESC, source, local) = 1),
-      p0 AS MATERIALIZED (SELECT item_id, [(source, local)] AS places, own AS covered FROM best JOIN k USING (item_id, source, local) WHERE score >= 0.5),
-      {_PICK.format(0, 1)}, {_PICK.format(1, 2)},
-      after AS (SELECT k.item_id, (k.source, k.local) AS place FROM p2 p JOIN best b USING (item_id) JOIN k ON k.item_id = b.item_id AND k.source = b.source AND k.local = b.local + 1 JOIN k kb ON kb.item_id = b.item_id AND kb.source = b.source AND kb.local = b.local JOIN q ON q.item_id = k.item_id
-        WHERE len(places) < 3 AND NOT list_contains(places, (k.source, k.local)) AND {N_WORDS.format('k.text')} >= 4 AND ({found('question', EXPLANATORY)} OR {found('question', QUANTITATIVE)} AND NOT regexp_matches(kb.text, '[0-9]') AND regexp_matches(k.text, '[0-9]'))),
-      picked AS (SELECT item_id, unnest(places) AS place FROM p2 UNION ALL SELECT item_id, place FROM after),
-      said AS (SELECT k.item_id, string_agg(text || ' [' || source || ']', ' ' ORDER BY source, local) AS answer, count(*) AS n FROM picked p JOIN k ON k.item_id = p.item_id AND (k.source, k.local) = p.place GROUP BY k.item_id)
+      src AS (SELECT item_id, top.source, doc_id AS key, d.source AS heading FROM top JOIN documents d USING (doc_id) WHERE top.source <= 3), sent AS (SELECT doc_id AS key, ord, sentence FROM ({DETAILS['sentences']})),
+      {EXTRACT}
       SELECT item_id, coalesce(answer, {literal(NOT_FOUND)}) AS answer, CASE WHEN answer IS NULL THEN 'low' WHEN score >= 0.75 THEN 'high' ELSE 'medium' END AS confidence, answer IS NULL AS insufficient, CAST(coalesce(n, 0) AS INT) AS n_citations
       FROM benchmark LEFT JOIN said USING (item_id) LEFT JOIN best USING (item_id)""",
     "markdown_blocks": """WITH l AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.constants import BACK_MATTER_HEADING, BACK_MATTER_SECTION, CUE_PHRASES, SUMMARY_SECTIONS
-from .answers_sql import N_WORDS, SALIENT, found, literal
+from ..functions.constants import BACK_MATTER_HEADING, BACK_MATTER_SECTION, CUE_PHRASES, NOT_FOUND, SUMMARY_SECTIONS
+from .answers_sql import EXTRACT, N_WORDS, SALIENT, found, literal
 from .details_sql import DETAILS, SPLIT
-from .oracle import ORACLES
+from .oracle import HYBRID, ORACLES
 
 _LENGTH = "coalesce(list_sum(list_transform({0}, lambda x: length(x.t) + length(x.j))) - length({0}[1].j), 0)"
 _PIECE = "STRUCT(t VARCHAR, j VARCHAR, p VARCHAR, h BOOLEAN)"
@@ -68,4 +68,13 @@ PASSAGES = {
       SELECT page_id, CASE WHEN chars >= 20 THEN title END AS detected, CASE WHEN coalesce(chars, 0) < 20 THEN 'the file holds almost no text' END AS error, CAST(CASE WHEN chars >= 20 THEN chars ELSE 0 END AS INT) AS char_count,
         CAST(CASE WHEN chars >= 20 THEN n ELSE 0 END AS INT) AS passages, CASE WHEN chars >= 20 THEN coalesce(points, '') END AS key_points
       FROM pages LEFT JOIN title ON title.doc_id = page_id LEFT JOIN size ON size.doc_id = page_id LEFT JOIN held ON held.doc_id = page_id LEFT JOIN points ON points.doc_id = page_id""",
+    # the passages of all documents take the documents' place
+    "offline_answers": f"""WITH documents AS (SELECT doc_id || '#' || chunk_index AS doc_id, 'document ' || doc_id || coalesce(' — ' || heading, '') || chr(10) || chr(10) || content AS text, content, heading FROM (WITH RECURSIVE {PIECES}, {FOLD} SELECT * FROM passage)),
+      {HYBRID}, q0 AS (SELECT item_id, text AS question FROM benchmark),
+      src AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS source, doc_id AS key, heading FROM top JOIN documents USING (doc_id) WHERE rank <= 8 AND (vector_score >= 0.05 OR coverage >= 0.5)),
+      sent AS (FROM (WITH l AS (SELECT doc_id, unnest(range(len(x))) AS ln, unnest(x) AS line FROM (SELECT doc_id, list_transform(string_split(content, chr(10)), lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS x FROM documents)),
+        {SPLIT} SELECT doc_id AS key, row_number() OVER (PARTITION BY doc_id ORDER BY ln, g) - 1 AS ord, sentence FROM s)),
+      {EXTRACT}
+      SELECT item_id AS question_id, 'answer' AS mode, CASE WHEN answer IS NULL THEN 'low' WHEN score >= 0.75 THEN 'high' ELSE 'medium' END AS confidence, answer IS NULL AS insufficient, coalesce(answer, {literal(NOT_FOUND)}) AS answer,
+        CAST(coalesce(n, 0) AS INT) AS n_citations, CAST(coalesce(n, 0) AS INT) AS n_verified FROM benchmark LEFT JOIN said USING (item_id) LEFT JOIN best USING (item_id)""",
 }
