@@ -150,21 +150,37 @@ def pair_scores(questions: DataFrame, question_key: str, question: Column, passa
     return candidates(questions, question_key, question, passages, key, text, {"vector_score": tuning.depth, "bm25": tuning.depth}, tuning, embedding, embed)
 
 
+#: Words of quotes that go to every task, so that a passage is read once; of more quotes, passages' words are joined with theirs.
+QUOTE_WORDS = 4_096
+
+
 def quotes_in(quotes: DataFrame, quote_key: str, quote: Column, passages: DataFrame, key: str, text: Column) -> DataFrame:
     """quote_key, key of every passage that holds a quote of three characters or more, both normalised.
 
     Pairs meet on one whole word of the quote's inside: such a word must also be a word of the passage. The longest is
-    taken, being rare. Quotes of two words and less have no inside and meet on their first three
-    characters. Only words and keys are matched at first; texts join the pairs that are left."""
+    taken, being rare. Only passages with one of these words are carried on with their texts. Quotes of two words and less have no inside and meet on their first three
+    characters."""
     asked = quotes.select(F.col(quote_key), normalize_for_match(quote).alias("quote")).where("length(quote) >= 3")
     inside = F.expr("filter(slice(split(quote, ' '), 2, greatest(0, size(split(quote, ' ')) - 2)), w -> length(w) > 0)")
     longest = F.expr("array_max(transform(inside, w -> struct(length(w) AS n, w AS w)))")["w"]
     keyed = asked.withColumn("inside", inside).withColumn("word", longest).drop("inside")
     held = passages.select(F.col(key), normalize_for_match(text).alias("content"))
-    words = held.select(key, F.explode(F.array_distinct(F.split("content", " "))).alias("word"))
-    met = words.join(keyed.where("word IS NOT NULL").select("word", quote_key), "word").select(quote_key, key)
+    wanted = [r["word"] for r in keyed.where("word IS NOT NULL").select("word").distinct().limit(QUOTE_WORDS + 1).collect()]
+    words = F.array_distinct(F.split("content", " "))
+    if len(wanted) <= QUOTE_WORDS:
+        some = F.array_intersect(words, F.lit(wanted) if wanted else F.array().cast("array<string>"))
+        found = held.select(key, "content", F.explode(some).alias("word")).join(keyed, "word").where(F.contains("content", "quote")).select(quote_key, key)
+    else:
+        met = held.select(key, F.explode(words).alias("word")).join(keyed.where("word IS NOT NULL").select("word", quote_key), "word").select(quote_key, key)
+        found = _confirmed(met, asked, quote_key, held, key)
     short = keyed.where("word IS NULL").select(quote_key, F.left("quote", F.lit(3)).alias("gram"))
-    if not short.isEmpty():
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("content") - 2)), lambda n: F.substring(F.col("content"), n, F.lit(3)))
-        met = met.unionByName(held.select(key, F.explode(F.array_distinct(grams)).alias("gram")).join(short, "gram").select(quote_key, key))
-    return met.join(asked, quote_key).join(held, key).where(F.col("content").contains(F.col("quote"))).select(quote_key, key)
+    if short.isEmpty():
+        return found
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("content") - 2)), lambda n: F.substring(F.col("content"), n, F.lit(3)))
+    met = held.select(key, F.explode(F.array_distinct(grams)).alias("gram")).join(short, "gram").select(quote_key, key)
+    return found.unionByName(_confirmed(met, asked, quote_key, held, key))
+
+
+def _confirmed(met: DataFrame, asked: DataFrame, quote_key: str, held: DataFrame, key: str) -> DataFrame:
+    """The pairs whose passage holds the whole quote."""
+    return met.join(asked, quote_key).join(held, key).where(F.contains("content", "quote")).select(quote_key, key)

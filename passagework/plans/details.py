@@ -49,7 +49,7 @@ def file_names(spark, d):
 @query
 def normalised_texts(spark, d):
     """Digests of every text squashed, and normalised for matching."""
-    return table(spark, d, "documents").select("doc_id", F.md5(T.squash(F.col("text")).cast("binary")).alias("squashed"), F.md5(T.normalize_for_match(F.col("text")).cast("binary")).alias("normalised"))
+    return texts(spark, d).select("doc_id", F.md5(T.squash(F.col("text")).cast("binary")).alias("squashed"), F.md5(T.normalize_for_match(F.col("text")).cast("binary")).alias("normalised"))
 
 
 def headed(spark, d) -> DataFrame:
@@ -115,7 +115,7 @@ def question_checks(spark, d):
 @query
 def highlighted(spark, d):
     """Where the first ten characters of each benchmark text stand in the documents that hold the whole of it."""
-    held = S.quotes_in(table(spark, d, "benchmark"), "item_id", F.col("text"), table(spark, d, "documents"), "doc_id", F.col("text"))
+    held = S.quotes_in(table(spark, d, "benchmark"), "item_id", F.col("text"), texts(spark, d), "doc_id", F.col("text"))
     both = held.join(table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(10)).alias("quote")), "item_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return both.select("item_id", "doc_id", T.highlight_offset(F.col("text"), F.col("quote")).alias("at"), T.verify_quote(F.col("quote"), F.col("text")).alias("verified"))
 
@@ -270,7 +270,7 @@ def standing_citations(spark, d):
 @query
 def answer_sources(spark, d):
     """Benchmark texts as answers, the documents that hold them as their citations: sources in order, named once, by language of the document."""
-    held = S.quotes_in(table(spark, d, "benchmark"), "item_id", F.col("text"), table(spark, d, "documents"), "doc_id", F.col("text"))
+    held = S.quotes_in(table(spark, d, "benchmark"), "item_id", F.col("text"), texts(spark, d), "doc_id", F.col("text"))
     cited = S.ranked(held, "item_id", F.col("doc_id"), name="ord").join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
     label = F.concat("source", F.lit(" §"), F.col("lang"))
     first = cited.groupBy("item_id", label.alias("label")).agg(F.min("ord").alias("ord"), F.count("*").alias("n"))

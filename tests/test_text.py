@@ -117,7 +117,9 @@ def test_zero_scores_stay_in_the_vector_list(spark):
     assert {r["q"]: r["n"] for r in top}[7] == 0
 
 
-def test_short_quotes_are_found_anywhere(spark):
+@pytest.mark.parametrize("most", [0, 4_096])
+def test_short_quotes_are_found_anywhere(spark, monkeypatch, most):
+    monkeypatch.setattr(search, "QUOTE_WORDS", most)
     passages = spark.createDataFrame([(1, "The Quiet  hours begin"), (2, "disquieting"), (3, None)], "n int, v string")
     quotes = spark.createDataFrame([(1, "quiet hours"), (2, "qui"), (3, "t h"), (4, "xy"), (5, None), (6, "the “quiet” hours")], "q int, v string")
     got = {(r["q"], r["n"]) for r in search.quotes_in(quotes, "q", F.col("v"), passages, "n", F.col("v")).collect()}
