@@ -159,7 +159,7 @@ def test_a_model_behind_a_function():
 
 def test_seeding_twice(spark, tmp_path):
     settings = Settings.read({"STORE": str(tmp_path / "store"), "MAX_UPLOAD_MB": "1"})
-    sets = spark.createDataFrame([("faq", "question\nHow much is a parking permit?\nWhen do quiet hours start?\nWho repairs lifts?\n"), ("faq", "question\nAgain?"), ("bad", "id,other\n1,2\n")], "name string, csv string")
+    sets = spark.createDataFrame([("faq", "question\nHow much is a parking permit?\nWhen do quiet hours start?\nWho repairs lifts?\n"), ("faq", "question\nAgain?"), ("x" * 130, "question\nNever asked?\n")], "name string, csv string")
     big = ("/in/big.md", b"x" * ((1 << 20) + 1))
     assert seed(spark, settings, files(spark, big), sets) == {"documents": 2, "sets": 1, "drafts": 3}
     store, _ = opened(spark, settings)
