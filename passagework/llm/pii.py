@@ -42,7 +42,7 @@ PLAIN_WINDOWS, SPELLED_WINDOWS = 768, 2_048
 #: Characters whose scores are held at once, and windows that go through the network together.
 PIECE, TOGETHER = 1_024 * STRIDE, 512
 #: Texts that are read at once.
-TEXTS = 250
+TEXTS = 500
 #: Characters of a region that are decoded at once, of a span that are held against their marginals at once, and text to the sides that these see.
 BLOCK, SPAN_PART, AROUND = 256, 320, 64
 EMBEDDED, HIDDEN, SYMBOLS = 8, 12, 130
