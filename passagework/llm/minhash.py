@@ -295,7 +295,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, also: tuple[str, ...] =
     members = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     more = staged(across_components(members, classes, docs, percent))
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        # what the links join is there as stars, to which only those found later are added
+        roots = components(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     by_class = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     # a class of many copies is one row on the right, so AQE can split its rows on the left
     joined = signed.select("doc_id", *also, "n_shingles", "set_key").join(by_class, "set_key", "left")
