@@ -259,45 +259,53 @@ class Network:
     def scores(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         """Scores (time, tag) of each of the windows codes[start : start + size], longest first, in single precision.
 
-        Windows lie innermost, and each step works
-        on those that are still running, so no window is filled up; the backward direction reads each from its own end."""
-        h, most, n = HIDDEN, int(sizes[0]), len(sizes)
+        Windows lie innermost, and each step works, in both directions at once,
+        on those that are still running, so no window is filled up; the backward direction reads each from its own end.
+        What a step reads stays in the cache, as only its scores are kept. Those of windows of one length meet before they are turned."""
+        h, most, n, even = HIDDEN, int(sizes[0]), len(sizes), sizes[0] == sizes[-1]
         into = np.ascontiguousarray(self.into.transpose(0, 2, 1), np.float32)
         into[:, : 3 * h] /= 4
         into[:, : 3 * h, -1] += 0.5
         out, embed = self.out.T.astype(np.float32), np.ascontiguousarray(self.embed.T, np.float32)
+        away, bias = np.stack([out[:, :h], out[:, h : 2 * h]]), out[:, -1:]
         place = np.arange(most)
         running = np.searchsorted(-sizes, -place, "left").tolist()  # windows longer than each place
-        cell, numbers = np.empty((h, n), np.float32), np.empty(4 * h * n, np.float32)
-        zeros, ones, minus = np.zeros(3 * h * n, np.float32), np.ones(3 * h * n, np.float32), np.full(h * n, -1, np.float32)  # numpy is several times as fast with bounds in arrays
-        ways = []
-        for way in range(2):
-            at = starts + (sizes - 1 - place[:, None] if way else place[:, None])
-            seen = np.empty((most + 1, EMBEDDED + h + 1, n), np.float32)  # for each step the symbol, the state before it, and a one
-            read = codes[np.clip(at, 0, len(codes) - 1)].astype(np.intp)
-            for e in range(EMBEDDED):
-                np.take(embed[e], read, out=seen[:-1, e], mode="clip")
-            seen[:, EMBEDDED:-1] = 0
-            seen[:, -1] = 1
-            cell[:] = 0
-            for t, m in enumerate(running):
-                z = np.matmul(into[way], seen[t, :, :m], out=numbers[: 4 * h * m].reshape(4 * h, m))
-                gates, g, c = z[: 3 * h], z[3 * h :], cell[:, :m]
-                one, less = ones[: h * m].reshape(h, m), minus[: h * m].reshape(h, m)
-                np.minimum(np.maximum(gates, zeros[: 3 * h * m].reshape(3 * h, m), out=gates), ones[: 3 * h * m].reshape(3 * h, m), out=gates)
-                np.minimum(np.maximum(g, less, out=g), one, out=g)
-                g *= z[:h]
-                c *= z[h : 2 * h]
-                c += g
-                np.minimum(np.maximum(c, less, out=g), one, out=g)
-                np.multiply(g, z[2 * h : 3 * h], out=seen[t + 1, EMBEDDED:-1, :m])
-            made = np.empty((n, most * TAGS), np.float32)
-            for t in range(0, most, 16):  # a few steps at a time, which stay in the cache
-                some = np.matmul(out[:, way * h : (way + 1) * h], seen[t + 1 : min(t + 16, most) + 1, EMBEDDED:-1])
-                made[:, t * TAGS : (t + len(some)) * TAGS] = some.reshape(-1, n).T
-            ways.append(made.reshape(n, most, TAGS))
-        ways[0] += self.out[-1].astype(np.float32)
-        return [ahead[:n] + back[:n][::-1] for ahead, back, n in zip(*ways, sizes.tolist())]
+        at = [starts + place[:, None], starts + (sizes - 1 - place[:, None])]
+        ahead, back = (codes[np.clip(a, 0, len(codes) - 1)].astype(np.intp) for a in at)
+        seen = np.zeros((2, EMBEDDED + h + 1, n), np.float32)  # for each direction the step's symbol, the state before it, and a one
+        seen[:, -1] = 1
+        cell, numbers, made = np.zeros((2, h, n), np.float32), np.empty(8 * h * n, np.float32), (np.empty if even else np.zeros)((most, 2, TAGS, n), np.float32)
+        ones, low = np.ones((4 * h, n), np.float32), np.zeros((4 * h, n), np.float32)  # numpy is several times as fast with bounds in arrays
+        low[3 * h :] = -1
+        m = -1
+        for t, now in enumerate(running):
+            if now != m:
+                m = now
+                z, c, x = numbers[: 8 * h * m].reshape(2, 4 * h, m), cell[:, :, :m], seen[:, :, :m]
+                i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
+                floor, roof, state = low[:, :m], ones[:, :m], x[:, EMBEDDED:-1]
+                least, greatest = floor[3 * h :], roof[:h]
+            np.take(embed, ahead[t], axis=1, out=seen[0, :EMBEDDED], mode="clip")
+            np.take(embed, back[t], axis=1, out=seen[1, :EMBEDDED], mode="clip")
+            np.matmul(into, x, out=z)
+            np.minimum(np.maximum(z, floor, out=z), roof, out=z)
+            g *= i
+            c *= f
+            c += g
+            np.minimum(np.maximum(c, least, out=g), greatest, out=g)
+            np.multiply(g, o, out=state)
+            np.matmul(away, state, out=made[t, :, :, :m])
+        ways = [np.empty((n, most * TAGS), np.float32) for _ in range(1 if even else 2)]
+        for t in range(0, most, 16):  # a few steps at a time, which stay in the cache
+            end = min(t + 16, most)
+            some = made[t:end, 0] + bias
+            if even:
+                some += made[most - end : most - t, 1][::-1]
+            else:
+                ways[1][:, t * TAGS : end * TAGS] = made[t:end, 1].reshape(-1, n).T
+            ways[0][:, t * TAGS : end * TAGS] = some.reshape(-1, n).T
+        ways = [way.reshape(n, most, TAGS) for way in ways]
+        return list(ways[0]) if even else [x[:size] + y[:size][::-1] for x, y, size in zip(*ways, sizes.tolist())]
 
     def averaged(self, parts: list[np.ndarray]) -> list[np.ndarray]:
         """Scores (time, tag) of each part: of windows that start at every STRIDE, averaged where they overlap, nearer ends weighing less."""
@@ -313,8 +321,9 @@ class Network:
         order = np.argsort(-size, kind="stable")
         sums = np.zeros((len(codes), TAGS), np.float32)
         ramp = (np.arange(1, OVERLAP + 1)[:, None] / (OVERLAP + 1)).astype(np.float32)
-        for at in range(0, len(order), TOGETHER):
-            some = order[at : at + TOGETHER]
+        full = int((size == WINDOW).sum())
+        for at, to in ((at, min(at + TOGETHER, end)) for begin, end in ((0, full), (full, len(order))) for at in range(begin, end, TOGETHER)):
+            some = order[at:to]
             for n, x in zip(some.tolist(), self.scores(codes, start[some], size[some])):
                 if follows[n]:
                     x[:OVERLAP] *= ramp
