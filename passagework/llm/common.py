@@ -80,6 +80,26 @@ Batches = Iterator[pa.RecordBatch]
 KEPT: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Gives memory that this process no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def drop_kept(owner: str) -> None:
+    """Drops what this process kept for other modules than the owner, and gives its memory back.
+
+    It is a function of the module, so that it reaches a worker by name: a function within another one goes there with copies of
+    the globals that it names, and KEPT would be an empty copy."""
+    others = KEPT.keys() - {owner}
+    for other in others:
+        del KEPT[other]
+    if others:
+        give_back()
+
+
 def tidy(run: Callable[[Batches], Batches], owner: str | None = None) -> Callable[[Batches], Batches]:
     """run, which first drops what the worker kept from tasks of other modules, and at its end gives memory that it no longer uses back to the system.
 
@@ -87,15 +107,11 @@ def tidy(run: Callable[[Batches], Batches], owner: str | None = None) -> Callabl
     owner = owner or run.__module__
 
     def tidied(parts: Batches) -> Batches:
-        for other in KEPT.keys() - {owner}:
-            KEPT.pop(other)
+        drop_kept(owner)
         try:
             yield from run(parts)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return tidied
 

@@ -5,8 +5,10 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 
-from passagework.llm import bitslice, mixing, pii, tiles
+from passagework.llm import bitslice, common, mixing, pii, tiles
 
 
 def test_mixed_takes_repeated_rows_one_by_one(spark):
@@ -66,3 +68,12 @@ def test_spans_of_any_length_are_held_against_their_marginals(monkeypatch):
     scores[1_700] = scores[1_701]
     scores[1_700, 2] = -30
     assert network.sure([np.zeros(n, np.uint8)], {0: None}, [span, (0, 0, start, 1_600)]) == [(0, 0, start, 1_600)]
+
+
+def test_a_task_drops_what_the_worker_kept_for_other_modules(monkeypatch):
+    monkeypatch.setattr(common, "KEPT", {})
+    run = cloudpickle.loads(cloudpickle.dumps(common.tidy(lambda parts: parts, "own")))  # as it reaches a worker
+    common.KEPT.update({"own": {"a": 1}, "other": {"b": 2}})
+    part = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    assert [p.to_pydict() for p in run(iter([part]))] == [{"x": [1, 2]}]
+    assert common.KEPT == {"own": {"a": 1}}
