@@ -24,6 +24,7 @@ CELL_GAP, SPACE_GAP, MARGIN, REPEATED, CROSSING, SIDE, LEAST_RUNS = 1.5, 0.12, 0
 ACCENTS = {"˜": "\u0303", "´": "\u0301", "¨": "\u0308", "ˆ": "\u0302", "ˇ": "\u030c", "˘": "\u0306", "˚": "\u030a"}
 PAGE = ["doc_id", "page"]
 LETTER = r"[^\W\d_]"
+PART = r"[\p{L}0-9]"
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "­": ""}
 _BEFORE, _GRAVE = re.compile(rf"([{''.join(ACCENTS)}])\s?({LETTER})"), re.compile(rf"(?<={LETTER})`([A-Za-z])")
 
@@ -173,6 +174,16 @@ def looks_like_heading(gap: Column, leading: Column) -> Column:
     )
 
 
+def words_of(lines_: Column) -> Column:
+    """The words of lines that stand below each other, in lower case, without what a hyphen at a line's end cuts off."""
+    return F.regexp_extract_all(F.lower(lines_), F.lit(r"(?<!\p{L})\p{L}++(?!-(?:\n|\z))"), F.lit(0))
+
+
+def hyphenated_of(lines_: Column) -> Column:
+    """Their words with hyphens within a line."""
+    return F.regexp_extract_all(F.lower(lines_), F.lit(r"(?<!\p{L})\p{L}++(?:-\p{L}++)+"), F.lit(0))
+
+
 def vocabulary(lines_: DataFrame) -> DataFrame:
     """doc_id, word: the words of each document's lines, hyphenated ones too, once each; what a hyphen at a line's end cuts off is none."""
     lower = F.lower("text")
@@ -181,28 +192,79 @@ def vocabulary(lines_: DataFrame) -> DataFrame:
     return lines_.select("doc_id", F.explode(F.array_distinct(both)).alias("word")).distinct()
 
 
+def let(value: Column, then) -> Column:
+    """then of value, which is worked out once, however often then names it, also for each element of an array."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def told(asked: Column, words: Column) -> Column:
+    """The `at` of those of asked (word, at; at above 0) whose word is one of words; in time n log n."""
+    none = F.array().cast("array<int>")
+
+    def runs(sorted_: Column) -> Column:
+        # a known word, which is at 0, stands before those that ask for it
+        starts = F.filter(F.transform(sorted_, lambda x, i: F.when(x["at"] == 0, i + 1)), lambda i: i.isNotNull())
+
+        def run(starts: Column, start: Column, i: Column) -> Column:
+            until = F.coalesce(F.get(starts, i + 1), F.size(sorted_) + 1)
+            same = F.filter(F.slice(sorted_, start, until - start), lambda x: (x["at"] > 0) & (x["word"] == F.get(sorted_, start - 1)["word"]))
+            return F.transform(same, lambda x: x["at"])
+
+        return let(starts, lambda s: F.flatten(F.transform(s, lambda start, i: run(s, start, i))))
+
+    def among(asked: Column, known: Column) -> Column:
+        marked = F.transform(known, lambda w: F.struct(w.alias("word"), F.lit(0).alias("at")))
+        return F.when(F.size(known) == 0, none).otherwise(let(F.array_sort(F.concat(marked, asked)), runs))
+
+    def met(words: Column) -> Column:
+        return F.when(F.size(words) == 0, none).otherwise(let(asked, lambda a: let(F.array_intersect(F.transform(a, lambda x: x["word"]), words), lambda known: among(a, known))))
+
+    return let(words, met)
+
+
+def rejoined(lines_: Column, words: Column, hyphenated: Column) -> Column:
+    """Lines that stand below each other, in one text without tabs, with the parts of words put together over line ends; other line ends stay.
+
+    words and hyphenated: what the document holds of words, and of words with hyphens, in lower case; words are read only where it depends on them. A hyphen at a line's end goes if the document has
+    the two parts as one word, or if a word may go on there in lower case and the parts are no compound: none of the document's, none with capitals or digits before the hyphen, and none with a
+    part that makes compounds. A line's part is what stands in that line, also where the line holds nothing else."""
+    none = F.array().cast("array<int>")
+
+    def seam(before: Column, after: Column) -> Column:
+        compound = before.rlike("[A-Z].*[A-Z]|[0-9]") | F.lower(before).isin(COMPOUND_PREFIXES) | F.lower(after).isin(COMPOUND_SUFFIXES)
+        goes_on = after.rlike(r"^\p{Ll}") & before.rlike(r"\p{L}$")
+        return F.struct(F.lower(F.concat(before, after)).alias("one"), F.lower(F.concat(before, F.lit("-"), after)).alias("two"), (goes_on & ~compound).alias("free"))
+
+    def kept(seams: Column) -> Column:
+        """The numbers of the hyphens that stay, from 1 on."""
+        bound = F.filter(F.transform(seams, lambda s, i: F.when(~s["free"], i + 1)), lambda i: i.isNotNull())
+        free = F.filter(F.transform(seams, lambda s, i: F.when(s["free"], F.struct(s["two"].alias("word"), (i + 1).alias("at")))), lambda s: s.isNotNull())
+        ones = lambda at: F.transform(at, lambda i: F.struct(F.get(seams, i - 1)["one"].alias("word"), i.alias("at")))
+        return let(F.concat(bound, told(free, hyphenated)), lambda at: F.when(F.size(at) == 0, none).otherwise(F.array_sort(F.array_except(at, told(ones(at), words)))))
+
+    marked = F.regexp_replace(lines_, rf"({PART})-\n(?={PART})", "$1\t")
+
+    def put(kept_: Column) -> Column:
+        slices = lambda parts: F.zip_with(F.concat(F.array(F.lit(0)), kept_), F.concat(kept_, F.array(F.size(parts))), lambda a, b: F.array_join(F.slice(parts, a + 1, b - a), ""))
+        return F.when(F.size(kept_) == 0, F.replace(marked, F.lit("\t"), F.lit(""))).otherwise(let(F.split(marked, "\t"), lambda parts: F.array_join(slices(parts), "-")))
+
+    side = lambda n: F.regexp_extract_all(lines_, F.lit(rf"(?<!{PART})({PART}++)-\n(?=({PART}++))"), F.lit(n))
+    return let(F.zip_with(side(1), side(2), seam), lambda seams: let(kept(seams), put))
+
+
 def dehyphenated(lines_: DataFrame, words: DataFrame) -> DataFrame:
-    """doc_id, block, text: the lines (doc_id, block, n, text) of each block as one text; words: doc_id, word.
-
-    A hyphen at a line's end goes if the document has the two parts as one word, or if a word may go on there in lower case and the parts are no compound: none of the
-    document's, none with capitals or digits before the hyphen, and none with a part that makes compounds. A line's part is what stands in that line, also where the line holds nothing else."""
-    clean = lines_.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).where("text <> ''")
-    order = W.partitionBy("doc_id", "block").orderBy("n")
-    cut = clean.withColumn("before", F.coalesce(F.regexp_extract(F.lag("text").over(order), r"([\p{L}0-9]+)-$", 1), F.lit(""))).withColumn("after", F.regexp_extract("text", r"^([\p{L}0-9]+)", 1))
-    met = (F.col("before") != "") & (F.col("after") != "")
-    looked = cut.withColumns({"one": F.when(met, F.lower(F.concat("before", "after"))), "two": F.when(met, F.lower(F.concat("before", F.lit("-"), "after")))})
-    # the few lines after a hyphen meet the words of their document
-    ends = looked.where(met).select("doc_id", "block", "n", F.explode(F.array("one", "two")).alias("word")).join(words, ["doc_id", "word"])
-    known = ends.groupBy("doc_id", "block", "n").agg(F.collect_set("word").alias("known"))
-    both = looked.join(known, ["doc_id", "block", "n"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
-    held = lambda c: F.coalesce(F.array_contains("known", F.col(c)), F.lit(False))
-    compound = F.col("before").rlike("[A-Z].*[A-Z]|[0-9]") | F.lower("before").isin(COMPOUND_PREFIXES) | F.lower("after").isin(COMPOUND_SUFFIXES)
-    goes_on = F.col("after").rlike(r"^\p{Ll}") & F.col("before").rlike(r"\p{L}$")
-    dropped = both.withColumn("dropped", met & (held("one") | (goes_on & ~held("two") & ~compound)))
-    kept = F.when(F.coalesce(F.lead("dropped").over(order), F.lit(False)), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
-    piece = F.concat(F.when(met | (F.row_number().over(order) == 1), "").otherwise(" "), kept)
-    pieces = F.array_sort(F.collect_list(F.struct("n", "piece")))  # lines of one block
-    return dropped.withColumn("piece", piece).groupBy("doc_id", "block").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"))
+    """doc_id, block, text: the lines (doc_id, block, n, text) of each block as one text by `rejoined`; words: doc_id, word.
+
+    A document's lines come together once, and meet its words there."""
+    clean = lines_.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).where("text <> ''").repartition("doc_id")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"])  # lines of one block
+    blocks = clean.groupBy("doc_id", "block").agg(F.array_join(ordered, "\n").alias("text"))
+    documents = blocks.groupBy("doc_id").agg(F.collect_list("block").alias("blocks"), F.array_join(F.collect_list("text"), "\f").alias("lines"))
+    held = words.groupBy("doc_id").agg(F.collect_set("word").alias("words"))
+    met = documents.join(held, "doc_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    whole = rejoined(F.col("lines"), F.col("words"), F.filter("words", lambda w: F.contains(w, F.lit("-"))))
+    texts = F.split(F.replace(whole, F.lit("\n"), F.lit(" ")), "\f")
+    return met.select("doc_id", F.inline(F.arrays_zip("blocks", texts.alias("texts")))).toDF("doc_id", "block", "text")
 
 
 #: Captions and tables between the parts of one paragraph, at most.

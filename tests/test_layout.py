@@ -1,10 +1,18 @@
 """Paragraphs over captions and columns, and words over line ends, against plain versions and by hand."""
 
+import hashlib
 import random
 import re
+import threading
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from passagework.functions.constants import COMPOUND_PREFIXES, COMPOUND_SUFFIXES
 from passagework.operators import layout
+from passagework.plans.details import layout_dehyphenated
+from passagework.plans.details_sql import DETAILS
 
 
 def plain_text(lines, words):
@@ -41,6 +49,50 @@ def test_words_over_line_ends(spark):
             assert got.get((d, b), "") == plain_text(lines, words), lines
 
 
+def broken_and_joined(text):
+    """A text in lines of 40 characters, put together again, with nothing but letters, hyphens and spaces in it."""
+    pieces = [text[i : i + 40] for i in range(0, len(text), 40)]
+    lines = [" ".join((a + "-" if a[-1].isalpha() and z[:1].isalpha() else a).split()) for a, z in zip(pieces, [*pieces[1:], ""])]
+    words = {w for x in map(str.lower, lines) for w in [*re.findall("[a-z]+(?:-[a-z]+)+", x), *re.findall("[a-z]+", re.sub("[a-z]+-$", "", x))]}
+    return plain_text(lines, words)
+
+
+def documents_in(path, texts):
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_odd_texts_are_put_together_as_the_sql_says(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = [None, "", " ", "\n \n", "\t", "\t" * 90, "x" * 39 + "\r" + "yz", "x" * 39 + "\u2028" + "yz", "\u00a0", "ab " * 13 + "\u00a0cd", "x" * 35 + "foo- bar foo foobar", "-" * 90, "a-" * 90, "A" * 90, "\U0001d49c" * 90, "ab" + " " * 38 + "\t" * 40 + "cd", ("x" * 39 + "-" + "y" * 39 + "-") * 5]
+    rng = random.Random(11)
+    parts = ["low-cost", "lowcost", "re-use", "reuse", "LiDAR", "LIDAR", "GNSS-denied", "3D-printed", "foo-", "über-alles", "überalles", "x2y", "\U0001d49c\U0001d4b7c", "\t", "\r", "  ", "\n", "\u00a0", "\x85", "a_b", "well", "known", "中文", "½x"]
+    for _ in range(400):
+        own = rng.sample(parts, rng.randrange(2, 12))
+        texts.append("".join(rng.choice(own) + rng.choice([" ", "", "-"]) for _ in range(rng.choice([5, 40, 120]))))
+    got = sorted(tuple(r) for r in layout_dehyphenated(spark, documents_in(tmp_path, texts)).collect())
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+        assert got == sorted(base.execute(DETAILS["layout_dehyphenated"]).fetchall())
+
+
+@pytest.mark.parametrize("kind", ["prose", "capitals", "hyphens"])
+def test_one_long_text_is_put_together_in_time(spark, tmp_path, kind):
+    """Work that grows with a text's length, not with its square; capitals and hyphens have to be looked up."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(60 if kind == "hyphens" else 50_000)]
+    text = " ".join(rng.choice(vocabulary) + (rng.choice(["", "-" + rng.choice(vocabulary)]) if kind == "hyphens" else "") for _ in range(400_000))
+    text = text.upper() if kind == "capitals" else text
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = [tuple(r) for r in layout_dehyphenated(spark, documents_in(tmp_path, [text])).collect()]
+    finally:
+        late.cancel()
+    want = broken_and_joined(text)
+    assert got == [(0, len(want), hashlib.md5(want.encode()).hexdigest())]
+
+
 def plain_heads(blocks):
     """Which block each belongs to, by a walk from each paragraph over what follows."""
     prose = [b for b in blocks if b["kind"] in ("paragraph", "heading")]
