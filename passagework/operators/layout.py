@@ -24,7 +24,9 @@ CELL_GAP, SPACE_GAP, MARGIN, REPEATED, CROSSING, SIDE, LEAST_RUNS = 1.5, 0.12, 0
 ACCENTS = {"˜": "\u0303", "´": "\u0301", "¨": "\u0308", "ˆ": "\u0302", "ˇ": "\u030c", "˘": "\u0306", "˚": "\u030a"}
 PAGE = ["doc_id", "page"]
 LETTER = r"[^\W\d_]"
-PART = r"[\p{L}0-9]"
+# What words over line ends are made of. A pattern that looks back meets the second half of a character beyond 16 bits first.
+PART, HALF = r"[\p{L}0-9]", r"[\uDC00-\uDFFF]?"
+BEGINS, SEAM = rf"(?<!{PART}{HALF})", rf"-(?<={PART}{HALF}-)\n(?={PART})"
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "­": ""}
 _BEFORE, _GRAVE = re.compile(rf"([{''.join(ACCENTS)}])\s?({LETTER})"), re.compile(rf"(?<={LETTER})`([A-Za-z])")
 
@@ -181,7 +183,8 @@ def words_of(lines_: Column) -> Column:
 
 def hyphenated_of(lines_: Column) -> Column:
     """Their words with hyphens within a line."""
-    return F.regexp_extract_all(F.lower(lines_), F.lit(r"(?<!\p{L})\p{L}++(?:-\p{L}++)+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(lines_), F.lit(r"(?<!\p{L})\p{L}++(?:-\p{L}++)+"), F.lit(0))
+    return F.when(lines_.rlike(rf"-(?<=\p{{L}}{HALF}-)\p{{L}}"), found).otherwise(F.array().cast("array<string>"))
 
 
 def vocabulary(lines_: DataFrame) -> DataFrame:
@@ -222,34 +225,44 @@ def told(asked: Column, words: Column) -> Column:
     return let(words, met)
 
 
+def free_seam() -> str:
+    """The seams where a word may go on in lower case and the parts make no compound by themselves; a part before of more than 64 letters is none of these."""
+    one_of = lambda words: "|".join("".join(f"[{c}{c.upper()}{chr(0x212A) if c == 'k' else ''}]" for c in w) for w in words)  # noqa: E731 - as lower() has it
+    before = rf"{BEGINS}(?!\p{{L}}*[A-Z]\p{{L}}*[A-Z])(?!(?:{one_of(COMPOUND_PREFIXES)})-)\p{{L}}{{1,64}}"
+    return rf"-\n(?=\p{{Ll}})(?!(?:{one_of(COMPOUND_SUFFIXES)})(?!{PART}))(?<={before}-\n)"
+
+
 def rejoined(lines_: Column, words: Column, hyphenated: Column) -> Column:
     """Lines that stand below each other, in one text without tabs, with the parts of words put together over line ends; other line ends stay.
 
     words and hyphenated: what the document holds of words, and of words with hyphens, in lower case; words are read only where it depends on them. A hyphen at a line's end goes if the document has
     the two parts as one word, or if a word may go on there in lower case and the parts are no compound: none of the document's, none with capitals or digits before the hyphen, and none with a
     part that makes compounds. A line's part is what stands in that line, also where the line holds nothing else."""
-    none = F.array().cast("array<int>")
 
-    def seam(before: Column, after: Column) -> Column:
+    def seam(above: Column, below: Column) -> Column:
+        before, after = F.regexp_extract(above, rf"(?s).*{BEGINS}({PART}++)\z", 1), F.regexp_extract(below, f"^({PART}+)", 1)
         compound = before.rlike("[A-Z].*[A-Z]|[0-9]") | F.lower(before).isin(COMPOUND_PREFIXES) | F.lower(after).isin(COMPOUND_SUFFIXES)
         goes_on = after.rlike(r"^\p{Ll}") & before.rlike(r"\p{L}$")
         return F.struct(F.lower(F.concat(before, after)).alias("one"), F.lower(F.concat(before, F.lit("-"), after)).alias("two"), (goes_on & ~compound).alias("free"))
 
-    def kept(seams: Column) -> Column:
+    def kept(seams: Column, hyphenated: Column) -> Column:
         """The numbers of the hyphens that stay, from 1 on."""
         bound = F.filter(F.transform(seams, lambda s, i: F.when(~s["free"], i + 1)), lambda i: i.isNotNull())
         free = F.filter(F.transform(seams, lambda s, i: F.when(s["free"], F.struct(s["two"].alias("word"), (i + 1).alias("at")))), lambda s: s.isNotNull())
         ones = lambda at: F.transform(at, lambda i: F.struct(F.get(seams, i - 1)["one"].alias("word"), i.alias("at")))
-        return let(F.concat(bound, told(free, hyphenated)), lambda at: F.when(F.size(at) == 0, none).otherwise(F.array_sort(F.array_except(at, told(ones(at), words)))))
+        return let(F.concat(bound, told(free, hyphenated)), lambda at: F.when(F.size(at) == 0, F.array().cast("array<int>")).otherwise(F.array_sort(F.array_except(at, told(ones(at), words)))))
 
-    marked = F.regexp_replace(lines_, rf"({PART})-\n(?={PART})", "$1\t")
+    def put(parts: Column, kept_: Column) -> Column:
+        slices = F.zip_with(F.concat(F.array(F.lit(0)), kept_), F.concat(kept_, F.array(F.size(parts))), lambda a, b: F.array_join(F.slice(parts, a + 1, b - a), ""))
+        return F.replace(F.array_join(slices, "-"), F.lit("\t"), F.lit(""))
 
-    def put(kept_: Column) -> Column:
-        slices = lambda parts: F.zip_with(F.concat(F.array(F.lit(0)), kept_), F.concat(kept_, F.array(F.size(parts))), lambda a, b: F.array_join(F.slice(parts, a + 1, b - a), ""))
-        return F.when(F.size(kept_) == 0, F.replace(marked, F.lit("\t"), F.lit(""))).otherwise(let(F.split(marked, "\t"), lambda parts: F.array_join(slices(parts), "-")))
+    def met(hyphenated: Column) -> Column:
+        # a tab stands for the seams that no word can change
+        left = F.when(F.size(hyphenated) == 0, F.regexp_replace(lines_, free_seam(), "\t")).otherwise(lines_)
+        seams = lambda parts: F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts) - 1), seam)
+        return let(F.split(left, SEAM), lambda parts: let(seams(parts), lambda s: let(kept(s, hyphenated), lambda k: put(parts, k))))
 
-    side = lambda n: F.regexp_extract_all(lines_, F.lit(rf"(?<!{PART})({PART}++)-\n(?=({PART}++))"), F.lit(n))
-    return let(F.zip_with(side(1), side(2), seam), lambda seams: let(kept(seams), put))
+    return let(hyphenated, met)
 
 
 def dehyphenated(lines_: DataFrame, words: DataFrame) -> DataFrame:
